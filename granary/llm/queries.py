@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import jaccard, mixing
+from granary.llm import jaccard, mixing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,23 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), 5, 80)
 
 
+#: The id that ends a document in op9_tokens.
+END_ID = 2
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie among all, read back from the shards."""
+    folder = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return tokens.offsets(tokens.read_tokens(spark, folder, ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file; every machine has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -27,6 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
 
