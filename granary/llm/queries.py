@@ -7,18 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import jaccard, mixing, tokens
+from granary.llm import jaccard, mixing, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' records, written to archives and read back."""
+    return warc.archived(spark, warc.write_warc(table(spark, sf_dir, "pages")))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the documents."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), 5, 80)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of the documents."""
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 #: The id that ends a document in op9_tokens.
 END_ID = 2
 
@@ -43,12 +53,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_secrets": op3_secrets,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": r"""
+        WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS sha, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+        b AS (SELECT *, unhex(sha)::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY sha) AS first FROM p)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(bits, i * 5 + j + 1, 1) = '1' THEN 16 >> j ELSE 0 END))::BIGINT, 1)), '') AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM b
+    """,
     "op10_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
