@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import jaccard, mixing, secrets, tokens, warc
+from granary.llm import jaccard, mixing, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the documents."""
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 #: The id that ends a document in op9_tokens.
 END_ID = 2
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,
+    "op5_quality_rules": op5_quality_rules,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
