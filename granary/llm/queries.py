@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import jaccard, mixing, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, jaccard, mixing, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text, with it."""
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The id that ends a document in op9_tokens.
 END_ID = 2
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
