@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, jaccard, mixing, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, jaccard, langid, mixing, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the documents."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 #: The id that ends a document in op9_tokens.
 END_ID = 2
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op7_langid": op7_langid,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
