@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, text_batches, written
+from granary.llm.common import components, small, text_batches, written
 
-#: Shingles in one part of a block, and in a hash range of the filter, about.
+#: Shingles in one part of a block, about.
 PART = 400_000
-RANGE = 400_000
+#: Hash ranges of the filter, and the shingles in one, about, above which there are more.
+RANGES = 64
+RANGE = 2_000_000
 #: Shingles that a task of the filter holds before it sends them off.
-HELD = 2_000_000
+HELD = 400_000
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -265,13 +267,13 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     seen = written(described(docs, n), "sets")
     total = seen.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = 1 << min(20, max(4, (total * 3 // 10 // RANGE).bit_length()))
+    ranges = max(RANGES, 1 << min(20, (total * 3 // 10 // RANGE).bit_length()))
     classes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("half").alias("half"))
     classes = written(classes, "classes")
     least = F.expr(f"1 + cast(ceil(n * {percent} / 100D) as long) div 10")
     alive = classes.join(_met(_spread(docs, n, percent, 100, ranges)), "half").where(F.col("met") >= least).where("rep is not null")
     alive = written(alive.select("rep", "key", "n", "copies"), "alive")
-    sets = _sets(docs.join(alive, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key"), n)
+    sets = _sets(docs.join(small(alive), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key"), n)
     if seen.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         sets = sets.dropDuplicates(["doc_id"])
     sets = written(sets, "survivors")
