@@ -1,6 +1,6 @@
 """Array kernels on the UTF-8 bytes of many texts at once: words, lines, their hashes and shingles.
 
-Texts come as Arrow columns and are worked through in chunks of a few MB (or one text, if it is longer), so memory is bounded
+Texts come as Arrow columns and are worked through in chunks of a MB (or one text, if it is longer), so memory is bounded
 by the longest text, whatever a batch holds. Hashes have 64 bits. A word's hash is a polynomial over random numbers drawn for
 each byte value, finished by an avalanche; equal words have equal hashes, and among 10^8 distinct ones a collision is expected
 about 0.0003 times.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SPACES = (32, 9, 10, 11, 12, 13)
 
 _IS_SPACE = np.zeros(256, bool)
@@ -44,8 +44,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, bytes, offsets of the texts within them and the end); null is empty."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets of the texts within them and the end), of so many bytes; null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     if texts.null_count:
         texts = texts.fill_null("")
@@ -55,7 +55,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
