@@ -13,7 +13,7 @@ checksums it compares.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.llm import kernels
 from granary.llm.common import shared_dir, small, text_batches, written
 
 # Fixed values of the zstandard seekable format.
@@ -39,84 +40,75 @@ CHECKSUM_FLAG = 0x80
 FOOTER = struct.Struct("<IBI")
 
 NULL_ID = -(1 << 63)
-#: Distinct pieces of text whose ids a worker remembers (about 200 MB); with more it forgets all and begins anew.
+#: Distinct pieces of text whose ids a worker remembers (about 150 MB); with more it forgets all and begins anew.
 PIECES = 1_000_000
-#: What the pre-tokenizer takes as white space.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-PUNCTUATION = ".,;:!?&%$#*|\"()-"
-ENDS_WHITE = re.compile(f"[{WHITE}]$|^$").search
+#: Bytes of text that are cut into pieces together.
+TOGETHER = 3 << 20
+
+_WHITE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+_PUNCTUATION = np.isin(np.arange(256), list(b'.,;:!?&%$#*|"()-'))
+_WORD = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions at which byte-level pre-tokenization surely begins a token, whatever follows, and the end.
+
+    That is where a text begins; before ASCII white space behind another character, since a token has white space at its
+    beginning only; and between a letter or digit and punctuation other than the apostrophe, since no token has both. The
+    pre-tokenizer looks ahead no further than the end of a run of white space, so what lies between two cuts can be encoded
+    by itself. Bytes beyond ASCII count as white space where they may end such a character, and as letters from À to ÿ.
+    """
+    n = len(data)
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    if n > 1:
+        before, two = data[:-1], np.r_[np.uint8(0), data[:-2]]
+        three = np.r_[np.uint8(0), two[:-1]]
+        wide = (two == 0xC2) & ((before == 0x85) | (before == 0xA0)) | (three >= 0xE1) & (three <= 0xE3) & np.isin(two, (0x80, 0x81, 0x9A))
+        letter = _WORD[before] | (two == 0xC3) & (before != 0x97) & (before != 0xB7)
+        begins[1:n] |= _WHITE[data[1:]] & ~_WHITE[before] & ~wide | _PUNCTUATION[data[1:]] & letter
+    return np.flatnonzero(begins)
 
 
 class Encoder:
-    """A tokenizers file's byte-level BPE over texts, which remembers the ids of pieces.
+    """A tokenizers file's byte-level BPE over many texts at once: each distinct piece between cuts is encoded once.
 
-    A piece is a run of white space and the run of other characters behind it. Byte-level pre-tokenization begins a new token
-    before every white space that follows something else, and looks ahead no further than the next other character; so a
-    text's ids are its pieces' ids in a row. Nearly all pieces are a word behind one space or line feed. Texts that hold
-    longer runs of white space are cut by a pattern, the others by splitting.
+    Pieces are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, keys: list[str]) -> None:
-        """A letter or digit and the punctuation behind it are always apart (the apostrophe isn't), so words are learned bare."""
-        known, bare, dressed = self.known, set(), []
-        for key in keys:
-            word = key.rstrip(PUNCTUATION)
-            if word != key and word and word[-1].isalnum() and (word[-1] < "\x80" or word[-1].isalpha()):
-                dressed.append((key, word, "\0\0" + key[len(word) :]))
-                bare.update(dressed[-1][1:])
-            else:
-                bare.add(key)
-        fresh = [p for p in bare if p not in known]
-        for p, x in zip(fresh, self.tokenizer.encode_batch_fast([self._piece(p) for p in fresh], add_special_tokens=False)):
-            known[p] = np.array(x.ids, "<u4").tobytes()
-        for key, word, tail in dressed:
-            known[key] = known[word] + known[tail]
-
-    @staticmethod
-    def _piece(key: str) -> str:
-        """Two NULs stand before a piece that the pattern cut, one before a text's first piece; a word alone is behind a space."""
-        if key[0] == "\0":
-            return key[2:] if key[:2] == "\0\0" else key[1:]
-        return key if key[0] == "\n" else " " + key
-
-    @staticmethod
-    def _keys(text: str, by_pattern: bool) -> list[str]:
-        if by_pattern:
-            return ["\0\0" + p for p in PIECE.findall(text)]
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        self.known: dict[int, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Of each text its ids and the end id as little-endian unsigned 32-bit integers."""
-        if len(self.known) > PIECES:
-            self.known.clear()
-        known, split, fresh = self.known, [], []
-        for text in texts:
-            keys = self._keys(text, "\0" in text)
-            ids = list(map(known.get, keys))
-            if None in ids:
-                new = [p for p, x in zip(keys, ids) if x is None]
-                # a part that is empty or ends in white space belongs to a longer run; such keys are never known
-                if any(map(ENDS_WHITE, new)) or "\0" in new:
-                    keys = self._keys(text, True)
-                    new = [p for p in keys if p not in known]
-                ids = None
-                fresh += new
-            split.append((keys, ids))
-        if fresh:
-            self._learn(fresh)
-        for keys, ids in split:
-            yield b"".join(map(known.__getitem__, keys) if ids is None else ids) + self.end
+        for _, data, offsets in kernels.chunks(texts, TOGETHER):
+            if len(self.known) > PIECES:
+                self.known.clear()
+            at = cuts(data, offsets)
+            starts, ends = at[:-1], at[1:]
+            distinct, first, which = np.unique(kernels.hashes(data, starts, ends), return_index=True, return_inverse=True)
+            keys = distinct.tolist()
+            ids = list(map(self.known.get, keys))
+            new = [k for k, x in enumerate(ids) if x is None]
+            if new:
+                raw = data.tobytes()
+                spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+                for k, x in zip(new, self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)):
+                    ids[k] = self.known[keys[k]] = np.array(x.ids, "<u4").tobytes()
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+            to = np.cumsum(size)
+            out = flat[np.repeat(begin - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+            edge = np.r_[0, to][np.searchsorted(at, offsets)]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield out[a:b].tobytes() + self.end
 
 
 @cache
@@ -124,16 +116,27 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+def together(batches: Iterable[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, some put together so that the column has so many bytes, about."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(column).nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def frames(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, n_tokens, check, frame) of documents (doc_id, text)."""
 
     def run(batches):
         own, pack = encoder(path, end_id), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in together(batches, 1, 2 * TOGETHER):
             ids, rows = batch.column(0), []
-            for k in range(0, batch.num_rows, 100):
-                for content in own.encode([t or "" for t in batch.column(1).slice(k, 100).to_pylist()]):
-                    rows.append((len(content) // 4, xxhash.xxh64_intdigest(content) & 0xFFFFFFFF, pack.compress(content)))
+            for content in own.encode(batch.column(1)):
+                rows.append((len(content) // 4, xxhash.xxh64_intdigest(content) & 0xFFFFFFFF, pack.compress(content)))
             n, check, data = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "check", "frame"])
 
