@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, jaccard, langid, mixing, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, jaccard, langid, mixing, quality_model, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the documents by the co-trained classifier."""
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the documents."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,
+    "op4_quality_model": op4_quality_model,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_langid": op7_langid,
