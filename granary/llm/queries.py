@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, jaccard, langid, mixing, quality_model, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, html, jaccard, langid, mixing, quality_model, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of the pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 #: The id that ends a document in op9_tokens.
 END_ID = 2
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_langid": op7_langid,
+    "op8_html": op8_html,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
