@@ -44,8 +44,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     A source of target t and size s takes every document floor(t / s) times and, for the fraction left, one more time those
     that come first in the order of md5(seed, doc_id), up to the document whose inclusion brings the sum nearest the target.
-    Reruns agree. Rows that are alike in doc_id, text and source are told apart by nothing, so which of them comes first
-    doesn't matter. Documents of size 0 get no fractional repetition.
+    Reruns agree. Rows of one doc_id and source are one in that order: they share the last one's fate. Documents of size 0
+    get no fractional repetition.
 
     A hot source is summed in BUCKETS ranges of that hash, partly before the shuffle, and only the bucket in which the edge
     falls is sorted; no task holds a source. Null text: size 0, repeats as the source's whole repetition. Null doc_id hashes
@@ -55,7 +55,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     docs = docs.drop("size", "source_size", "target", "repeats")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    slim = written(sized.select("doc_id", "source", "size", key.alias("_key"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("_bucket")), "mix")
+    sized = sized.withColumn("_key", key).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
+    slim = written(sized.select("source", "size", "_key", "_bucket"), "mix")
     ranges = written(slim.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "mix-ranges")
     plan = water_filling(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)))
@@ -65,21 +66,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     edge = ranges.withColumn("upto", F.sum("words").over(run)).alias("r").join(small(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     edge = edge.where("upto > rest").groupBy("p.source").agg(F.min(F.struct("_bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("edge"))
     plan = plan.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-    plan = written(plan.select(F.col("p.source").alias("_source"), "source_size", "target", "whole", F.coalesce("edge._bucket", F.lit(BUCKETS)).alias("edge"), F.coalesce("edge.left", F.lit(0.0)).alias("left")), "mix-plan")
-    rows = slim.join(small(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    inner = rows.where("_bucket <> edge").withColumn("more", ((F.col("_bucket") < F.col("edge")) & (F.col("size") > 0)).cast("int"))
-    order = Window.partitionBy("source").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # taken while the middle of a document lies before the end: the sum that is nearest
-    at_edge = rows.where("_bucket = edge").withColumn("more", ((F.sum("size").over(order) - F.col("size") / F.lit(2.0) < F.col("left")) & (F.col("size") > 0)).cast("int"))
-    return inner.unionByName(at_edge).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("int").alias("repeats"), "_key")
+    plan = written(plan.select(F.col("p.source").alias("_source"), "source_size", "target", "whole", F.coalesce("edge._bucket", F.lit(BUCKETS)).alias("_edge"), F.coalesce("edge.left", F.lit(0.0)).alias("_left")), "mix-plan")
+    of_source = lambda df: df.join(small(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    order = Window.partitionBy("source").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # in the edge's bucket a document is taken while its middle lies before the end: the sum that is nearest
+    middle = F.sum("size").over(order) - F.col("size") / F.lit(2.0)
+    last = of_source(slim).where("_bucket = _edge").withColumn("_taken", middle < F.col("_left")).where("_taken and size > 0")
+    last = written(last.groupBy(F.col("source").alias("_source"), F.col("_key").alias("_taken")).agg(F.lit(1).alias("_more")), "mix-edge")
+    out = of_source(sized).join(small(last), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_taken")), "left")
+    more = F.when((F.col("_bucket") < F.col("_edge")) & (F.col("size") > 0), 1).otherwise(F.coalesce("_more", F.lit(0)))
+    return out.select(*docs.columns, "size", "source_size", "target", (F.col("whole") + more).cast("int").alias("repeats"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as many times as its repeats, columns as before.
-
-    The repeats are joined back on doc_id and source; rows alike in both share the larger number.
-    """
-    plan = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("repeats").alias("_n"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_n").where("_n > 0")
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    """docs as the mix takes them: each row as many times as its repeats, columns as before."""
+    plan = mix(docs, **options).where("repeats > 0")
+    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
