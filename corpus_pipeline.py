@@ -1,26 +1,58 @@
-"""Documents to training data: stages over the operators of granary.llm."""
+"""Documents to training data: stages over the operators of granary.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import mixing
+from granary.llm import decontaminate, jaccard, mixing, quality_model, tokens
 from granary.llm.common import written
+from granary.llm.queries import END_ID, table, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    return quality_model.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard.representatives(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark text."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the mix takes them."""
+    """Documents as many times as the mix takes them."""
     return mixing.repeated(docs)
 
 
-STAGES = [("mixing", mixed)]
+def binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in shards; returned is where each document's lie, read back from them."""
+    folder = tokens.write_tokens(docs, tokenizer_path(), END_ID)
+    return tokens.offsets(tokens.read_tokens(spark, folder, ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_free),
+    ("mixing sources", mixed),
+    ("token-ID output", binary),
+]
 
-#: The classifier and the tokenizer can't be expressed in SQL.
+#: A trained classifier and a tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

@@ -302,3 +302,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each class of jaccard_join, that of the smallest doc_id; columns as before.
+
+    Rows without doc_id stay, as nothing tells them apart. Of repeated rows of a doc_id one stays.
+    """
+    classes = written(jaccard_join(docs, n, percent), "near")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(small(written(gone, "gone")), F.col("doc_id") == F.col("_id"), "left_anti")
+    if classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept

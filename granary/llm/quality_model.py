@@ -198,10 +198,30 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     def run(batches):
         for batch in batches:
-            for i, data, offsets in kernels.chunks(batch.column(1)):
-                n = len(offsets) - 1
-                lang, source, n_chars = (batch.column(c).slice(i, n).to_pylist() for c in (2, 3, 4))
-                score = np.round(model.score(*views(data, offsets, lang, source, n_chars)), 6)
+            for i, score in _scores(model, batch):
+                n = len(score)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(score), pa.array(score >= threshold)], ["doc_id", "score", "kept"])
 
     return docs.mapInArrow(run, "doc_id long, score double, kept boolean")
+
+
+def _scores(model: CoTrained, batch: pa.RecordBatch):
+    """(index of the first, scores) of the batch's documents by chunks."""
+    for i, data, offsets in kernels.chunks(batch.column("text")):
+        lang, source, n_chars = (batch.column(c).slice(i, len(offsets) - 1).to_pylist() for c in ("lang", "source", "n_chars"))
+        yield i, np.round(model.score(*views(data, offsets, lang, source, n_chars)), 6)
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, source, n_chars and others) that classify keeps; no join, as rows pass whole."""
+    text_batches(docs.sparkSession)
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            for i, score in _scores(model, batch):
+                yield batch.slice(i, len(score)).filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
