@@ -14,6 +14,8 @@ from granary.llm.common import small, written
 MASKS = ("11101011", "1100110101", "1111101")
 #: Seeds, one for each mask and place of a benchmark text, up to which they are broadcast.
 SEEDS = 2_000_000
+#: Tokens of a document whose seeds are made together, which bounds what a long text takes.
+SEGMENT = 4096
 
 
 def token_hashes(text: Column) -> Column:
@@ -21,26 +23,19 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def _seed(tokens: str, at: str, mask: int, masks: Sequence[str]) -> str:
-    """SQL for the hash of a mask's counted tokens from a 0-based place on."""
-    counted = ", ".join(f"{tokens}[{at} + {j}]" for j, c in enumerate(masks[mask]) if c == "1")
-    return f"xxhash64({mask}, {counted})"
+def _seeds(tokens: str, mask: int, masks: Sequence[str]) -> Column:
+    """The hashes of a mask's counted tokens from each place on at which the shortest mask fits; null where this one doesn't."""
+    counted = ", ".join(f"{tokens}[i + {j}]" for j, c in enumerate(masks[mask]) if c == "1")
+    places = f"sequence(0, size({tokens}) - {min(map(len, masks))})"
+    return F.expr(f"transform({places}, i -> if(i + {len(masks[mask])} <= size({tokens}), xxhash64({mask}, {counted}), null))")
 
 
-def seeds_of(benchmark: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
-    """(seed, item_id, place, item): each window of each mask in the benchmark's texts; item holds the text's token hashes.
-
-    Texts of fewer tokens than a mask's have no seed of it; texts shorter than all masks none at all.
-    """
-    items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text").cast("string")).alias("item"))
-    each = []
-    for m, mask in enumerate(masks):
-        span = items.where(F.size("item") >= len(mask)).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("item") - len(mask))))
-        each.append(span.select(F.expr(_seed("item", "place", m, masks)).alias("seed"), "item_id", "place", "item"))
-    found = each[0]
-    for other in each[1:]:
-        found = found.union(other)
-    return found
+def _placed(df: DataFrame, tokens: str, masks: Sequence[str]) -> DataFrame:
+    """df's other columns with seed and the place where it begins; rows with fewer tokens than any mask have none."""
+    rest = [c for c in df.columns if c != tokens]
+    df = df.where(F.size(tokens) >= min(map(len, masks))).withColumn("_n", F.size(tokens) - min(map(len, masks)) + 1)
+    each = df.select(*rest, "_n", F.posexplode(F.concat(*[_seeds(tokens, m, masks) for m in range(len(masks))])).alias("_at", "seed"))
+    return each.where("seed is not null").select(*rest, "seed", (F.col("_at") % F.col("_n")).alias("place"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int = 8, window: int = 13, within: int = 11, masks: Sequence[str] = MASKS) -> DataFrame:
@@ -49,28 +44,35 @@ def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int =
     docs: doc_id, text; benchmark: item_id, text. A seed found in both fixes how the two texts lie on each other; along that
     alignment the tokens are compared, whatever lies between seeds. The pair is reported if a whole benchmark text, or what of
     it the document's ends leave, agrees in a share of least, and in floor tokens or more (all of it, if it has fewer); or if
-    a part of it does: within tokens of some window of them. matched is the best alignment's count, tokens the benchmark text's length. Null and empty texts have no tokens and are in
-    no pair. Null ids pass through. Repeated rows of a document give one pair. Empty tables: empty result.
+    a part of it does: within tokens of some window of them. matched is the best alignment's count, tokens the benchmark
+    text's length. Benchmark texts of fewer tokens than the shortest mask can't be found.
+
+    Null and empty texts have no tokens and are in no pair. Documents and benchmark texts without an id can't be named and are
+    left out. Repeated rows of a document give one pair. Empty tables: empty result.
 
-    The seeds of documents are made and looked up row by row: with a broadcast table of the benchmark's seeds as long as a
-    count shows that it is small (SEEDS), the only shuffle is that of verified pairs, summed up before it. A larger benchmark
-    is joined by a shuffle on the seeds.
+    The seeds of documents, in segments of SEGMENT tokens, are looked up in a broadcast table of the benchmark's seeds as long
+    as a count shows that it is small (SEEDS), else by a shuffle on the seeds; equal alignments are put together before they
+    move. Only the documents that have a seed are read again and compared.
     """
-    seeds = written(seeds_of(benchmark, masks), "seeds")
-    docs = docs.select(F.col("doc_id").cast("long"), token_hashes(F.col("text").cast("string")).alias("doc"))
-    shortest = min(map(len, masks))
-    docs = docs.where(F.size("doc") >= shortest).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("doc") - shortest)))
-    # a place too near the end for a mask's last token has a null there, whose hash would be another seed's: no such seed
-    made = [F.when(F.col("at") <= F.size("doc") - len(mask), F.expr(_seed("doc", "at", m, masks).replace("doc[", "get(doc, ").replace("]", ")"))) for m, mask in enumerate(masks)]
-    docs = docs.withColumn("seed", F.explode(F.array(*made)))
-    met = docs.join(small(seeds, SEEDS), "seed").where("seed is not null").withColumn("shift", F.col("at") - F.col("place"))
+    shortest, longest = min(map(len, masks)), max(map(len, masks))
+    items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text").cast("string")).alias("item")).where("item_id is not null")
+    seeds = written(_placed(items, "item", masks), "seeds")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") >= shortest)
+    segments = hashed.withColumn("base", F.explode(F.sequence(F.lit(0), F.size("doc") - shortest, F.lit(SEGMENT))))
+    segments = segments.select("doc_id", "base", F.slice("doc", F.col("base") + 1, F.lit(SEGMENT + longest - 1)).alias("doc"))
+    met = _placed(segments, "doc", masks).withColumnRenamed("place", "at").join(small(seeds, SEEDS), "seed")
+    met = written(met.select("doc_id", "item_id", (F.col("base") + F.col("at") - F.col("place")).alias("shift")).distinct(), "alignments")
+
+    again = docs.join(small(met.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    pairs = again.select("doc_id", token_hashes(F.col("text")).alias("doc")).join(met, "doc_id").join(small(items), "item_id")
     # the part of the benchmark text that lies within the document
-    met = met.withColumn("a", F.greatest(F.lit(0), -F.col("shift"))).withColumn("b", F.least(F.size("item"), F.size("doc") - F.col("shift")))
-    met = met.select("doc_id", "item_id", F.size("item").alias("tokens"), F.expr("zip_with(slice(item, a + 1, b - a), slice(doc, shift + a + 1, b - a), (x, y) -> int(x = y))").alias("same"))
-    met = met.withColumn("matched", F.aggregate("same", F.lit(0), lambda n, x: n + x))
+    pairs = pairs.withColumn("a", F.greatest(F.lit(0), -F.col("shift"))).withColumn("b", F.least(F.size("item"), F.size("doc") - F.col("shift"))).where("b > a")
+    pairs = pairs.select("doc_id", "item_id", F.size("item").alias("tokens"), F.expr("zip_with(slice(item, a + 1, b - a), slice(doc, shift + a + 1, b - a), (x, y) -> int(x = y))").alias("same"))
+    pairs = pairs.withColumn("matched", F.aggregate("same", F.lit(0), lambda n, x: n + x))
     part = F.expr(f"exists(sequence(0, size(same) - {window}), i -> aggregate(slice(same, i + 1, {window}), 0, (n, x) -> n + x) >= {within})")
     enough = (F.col("matched") >= F.lit(least) * F.size("same")) & (F.col("matched") >= F.least(F.lit(floor), F.col("tokens"))) | F.when((F.col("matched") >= within) & (F.size("same") >= window), part)
-    return met.where(enough).groupBy("doc_id", "item_id").agg(F.max("tokens").cast("long").alias("tokens"), F.max("matched").cast("long").alias("matched"))
+    return pairs.where(enough).groupBy("doc_id", "item_id").agg(F.max("tokens").cast("long").alias("tokens"), F.max("matched").cast("long").alias("matched"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
