@@ -167,9 +167,12 @@ class WarcReader(DataSourceReader):
         prefix = self.path[: len(self.path.rstrip("/")) - len(root.rstrip("/"))]
         info = fs.get_file_info(root)
         found = [info] if info.is_file else fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True, allow_not_found=True))
-        return [File(prefix + x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
+        names = [prefix + x.path for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
+        return [File(name) for name in names or [""]]  # Spark wants a partition
 
     def records(self, uri: str) -> Iterator[tuple]:
+        if not uri:
+            return
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
         payload = "payload" in self.names
         with fs.open_input_file(path) as raw:
