@@ -20,7 +20,7 @@ SEGMENT = 4096
 
 def token_hashes(text: Column) -> Column:
     """Hashes of the tokens: runs of letters and digits, lower-cased."""
-    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
+    return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda t: F.xxhash64(t))
 
 
 def _seeds(tokens: str, mask: int, masks: Sequence[str]) -> Column:
@@ -78,4 +78,4 @@ def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int =
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark text; columns as before. Documents of null doc_id stay."""
     bad = written(hits(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), "leaks")
-    return docs.join(small(bad), F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(small(bad), docs["doc_id"] == bad["_id"], "left_anti")
