@@ -22,6 +22,7 @@ from granary.sources.config import Config, Source, dump_config
 from granary.sources.files import read_cases, read_files, source_files, stat_files
 from granary.sources.store import Store, Trace, write_whole
 
+# Fixed value: the rules by which hits are credited.
 BENCHMARK_VERSION = "evidence-visible-v1"
 EMPTY_DOCUMENTS = "id string, kb_id string, path string, source_hash string, pipeline_hash string, title string, metadata string, content string"
 EMPTY_CHUNKS = "chunk_id string, doc_id string, heading string, start_line int, end_line int, text string"
@@ -89,11 +90,11 @@ class Engine:
 
     def _checked(self, query: str, kb_ids: list[str] | None, top_k: int, max_chars: int) -> None:
         if not query.strip() or len(query) > 2000:
-            raise ValueError("query must contain 1..2000 characters")
+            raise ValueError("a query has 1 to 2000 characters")
         if not 1 <= top_k <= 50 or not 1 <= max_chars <= 20_000:
-            raise ValueError("top_k must be 1..50; max_chars must be 1..20000")
+            raise ValueError("top_k is 1 to 50, max_chars 1 to 20000")
         if kb_ids is not None and (not kb_ids or not set(kb_ids) <= set(self.kb_ids)):
-            raise ValueError("unknown or empty knowledge-base selection")
+            raise ValueError("no such knowledge bases")
 
     def _queries(self, rows: Iterable[tuple[str, str, list[str] | None, dict | None]], top_k: int, max_chars: int) -> DataFrame:
         """Queries (id, text, kb_ids, filters) as search takes them."""
@@ -131,7 +132,7 @@ class Engine:
     def read_document(self, doc_id: str, start_line: int = 1, max_chars: int = 4000, source_hash: str | None = None) -> dict[str, Any]:
         """Part of a document from a line on; an error if it is unknown, hidden, or of another version than asked for."""
         if start_line < 1 or not 1 <= max_chars <= 20_000:
-            raise ValueError("start_line must be positive; max_chars must be 1..20000")
+            raise ValueError("start_line begins at 1, max_chars is 1 to 20000")
         documents = self._tables(self.store)[0].where((F.col("id") == doc_id) & F.col("kb_id").isin(self.kb_ids))
         got = text.read_slice(F.col("content"), start_line, max_chars)
         row = documents.select("id", "title", "metadata", "source_hash", *[c.alias(k) for k, c in got.items()]).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The tokenizer's name in traces, its characters, what ends a line, and Markdown marks.
 TOKENIZER_VERSION = "latin-word-cjk-bigram-v1"
 CJK = "\\u3400-\\u9fff"
 #: What splits lines: line feed, carriage return or both, vertical tab, form feed, separators 1C to 1E, 85, 2028 and 2029.

@@ -30,15 +30,15 @@ def front_matter(lines: list[str]) -> tuple[dict, int]:
         return {}, 0
     closing = [k for k, line in enumerate(lines) if k and line.strip() == "---"][:1]
     if not closing:
-        raise ValueError("unterminated YAML frontmatter")
+        raise ValueError("the frontmatter has no end")
     import yaml
 
     found = yaml.safe_load("".join(lines[1 : closing[0]]))
     if found is None or found == "" or found == [] or found is False or found == 0:
         found = {}
     if not isinstance(found, dict):
-        raise ValueError("frontmatter must be a mapping")
-    return json.loads(json.dumps(found, ensure_ascii=False, default=str)), closing[0] + 1
+        raise ValueError("the frontmatter is no mapping")
+    return json.loads(json.dumps(found, default=str)), closing[0] + 1
 
 
 class Outline:

@@ -344,3 +344,20 @@ def _(s, d):
 @query("a9_point_count", POINTS + "SELECT count(*) AS points FROM p WHERE kb_id IN ('kb1', 'kb2') AND even")
 def _(s, d):
     return T.points(s, d).where("kb_id in ('kb1', 'kb2') and values['even'] = '1.0'").agg(F.count("*").alias("points"))
+
+
+@query("w7_markdown_chunks", rf"""WITH RECURSIVE {MARKED},
+l AS (SELECT doc_id, n, line || chr(10) AS line, length(regexp_extract(line, '^\s{{0,3}}(`{{3,}}|~{{3,}})', 1)) AS mark, {HEAD.format(1)} <> '' AS heading FROM marked),
+walk AS (
+    SELECT doc_id, n, line, 1 AS chunk, length(line) AS size, mark AS fence FROM l WHERE n = 1
+    UNION ALL
+    SELECT l.doc_id, l.n, l.line, w.chunk + (w.fence = 0 AND (l.heading OR w.size >= 300))::INT,
+        CASE WHEN w.fence = 0 AND (l.heading OR w.size >= 300) THEN 0 ELSE w.size END + length(l.line),
+        CASE WHEN l.mark = 0 THEN w.fence WHEN w.fence = 0 THEN l.mark WHEN l.mark >= w.fence THEN 0 ELSE w.fence END
+    FROM walk w JOIN l ON l.doc_id = w.doc_id AND l.n = w.n + 1)
+SELECT 'k:d' || doc_id AS doc_id, min(n)::BIGINT AS start_line, max(n)::BIGINT AS end_line, sha256(string_agg(line, '' ORDER BY n)) AS text FROM walk GROUP BY doc_id, chunk HAVING trim(string_agg(line, ''), chr(10) || ' ') <> ''""")
+def _(s, d):
+    rows = marked(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("content"))
+    files = rows.select(F.concat(F.lit("k:d"), "doc_id").alias("id"), F.lit("k").alias("kb_id"), F.concat(F.lit("d"), "doc_id").alias("path"), F.lit("h").alias("source_hash"), "content")
+    chunks = sync.chunk_rows(chunking.chunked(files, 300))
+    return chunks.select("doc_id", big("start_line", "start_line"), big("end_line", "end_line"), identity.sha256(F.col("text")).alias("text"))

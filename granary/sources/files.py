@@ -68,7 +68,7 @@ def read_files(spark: SparkSession, sources: Iterable[Source], max_bytes: int) -
                 with open(row["place"], "rb") as f:
                     raw = f.read(max_bytes + 1)
                 if len(raw) > max_bytes:
-                    raise ValueError(f"file exceeds size limit: {name}")
+                    raise ValueError(f"{name} is larger than {max_bytes} bytes")
                 columns = [name, row["kb_id"], row["path"], len(raw), hashlib.sha256(raw).hexdigest(), raw.decode("utf-8-sig")]
                 yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["id", "kb_id", "path", "size", "source_hash", "content"])
 
@@ -92,7 +92,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
         F.sum(F.exists(F.col("relevant.contains"), lambda c: F.coalesce(c, F.lit("")) == "").cast("int")).alias("evidence"),
     ).first()
     if not bad.n or bad.ids != bad.n:
-        raise ValueError("cases must have unique ids and cannot be none")
+        raise ValueError("there are no cases, or ids occur again")
     if bad.queries or bad.categories or bad.unlabelled or bad.repeated or bad.evidence:
         raise ValueError(f"faulty cases: {bad.asDict()}")
     return cases.withColumn("filters", F.when(F.col("filters").isNotNull(), metadata_values(F.col("filters"))))
