@@ -65,7 +65,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                     halves.append(int.from_bytes(keys[-1][:8], "little", signed=True) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.int64())], ["doc_id", "n_shingles", "key", "half"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, half long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernels.lean(run), "doc_id long, n_shingles long, key binary, half long")
 
 
 def _spread(docs: DataFrame, n: int, num: int, den: int, ranges: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _spread(docs: DataFrame, n: int, num: int, den: int, ranges: int) -> DataFra
         if sets:
             yield from pack(sets)
 
-    return docs.select("text").mapInArrow(run, "range long, shingles binary, keys binary, told binary")
+    return docs.select("text").mapInArrow(kernels.lean(run), "range long, shingles binary, keys binary, told binary")
 
 
 def _met(spread: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _met(spread: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.uint32).astype(np.int64))], ["half", "met"])
 
     ranged = spread.where("range >= 0").groupBy("range").applyInArrow(count, "half long, met long")
-    local = spread.where("range < 0").select("keys", "told").mapInArrow(unpack, "half long, met long")
+    local = spread.where("range < 0").select("keys", "told").mapInArrow(kernels.lean(unpack), "half long, met long")
     return ranged.union(local).groupBy("half").agg(F.sum("met").alias("met"))
 
 
@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 ids = batch.column(0).slice(i).take(pa.array([k for k, _ in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text", "key").mapInArrow(kernels.lean(run), "doc_id long, shingles array<long>")
 
 
 class PrefixTree:
@@ -311,7 +311,8 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     classes = written(jaccard_join(docs, n, percent), "near")
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small(written(gone, "gone")), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = written(gone, "gone")
+    kept = docs.join(small(gone), docs["doc_id"] == gone["_id"], "left_anti")
     if classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -135,7 +135,7 @@ def fit(docs: DataFrame) -> Filters:
             count = np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
 
-    sums = written(chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    sums = written(chosen.mapInArrow(kernels.lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
     rows = sums.join(F.broadcast(totals), "lang").where(F.col("n") >= F.lit(SHARE) * F.col("total")).select("lang", "gram").toArrow()
     lang, gram = np.array(rows["lang"].to_pylist()), rows["gram"].to_numpy().view(np.uint64)
@@ -171,4 +171,4 @@ def identify(docs: DataFrame) -> DataFrame:
                 score = np.where(best < 0, 0.0, score)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, texts), batch.column(1).slice(i, texts), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(kernels.lean(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -151,7 +151,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 packed = [pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary()) for v in both]
                 yield pa.RecordBatch.from_arrays([label, aside, *packed], ["label", "aside", "text", "meta"])
 
-    return docs.mapInArrow(run, "label int, aside boolean, text binary, meta binary")
+    return docs.mapInArrow(kernels.lean(run), "label int, aside boolean, text binary, meta binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> CoTrained | None:
@@ -202,7 +202,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
                 n = len(score)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(score), pa.array(score >= threshold)], ["doc_id", "score", "kept"])
 
-    return docs.mapInArrow(run, "doc_id long, score double, kept boolean")
+    return docs.mapInArrow(kernels.lean(run), "doc_id long, score double, kept boolean")
 
 
 def _scores(model: CoTrained, batch: pa.RecordBatch):
@@ -224,4 +224,4 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
             for i, score in _scores(model, batch):
                 yield batch.slice(i, len(score)).filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernels.lean(run), docs.schema)

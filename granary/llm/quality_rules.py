@@ -132,7 +132,7 @@ def references(docs: DataFrame) -> DataFrame:
                 slot = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(np.full(len(slot), kind, np.int32)), pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["lang", "kind", "slot", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(kernels.lean(run), "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
 
 
 def models(sums: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,7 +207,7 @@ def apply_rules(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.
                 columns = [batch.column(0).slice(i, seen.texts), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(by_class, from_pandas=True), pa.array(by_word, from_pandas=True), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "class_distance", "word_distance", "kept"])
 
-    return docs.mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    return docs.mapInArrow(kernels.lean(run), f"doc_id long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull
 from pyspark.sql.types import StructType
 
+from granary.llm import kernels
 from granary.llm.common import shared_dir, small, text_batches, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, page_id long, payload_bytes long, headers map<string,string>, payload binary"
@@ -292,7 +293,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, threshold: int = 0,
             fs.move(trial, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "n"])
 
-    rows.mapInArrow(write, "file string, n long").agg(F.sum("n")).first()
+    rows.mapInArrow(kernels.lean(write), "file string, n long").agg(F.sum("n")).first()
     return folder
 
 
