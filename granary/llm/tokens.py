@@ -40,10 +40,10 @@ CHECKSUM_FLAG = 0x80
 FOOTER = struct.Struct("<IBI")
 
 NULL_ID = -(1 << 63)
-#: Distinct pieces of text whose ids a worker remembers (about 150 MB); with more it forgets all and begins anew.
-PIECES = 1_000_000
+#: Distinct pieces of text whose ids a worker remembers (about 30 bytes each); with more it forgets all and begins anew.
+PIECES = 3_000_000
 #: Bytes of text that are cut into pieces together.
-TOGETHER = 3 << 20
+TOGETHER = 1 << 20
 
 _WHITE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 _PUNCTUATION = np.isin(np.arange(256), list(b'.,;:!?&%$#*|"()-'))
@@ -58,18 +58,47 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pre-tokenizer looks ahead no further than the end of a run of white space, so what lies between two cuts can be encoded
     by itself. Bytes beyond ASCII count as white space where they may end such a character, and as letters from À to ÿ.
     """
-    n = len(data)
-    begins = np.zeros(n + 1, bool)
+    begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
-    if n > 1:
-        before, two = data[:-1], np.r_[np.uint8(0), data[:-2]]
-        three = np.r_[np.uint8(0), two[:-1]]
-        wide = (two == 0xC2) & ((before == 0x85) | (before == 0xA0)) | (three >= 0xE1) & (three <= 0xE3) & np.isin(two, (0x80, 0x81, 0x9A))
-        letter = _WORD[before] | (two == 0xC3) & (before != 0x97) & (before != 0xB7)
-        begins[1:n] |= _WHITE[data[1:]] & ~_WHITE[before] & ~wide | _PUNCTUATION[data[1:]] & letter
+    at = np.flatnonzero(_WHITE[data])
+    at = at[at > 0]
+    at = at[~_WHITE[data[at - 1]]]
+    before, two, three = data[at - 1], data[at - 2], data[at - 3]  # at a text's beginning these may be another's, which only keeps a cut
+    wide = (before >= 0x80) & ((two == 0xC2) & ((before == 0x85) | (before == 0xA0)) | (three >= 0xE1) & (three <= 0xE3) & ((two == 0x80) | (two == 0x81) | (two == 0x9A)))
+    begins[at[~wide]] = True
+    at = np.flatnonzero(_PUNCTUATION[data])
+    at = at[at > 0]
+    before = data[at - 1]
+    begins[at[_WORD[before] | (data[at - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]] = True
     return np.flatnonzero(begins)
 
 
+class Pieces:
+    """Ids of pieces by the pieces' hashes, in arrays: hashes in ascending order, and where in one array their ids begin and end."""
+
+    def __init__(self):
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.n = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and which are known."""
+        at = np.searchsorted(self.keys, keys)
+        return at, np.r_[self.keys, np.uint64(0)][at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct unknown keys with their ids in a row."""
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.ids[self.n : self.n + len(ids)] = ids
+        starts = self.n + np.cumsum(sizes) - sizes
+        self.n += len(ids)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.starts = np.insert(self.starts, at, starts[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+
+
 class Encoder:
     """A tokenizers file's byte-level BPE over many texts at once: each distinct piece between cuts is encoded once.
 
@@ -83,29 +112,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[int, bytes] = {}
+        self.known = Pieces()
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        self.known.add(keys, sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Of each text its ids and the end id as little-endian unsigned 32-bit integers."""
         for _, data, offsets in kernels.chunks(texts, TOGETHER):
-            if len(self.known) > PIECES:
-                self.known.clear()
+            if len(self.known.keys) > PIECES:
+                self.known = Pieces()
             at = cuts(data, offsets)
             starts, ends = at[:-1], at[1:]
-            distinct, first, which = np.unique(kernels.hashes(data, starts, ends), return_index=True, return_inverse=True)
-            keys = distinct.tolist()
-            ids = list(map(self.known.get, keys))
-            new = [k for k, x in enumerate(ids) if x is None]
-            if new:
-                raw = data.tobytes()
-                spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-                for k, x in zip(new, self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)):
-                    ids[k] = self.known[keys[k]] = np.array(x.ids, "<u4").tobytes()
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+            coded = pa.array(kernels.hashes(data, starts, ends)).dictionary_encode()
+            keys, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            place, there = self.known.find(keys)
+            if not there.all():
+                first = np.empty(len(keys), np.int64)
+                first[which[::-1]] = np.arange(len(which))[::-1]
+                new = np.flatnonzero(~there)
+                self._learn(data, keys[new], starts[first[new]], ends[first[new]])
+                place = self.known.find(keys)[0]
+            begin, size = self.known.starts[place][which], self.known.sizes[place][which].astype(np.int64)
             to = np.cumsum(size)
-            out = flat[np.repeat(begin - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+            out = self.known.ids[np.repeat(begin - to + size, size) + np.arange(to[-1] if len(to) else 0)].astype("<u4", copy=False)
             edge = np.r_[0, to][np.searchsorted(at, offsets)]
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 yield out[a:b].tobytes() + self.end
@@ -140,7 +174,7 @@ def frames(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             n, check, data = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "check", "frame"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, check long, frame binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernels.lean(run), "doc_id long, n_tokens long, check long, frame binary")
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -236,7 +270,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         fs.move(trial, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "n"])
 
-    ordered.mapInArrow(write, "file string, n long").agg(F.sum("n")).first()
+    ordered.mapInArrow(kernels.lean(write), "file string, n long").agg(F.sum("n")).first()
     return folder
 
 
@@ -273,7 +307,7 @@ def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = Non
                             pa.array([np.frombuffer(c, "<u4").astype(np.int32) if ids else None for c in content], pa.list_(pa.int32())),
                         ], ["shard", "place", "doc_id", "n_tokens", "ids_crc32", "ids"])
 
-    return shards(spark, folder).mapInArrow(run, "shard long, place long, doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
+    return shards(spark, folder).mapInArrow(kernels.lean(run), "shard long, place long, doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
