@@ -55,30 +55,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     docs = docs.drop("size", "source_size", "target", "repeats")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_key", key).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    slim = written(sized.select("source", "size", "_key", "_bucket"), "mix")
-    ranges = written(slim.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "mix-ranges")
+    sized = sized.withColumn("_mix_key", key).withColumn("_mix_bucket", F.conv(F.substring("_mix_key", 1, 3), 16, 10).cast("int"))
+    slim = written(sized.select("source", "size", "_mix_key", "_mix_bucket"), "mix")
+    ranges = written(slim.groupBy("source", "_mix_bucket").agg(F.sum("size").alias("words")), "mix-ranges")
     plan = water_filling(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)))
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # the bucket in which a source's rest is used up, and what is left of the rest at its beginning
-    run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = ranges.withColumn("upto", F.sum("words").over(run)).alias("r").join(small(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    edge = edge.where("upto > rest").groupBy("p.source").agg(F.min(F.struct("_bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("edge"))
+    edge = edge.where("upto > rest").groupBy("p.source").agg(F.min(F.struct("_mix_bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("edge"))
     plan = plan.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-    plan = written(plan.select(F.col("p.source").alias("_source"), "source_size", "target", "whole", F.coalesce("edge._bucket", F.lit(BUCKETS)).alias("_edge"), F.coalesce("edge.left", F.lit(0.0)).alias("_left")), "mix-plan")
-    of_source = lambda df: df.join(small(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = Window.partitionBy("source").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = written(plan.select(F.col("p.source").alias("_mix_source"), "source_size", "target", F.col("whole").alias("_mix_whole"), F.coalesce("edge._mix_bucket", F.lit(BUCKETS)).alias("_mix_edge"), F.coalesce("edge.left", F.lit(0.0)).alias("_mix_left")), "mix-plan")
+    of_source = lambda df: df.join(small(plan), F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
+    order = Window.partitionBy("source").orderBy("_mix_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # in the edge's bucket a document is taken while its middle lies before the end: the sum that is nearest
     middle = F.sum("size").over(order) - F.col("size") / F.lit(2.0)
-    last = of_source(slim).where("_bucket = _edge").withColumn("_taken", middle < F.col("_left")).where("_taken and size > 0")
-    last = written(last.groupBy(F.col("source").alias("_source"), F.col("_key").alias("_taken")).agg(F.lit(1).alias("_more")), "mix-edge")
-    out = of_source(sized).join(small(last), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_taken")), "left")
-    more = F.when((F.col("_bucket") < F.col("_edge")) & (F.col("size") > 0), 1).otherwise(F.coalesce("_more", F.lit(0)))
-    return out.select(*docs.columns, "size", "source_size", "target", (F.col("whole") + more).cast("int").alias("repeats"))
+    last = of_source(slim).where("_mix_bucket = _mix_edge").withColumn("_mix_taken", middle < F.col("_mix_left")).where("_mix_taken and size > 0")
+    last = written(last.groupBy(F.col("source").alias("_mix_source"), F.col("_mix_key").alias("_mix_taken")).agg(F.lit(1).alias("_mix_more")), "mix-edge")
+    out = of_source(sized).join(small(last), F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_key") == F.col("_mix_taken")), "left")
+    more = F.when((F.col("_mix_bucket") < F.col("_mix_edge")) & (F.col("size") > 0), 1).otherwise(F.coalesce("_mix_more", F.lit(0)))
+    return out.select(*docs.columns, "size", "source_size", "target", (F.col("_mix_whole") + more).cast("int").alias("repeats"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as many times as its repeats, columns as before."""
-    plan = mix(docs, **options).where("repeats > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    own = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c in ("size", "source_size", "target", "repeats")}
+    plan = mix(docs.withColumnsRenamed(own), **options).where("repeats > 0")
+    every = plan.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return every.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

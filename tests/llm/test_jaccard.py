@@ -64,8 +64,8 @@ def test_empty_and_representatives(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
     rows = [(5, "a b c d e f g", 1), (3, "a b c d e f g", 2), (9, "x y z", 3), (9, "x y z", 3), (None, "q", 4), (7, None, 5)]
-    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string, other int"))
-    assert kept.columns == ["doc_id", "text", "other"]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string, _id int"))
+    assert kept.columns == ["doc_id", "text", "_id"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 9, None, 7], key=str)
 
 

@@ -46,6 +46,8 @@ def test_targets_and_rows(spark):
     again = mixing.mix(df.repartition(7)).collect()
     key = lambda r: (r.doc_id, r.source or "", r.size, r.repeats)
     assert sorted(map(key, again)) == sorted(map(key, got))
+    clashing = df.withColumn("whole", F.lit(9)).withColumn("_key", F.lit("k")).withColumn("target", F.lit("t"))
+    assert mixing.repeated(clashing).columns == clashing.columns and {r.target for r in mixing.repeated(clashing).collect()} == {"t"}
     out = mixing.repeated(df)
     assert out.columns == df.columns and out.count() == sum(r.repeats for r in got)
 

@@ -77,7 +77,7 @@ def test_decontaminate(spark):
         bent[k] = "other"
     docs = {10: say(60) + items[0] + say(50), 11: say(20) + bent + say(9), 12: say(400), 13: items[1], 14: [x.upper() + "!!" for x in items[2]], 15: say(3) + items[3], 16: items[0][:18], 17: say(5000) + items[1] + say(5000), 18: items[0][:6] + say(30)}
     rows = [(i, " ".join(t), "x") for i, t in docs.items()] + [(i, t, None) for i, t in ODD] + [(13, " ".join(items[1]), "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()] + [(None, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (77, None), (78, "")], "item_id long, text string")
     got = {(x.doc_id, x.item_id): (x.tokens, x.matched) for x in decontaminate.hits(df, bench).collect()}
     assert got == {(10, 0): (40, 40), (11, 0): (40, 35), (13, 1): (25, 25), (14, 2): (17, 17), (15, 3): (9, 9), (16, 0): (40, 18), (17, 1): (25, 25)}
