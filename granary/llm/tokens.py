@@ -13,6 +13,7 @@ checksums it compares.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -41,7 +42,7 @@ FOOTER = struct.Struct("<IBI")
 
 NULL_ID = -(1 << 63)
 #: Distinct pieces of text whose ids a worker remembers (about 30 bytes each); with more it forgets all and begins anew.
-PIECES = 3_000_000
+PIECES = 1_000_000
 #: Bytes of text that are cut into pieces together.
 TOGETHER = 1 << 20
 
@@ -279,8 +280,9 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     fs, root = filesystem(folder)
     found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
     names = sorted(f"{folder}/{x.base_name}" for x in found if x.base_name.startswith("shard-"))
-    df = spark.createDataFrame(list(enumerate(names)), "shard long, file string")
-    return df.repartition(max(1, len(names)), "shard") if names else df
+    # as a literal, since rows from the driver's Python would start Python workers of another kind on the executors
+    df = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(names)), "array<string>")).alias("shard", "file"))
+    return df.select(F.col("shard").cast("long"), "file").repartition(max(1, len(names)), "shard")
 
 
 def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = None, ids: bool = True) -> DataFrame:
