@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import small, written
 
-#: Fixed masks over consecutive tokens: 1 counts, 0 is ignored. A substitution spoils a mask's window only where it counts, so
-#: passages whose every plain window of that many tokens is hit still have a seed.
-MASKS = ("11101011", "1100110101", "1111101")
+#: Fixed masks over consecutive tokens: 1 counts, 0 is ignored. Agreement without any of them is 1100 and 10 in a row, so half of the
+#: tokens and one more at most: every alignment that hits accepts by its defaults has a seed.
+MASKS = ("111", "1101")
 #: Seeds, one for each mask and place of a benchmark text, up to which they are broadcast.
 SEEDS = 2_000_000
+#: Tokens of an alignment up to which its least number of seeds is worked out for each length.
+LENGTHS = 64
 #: Tokens of a document whose seeds are made together, which bounds what a long text takes.
 SEGMENT = 4096
 
@@ -38,6 +42,34 @@ def _placed(df: DataFrame, tokens: str, masks: Sequence[str]) -> DataFrame:
     return each.where("seed is not null").select(*rest, "seed", (F.col("_at") % F.col("_n")).alias("place"))
 
 
+def fewest(masks: Sequence[str], n: int, matched: int) -> int:
+    """The seeds that any alignment of n tokens has at least, if so many of them agree."""
+    span = max(map(len, masks))
+    least = {("", 0): 0}  # by the last span - 1 tokens and the number that agree
+    for _ in range(n):
+        longer: dict[tuple[str, int], int] = {}
+        for (end, ones), seeds in least.items():
+            for c in "01":
+                seen = end + c
+                new = seeds + sum(len(m) <= len(seen) and all(a == "0" or b == "1" for a, b in zip(m, seen[-len(m) :])) for m in masks)
+                key = seen[max(0, len(seen) - span + 1) :], ones + int(c)
+                longer[key] = min(longer.get(key, new), new)
+        least = longer
+    return min((x for (_, ones), x in least.items() if ones >= matched), default=0)
+
+
+@cache
+def _needed(masks: Sequence[str], least: float, floor: int, window: int, within: int) -> list[int]:
+    """For each length of an alignment the seeds that it has at least if hits accepts it; the last is for all lengths from LENGTHS on.
+
+    An alignment that is longer falls into parts of LENGTHS / 2 to LENGTHS tokens, one of which agrees in the share.
+    """
+    found = [fewest(masks, n, n if n < floor else max(floor, ceil(least * n))) for n in range(LENGTHS)]
+    found.append(min(fewest(masks, n, ceil(least * n)) for n in range(LENGTHS // 2, LENGTHS)))
+    part = fewest(masks, window, within)
+    return [max(1, x if n < window else min(x, part)) for n, x in enumerate(found)]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int = 8, window: int = 13, within: int = 11, masks: Sequence[str] = MASKS) -> DataFrame:
     """(doc_id, item_id, tokens, matched): the benchmark texts that documents hold, with substitutions at most.
 
@@ -52,17 +84,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int =
 
     The seeds of documents, in segments of SEGMENT tokens, are looked up in a broadcast table of the benchmark's seeds as long
     as a count shows that it is small (SEEDS), else by a shuffle on the seeds; equal alignments are put together before they
-    move. Only the documents that have a seed are read again and compared.
+    move. Alignments with fewer seeds than any accepted one of their length has are dropped, and only the documents of the
+    others are read again and compared.
     """
     shortest, longest = min(map(len, masks)), max(map(len, masks))
     items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text").cast("string")).alias("item")).where("item_id is not null")
-    seeds = written(_placed(items, "item", masks), "seeds")
+    seeds = written(_placed(items.withColumn("length", F.size("item")), "item", masks), "seeds")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") >= shortest)
+    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") >= shortest).withColumn("size", F.size("doc"))
     segments = hashed.withColumn("base", F.explode(F.sequence(F.lit(0), F.size("doc") - shortest, F.lit(SEGMENT))))
-    segments = segments.select("doc_id", "base", F.slice("doc", F.col("base") + 1, F.lit(SEGMENT + longest - 1)).alias("doc"))
+    segments = segments.select("doc_id", "size", "base", F.slice("doc", F.col("base") + 1, F.lit(SEGMENT + longest - 1)).alias("doc"))
     met = _placed(segments, "doc", masks).withColumnRenamed("place", "at").join(small(seeds, SEEDS), "seed")
-    met = written(met.select("doc_id", "item_id", (F.col("base") + F.col("at") - F.col("place")).alias("shift")).distinct(), "alignments")
+    met = met.groupBy("doc_id", "size", "item_id", "length", (F.col("base") + F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"))
+    common = F.least(F.col("length"), F.col("size") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))
+    needed = F.array(*map(F.lit, _needed(tuple(masks), least, floor, window, within)))
+    met = written(met.where(F.col("n") >= F.get(needed, F.least(common, F.lit(LENGTHS)))).select("doc_id", "item_id", "shift").distinct(), "alignments")
 
     again = docs.join(small(met.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
     pairs = again.select("doc_id", token_hashes(F.col("text")).alias("doc")).join(met, "doc_id").join(small(items), "item_id")

@@ -86,6 +86,48 @@ def test_decontaminate(spark):
     assert decontaminate.hits(df.where("false"), bench).count() == 0 and decontaminate.hits(df, bench.where("false")).count() == 0
 
 
+def test_masks_are_complete():
+    span = max(map(len, decontaminate.MASKS))
+    best = {"": 0}  # the most tokens that agree without a seed, by the last span - 1
+    for n in range(1, 200):
+        longer = {}
+        for end, m in best.items():
+            for c in "01":
+                seen = end + c
+                if not any(len(x) <= len(seen) and all(a == "0" or b == "1" for a, b in zip(x, seen[-len(x) :])) for x in decontaminate.MASKS):
+                    longer[seen[1 - span :]] = max(longer.get(seen[1 - span :], 0), m + int(c))
+        best = longer
+        if n >= 8:
+            assert max(best.values()) < max(8, 0.6 * n)
+        if n == 13:
+            assert max(best.values()) < 11
+
+
+def test_fewest_seeds():
+    for n in range(1, 13):
+        every = [[x >> k & 1 for k in range(n)] for x in range(1 << n)]
+        seeds = [sum(all(x[i + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for i in range(n - len(m) + 1)) for x in every]
+        for k in range(n + 1):
+            assert decontaminate.fewest(decontaminate.MASKS, n, k) == min(s for x, s in zip(every, seeds) if sum(x) >= k)
+
+
+def test_decontaminate_substitutions(spark):
+    r = random.Random(6)
+    rows, items, want = [], [], {}
+    for k in range(120):
+        n = [15, 16, 20, 30, 59][k % 5]
+        text = [f"i{k}w{j}" for j in range(n)]
+        bent = range(2, n, 3) if k < 15 else r.sample(range(n), r.choice([n * 2 // 5, n * 2 // 5, n * 2 // 5 + 1]))
+        held = ["x" if j in bent else w for j, w in enumerate(text)]
+        items.append((k, " ".join(text)))
+        rows.append((k, " ".join(["before"] * 9 + held + ["after"] * 9)))
+        same = [int(a == b) for a, b in zip(text, held)]
+        if sum(same) >= max(8, 0.6 * n) or any(sum(same[i : i + 13]) >= 11 for i in range(n - 12)):
+            want[k, k] = (n, sum(same))
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): (x.tokens, x.matched) for x in got.collect()} == want and len(want) > 60
+
+
 def test_langid(spark):
     r = random.Random(5)
     letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "éèàùçôî"}
