@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,14 +49,21 @@ def scored(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> D
 def nearest(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str = "cosine") -> DataFrame:
     """(query_id, point_id, score): the k best points of each query (query_id, vector), ties by point_id.
 
-    A set of at most QUERIES queries meets all points in blocks: a batch of points is one matrix product, of which each query's
-    k best go on. Queries by points are never rows; a task sends k rows for each query and batch.
+    Blocks of QUERIES queries meet all points, in a pass for each block: a batch of points is one matrix product, of which each
+    query's k best go on. Queries by points are never rows; a task sends k rows for each query and batch. The
+    queries come to the driver a block at a time.
     """
-    rows = queries.select("query_id", "vector").limit(QUERIES + 1).collect()
-    if len(rows) > QUERIES:
-        raise ValueError(f"at most {QUERIES} queries at once")
+    rows = queries.select("query_id", "vector").toLocalIterator()
+    blocks = [_block(points, queries, list(islice(rows, QUERIES)), k, distance)]
+    while block := list(islice(rows, QUERIES)):
+        blocks.append(_block(points, queries, block, k, distance))
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _block(points: DataFrame, queries: DataFrame, rows: list, k: int, distance: str) -> DataFrame:
+    """nearest for the collected queries in rows."""
     names = [r.query_id for r in rows]
-    wanted = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
+    wanted = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     sign = -1.0 if distance == "euclid" else 1.0
 
     def run(batches):

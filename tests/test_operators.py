@@ -127,6 +127,16 @@ def test_vector_contract(spark):
     assert [r.n for r in v] == [None, [0.6, 0.8], None]
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "point_id long, vector array<double>")
+    for n in (0, 2, 5):
+        q = points.where(F.col("point_id") < n).withColumnRenamed("point_id", "query_id")
+        monkeypatch.setattr(dense, "QUERIES", 1000)
+        whole = dense.nearest(points, q, 3).collect()
+        monkeypatch.setattr(dense, "QUERIES", 2)
+        assert sorted(dense.nearest(points, q, 3).collect()) == sorted(whole) and len(whole) == 3 * n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(min_size=1, max_size=300), st.integers(4, 40), st.integers(0, 2))
 def test_windows_cover(t, limit, overhead):
