@@ -13,3 +13,16 @@ def test_names():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "chunk_id", "rank", "score", "excerpt", "truncated"] and df.count() > 0
+
+
+def test_windows_of_all_documents(spark):
+    d = "/root/testdata/sf0.001"
+    got = {}
+    for r in entry.queries()["f22_windows_all"](spark, d).collect():
+        got.setdefault(r.chunk_id, []).append((r.start, r.end, r.tokens, r.text))
+    want = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        t = r.text
+        if t:
+            want[r.doc_id] = [(k, min(k + 90, len(t)), min(90, len(t) - k) + 10, t[k : k + 90]) for k in range(0, len(t), 90)]
+    assert {k: sorted(v) for k, v in got.items()} == want
