@@ -254,6 +254,14 @@ def _(s, d):
     return x.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("item_id", "doc_id", big(F.size(F.array_intersect("b", "t")), "shared"))
 
 
+@query("u3_token_overlap_all")
+def _(s, d):
+    """All pairs of a benchmark text and a document that share tokens; pairs without a row share none."""
+    b = T.table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    x = T.table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    return x.join(b, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+
+
 @query("u4_distinct_terms", f"SELECT item_id, len(list_distinct({TOKENS}))::BIGINT AS terms FROM benchmark")
 def _(s, d):
     return T.table(s, d, "benchmark").select("item_id", big(F.size(F.array_distinct(text.tokens(F.col("text")))), "terms"))

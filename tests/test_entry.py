@@ -1,5 +1,7 @@
 """The driver's contract."""
 
+import re
+
 import __spark_entry__ as entry
 
 
@@ -26,3 +28,13 @@ def test_windows_of_all_documents(spark):
         if t:
             want[r.doc_id] = [(k, min(k + 90, len(t)), min(90, len(t) - k) + 10, t[k : k + 90]) for k in range(0, len(t), 90)]
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_overlap_of_all_pairs(spark):
+    d = "/root/testdata/sf0.001"
+    words = lambda t: set(re.findall("[a-z0-9_]+", t.lower()))
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, words(r.text or "")) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    want = {(i, k): len(a & b) for i, a in items for k, b in docs if a & b}
+    got = {(r.item_id, r.doc_id): r.shared for r in entry.queries()["u3_token_overlap_all"](spark, d).collect()}
+    assert got == want and len({i for i, _ in got}) == len(items)
