@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -103,15 +104,18 @@ class Pieces:
 class Encoder:
     """A tokenizers file's byte-level BPE over many texts at once: each distinct piece between cuts is encoded once.
 
-    Pieces are told apart by 64-bit hashes.
+    Pieces are told apart by 64-bit hashes. Strings of added tokens in a text are ordinary text if ordinary; else they have
+    their ids, as with the library's default, and texts that hold one are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, ordinary: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = Tokenizer.from_file(path) if self.added else None
+        self.tokenizer.encode_special_tokens = True  # their strings in a piece are ordinary text
         self.end = np.array([end_id], "<u4").tobytes()
         self.known = Pieces()
 
@@ -124,6 +128,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Of each text its ids and the end id as little-endian unsigned 32-bit integers."""
+        holds = np.zeros(len(texts), bool)
+        for t in self.added:
+            holds |= pa.compute.match_substring(texts, t).fill_null(False).to_numpy(zero_copy_only=False)
+        for k, content in enumerate(self._encode(texts)):
+            if holds[k]:
+                content = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() + self.end
+            yield content
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
         for _, data, offsets in kernels.chunks(texts, TOGETHER):
             if len(self.known.keys) > PIECES:
                 self.known = Pieces()
@@ -148,7 +161,7 @@ class Encoder:
 
 @cache
 def encoder(path: str, end_id: int) -> Encoder:
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, ordinary=False)
 
 
 def together(batches: Iterable[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,15 @@ def test_encoder():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in together]
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = [*TEXTS, "hello <|endoftext|> world", "a<|endoftext|>", "<|endoftext|><|endoftext|>\n b", "<|endoftext| >"]
+    got = list(tokens.encoder(tokenizer_path(), 2).encode(pa.array([*texts, None])))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts] + [[2]]
+
+
 def test_shards(spark):
     rows = [(i * 7 % 31, t) for i, t in enumerate(TEXTS)] + [(None, None), (3, "twice"), (3, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).repartition(3)
