@@ -15,11 +15,10 @@ from granary.llm.common import text_batches, written
 
 #: Letters in an n-gram.
 N = 4
-#: Slots of the filter and hash functions; a slot holds a bit for each language.
+#: Slots of the filter and hash functions; a slot holds a bit for each language, in words of 64.
 SLOTS = 1 << 20
 HASHES = 3
-#: Languages at most, and documents of each, as expected, that the filters are fitted on.
-LANGUAGES = 63
+#: Documents of each language, as expected, that the filters are fitted on.
 FIT = 2000
 #: An n-gram belongs to a language's filter from this share of its n-grams on.
 SHARE = 2e-5
@@ -65,18 +64,18 @@ class Filters:
 
     def __init__(self, grams: dict[str, np.ndarray]):
         self.languages = sorted(grams)
-        self.table = np.zeros(SLOTS, np.uint64)
+        self.tables = np.zeros((-(-len(self.languages) // 64), SLOTS), np.uint64)
         for k, lang in enumerate(self.languages):
             for s in slots(grams[lang]):
-                self.table[s] |= np.uint64(1) << np.uint64(k)
-        full = [np.count_nonzero(self.table >> np.uint64(k) & np.uint64(1)) / SLOTS for k in range(len(self.languages))]
+                self.tables[k // 64, s] |= np.uint64(1) << np.uint64(k % 64)
+        full = [np.count_nonzero(self.tables[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / SLOTS for k in range(len(self.languages))]
         self.false = np.array(full, float) ** HASHES
 
-    def masks(self, gram: np.ndarray) -> np.ndarray:
-        """All languages that contain each n-gram, as bits: one look-up for each hash function, whatever their number."""
+    def masks(self, gram: np.ndarray, word: int = 0) -> np.ndarray:
+        """Which of 64 languages contain each n-gram, as bits: one look-up for each hash function, whatever their number."""
         found = np.full(len(gram), ~np.uint64(0))
         for s in slots(gram):
-            found &= self.table[s]
+            found &= self.tables[word, s]
         return found
 
     def decide(self, text: np.ndarray, gram: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +85,17 @@ class Filters:
         true ones. N-grams that all languages contain tell nothing and count for none. The largest count decides, the first
         language where several tie; the score is its share of all languages' counts.
         """
-        masks = self.masks(gram)
-        every = np.uint64((1 << len(self.languages)) - 1)
-        masks[masks & every == every] = 0
+        words = [self.masks(gram, w) for w in range(len(self.tables))]
+        everywhere = np.ones(len(gram), bool)
+        for w, masks in enumerate(words):
+            every = np.uint64((1 << min(64, len(self.languages) - 64 * w)) - 1)
+            everywhere &= masks & every == every
+        for masks in words:
+            masks[everywhere] = 0
         n = np.bincount(text, minlength=texts)
         counts = np.empty((len(self.languages), texts))
         for k, false in enumerate(self.false):
-            hit = (masks >> np.uint64(k) & np.uint64(1)).astype(bool)
+            hit = (words[k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)
             counts[k] = (np.bincount(text[hit], minlength=texts) - false * n) / (1 - false) if false < 1 else 0
         counts = np.maximum(counts, 0)
         total = counts.sum(0)
@@ -108,11 +111,10 @@ def held_out() -> Column:
 def fit(docs: DataFrame) -> Filters:
     """Filters of the languages in docs (doc_id, text, lang), from FIT documents of each or so.
 
-    The documents are those of the lowest hashes of doc_id, FIT as expected, the languages the LANGUAGES with most documents. n-grams are counted on
-    the executors; what comes to the driver are those of a share of SHARE or more, at most 1 / SHARE for each language.
+    The documents are those of the lowest hashes of doc_id, FIT as expected. n-grams are counted on the executors; what comes to the driver are those of a share of SHARE or more, at most 1 / SHARE for each language.
     """
     docs = docs.where("lang is not null and text is not null")
-    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not langs:
         return Filters({})
     rank = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)))

@@ -148,6 +148,12 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.identify(df.withColumn("lang", df["text"].substr(1, 0)).replace("", None, "lang")).collect()} == {"und"}
 
 
+def test_langid_of_many_languages(spark):
+    rows = [(8 * k + i, f"{chr(97 + k // 26)}{chr(97 + k % 26)}qx" * 10, f"l{k:03}") for k in range(70) for i in range(8)]
+    got = {x.doc_id: x.lang_pred for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_bloom_slices():
     grams = {f"l{k}": np.random.default_rng(k).integers(0, 1 << 60, 500, dtype=np.uint64) for k in range(9)}
     f = langid.Filters(grams)
