@@ -17,6 +17,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
@@ -46,6 +47,8 @@ NULL_ID = -(1 << 63)
 PIECES = 1_000_000
 #: Bytes of text that are cut into pieces together.
 TOGETHER = 1 << 20
+#: Bytes of text in a shard, about, where there are more than the session's shuffle partitions would hold.
+SHARD_BYTES = 1 << 28
 
 _WHITE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 _PUNCTUATION = np.isin(np.arange(256), list(b'.,;:!?&%$#*|"()-'))
@@ -176,19 +179,25 @@ def together(batches: Iterable[pa.RecordBatch], column: int, size: int) -> Itera
         yield pa.concat_batches(held)
 
 
-def frames(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, check, frame) of documents (doc_id, text)."""
+def frames(docs: DataFrame, path: str, end_id: int, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(shard, doc_id, place, n_tokens, check, frame) of documents (doc_id, text, place); bounds are where shards but the first begin."""
+    ends = np.array(bounds, np.dtype([("doc_id", "<i8"), ("place", "<i8")])) if bounds else None
 
     def run(batches):
         own, pack = encoder(path, end_id), zstandard.ZstdCompressor(level=1)
         for batch in together(batches, 1, 2 * TOGETHER):
-            ids, rows = batch.column(0), []
+            rows = []
             for content in own.encode(batch.column(1)):
                 rows.append((len(content) // 4, xxhash.xxh64_intdigest(content) & 0xFFFFFFFF, pack.compress(content)))
             n, check, data = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "check", "frame"])
+            shard = np.zeros(batch.num_rows, np.int32)
+            if ends is not None:
+                keys = np.empty(batch.num_rows, ends.dtype)
+                keys["doc_id"], keys["place"] = batch.column(0).fill_null(NULL_ID), batch.column(2)
+                shard = np.searchsorted(ends, keys, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(check, pa.int64()), pa.array(data, pa.binary())], ["shard", "doc_id", "place", "n_tokens", "check", "frame"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernels.lean(run), "doc_id long, n_tokens long, check long, frame binary")
+    return docs.mapInArrow(kernels.lean(run), "shard int, doc_id long, place long, n_tokens long, check long, frame binary")
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -201,14 +210,14 @@ def skippable(magic: int, content: bytes) -> bytes:
 
 def write_shard(out, rows: Iterable[tuple[int | None, int, int, bytes]]) -> int:
     """Writes (doc_id, n_tokens, check, frame) to a binary file in the order given; how many there were."""
-    ids, table = [], []
+    ids, table = array("q"), array("I")
     for doc_id, n, check, frame in rows:
         out.write(frame)
         ids.append(NULL_ID if doc_id is None else doc_id)
-        table.append((len(frame), 4 * n, check))
+        table.extend((len(frame), 4 * n, check))
     out.write(skippable(SKIPPABLE_DOCUMENTS, np.array(ids, "<i8").tobytes()))
-    out.write(skippable(SKIPPABLE_SEEK_TABLE, np.array(table, "<u4").tobytes() + FOOTER.pack(len(table), CHECKSUM_FLAG, SEEKABLE_MAGIC)))
-    return len(table)
+    out.write(skippable(SKIPPABLE_SEEK_TABLE, np.array(table, "<u4").tobytes() + FOOTER.pack(len(ids), CHECKSUM_FLAG, SEEKABLE_MAGIC)))
+    return len(ids)
 
 
 class ShardReader:
@@ -251,33 +260,43 @@ class ShardReader:
         return [k for x, y in zip(a, b) for k in range(x, y)]
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> str:
+def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> str:
     """Encodes documents (doc_id, text) and writes shards in ascending order of doc_id; the folder's URI.
 
-    Frames are made where the texts lie and written as a table in the shared folder; only they, not the texts, are sorted by
-    range. Each range is a file, written under the attempt's own name and moved into place, so a task that runs again leaves
-    one whole file. Null text: the end id alone. Null doc_id: first. Repeated rows: a frame each. Empty table: no file.
+    Shards are ranges of (doc_id, a hash of the text) of about shard_bytes of text, or as many as the session has shuffle
+    partitions where that is more; so neither a large corpus nor a doc_id of very many rows (null above all) makes a shard
+    large. The ranges are found over ids and hashes alone. Frames are made where the texts lie; only they, not the texts, are
+    dealt to the shards. Each shard is a file, written under the attempt's own name and moved into place, so a task that runs
+    again leaves one whole file.
+
+    Null text: the end id alone. Null doc_id: first. Rows of one doc_id: a frame each, in the order of their texts' hashes.
+    Texts are encoded whole, however long. Empty table: no file. Other columns are ignored.
     """
     spark = docs.sparkSession
     text_batches(spark)
     folder = folder or shared_dir(spark, "tokens")
-    made = written(frames(docs, path, end_id), "frames")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = made.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "check")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("place"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    keys = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "place")
+    ranges = keys.repartitionByRange(parts, "doc_id", "place").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "place")).alias("least"))
+    bounds = sorted((r.least.doc_id, r.least.place) for r in ranges.collect())[1:]
+    made = frames(docs, path, end_id, bounds).repartitionById(len(bounds) + 1, "shard")
+    ordered = made.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "place", "n_tokens", "check").select("shard", "doc_id", "n_tokens", "check", "frame")
 
     def write(batches):
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        task = TaskContext.get()
+        task, shard = TaskContext.get(), first.column(0)[0].as_py()
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/shard-{task.partitionId():06d}.zst"
+        name = f"{root}/shard-{shard:08d}.zst"
         trial = f"{root}/_{task.taskAttemptId()}.part"
 
         def rows():
             for b in chain((first,), batches):
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                yield from zip(*(c.to_pylist() for c in b.columns[1:]))
 
         with fs.open_output_stream(trial) as out:
             n = write_shard(out, rows())
