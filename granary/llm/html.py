@@ -7,7 +7,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +19,21 @@ from granary.llm.common import text_batches
 
 # Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
+#: Elements whose inside is no markup and never shown as the page's text; XMP shows it as it stands.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+XMP = frozenset(("xmp", "plaintext"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary"
-    " svg table tbody td tfoot th thead tr ul video audio canvas math object".split()
+    " svg table tbody td tfoot th thead tr ul video audio canvas math object xmp plaintext".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Start tags that end an open p, and elements that end an open one of their own kind.
 ENDS_P = BLOCK - frozenset(("body", "html", "head", "button", "caption", "option", "optgroup", "legend", "tbody", "td", "tfoot", "th", "thead", "tr", "svg", "video", "audio", "canvas", "math", "object"))
 SIBLING = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select", "optgroup")}
+ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+CELLS = ("td", "th", "table")
+BEYOND_CELLS = frozenset(("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"))
 
 #: Words in an element's class, id, role or name that say what it is for.
 ROLES = (
@@ -46,27 +51,59 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|name|hidden|aria-hidden|s
 SPACE = re.compile(r"\s+")
 
 
+#: Tags that are features of the blocks within them.
+STRUCTURE = ("article", "main", "section", "aside", "nav", "header", "footer", "form", "ul", "ol", "table", "dl", "figure", "blockquote", "pre", "select", "button", "label", "p", "li", "td", "a", "b", "dialog", "menu", "head", "title", "div", "span", "body")
+SAYS = ("hidden", *(name for name, _ in ROLES))
+PLAIN = frozenset(("html", "body", "div", "span", "b", "i", "em", "strong"))
+NOTE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign ?in|log ?in|newsletter|read more|share this|privacy policy|terms of|advertis|sponsored|powered by|comments?\b|repl(?:y|ies)\b", re.I)
+
+FEATURES: dict[str, int] = {}
+for _name in (
+    *(f"in {t}" for t in STRUCTURE), *(f"is {t}" for t in (*STRUCTURE, "heading", "other")), *(f"under {t}" for t in (*STRUCTURE, "-")),
+    *(f"said {r}" for r in SAYS), *(f"nearest {r}" for r in ("None", *SAYS)),
+    *(f"words {k}" for k in range(7)), *(f"links {k}" for k in range(4)), "ends", "open", "note", "low",
+):
+    FEATURES.setdefault(_name, len(FEATURES))
+
+
 @dataclass(slots=True)
 class Element:
+    """An element with what it and its ancestors say of the blocks within, summed on the way down: depth costs nothing."""
+
     tag: str
-    flags: tuple[str, ...]  # features that it gives its blocks
     block: bool
+    inside: int  # bits of STRUCTURE
+    said: int  # bits of SAYS
+    nearest: str | None  # what the nearest element that says anything says first
+    inner: str  # the nearest block element's tag
+    outer: str  # the outermost tag that isn't PLAIN
+    known: list[int] | None = None  # numbers of these features, once a block asked for them
+
+
+ROOT = Element("", False, 0, 0, None, "-", "-")
+_STRUCTURE_BIT = {t: 1 << k for k, t in enumerate(STRUCTURE)}
+_SAYS_BIT = {r: 1 << k for k, r in enumerate(SAYS)}
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[Element, ...]
+    element: Element
     linked: int  # characters within links
 
 
-@cache
-def _roles(said: str) -> tuple[str, ...]:
+@lru_cache(4096)
+def _short_roles(said: str) -> tuple[str, ...]:
     return tuple(name for name, pattern in ROLES if pattern.search(said))
 
 
-def _element(tag: str, attributes: str) -> Element:
-    flags = []
+def _roles(said: str) -> tuple[str, ...]:
+    return _short_roles(said) if len(said) < 200 else _short_roles.__wrapped__(said)  # long ones aren't worth remembering
+
+
+def _flags(attributes: str) -> list[str]:
+    """What an element's attributes say, each once, in their order."""
+    flags: list[str] = []
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
@@ -76,30 +113,70 @@ def _element(tag: str, attributes: str) -> Element:
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     flags.append("hidden")
-            elif len(value) < 200:
+            else:
                 flags += _roles(value)
-    return Element(tag, tuple(dict.fromkeys(flags)), tag in BLOCK)
+    return flags
+
+
+def _element(tag: str, attributes: str, parent: Element) -> Element:
+    flags, block = _flags(attributes), tag in BLOCK
+    said = parent.said
+    for flag in flags:
+        said |= _SAYS_BIT[flag]
+    outer = tag if parent.outer == "-" and tag not in PLAIN else parent.outer
+    return Element(tag, block, parent.inside | _STRUCTURE_BIT.get(tag, 0), said, flags[0] if flags else parent.nearest, tag if block else parent.inner, outer)
+
+
+class _Open:
+    """The open elements, and where those of a tag and the block elements lie among them."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else ROOT
+
+    def last(self, *tags: str) -> int:
+        """The place of the nearest open element of one of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, element: Element) -> None:
+        if element.block:
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def pop(self) -> Element:
+        element = self.stack.pop()
+        self.places[element.tag].pop()
+        if element.block:
+            self.blocks.pop()
+        return element
 
 
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order: runs of text that no block element's tag or line break interrupts.
 
     Tags need not be closed or well nested: a start tag that can't be within an open p or item ends it, an end tag closes up to
-    the nearest open element of its name if there is one within the same table cell. Scripts, styles and other raw elements,
-    comments and declarations have no text. Character references are decoded, white space becomes one space.
+    the nearest open element of its name if there is one within the same table cell. Scripts, styles, form fields, the title,
+    fallbacks of frames, comments and declarations have no text; noscript and template are elements like others. Character
+    references are decoded, white space becomes one space. Time and memory grow with the page's length, however deep it is.
     """
     out: list[Block] = []
-    stack: list[Element] = []
+    opened = _Open()
     held: list[str] = []
-    where: tuple[Element, ...] | None = None
-    linked = links = 0
+    where: Element | None = None
+    linked = 0
 
     def flush() -> None:
         nonlocal where, linked
         if held:
             text = SPACE.sub(" ", "".join(held)).strip()
             if text:
-                out.append(Block(text, where or (), linked))
+                out.append(Block(text, where or ROOT, linked))
             held.clear()
         where, linked = None, 0
 
@@ -108,17 +185,16 @@ def blocks(page: str) -> list[Block]:
         if "&" in raw:
             raw = entities.unescape(raw)
         if where is None and not raw.isspace():
-            where = tuple(stack)
+            where = opened.top
         held.append(raw)
-        if links:
+        if opened.places.get("a"):
             linked += len(raw)
 
     def close(k: int) -> None:
-        nonlocal links
-        if any(e.block for e in stack[k:]):
+        if opened.blocks and opened.blocks[-1] >= k:
             flush()
-        links -= sum(e.tag == "a" for e in stack[k:])
-        del stack[k:]
+        while len(opened.stack) > k:
+            opened.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -140,18 +216,21 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[3].lower()
         if m[2]:
-            if tag == "br" or tag == "p" and not any(e.tag == "p" for e in stack):
+            k = opened.last(tag)
+            if tag == "br" or tag == "p" and k < 0:
                 flush()
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            elif k >= 0 and (tag in BEYOND_CELLS or k >= opened.last(*CELLS)):
+                close(k)
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
+        if tag in RAW or tag in XMP:
+            if tag in XMP:
+                flush()
+            end = _end_tag(tag).search(page, at) if tag != "plaintext" else None
+            if tag in XMP:
+                opened.push(_element(tag, m[4], opened.top))
+                where = opened.top
+                held.append(page[at : end.start() if end else n])
+                close(len(opened.stack) - 1)
             at = end.end() if end else n
             continue
         if tag == "br" or tag == "hr":
@@ -159,69 +238,51 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].block:
-                    break
-        if tag in SIBLING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag or {stack[k].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    close(k)
-                    break
-                if stack[k].tag in SIBLING[tag]:
-                    break
+        if tag in ENDS_P and opened.blocks and opened.stack[opened.blocks[-1]].tag == "p":
+            close(opened.blocks[-1])
+        if tag in SIBLING and (k := opened.last(*ALIKE.get(tag, (tag,)))) > opened.last(*SIBLING[tag]):
+            close(k)
         if tag in BLOCK:
             flush()
         if not m[4].rstrip().endswith("/") or tag not in ("svg", "path", "use", "math"):
-            stack.append(_element(tag, m[4]))
-            links += tag == "a"
+            opened.push(_element(tag, m[4], opened.top))
     flush()
     return out
 
 
-#: Hashing would do for open sets; these features are few enough to be named.
-STRUCTURE = ("article", "main", "section", "aside", "nav", "header", "footer", "form", "ul", "ol", "table", "dl", "figure", "blockquote", "pre", "select", "button", "label", "p", "li", "td", "a", "b", "dialog", "menu", "head", "title", "div", "span", "body")
-NOTE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign ?in|log ?in|newsletter|read more|share this|privacy policy|terms of|advertis|sponsored|powered by|comments?\b|repl(?:y|ies)\b", re.I)
-
-
-def features(block: Block) -> list[str]:
-    """Names of a block's features: its ancestors' tags and what their attributes say, and its text's looks."""
-    tags = {e.tag for e in block.path}
-    found = [f"in {t}" for t in STRUCTURE if t in tags]
-    inner = next((e.tag for e in reversed(block.path) if e.block), "-")
-    found.append(f"is {'heading' if inner in HEADINGS else inner if inner in STRUCTURE else 'other'}")
-    outer = [e.tag for e in block.path if e.tag not in ("html", "body", "div", "span", "b", "i", "em", "strong")][:1]
-    found.append(f"under {outer[0] if outer and outer[0] in STRUCTURE else '-'}")
-    roles = {r for e in block.path for r in e.flags}
-    found += [f"said {r}" for r in roles]
-    nearest = next((e.flags[0] for e in reversed(block.path) if e.flags), None)
-    found.append(f"nearest {nearest}")
-    n = len(block.text)
-    words = block.text.count(" ") + 1
-    found.append(f"words {min(6, words.bit_length())}")
-    found.append(f"links {min(3, int(4 * block.linked / max(1, n)))}")
-    found.append("ends" if block.text[-1] in ".!?…。:\"”" else "open")
-    if NOTE.search(block.text[:400]) and words < 60:
-        found.append("note")
-    if block.text[0].islower():
-        found.append("low")
+@cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I)
+
+
+def _above(e: Element) -> list[int]:
+    """Numbers of the features that a block has from its element and that one's ancestors."""
+    if e.known is None:
+        names = [f"in {t}" for t, bit in _STRUCTURE_BIT.items() if e.inside & bit]
+        names.append(f"is {'heading' if e.inner in HEADINGS else e.inner if e.inner in STRUCTURE else 'other'}")
+        names.append(f"under {e.outer if e.outer in STRUCTURE else '-'}")
+        names += [f"said {r}" for r, bit in _SAYS_BIT.items() if e.said & bit]
+        names.append(f"nearest {e.nearest}")
+        e.known = [FEATURES[x] for x in names]
+    return e.known
+
+
+def features(block: Block) -> list[int]:
+    """Numbers of a block's features: its ancestors' tags and what their attributes say, and its text's looks."""
+    text, found = block.text, list(_above(block.element))
+    words = text.count(" ") + 1
+    found.append(FEATURES[f"words {min(6, words.bit_length())}"])
+    found.append(FEATURES[f"links {min(3, int(4 * block.linked / len(text)))}"])
+    found.append(FEATURES["ends" if text[-1] in ".!?…。:\"”" else "open"])
+    if words < 60 and NOTE.search(text):
+        found.append(FEATURES["note"])
+    if text[0].islower():
+        found.append(FEATURES["low"])
     return found
 
 
-FEATURES: dict[str, int] = {}
-for _name in (
-    *(f"in {t}" for t in STRUCTURE), *(f"is {t}" for t in (*STRUCTURE, "heading", "other")), *(f"under {t}" for t in (*STRUCTURE, "-")),
-    *(f"said {r}" for r in ("hidden", *(x for x, _ in ROLES))), *(f"nearest {r}" for r in ("None", "hidden", *(x for x, _ in ROLES))),
-    *(f"words {k}" for k in range(7)), *(f"links {k}" for k in range(4)), "ends", "open", "note", "low",
-):
-    FEATURES.setdefault(_name, len(FEATURES))
-
-
 def vector(page_blocks: list[Block]) -> list[list[int]]:
-    return [[FEATURES[f] for f in features(b) if f in FEATURES] for b in page_blocks]
+    return [features(b) for b in page_blocks]
 
 
 class Chain:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import re
 import zlib
 
 import numpy as np
@@ -88,6 +89,17 @@ def test_shards(spark):
     assert tokens.offsets(tokens.read_tokens(spark, tokens.write_tokens(df.where("false"), tokenizer_path(), 2))).count() == 0
 
 
+def test_many_rows_of_one_id_fill_many_shards(spark):
+    rows = [(None, f"text {i} " * 9) for i in range(300)] + [(5, f"other {i} " * 9) for i in range(100)] + [(i, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = tokens.write_tokens(df, tokenizer_path(), 2, shard_bytes=2000)
+    read = tokens.offsets(tokens.read_tokens(spark, folder)).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    sizes = [r.n for r in tokens.read_tokens(spark, folder, ids=False).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 120
+    assert tokens.read_tokens(spark, folder, wanted=[5]).count() == 101
+
+
 def test_shard_checks():
     import xxhash
     import zstandard
@@ -123,6 +135,63 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == 6
 
 
+def test_blocks_of_odd_markup():
+    said = lambda page: [(b.text, b.element.inner) for b in html.blocks(page)]
+    assert said("<article><noscript><p>Kept.</p></noscript><xmp>a <b> c</xmp><template><p>t</p></template><iframe><p>no</p></iframe><textarea>no</textarea>end") == [("Kept.", "p"), ("a <b> c", "xmp"), ("t", "p"), ("end", "article")]
+    assert said("<table><tr><td>a<td>b</table><ul><li>c<li>d</ul></x></p>e") == [("a", "td"), ("b", "td"), ("c", "li"), ("d", "li"), ("e", "-")]
+    long = html.blocks(f"<div class='{'x ' * 500}sidebar'>t</div>")[0]
+    assert html.FEATURES["said side"] in html.features(long)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</y>" * 100_000, "<p>" + "<b>" * 100_000 + "x" + "</p>" * 50_000, "<table>" + "<tr><td>" * 50_000 + "x" + "</div>" * 50_000, "<ul><li>" * 50_000 + "x"])
+def test_deep_pages_are_linear(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = html.blocks(page)
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.text for b in found] == ["x"] and took < 30 and peak < 1e8
+
+
+def test_pages_against_their_article(spark):
+    """The whole pages table of the smallest scale: the article element's own text, without the parts that are no article's."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        skip = ("nav", "aside", "footer", "form", "script", "style")
+
+        def __init__(self):
+            super().__init__()
+            self.open, self.text = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("br", "img", "input", "meta", "link", "hr"):
+                self.open.append((tag, dict(attrs).get("class") or ""))
+            self.text.append(" " if tag not in ("b", "i", "a", "em", "strong", "span", "code") else "")
+
+        def handle_endtag(self, tag):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == tag:
+                    del self.open[k:]
+                    break
+            self.text.append(" " if tag not in ("b", "i", "a", "em", "strong", "span", "code") else "")
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.open]
+            if "article" in tags and not set(tags) & set(self.skip) and not any(re.search(r"comment|cookie|\bad\b|share|related|sidebar", c) for _, c in self.open):
+                self.text.append(data)
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(rows).collect()}
+    for r in rows.collect():
+        want = Article()
+        want.feed(r.html or "")
+        assert got[r.page_id].split() == "".join(want.text).split(), r.page_id
+
+
 def test_viterbi_and_gradient():
     r = np.random.default_rng(2)
     chain = html.Chain(r.normal(size=(5, 2)), r.normal(size=(2, 2)), r.normal(size=2))
