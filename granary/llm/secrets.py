@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ USER_WORDS = ("user", "login", "account", "client", "access")
 KEY = re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
 ENDPOINT = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])""", re.ASCII)
 
+#: Where one scope ends and the next begins: blank lines, headings of sections, rules, fences, and between sibling objects.
+EDGE = re.compile(r"\n[ \t\r]*\n|^[ \t]*(?:\[[^\]\n]*\]|\#{1,6}[ \t]|-{3,}|={3,}|`{3,}|~{3,})[^\n]*$|\}\s*,?\s*\{", re.M)
+
 Span = tuple[int, int, str]
 
 
@@ -46,47 +50,61 @@ def _varied(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
 
 
+class Scopes:
+    """A text's consecutive scopes, each from one edge's beginning to the next one's."""
+
+    def __init__(self, text: str):
+        self.edges = [m.start() for m in EDGE.finditer(text)]
+
+    def around(self, at: int) -> tuple[float, float]:
+        k = bisect_right(self.edges, at)
+        return self.edges[k - 1] if k else -1, self.edges[k] if k < len(self.edges) else float("inf")
+
+
 class Near:
-    """Whether an interval has another within a reach: both sorted by start, ends' running maximum for those that began before."""
+    """An interval join: whether an interval has one of the given ones within a reach, and within its own scope if there are scopes.
 
-    def __init__(self, spans: list[Span], reach: int):
-        self.reach = reach
+    The given ones are sorted by start, with the running maximum of ends for those that began before.
+    """
+
+    def __init__(self, spans: list[Span], reach: int, scopes: Scopes | None = None):
+        self.reach, self.scopes = reach, scopes
         self.starts = [s[0] for s in spans]
-        self.furthest, far = [], -1
-        for s in spans:
-            far = max(far, s[1])
-            self.furthest.append(far)
+        self.furthest = list(accumulate((s[1] for s in spans), max))
 
     def __call__(self, span: Span) -> bool:
-        k = bisect_left(self.starts, span[1] + self.reach + 1)
-        return k > 0 and self.furthest[k - 1] >= span[0] - self.reach
+        low, high = span[0] - self.reach, span[1] + self.reach
+        if self.scopes:
+            begin, end = self.scopes.around(span[0])
+            low, high = max(low, begin + 1), min(high, end - 1)
+        k = bisect_right(self.starts, high)
+        return k > 0 and self.furthest[k - 1] >= low
 
 
 def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
-    """The weak spans whose complement is within reach.
+    """The weak spans whose complementary parts are within reach and in the same scope (see EDGE).
 
-    Identifiers are access ids and user assignments, secrets are assignments, hex runs and bare keys of 40 characters.
-    A bare key is reported near an identifier, a user assignment near a secret of any kind but a bare key that no identifier
-    is near to, an endpoint near a secret that is itself near an identifier or an assignment. Weak spans within
-    spans of base kinds aren't candidates. The text's lines are no bounds: records are often spread over several.
+    Identifiers are access ids and user assignments; secrets are assignments, hex runs and bare keys of 40 characters that an
+    identifier is near to. A bare key is reported near an identifier, a user assignment near a secret, an endpoint near a
+    secret that is itself near an identifier: then all three parts are there. Weak spans within spans of base kinds aren't
+    candidates.
     """
     low = text.lower()
     taken = Near(sorted(base), 0)
     free = lambda a, b: not taken((a + 1, b - 1, "")) if base else True
     users = [(m.start(), m.end(), "user") for m in USER.finditer(text) if free(m.start(), m.end())] if any(w in low for w in USER_WORDS) else []
     ids = sorted([s for s in base if s[2] == "access"] + users)
-    keys = []
-    if ids:
-        near = Near(ids, reach)
-        keys = [s for m in KEY.finditer(text) if _varied(m.group()) and near(s := (m.start(), m.end(), "key")) and free(m.start(), m.end())]
-    secrets = sorted([s for s in base if s[2] != "access"] + keys)
+    if not ids:
+        return []
+    scopes = Scopes(text)
+    near = Near(ids, reach, scopes)
+    keys = [s for m in KEY.finditer(text) if _varied(m.group()) and near(s := (m.start(), m.end(), "key")) and free(m.start(), m.end())]
+    secrets = sorted([s for s in base if s[2] != "access" and near(s)] + keys)
     if not secrets:
         return []
-    near = Near(secrets, reach)
-    users = [s for s in users if near(s)]
-    whole = Near(sorted([s for s in base if s[2] == "access" and near(s)] + users + [s for s in base if s[2] == "assign"] + keys), reach)
-    ends = [s for m in ENDPOINT.finditer(text) if whole(s := (m.start(), m.end(), "endpoint")) and free(m.start(), m.end())]
-    return users + keys + ends
+    near = Near(secrets, reach, scopes)
+    ends = [s for m in ENDPOINT.finditer(text) if near(s := (m.start(), m.end(), "endpoint")) and free(m.start(), m.end())]
+    return [s for s in users if near(s)] + keys + ends
 
 
 def written_spans(spans: list[Span]) -> str:
@@ -98,8 +116,11 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256 (of the base kinds' spans), spans (all as text), found (all as an
     array with what they hold). Spans are in code points, ends exclusive. Base kinds are always reported; user, key and
-    endpoint only when linked, see linked_spans. Null and empty texts have no spans: the digest is that of no bytes. Null
-    doc_id and repeated rows pass through; other columns are ignored. Rows map one to one, so nothing is gathered.
+    endpoint only when linked, see linked_spans. Spans that begin together come in the order of KINDS.
+
+    Null and empty texts have no spans: the digest is that of no bytes. Texts are scanned whole, a task holding one batch of
+    them. Null doc_id and repeated rows pass through; other columns are ignored, whatever their names. Rows map one to one, so
+    nothing is gathered. Empty table: empty result.
     """
     text_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
