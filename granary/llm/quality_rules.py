@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
@@ -15,8 +14,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Places of the histogram of words, by hash; those of a language's commonest words are its common words.
 SLOTS = 1 << 14
 COMMON = 64
-#: Languages of which references are kept apart, the most frequent first; the others share one.
-LANGUAGES = 200
+#: Languages of which a task holds sums at once (130 KB each) before it sends them off.
+HELD = 200
 CLASSES = ("space", "lower", "upper", "digit", "stop", "mark", "symbol", "control", "latin", "other")
 
 _CLASS = np.full(256, CLASSES.index("control"), np.uint8)
@@ -104,7 +103,7 @@ class Measured:
 def references(docs: DataFrame) -> DataFrame:
     """(lang, kind, slot, n): each language's code points by class (kind 0) and words by slot (kind 1), over all documents.
 
-    A task sums all its documents before it sends anything: at most LANGUAGES + 1 times SLOTS rows. Null is a language.
+    A task sums the documents of up to HELD languages before it sends anything, at most SLOTS rows for each. Null is a language.
     """
 
     def run(batches):
@@ -121,7 +120,7 @@ def references(docs: DataFrame) -> DataFrame:
                         sums[lang] = [np.zeros(len(CLASSES), np.int64), np.zeros(SLOTS, np.int64)]
                     sums[lang][0] += characters[chosen].sum(0)
                     sums[lang][1] += np.bincount(slot[chosen[text]], minlength=SLOTS)
-            if len(sums) > LANGUAGES:
+            if len(sums) > HELD:
                 yield from send(sums)
                 sums = {}
         yield from send(sums)
@@ -136,27 +135,21 @@ def references(docs: DataFrame) -> DataFrame:
 
 
 def models(sums: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: shares of the classes, its COMMON slots, and their shares of all words with the rest behind them.
+    """By language, however many: shares of the classes, its COMMON slots, and their shares of all words with the rest behind them.
 
-    Languages beyond LANGUAGES by words have no model of their own; "" holds that of all together. At most LANGUAGES * COMMON
-    slots come to the driver.
+    Of slots with equal counts the smaller is taken. What comes to the driver is COMMON + len(CLASSES) rows a language, about a KB.
     """
-    from pyspark.sql import Window
-
-    largest = sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    every = sums.groupBy("kind", "slot").agg(F.sum("n").alias("n")).select(F.lit(True).alias("all"), F.lit("").alias("lang"), "kind", "slot", "n")
-    chosen = sums.alias("s").join(F.broadcast(largest).alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang"))).select(F.lit(False).alias("all"), "s.lang", "kind", "slot", "n").union(every)
-    by = Window.partitionBy("all", "lang", "kind")
-    top = chosen.withColumn("total", F.sum("n").over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "slot"))).where(F.col("k") <= COMMON)
+    by = Window.partitionBy("lang", "kind")
+    top = sums.withColumn("total", F.sum("n").over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "slot"))).where(F.col("k") <= COMMON)
     found: dict = {}
-    for r in top.orderBy("all", "lang", "kind", "k").collect():
-        own = found.setdefault((r["all"], r["lang"]), (np.zeros(len(CLASSES)), [], []))
+    for r in top.orderBy("lang", "kind", "k").collect():
+        own = found.setdefault(r["lang"], (np.zeros(len(CLASSES)), [], []))
         if r["kind"] == 0:
             own[0][r["slot"]] = r["n"] / r["total"]
         else:
             own[1].append(r["slot"])
             own[2].append(r["n"] / r["total"])
-    return {(True if whole else lang): (c, np.array(slots, np.int64), np.array([*shares, max(0.0, 1 - sum(shares))])) for (whole, lang), (c, slots, shares) in found.items()}
+    return {lang: (c, np.array(slots, np.int64), np.array([*shares, max(0.0, 1 - sum(shares))])) for lang, (c, slots, shares) in found.items()}
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -176,8 +169,10 @@ def apply_rules(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.
     common words at most max_words. References come from all documents. A distance is null, and forbids nothing, in texts of
     fewer than min_chars code points or min_words words, whose histograms are chance.
 
-    Null text counts as empty: no words, base_failed. Null lang is a language of its own. Repeated rows and null doc_ids are
-    rows like others. Empty table: empty result.
+    Null text counts as empty: no words, base_failed. Null lang is a language of its own. Texts are counted whole, a MB of
+    them or one at a time. Repeated rows and null doc_ids are rows like others, and count in the references as often as they
+    occur; a distance that equals its limit is kept. Other columns are ignored, whatever their names. Empty table: empty
+    result.
     """
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -193,8 +188,10 @@ def apply_rules(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.
                 characters, (text, slot) = seen.characters(), seen.slots()
                 by_class, by_word = np.full(seen.texts, np.nan), np.full(seen.texts, np.nan)
                 for lang in set(langs):
+                    if lang not in known:  # its texts have no characters
+                        continue
                     own = np.array([x == lang for x in langs])
-                    classes, slots, shares = known.get(lang, known[True])
+                    classes, slots, shares = known[lang]
                     by_class[own] = divergence(_shares(characters[own]), classes)
                     row, column = np.cumsum(own) - 1, np.full(SLOTS, len(slots))
                     column[slots] = np.arange(len(slots))
@@ -212,5 +209,3 @@ def apply_rules(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.
 
 def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(1, keepdims=True), 1)
-
-
