@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import text_batches, written
+from granary.llm.common import small, text_batches, written
 
 #: Letters in an n-gram.
 N = 4
 #: Slots of the filter and hash functions; a slot holds a bit for each language, in words of 64.
 SLOTS = 1 << 20
 HASHES = 3
-#: Documents of each language, as expected, that the filters are fitted on.
+#: Documents of each language, as expected, that the filters are fitted on unless told otherwise.
 FIT = 2000
 #: An n-gram belongs to a language's filter from this share of its n-grams on.
 SHARE = 2e-5
@@ -60,10 +60,13 @@ def slots(gram: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class Filters:
-    """For each language a Bloom filter, sliced by bit: slot s holds as bits the languages whose filters have bit s."""
+    """For each language a Bloom filter, sliced by bit: slot s holds as bits the languages whose filters have bit s.
+
+    A slot takes as many 64-bit words as the languages need, 8 MB for every 64. They come most frequent first.
+    """
 
     def __init__(self, grams: dict[str, np.ndarray]):
-        self.languages = sorted(grams)
+        self.languages = list(grams)
         self.tables = np.zeros((-(-len(self.languages) // 64), SLOTS), np.uint64)
         for k, lang in enumerate(self.languages):
             for s in slots(grams[lang]):
@@ -82,8 +85,8 @@ class Filters:
         """For each text the index of its language (-1: no n-gram) and a score.
 
         A language's count c of n contained n-grams, of which a share f is expected to be false, stands for (c - f n) / (1 - f)
-        true ones. N-grams that all languages contain tell nothing and count for none. The largest count decides, the first
-        language where several tie; the score is its share of all languages' counts.
+        true ones. N-grams that all languages contain tell nothing and count for none. The largest count decides, the more
+        frequent language where several tie; the score is its share of all languages' counts.
         """
         words = [self.masks(gram, w) for w in range(len(self.tables))]
         everywhere = np.ones(len(gram), bool)
@@ -108,20 +111,19 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Filters:
-    """Filters of the languages in docs (doc_id, text, lang), from FIT documents of each or so.
+def fit(docs: DataFrame, documents: int = FIT) -> Filters:
+    """Filters of the languages in docs (doc_id, text, lang), however many, from so many documents of each or so.
 
-    The documents are those of the lowest hashes of doc_id, FIT as expected. n-grams are counted on the executors; what comes to the driver are those of a share of SHARE or more, at most 1 / SHARE for each language.
+    The documents are those of the lowest hashes of doc_id and text. n-grams are counted on the executors; what comes to the
+    driver are those of a share of SHARE or more, at most 1 / SHARE for each language.
     """
     docs = docs.where("lang is not null and text is not null")
-    langs = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    counts = written(docs.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    langs = [r["lang"] for r in counts.orderBy(F.desc("_n"), "lang").collect()]
     if not langs:
         return Filters({})
-    rank = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)))
-    slim = docs.where(F.col("lang").isin(langs)).select("lang", rank.alias("rank"))
-    share = {r["lang"]: min(1.0, FIT / r["n"]) for r in slim.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    below = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(-(1 << 63) + v * ((1 << 64) - 1)) if v < 1 else (1 << 63) - 1))])
-    chosen = docs.where(F.col("lang").isin(langs)).where(rank <= below[F.col("lang")]).select("text", "lang")
+    rank = F.xxhash64(F.lit("langid"), "doc_id", "text") / F.lit(2.0**64) + F.lit(0.5)
+    chosen = docs.join(small(counts), "lang").where(rank * F.col("_n") < documents).select("text", "lang")
 
     def run(batches):
         sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -139,22 +141,27 @@ def fit(docs: DataFrame) -> Filters:
 
     sums = written(chosen.mapInArrow(kernels.lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = sums.join(F.broadcast(totals), "lang").where(F.col("n") >= F.lit(SHARE) * F.col("total")).select("lang", "gram").toArrow()
-    lang, gram = np.array(rows["lang"].to_pylist()), rows["gram"].to_numpy().view(np.uint64)
-    return Filters({k: gram[lang == k] for k in langs})
+    rows = sums.join(small(totals), "lang").where(F.col("n") >= F.lit(SHARE) * F.col("total")).select("lang", "gram").toArrow()
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    names, which, gram = coded.dictionary.to_pylist(), coded.indices.to_numpy(), rows["gram"].to_numpy().view(np.uint64)
+    own = {lang: gram[which == k] for k, lang in enumerate(names)}
+    return Filters({lang: own.get(lang, gram[:0]) for lang in langs})
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, documents: int = FIT) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each document (doc_id, text, lang).
 
-    held_out: crc32 of doc_id as text, modulo 4, is 2; the filters are fitted on the others of a non-null lang. The prediction
-    looks at the text alone. Null text, or text without letters: und, score 0; text too short for an n-gram: the first language,
-    with the score of a draw. Null doc_id isn't held out. With no language learned all are
-    und. Repeated rows and other columns pass.
+    held_out: crc32 of doc_id as text, modulo 4, is 2; the filters are fitted on others of a non-null lang, so many of each
+    language as expected. The prediction looks at the text alone, the whole of it.
+
+    Null text, or text without letters: und, score 0. Text too short for an n-gram, and ties: the more frequent language among
+    those fitted on, of equally frequent ones the first by name; the score is that of a draw. Null doc_id isn't held out. With
+    no language learned all are und. Repeated rows are rows; other columns are ignored, whatever their names. Empty table:
+    empty result.
     """
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    filters = fit(docs.where(~held_out()))
+    filters = fit(docs.where(~held_out()), documents)
 
     def run(batches):
         names = np.array([*filters.languages, "und"], object)
