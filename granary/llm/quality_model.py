@@ -1,4 +1,4 @@
-"""Quality classifier by co-training: one model reads a document's words, the other what is known and seen of it from outside.
+"""Quality classifier by co-training: one model reads a document's text, the other what is known of it without the text.
 
 The two views are trained on labelled documents, hand each other the pool's documents that they are sure of, over rounds, are
 calibrated on labelled documents kept aside, and their calibrated views together score all documents.
@@ -10,23 +10,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
 from granary.llm.common import column, small, text_batches, written
 
-#: Labelled documents and unlabelled ones for the exchange, as expected, that the model is fitted on.
+#: Labelled documents and others for the exchange, as expected, that the model is fitted on unless told otherwise.
 LABELLED = 3000
 POOL = 3000
 ROUNDS = 3
 #: Pseudo-labels that a view gives in a round, at most as a share of the pool, and how sure it must be.
 GIVEN = 0.2
 SURE = 0.95
-#: Slots of hashed words, of a word's first and last bytes, of languages and of sources.
-WORDS, EDGES, LANGS, SOURCES = 512, 256, 16, 64
-TEXT = WORDS + 2 * EDGES + 2
-META = LANGS + SOURCES + 10
+#: Slots of hashed words, of a word's first and last bytes, of languages, of sources, and of lengths by half powers of two.
+WORDS, EDGES, LANGS, SOURCES, LENGTHS = 512, 256, 16, 64, 48
+TEXT = WORDS + 2 * EDGES + 11
+META = LANGS + SOURCES + LENGTHS + 1
 
 _KINDS = np.zeros((6, 256), bool)
 _KINDS[0, 65:91] = _KINDS[1, 48:58] = _KINDS[2, 0xC2:] = True
@@ -40,7 +40,7 @@ def _slot(names: list[str | None], slots: int, first: int) -> np.ndarray:
 
 
 def views(data: np.ndarray, offsets: np.ndarray, lang: list[str | None], source: list[str | None], n_chars: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text view, metadata view) of a chunk's texts, a row each."""
+    """(text view, metadata view) of a chunk's texts, a row each. The second looks at lang, source and n_chars alone."""
     texts = len(offsets) - 1
     starts, ends, first = kernels.words(data, offsets)
     n_words = np.diff(first)
@@ -51,19 +51,21 @@ def views(data: np.ndarray, offsets: np.ndarray, lang: list[str | None], source:
     text = np.bincount(place, minlength=texts * TEXT).reshape(texts, TEXT) / np.maximum(n_words, 1)[:, None]
     # words that repeat the one before, and how many of the slots that so many different words would take are taken
     again = np.r_[False, (hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1])]
-    text[:, -2] = kernels.per_text(again, first) / np.maximum(n_words, 1)
-    text[:, -1] = (text[:, :WORDS] > 0).sum(1) / np.maximum(WORDS * (1 - np.exp(-n_words / WORDS)), 1)
+    size = np.diff(offsets)
+    lines = kernels.per_text(data == 10, offsets) + 1
+    looks = [kernels.per_text(again, first) / np.maximum(n_words, 1), (text[:, :WORDS] > 0).sum(1) / np.maximum(WORDS * (1 - np.exp(-n_words / WORDS)), 1)]
+    looks += [np.log1p(lines), np.log1p(size / lines), kernels.per_text(ends - starts, first) / np.maximum(n_words, 1) / 10]
+    looks += [kernels.per_text(kind[data], offsets) / np.maximum(size, 1) for kind in _KINDS]
+    text[:, -len(looks) :] = np.stack(looks, 1)
 
     meta = np.zeros((texts, META))
     every = np.arange(texts)
     meta[every, _slot(lang, LANGS, 0)] = 1
     meta[every, _slot(source, SOURCES, LANGS)] = 1
-    size = np.diff(offsets)
-    lines = kernels.per_text(data == 10, offsets) + 1
-    said = np.array([s if x is None else x for s, x in zip(size, n_chars)], float)
-    outside = [np.log1p(np.maximum(said, 0)), np.log1p(lines), np.log1p(size / lines), kernels.per_text(ends - starts, first) / np.maximum(n_words, 1) / 10]
-    outside += [kernels.per_text(kind[data], offsets) / np.maximum(size, 1) for kind in _KINDS]
-    meta[:, LANGS + SOURCES :] = np.stack(outside, 1)
+    said = np.log2(1 + np.maximum(np.array([-1 if x is None else x for x in n_chars], float), 0))
+    known = np.array([x is not None for x in n_chars], bool)
+    meta[every[known], LANGS + SOURCES + np.minimum(2 * said[known], LENGTHS - 1).astype(int)] = 1
+    meta[:, -1] = said
     return text, meta
 
 
@@ -154,20 +156,39 @@ def _featured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(kernels.lean(run), "label int, aside boolean, text binary, meta binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> CoTrained | None:
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), column(docs, "lang", "string"), column(docs, "source", "string"), column(docs, "n_chars", "long"))
+
+
+def sampled(labels: DataFrame, target: str = "quality", documents: int = LABELLED) -> DataFrame:
+    """(doc_id, label, chosen) of labels (doc_id, target): one row a doc_id, its least label; chosen are about so many of them."""
+    labels = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    labels = written(labels.groupBy("doc_id").agg(F.min("label").alias("label")), "labels")
+    return labels.withColumn("chosen", _draw("label", "doc_id") * F.lit(max(1, labels.count())) < documents)
+
+
+def _draw(seed: str, *of: str) -> Column:
+    """A number from 0 to 1 by a hash of the columns."""
+    return F.xxhash64(F.lit(seed), *of) / F.lit(2.0**64) + F.lit(0.5)
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
     """A model from labels (doc_id, target of 0 or 1) and documents; None if the labelled documents lack either class.
 
-    The labelled sample holds documents whose hash of doc_id lies below the share that LABELLED is of all labels, a quarter of
-    them set aside for calibration by another hash; the pool likewise POOL of all others. The sample's views, about
-    25 MB, are all that comes to the driver. Null labels and ids are ignored; where a doc_id has several, the least counts.
+    About labelled of the labelled doc_ids are drawn by a hash, one row of each (that whose text has the least hash), a quarter
+    of them set aside for calibration; for the pool about so many of all other rows, by a hash of doc_id and text, equal rows
+    once. The sample's views, 8 KB a document, are all that comes to the driver. Null labels and ids are ignored; where a
+    doc_id has several labels, the least counts.
     """
-    hashed = lambda seed: (F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0**64)) + F.lit(0.5)
-    labels = labels.select(F.col("doc_id").cast("long"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"))
-    n_labels, n_docs = labels.count(), docs.count()
-    chosen = written(labels.where(hashed("label") < LABELLED / max(1, n_labels)).withColumnRenamed("doc_id", "_id"), "labels")
-    sample = docs.join(small(chosen, 4 * LABELLED), F.col("doc_id") == F.col("_id"), "left").where(F.col("label").isNotNull() | (hashed("pool") < POOL / max(1, n_docs)))
-    sample = sample.select("text", "lang", "source", "n_chars", "label", (F.col("label").isNotNull() & (hashed("aside") < 0.25)).alias("aside"))
+    docs = _slim(docs)
+    chosen = sampled(labels, target, labelled).where("chosen").select(F.col("doc_id").alias("_id"), "label")
+    n_docs = docs.count()
+    sample = docs.join(small(chosen, 4 * labelled), F.col("doc_id") == F.col("_id"), "left")
+    sample = sample.where(F.col("label").isNotNull() | (_draw("pool", "doc_id", "text") * F.lit(max(1, n_docs)) < pool))
+    sample = sample.withColumn("aside", F.col("label").isNotNull() & (_draw("aside", "doc_id") < 0.25))
+    key = F.when(F.col("label").isNotNull(), F.xxhash64(F.lit(1), "doc_id")).otherwise(F.xxhash64(F.lit(0), "doc_id", "text"))
+    one = F.min_by(F.struct("text", "lang", "source", "n_chars", "label", "aside"), F.struct(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")))
+    sample = sample.groupBy(key.alias("key")).agg(one.alias("one")).select("one.*")
     rows = written(_featured(sample), "views").toArrow()
     label = rows["label"].to_numpy(zero_copy_only=False).astype(float)
     aside = rows["aside"].to_numpy(zero_copy_only=False).astype(bool)
@@ -182,17 +203,20 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> CoTraine
     return co_train((both[0][known], both[1][known]), y, (both[0][~known], both[1][~known]), aside)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """(doc_id, score, kept) of each document (doc_id, text; lang, source and n_chars if there are such columns).
 
-    score is the calibrated probability of good quality by both views, kept whether it is threshold or more. Null or empty
-    texts have no words and are judged by their metadata and their emptiness. Null lang, source and n_chars are values of
-    their own (n_chars: the text's length). Without labels of both classes nothing can be judged: score null, kept true.
-    Repeated rows are judged alike. Empty table: empty result.
+    score is the calibrated probability of good quality by both views, kept whether it is threshold or more (a tie stays).
+    The model is fitted on about labelled of the labelled documents and pool others (see fit); every document is scored, by its
+    whole text.
+
+    Null or empty texts have no words and are judged by their metadata and their emptiness. Null lang, source and n_chars are
+    values of their own. Without labels of both classes nothing can be judged: score null, kept true. Repeated rows are judged
+    alike. Other columns are ignored, whatever their names. Empty table: empty result.
     """
     text_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), column(docs, "lang", "string"), column(docs, "source", "string"), column(docs, "n_chars", "long"))
-    model = fit(docs, labels)
+    docs = _slim(docs)
+    model = fit(docs, labels, labelled=labelled, pool=pool)
     if model is None:
         return docs.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
 
@@ -208,14 +232,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 def _scores(model: CoTrained, batch: pa.RecordBatch):
     """(index of the first, scores) of the batch's documents by chunks."""
     for i, data, offsets in kernels.chunks(batch.column("text")):
-        lang, source, n_chars = (batch.column(c).slice(i, len(offsets) - 1).to_pylist() for c in ("lang", "source", "n_chars"))
+        n = len(offsets) - 1
+        lang, source, n_chars = (batch.column(c).slice(i, n).to_pylist() if c in batch.schema.names else [None] * n for c in ("lang", "source", "n_chars"))
         yield i, np.round(model.score(*views(data, offsets, lang, source, n_chars)), 6)
 
 
-def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source, n_chars and others) that classify keeps; no join, as rows pass whole."""
     text_batches(docs.sparkSession)
-    model = fit(docs, labels)
+    model = fit(docs, labels, labelled=labelled, pool=pool)
     if model is None:
         return docs
 
