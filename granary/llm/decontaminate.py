@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache
+from functools import cache, reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,8 @@ from granary.llm.common import small, written
 #: Fixed masks over consecutive tokens: 1 counts, 0 is ignored. Agreement without any of them is 1100 and 10 in a row, so half of the
 #: tokens and one more at most: every alignment that hits accepts by its defaults has a seed.
 MASKS = ("111", "1101")
-#: Seeds, one for each mask and place of a benchmark text, up to which they are broadcast.
-SEEDS = 2_000_000
+#: Seeds, one for each mask and place of a benchmark text, in a block that is broadcast, about.
+SEEDS = 1_000_000
 #: Tokens of an alignment up to which its least number of seeds is worked out for each length.
 LENGTHS = 64
 #: Tokens of a document whose seeds are made together, which bounds what a long text takes.
@@ -70,48 +70,79 @@ def _needed(masks: Sequence[str], least: float, floor: int, window: int, within:
     return [max(1, x if n < window else min(x, part)) for n, x in enumerate(found)]
 
 
+def _pairs(docs: DataFrame, benchmark: DataFrame, least: float, floor: int, window: int, within: int, masks: Sequence[str]) -> DataFrame:
+    """(key, doc_id, item_id, tokens, matched) of documents (key, doc_id, text): a row for each accepted alignment."""
+    shortest, longest = min(map(len, masks)), max(map(len, masks))
+    items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text").cast("string")).alias("item")).where("item_id is not null and size(item) > 0")
+    # rows of one item_id may hold other texts, so a text has a name of its own
+    items = written(items.withColumn("text_key", F.xxhash64("item")).withColumn("length", F.size("item")).distinct(), "items")
+    seeds = written(_placed(items, "item", masks), "seeds")
+    blocks = max(1, -(-seeds.count() // SEEDS))
+    hashed = docs.select("key", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") >= shortest).withColumn("size", F.size("doc"))
+    segments = hashed.withColumn("base", F.explode(F.sequence(F.lit(0), F.size("doc") - shortest, F.lit(SEGMENT))))
+    segments = segments.select("key", "size", "base", F.slice("doc", F.col("base") + 1, F.lit(SEGMENT + longest - 1)).alias("doc"))
+    each = _placed(segments, "doc", masks).withColumnRenamed("place", "at")
+    common = F.least(F.col("length"), F.col("size") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))
+    needed = F.array(*map(F.lit, _needed(tuple(masks), least, floor, window, within)))
+    aligned = []
+    for k in range(blocks):
+        own = seeds.where(F.pmod(F.col("text_key"), F.lit(blocks)) == k) if blocks > 1 else seeds
+        met = each.join(small(own, 2 * SEEDS), "seed")
+        met = met.groupBy("key", "size", "item_id", "text_key", "length", (F.col("base") + F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"))
+        aligned.append(met.where(F.col("n") >= F.get(needed, F.least(common, F.lit(LENGTHS)))).select("key", "item_id", "text_key", "shift").distinct())
+    met = written(reduce(DataFrame.union, aligned), "alignments")
+
+    again = docs.join(small(met.select(F.col("key").alias("_key")).distinct()), F.col("key") == F.col("_key"), "left_semi").dropDuplicates(["key"])
+    pairs = again.select("key", "doc_id", token_hashes(F.col("text")).alias("doc")).join(met, "key").join(small(items), ["item_id", "text_key"])
+    # the part of the benchmark text that lies within the document
+    pairs = pairs.withColumn("a", F.greatest(F.lit(0), -F.col("shift"))).withColumn("b", F.greatest(F.col("a"), F.least(F.col("length"), F.size("doc") - F.col("shift"))))
+    pairs = pairs.select("key", "doc_id", "item_id", F.col("length").alias("tokens"), F.expr("zip_with(slice(item, a + 1, b - a), slice(doc, shift + a + 1, b - a), (x, y) -> int(x = y))").alias("same"))
+    pairs = pairs.withColumn("matched", F.aggregate("same", F.lit(0), lambda n, x: n + x))
+    part = F.expr(f"exists(sequence(0, size(same) - {window}), i -> aggregate(slice(same, i + 1, {window}), 0, (n, x) -> n + x) >= {within})")
+    enough = (F.col("matched") >= F.lit(least) * F.size("same")) & (F.col("matched") >= F.least(F.lit(floor), F.col("tokens"))) | F.when((F.col("matched") >= within) & (F.size("same") >= window), part)
+    found = pairs.where(enough).select("key", "doc_id", "item_id", "tokens", "matched")
+
+    # texts of fewer tokens than a mask: whole or not at all, so their own hash is the seed
+    for n in sorted(r.length for r in items.where(F.col("length") < shortest).select("length").distinct().collect()):
+        named = lambda t: F.expr(f"transform(sequence(0, size({t}) - {n}), i -> xxhash64(slice({t}, i + 1, {n})))")
+        own = items.where(F.col("length") == n).select("item_id", named("item")[0].alias("seed"))
+        there = docs.select("key", "doc_id", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") >= n).select("key", "doc_id", F.explode(F.array_distinct(named("doc"))).alias("seed"))
+        found = found.union(there.join(small(own, SEEDS), "seed").select("key", "doc_id", "item_id", F.lit(n), F.lit(n)))
+    return found
+
+
+def _keyed(docs: DataFrame) -> Column:
+    """Names a row by id and text, so that rows without id, and rows of one id, are told apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int = 8, window: int = 13, within: int = 11, masks: Sequence[str] = MASKS) -> DataFrame:
     """(doc_id, item_id, tokens, matched): the benchmark texts that documents hold, with substitutions at most.
 
     docs: doc_id, text; benchmark: item_id, text. A seed found in both fixes how the two texts lie on each other; along that
     alignment the tokens are compared, whatever lies between seeds. The pair is reported if a whole benchmark text, or what of
     it the document's ends leave, agrees in a share of least, and in floor tokens or more (all of it, if it has fewer); or if
-    a part of it does: within tokens of some window of them. matched is the best alignment's count, tokens the benchmark
-    text's length. Benchmark texts of fewer tokens than the shortest mask can't be found.
+    a part of it does: within tokens of some window of them. matched is the best alignment's count (of equal ones that of the
+    longest text), tokens the benchmark text's length. With the default masks no such alignment is without a seed.
 
     Null and empty texts have no tokens and are in no pair. Documents and benchmark texts without an id can't be named and are
-    left out. Repeated rows of a document give one pair. Empty tables: empty result.
-
-    The seeds of documents, in segments of SEGMENT tokens, are looked up in a broadcast table of the benchmark's seeds as long
-    as a count shows that it is small (SEEDS), else by a shuffle on the seeds; equal alignments are put together before they
-    move. Alignments with fewer seeds than any accepted one of their length has are dropped, and only the documents of the
-    others are read again and compared.
+    left out (clean takes such documents into account). Repeated rows of a document give one pair; rows of one item_id with
+    other texts are looked for each. Texts are searched whole, however long. Other columns are ignored, whatever their names.
+    Empty tables: empty result.
+
+    The seeds of documents, in segments of SEGMENT tokens, are looked up in a broadcast table of the benchmark's seeds, in
+    blocks of whole benchmark texts of about SEEDS seeds, with a pass over the documents for each; equal alignments are put
+    together before they move. Alignments with fewer seeds than any accepted one of their length has are dropped, and only the
+    documents of the others are read again and compared. Benchmark texts shorter than a mask are looked up by their own hash.
     """
-    shortest, longest = min(map(len, masks)), max(map(len, masks))
-    items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text").cast("string")).alias("item")).where("item_id is not null")
-    seeds = written(_placed(items.withColumn("length", F.size("item")), "item", masks), "seeds")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("doc")).where(F.size("doc") >= shortest).withColumn("size", F.size("doc"))
-    segments = hashed.withColumn("base", F.explode(F.sequence(F.lit(0), F.size("doc") - shortest, F.lit(SEGMENT))))
-    segments = segments.select("doc_id", "size", "base", F.slice("doc", F.col("base") + 1, F.lit(SEGMENT + longest - 1)).alias("doc"))
-    met = _placed(segments, "doc", masks).withColumnRenamed("place", "at").join(small(seeds, SEEDS), "seed")
-    met = met.groupBy("doc_id", "size", "item_id", "length", (F.col("base") + F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"))
-    common = F.least(F.col("length"), F.col("size") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))
-    needed = F.array(*map(F.lit, _needed(tuple(masks), least, floor, window, within)))
-    met = written(met.where(F.col("n") >= F.get(needed, F.least(common, F.lit(LENGTHS)))).select("doc_id", "item_id", "shift").distinct(), "alignments")
-
-    again = docs.join(small(met.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    pairs = again.select("doc_id", token_hashes(F.col("text")).alias("doc")).join(met, "doc_id").join(small(items), "item_id")
-    # the part of the benchmark text that lies within the document
-    pairs = pairs.withColumn("a", F.greatest(F.lit(0), -F.col("shift"))).withColumn("b", F.least(F.size("item"), F.size("doc") - F.col("shift"))).where("b > a")
-    pairs = pairs.select("doc_id", "item_id", F.size("item").alias("tokens"), F.expr("zip_with(slice(item, a + 1, b - a), slice(doc, shift + a + 1, b - a), (x, y) -> int(x = y))").alias("same"))
-    pairs = pairs.withColumn("matched", F.aggregate("same", F.lit(0), lambda n, x: n + x))
-    part = F.expr(f"exists(sequence(0, size(same) - {window}), i -> aggregate(slice(same, i + 1, {window}), 0, (n, x) -> n + x) >= {within})")
-    enough = (F.col("matched") >= F.lit(least) * F.size("same")) & (F.col("matched") >= F.least(F.lit(floor), F.col("tokens"))) | F.when((F.col("matched") >= within) & (F.size("same") >= window), part)
-    return pairs.where(enough).groupBy("doc_id", "item_id").agg(F.max("tokens").cast("long").alias("tokens"), F.max("matched").cast("long").alias("matched"))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    found = _pairs(own.select(_keyed(own).alias("key"), "doc_id", "text"), benchmark, least, floor, window, within, masks)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "tokens")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.tokens").cast("long").alias("tokens"), F.col("best.matched").cast("long").alias("matched"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark text; columns as before. Documents of null doc_id stay."""
-    bad = written(hits(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), "leaks")
-    return docs.join(small(bad), docs["doc_id"] == bad["_id"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, floor: int = 8, window: int = 13, within: int = 11, masks: Sequence[str] = MASKS) -> DataFrame:
+    """docs without the rows that hold a benchmark text, with or without doc_id; columns as before."""
+    own = docs.select(_keyed(docs).alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bad = written(_pairs(own, benchmark, least, floor, window, within, masks).select(F.col("key").alias("_leak_key")).distinct(), "leaks")
+    return docs.join(small(bad), _keyed(docs) == F.col("_leak_key"), "left_anti")

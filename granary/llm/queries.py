@@ -100,6 +100,27 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM b
     """,
+    # all alignments in which a token agrees; seeds play no part
+    "op6_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+            FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+        b AS (
+            SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        dt AS (SELECT doc_id, t AS doc, len(t) AS size, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM d),
+        bt AS (SELECT item_id, t AS item, len(t) AS tokens, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM b),
+        met AS (
+            SELECT doc_id, size, hash(doc) AS h, item_id, item, tokens, dt.p - bt.p AS shift, count(*) AS matched, list(bt.p ORDER BY bt.p) AS places
+            FROM dt JOIN bt USING (token) GROUP BY ALL HAVING count(*) >= least(8, tokens)),
+        fit AS (SELECT *, least(tokens, size - shift) - greatest(0, -shift) AS common FROM met),
+        best AS (
+            SELECT doc_id, item_id, max({'m': matched, 't': tokens}) AS best FROM fit
+            WHERE matched >= 0.6::DOUBLE * common
+                OR (common >= 13 AND len(list_filter(range(1, len(places) - 9), lambda k: places[k + 10] - places[k] <= 12)) > 0)
+            GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, best.t::BIGINT AS tokens, best.m::BIGINT AS matched FROM best
+    """,
     "op10_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
