@@ -17,12 +17,15 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which all executors and the driver see.
 
-    Where the setting is absent (tests, one machine) the context's own checkpoint folder is used, or a temporary one is set.
+    Where the setting is absent the context's own checkpoint folder is used; on one machine (local mode: tests) a temporary one
+    is set, on a cluster that is an error, as executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -34,7 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written made of each, once nothing will read it again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,7 +88,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
         star = star.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = written(star.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        last, pairs = pairs, written(star.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        discard(last)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -2,13 +2,16 @@
 
 The source plans a partition for each file, takes down filters on record types and header fields, and parses a record's
 header before anything of its payload: a record that a filter leaves out is skipped over, one whose payload no column needs is
-not decoded. Archives are plain (`.warc`, skipped over by seeking) or have a gzip member for each record (`.warc.gz`).
+not decoded. Archives are plain (`.warc`) or have a gzip member for each record (`.warc.gz`). In both, what is left out is
+skipped by seeking: members written here say in their gzip header how long they are (subfield `sl`: compressed and inflated
+length), so of a skipped one no more than the record's header is inflated. Members without it are inflated and dropped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from pyspark.sql.types import StructType
 
 from granary.llm import kernels
-from granary.llm.common import shared_dir, small, text_batches, written
+from granary.llm.common import BROADCAST_ROWS, shared_dir, text_batches, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, page_id long, payload_bytes long, headers map<string,string>, payload binary"
 # Header fields of the columns.
@@ -35,6 +38,8 @@ NUMBERS = {"content_length", "page_id", "payload_bytes"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes read at once.
 BLOCK = 1 << 18
+#: Bytes of a gzip member inflated at once in search of a record's header.
+HEAD = 1 << 10
 
 
 def digest(payload: bytes) -> str:
@@ -53,18 +58,28 @@ def record(headers: dict[str, str], payload: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
 
 
+def member(raw: bytes, level: int = 1) -> bytes:
+    """raw as a gzip member whose header says how long it is (lengths beyond 32 bits are left out)."""
+    stream = zlib.compressobj(level, wbits=-15)
+    body = stream.compress(raw) + stream.flush()
+    total = 24 + len(body) + 8
+    said = total <= 0xFFFFFFFF and len(raw) <= 0xFFFFFFFF
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0" + struct.pack("<II", total, len(raw)) if said else b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
 class Plain:
     """Records of a plain archive: the header's bytes first; then the payload is read or skipped."""
 
-    def __init__(self, file):
-        self.file, self.held = file, b""
+    def __init__(self, file, step: int = BLOCK):
+        self.file, self.held, self.step = file, b"", step
 
     def head(self) -> bytes | None:
         while (end := self.held.find(b"\r\n\r\n")) < 0 or not self.held.lstrip(b"\r\n"):
             if end == 0:  # what ends a record
                 self.held = self.held[4:]
                 continue
-            if not (more := self.file.read(BLOCK)):
+            if not (more := self.file.read(self.step)):
                 if self.held.strip(b"\r\n"):
                     raise ValueError("a record's header is cut off")
                 return None
@@ -86,7 +101,7 @@ class Plain:
         parts = [self.held[:n]]
         self.held, left = self.held[n:], n - len(parts[0])
         while left:
-            if not (more := self.file.read(max(left, BLOCK))):
+            if not (more := self.file.read(max(left, self.step))):
                 raise ValueError("a record's payload is cut off")
             parts.append(more[:left])
             self.held = more[left:]
@@ -95,30 +110,62 @@ class Plain:
 
 
 class Inflated:
-    """What Plain needs of a file, over gzip members; seeking forward drops what it inflates."""
+    """What Plain needs of a file, over gzip members. Seeking forward jumps over members that say their length."""
 
     def __init__(self, file):
-        self.file, self.stream, self.rest, self.at = file, zlib.decompressobj(31), b"", 0
+        self.file, self.held, self.offset, self.use = file, b"", 0, 0  # bytes of the file, where they begin, how many are used
+        self.stream, self.at, self.inflated = None, 0, 0
+        self.end: tuple[int, int] | None = None  # of the member: in the file, and inflated
+
+    def _fill(self, least: int) -> int:
+        """Holds so many unused bytes, if the file has them; how many there are."""
+        while len(self.held) - self.use < least:
+            if not (more := self.file.read(BLOCK)):
+                break
+            self.held, self.offset, self.use = self.held[self.use :] + more, self.offset + self.use, 0
+        return len(self.held) - self.use
+
+    def _begin(self) -> bool:
+        """Whether there is another member; its header is looked at, not used."""
+        if not self._fill(24):
+            return False
+        head = self.held[self.use : self.use + 24]
+        self.stream, self.end = zlib.decompressobj(31), None
+        if len(head) == 24 and head[3] & 4 and head[12:16] == b"sl\x08\0":
+            total, size = struct.unpack_from("<II", head, 16)
+            self.end = self.offset + self.use + total, self.at + size
+        return True
 
     def read(self, n: int) -> bytes:
-        while True:
-            raw = self.rest or self.file.read(BLOCK)
-            if not raw:
+        while self.stream or self._begin():
+            if not self._fill(1):
                 return b""
-            out = self.stream.decompress(raw, n)
-            self.rest = self.stream.unconsumed_tail
+            upto = min(len(self.held), self.end[0] - self.offset) if self.end else len(self.held)
+            part = memoryview(self.held)[self.use : upto]
+            out = self.stream.decompress(part, n)
+            self.use += len(part) - len(self.stream.unconsumed_tail) - len(self.stream.unused_data)
             if self.stream.eof:
-                self.rest, self.stream = self.stream.unused_data, zlib.decompressobj(31)
+                self.stream = None
             if out:
                 self.at += len(out)
+                self.inflated += len(out)
                 return out
+        return b""
 
     def tell(self) -> int:
         return self.at
 
     def seek(self, to: int) -> None:
-        while self.at < to and self.read(min(BLOCK, to - self.at)):
-            pass
+        while self.at < to and (self.stream or self._begin()):
+            if self.end and to >= self.end[1]:
+                place, self.at, self.stream = *self.end, None
+                if place > self.offset + len(self.held):
+                    self.file.seek(place)
+                    self.held, self.offset, self.use = b"", place, 0
+                else:
+                    self.use = place - self.offset
+            elif not self.read(min(BLOCK, to - self.at)):
+                break
 
 
 def parse(head: bytes) -> dict[str, str]:
@@ -177,14 +224,14 @@ class WarcReader(DataSourceReader):
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
         payload = "payload" in self.names
         with fs.open_input_file(path) as raw:
-            archive = Plain(Inflated(raw) if path.endswith(".gz") else raw)
+            archive = Plain(Inflated(raw), HEAD) if path.endswith(".gz") else Plain(raw)
             while (head := archive.head()) is not None:
                 fields = parse(head)
                 length = int(fields["content-length"])
                 row = {c: fields.get(h.lower()) for c, h in FIELDS.items()}
                 row |= {c: int(row[c]) if row[c] is not None else None for c in NUMBERS}
                 if any(row[c] is None or (own is not None and row[c] not in own) for c, own in self.wanted):
-                    archive.skip(length)
+                    archive.skip(length + 4)  # two line ends belong to every record
                     continue
                 row["headers"] = fields
                 if payload:
@@ -192,7 +239,7 @@ class WarcReader(DataSourceReader):
                     if fields.get("warc-type") == "response" and (said := fields.get("warc-payload-digest", "")).startswith("sha1:") and said[5:] != digest(row["payload"]):
                         raise ValueError(f"the payload of {fields.get('warc-record-id')} is damaged")
                 else:
-                    archive.skip(length)
+                    archive.skip(length + 4)
                 yield tuple(row[c] for c in self.names)
 
     def read(self, partition):
@@ -247,18 +294,25 @@ def write_warc(pages: DataFrame, folder: str | None = None, threshold: int = 0,
     payloads are all responses. A null page_id is smaller than any other; where all of a group are null, all are responses.
     Repeated rows are a record each. A null url has no target. Empty table: no archive.
 
-    Only digests are grouped; those with several pages are joined back (as a broadcast if a count shows that they are few).
-    Each task writes one archive under its attempt's name and moves it into place.
+    Payloads are written whole, however long. Other columns are ignored, whatever their names. Only digests are grouped. Those
+    with several pages go to the pages as a broadcast if a count shows that they are few; else revisits are found over page_id
+    and digest alone and joined to the pages by both, so that a payload of very many pages is no hot key. Each task writes one
+    archive under its attempt's name and moves it into place.
     """
     spark = pages.sparkSession
     text_batches(spark)
     folder = folder or shared_dir(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = F.unhex(F.sha1(F.col("html").cast("binary")))
-    groups = pages.select("page_id", own.alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= threshold)
-    groups = written(groups.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
-    rows = pages.withColumn("sha", own).join(small(groups), "sha", "left").select("page_id", "url", "html", "first")
-    rows = rows.select("page_id", "url", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"), "html")
+    slim = pages.select("page_id", own.alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= threshold)
+    groups = written(slim.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
+    other = ~F.col("page_id").eqNullSafe(F.col("first"))
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = pages.withColumn("sha", own).join(F.broadcast(groups), "sha", "left").withColumn("refers_to", F.when(other, F.col("first")))
+    else:
+        revisits = slim.join(groups, "sha").where(other & F.col("first").isNotNull()).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to")).distinct()
+        rows = pages.withColumn("sha", own).join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
+    rows = rows.select("page_id", "url", "refers_to", "html")
 
     def write(batches):
         out = trial = None
@@ -282,10 +336,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, threshold: int = 0,
                     headers |= {"WARC-Refers-To": record_id(refers_to, sha), "WARC-Profile": REVISIT_PROFILE, "X-Refers-To-Page-ID": str(refers_to)}
                     payload = b""
                 raw = record(headers, payload)
-                if compress:
-                    stream = zlib.compressobj(level, wbits=31)
-                    raw = stream.compress(raw) + stream.flush()
-                out.write(raw)
+                out.write(member(raw, level) if compress else raw)
                 n += 1
         if out is not None:
             out.close()

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,42 @@ def test_warc_round_trip(spark, compress):
     assert warc.read_warc(spark, folder, ["page_id", "target_uri"]).where("page_id = 3").first().target_uri == "http://c/ X: y"
 
 
+def test_skipped_members_are_not_inflated(spark, monkeypatch):
+    rows = [(i, "u", f"{i} " + "x" * 300_000) for i in range(8)]
+    folder = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    fs, root = tokens.filesystem(folder)
+    name = [x.path for x in fs.get_file_info(pa.fs.FileSelector(root)) if x.base_name.endswith(".gz")][0]
+    with fs.open_input_file(name) as raw:
+        file = warc.Inflated(raw)
+        archive = warc.Plain(file, warc.HEAD)
+        seen = 0
+        while (head := archive.head()) is not None:
+            length = int(warc.parse(head)["content-length"])
+            if seen == 5:
+                assert archive.read(length) == rows[int(warc.parse(head)["x-page-id"])][2].encode()
+            else:
+                archive.skip(length + 4)
+            seen += 1
+    assert seen == 8 and file.inflated < 300_000 + 9 * 2 * warc.HEAD
+    with fs.open_input_stream(name, compression="gzip") as whole:  # ordinary gzip to others
+        assert whole.read().count(b"WARC/1.1") == 8
+    # members that don't say their length, and a whole archive in one
+    plain = [warc.record({"WARC-Type": "response", "X-Page-ID": str(i)}, b"y" * 5000) for i in range(4)]
+    for raw in (b"".join(zlib.compress(x, wbits=31) for x in plain), zlib.compress(b"".join(plain), wbits=31)):
+        archive, ids = warc.Plain(warc.Inflated(io.BytesIO(raw)), warc.HEAD), []
+        while (head := archive.head()) is not None:
+            ids.append(int(warc.parse(head)["x-page-id"]))
+            archive.skip(5004)
+        assert ids == [0, 1, 2, 3]
+
+
+def test_warc_of_many_groups(spark, monkeypatch):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    want = sorted(map(str, warc.archived(spark, warc.write_warc(df)).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, warc.archived(spark, warc.write_warc(df)).collect())) == want
+
+
 def test_warc_threshold_empty_and_damage(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     folder = warc.write_warc(df, threshold=9)
