@@ -1,7 +1,7 @@
 """N-gram Jaccard join: exact links between documents whose sets of word shingles overlap, by prefix trees.
 
-1. Each text becomes its sorted set of 64-bit shingle hashes. Equal sets are one class, represented by its smallest doc_id;
-   copies are never paired.
+1. Each text becomes its sorted set of 64-bit shingle hashes. Equal sets are one class, named by a hash of the set; copies
+   are never paired.
 2. A filter leaves out classes that can't have a partner. Two sets with Jaccard similarity t or more, the smaller of n,
    share at least ceil(t n) shingles; so of the n - ceil(t n) + e smallest ones by hash of either at least e are in both
    lists. A class survives if e or more of its list are found in another class's list. That is counted in hash ranges; a
@@ -13,6 +13,11 @@
    are split by hash into parts, and each pair of parts is a task of its own, so that memory is bounded; only degrees and
    the edges of a spanning forest leave a task.
 5. Components of those edges give each document its class.
+
+Where links needn't be counted, most pairs of a large group are left out: a part is walked by a few sets first (hubs), whose
+links put most of a group into one component, then only by the sets outside the largest component. Parts of one block are
+connected by the hubs of its largest components, sent to each part, and only what is still outside the block's largest
+component meets all parts.
 """
 
 from __future__ import annotations
@@ -21,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels
-from granary.llm.common import components, small, text_batches, written
+from granary.llm.common import components, discard, small, text_batches, written
 
 #: Shingles in one part of a block, about.
-PART = 400_000
+PART = 200_000
+#: Sets whose links are looked for first where links aren't counted: in a part, and of a block in each of its parts.
+HUBS = 8
 #: Hash ranges of the filter, and the shingles in one, about, above which there are more.
 RANGES = 64
 RANGE = 2_000_000
@@ -147,19 +154,20 @@ def _met(spread: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles) of documents (doc_id, text, key); rows whose text has another key are left out."""
+    """(name, shingles) of texts (text, key), named by the key's first half; rows whose text has another key than a given one
+    are left out."""
 
     def run(batches):
         for batch in batches:
-            for i, data, offsets in kernels.chunks(batch.column(1)):
-                keys = batch.column(2).slice(i, len(offsets) - 1).to_pylist()
-                rows = [(k, s) for k, (s, key) in enumerate(zip(kernels.shingle_sets(data, offsets, n), keys)) if set_key(s) == key]
+            for i, data, offsets in kernels.chunks(batch.column(0)):
+                keys = batch.column(1).slice(i, len(offsets) - 1).to_pylist()
+                rows = [(k, s) for s, key in zip(kernels.shingle_sets(data, offsets, n), keys) if len(s) for k in [set_key(s)] if key is None or k == key]
                 flat = np.concatenate([s for _, s in rows] or [np.zeros(0, np.uint64)]).view(np.int64)
                 where = np.cumsum([0, *(len(s) for _, s in rows)])
-                ids = batch.column(0).slice(i).take(pa.array([k for k, _ in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat))], ["doc_id", "shingles"])
+                names = np.frombuffer(b"".join(k[:8] for k, _ in rows), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat))], ["name", "shingles"])
 
-    return docs.select("doc_id", "text", "key").mapInArrow(kernels.lean(run), "doc_id long, shingles array<long>")
+    return docs.select("text", "key").mapInArrow(kernels.lean(run), "name long, shingles array<long>")
 
 
 class PrefixTree:
@@ -191,16 +199,29 @@ class PrefixTree:
         # what a probe must reach at depth 0 for a set to be linked with it, if all the set's shingles were shared
         self.bound = num * self.sizes - (num + den) * lengths
 
-    def links(self, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """(set, the later sets that it is linked with), as positions in the sorted list; side: only between unlike sides."""
+    def linked(self, i: int) -> np.ndarray:
+        """All sets that one is linked with, as positions in the sorted list."""
+        overlap = np.bincount(np.concatenate([self.owners[t] for t in self.sets[i]]), minlength=len(self.sets))
+        found = (self.num + self.den) * overlap >= self.num * (self.sizes + self.sizes[i])
+        found[i] = False
+        return np.flatnonzero(found)
+
+    def links(self, side: np.ndarray | None = None, probes: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(set, the later sets that it is linked with), as positions in the sorted list; side: only between unlike sides.
+
+        probes: only sets so marked walk the trie, and meet the earlier ones that don't as well.
+        """
         m, both = len(self.sets), self.num + self.den
-        ahead = np.arange(m)
+        others = np.arange(m) if probes is None else np.where(probes, np.arange(m), m)
         side = None if side is None else np.asarray(side)[self.order]
         stack = [(0, np.zeros(m, np.int64))]
         i = 0
         while i < m:
             while stack[-1][0] > self.prefix[i]:
                 stack.pop()
+            if probes is not None and not probes[i]:
+                i += 1
+                continue
             depth, overlap = stack[-1]
             s, subtree = self.sets[i], None
             while depth < len(s):
@@ -212,8 +233,7 @@ class PrefixTree:
                 end = i + 1
                 while end < m and self.prefix[end] >= depth:
                     end += 1
-                able = both * (overlap - depth) - self.num * self.sizes >= self.bound[i:end].min()
-                able[: i + 1] = False
+                able = (both * (overlap - depth) - self.num * self.sizes >= self.bound[i:end].min()) & (others > i)
                 if side is not None and end == i + 1:
                     able &= side != side[i]
                 if not able.any():
@@ -221,7 +241,7 @@ class PrefixTree:
                     break
             if subtree is None:
                 stack.append((depth, overlap))
-                found = (ahead > i) & (both * overlap >= self.num * (self.sizes + self.sizes[i]))
+                found = (others > i) & (both * overlap >= self.num * (self.sizes + self.sizes[i]))
                 if side is not None:
                     found &= side != side[i]
                 if found.any():
@@ -231,36 +251,110 @@ class PrefixTree:
                 i = subtree
 
 
-def _joined(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of each set of a task: how many documents it is linked with, and a set of its component within the task."""
-    ids, copies = table["doc_id"].to_numpy(), table["copies"].to_numpy()
+class Forest:
+    """Components of a task's sets, by position."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def merge(self, i: int, found: np.ndarray) -> None:
+        tops = np.unique(self.root[np.r_[i, found]])
+        if len(tops) > 1:
+            self.root[np.isin(self.root, tops)] = tops[0]
+
+
+def _tree(table: pa.Table, num: int, den: int) -> PrefixTree:
     lists = table["shingles"].combine_chunks()
     flat, where = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-    tree = PrefixTree([flat[a:b] for a, b in zip(where[:-1], where[1:])], table["n"].to_numpy(), num, den)
+    return PrefixTree([flat[a:b] for a, b in zip(where[:-1], where[1:])], table["n"].to_numpy(), num, den)
+
+
+def _joined(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of each set of a task: how many documents it is linked with, and a set of its component within the task."""
+    tree = _tree(table, num, den)
+    names, copies = table["name"].to_numpy()[tree.order], table["copies"].to_numpy()[tree.order]
     cross = table["a"][0].as_py() != table["b"][0].as_py()
-    ids, copies = ids[tree.order], copies[tree.order]
-    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    links, forest = np.zeros(len(names), np.int64), Forest(len(names))
     for i, found in tree.links(table["part"].to_numpy() if cross else None):
         links[i] += copies[found].sum()
         links[found] += copies[i]
-        tops = np.unique(root[np.r_[i, found]])
-        if len(tops) > 1:
-            root[np.isin(root, tops)] = tops[0]
+        forest.merge(i, found)
     keep = links > 0
-    return pa.table({"doc_id": ids[keep], "links": links[keep], "root": ids[root[keep]]})
-
-
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    return pa.table({"name": names[keep], "links": links[keep], "root": names[forest.root[keep]]})
+
+
+def _connected(table: pa.Table, num: int, den: int) -> pa.Table:
+    """(name, root) of a task's sets: a set of its component within the task. Sets marked probe are those that walk the trie;
+    where all are, hubs do so first, and then only those outside the largest component."""
+    tree = _tree(table, num, den)
+    names, probes = table["name"].to_numpy()[tree.order], table["probe"].to_numpy(zero_copy_only=False)[tree.order]
+    forest = Forest(len(names))
+    if probes.all():
+        free = np.ones(len(names), bool)
+        for _ in range(HUBS):
+            i = int(free.argmax())
+            if not free[i]:
+                break
+            found = tree.linked(i)
+            forest.merge(i, found)
+            free[i] = free[found] = False
+        tops, sizes = np.unique(forest.root, return_counts=True)
+        probes = forest.root != tops[sizes.argmax()]
+    for i, found in tree.links(probes=probes):
+        forest.merge(i, found)
+    return pa.table({"name": names, "root": names[forest.root]})
+
+
+def _edges(lists: DataFrame, percent: int) -> DataFrame:
+    """(name, root): edges that connect what links connect, of sets (component, part, parts, name, n, shingles)."""
+    task = lambda t: _connected(t, percent, 100)
+    columns = ("component", "part", "parts", "name", "n", "shingles", "probe")
+    own = written(lists.withColumn("probe", F.lit(True)).select(*columns).groupBy("component", "part").applyInArrow(task, "name long, root long"), "within")
+    several = lists.where("parts > 1")
+    if not several.limit(1).count():
+        return own.where("name <> root")
+    # the hubs of a block: sets that stand for its parts' largest components; each part's sets meet them all
+    sizes = several.select("component", "part", "name").join(own, "name").groupBy("component", "part", "root").agg(F.count("*").alias("size"))
+    largest = Window.partitionBy("component").orderBy(F.desc("size"), "root")
+    hubs = sizes.withColumn("k", F.row_number().over(largest)).where(F.col("k") <= HUBS).select("component", F.col("root").alias("name"))
+    hubs = written(several.join(small(written(hubs, "hub-names")), ["component", "name"], "left_semi"), "hubs")
+    sent = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
+    met = several.join(small(hubs.select("name")), "name", "left_anti").withColumn("probe", F.lit(False)).select(*columns).union(sent.select(*columns))
+    near = written(met.groupBy("component", "part").applyInArrow(task, "name long, root long"), "hub-links")
+    # what isn't in its block's largest component yet meets all parts
+    edges = own.union(near).where("name <> root")
+    found = components(edges, "name", "root").withColumnRenamed("id", "name").withColumnRenamed("component", "label")
+    labelled = several.join(found, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    sums = labelled.groupBy("component", "label").agg(F.count("*").alias("size"))
+    main = sums.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    outside = written(labelled.join(main, "component").where("label <> main").drop("label", "main"), "outside")
+    if not outside.limit(1).count():
+        return edges
+    turns = outside.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(PART)).cast("int").alias("turns"))
+    walk = outside.join(turns, "component").withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "name"), F.col("turns")).cast("int"))
+    walk = walk.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
+    still = several.join(turns, "component").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    still = still.join(outside.select("name"), "name", "left_anti").withColumn("probe", F.lit(False))
+    # outside sets of the same turn meet in its tasks, those of unlike turns where they lie in the other's part
+    walk_all = walk.select(*columns, "turn").union(still.select(*columns, "turn"))
+    across = outside.join(turns, "component").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    across = across.where(F.col("turn") != F.pmod(F.xxhash64(F.lit(1), "name"), F.col("turns"))).withColumn("probe", F.lit(False))
+    last = walk_all.union(across.select(*columns, "turn")).groupBy("component", "part", "turn").applyInArrow(task, "name long, root long")
+    return edges.union(written(last, "outside-links").where("name <> root"))
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
     """Classes of documents linked by Jaccard similarity: (doc_id, n_shingles, n_links, component_id) for each row of docs.
 
-    docs: doc_id, text; other columns are ignored. A-Z are lower-cased, words are runs of anything but ASCII white space, the
-    set is that of distinct windows of n words (fewer words: all of them as one). Two documents link if
-    100 * intersection >= percent * union. n_links counts the other documents linked with it, copies included;
-    component_id is the smallest doc_id reachable, its own included.
+    docs: doc_id, text; other columns are ignored, whatever their names. A-Z are lower-cased, words are runs of anything but
+    ASCII white space, the set is that of distinct windows of n words (fewer words: all of them as one). Two documents link if
+    100 * intersection >= percent * union (a tie links). n_links counts the other documents linked with it, copies included;
+    component_id is the smallest doc_id reachable, its own included. Without links n_links is left out, and groups of very
+    many near copies take time in proportion to their size, not to its square.
 
-    Null or empty texts, or such without words: n_shingles 0, no link, component_id is their doc_id. Null doc_id: counted as
-    a copy in its class, never a representative; a class without any doc_id has component_id null and no links but copies.
-    Repeated rows are copies of each other. Empty table: empty result.
+    Null or empty texts, or such without words: n_shingles 0, no link, component_id is their doc_id. Null doc_id: counted and
+    linked like others, never a representative; component_id is null only if no doc_id is reachable. Repeated rows are copies
+    of each other. Texts are taken whole, however long. Empty table: empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -271,37 +365,45 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("half").alias("half"))
     classes = written(classes, "classes")
     least = F.expr(f"1 + cast(ceil(n * {percent} / 100D) as long) div 10")
-    alive = classes.join(_met(_spread(docs, n, percent, 100, ranges)), "half").where(F.col("met") >= least).where("rep is not null")
-    alive = written(alive.select("rep", "key", "n", "copies"), "alive")
-    sets = _sets(docs.join(small(alive), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key"), n)
-    if seen.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        sets = sets.dropDuplicates(["doc_id"])
-    sets = written(sets, "survivors")
-
-    each = sets.select("doc_id", F.explode("shingles").alias("s"))
+    alive = classes.join(_met(_spread(docs, n, percent, 100, ranges)), "half").where(F.col("met") >= least)
+    alive = written(alive.select(F.col("half").alias("name"), "rep", "key", "n", "copies"), "alive")
+    of_ids = docs.join(small(alive.where("rep is not null").select("rep", "key")), F.col("doc_id") == F.col("rep")).select("text", "key")
+    sets = _sets(of_ids, n)
+    again = seen.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+    if alive.where("rep is null").limit(1).count():  # classes without any doc_id: looked for among the texts without
+        unnamed = _sets(docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("key")), n)
+        sets, again = sets.union(unnamed.join(small(alive.where("rep is null").select("name")), "name", "left_semi")), True
+    sets = written(sets.dropDuplicates(["name"]) if again else sets, "survivors")
+
+    each = sets.select("name", F.explode("shingles").alias("s"))
     shared = each.join(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
-    lists = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("shingles"))
-    lists = lists.join(alive.select(F.col("rep").alias("doc_id"), "n", "copies"), "doc_id")
+    lists = shared.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("shingles"))
+    lists = lists.join(alive.select("name", "n", "copies"), "name")
     lists = lists.withColumn("first", F.expr(f"n - cast(ceil(n * {percent} / 100D) as long) + 1 - (n - size(shingles))")).where("first > 0")
     lists = written(lists, "lists")
-    heads = lists.select("doc_id", F.explode(F.slice("shingles", 1, F.col("first").cast("int"))).alias("s"))
-    blocks = written(components(heads.join(heads.groupBy("s").agg(F.min("doc_id").alias("low")), "s").select("doc_id", "low"), "doc_id", "low"), "blocks")
-    lists = lists.join(blocks.withColumnRenamed("id", "doc_id"), "doc_id")
+    discard(sets)
+    heads = lists.select("name", F.explode(F.slice("shingles", 1, F.col("first").cast("int"))).alias("s"))
+    blocks = components(heads.join(heads.groupBy("s").agg(F.min("name").alias("low")), "s").select("name", "low"), "name", "low")
+    lists = lists.join(blocks.withColumnRenamed("id", "name"), "name")
     parts = lists.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(PART)).cast("int").alias("parts"))
-    tasks = lists.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = tasks.select("component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "doc_id", "n", "copies", "part", "shingles")
-    joined = tasks.groupBy("component", "a", "b").applyInArrow(lambda t: _joined(t, percent, 100), "doc_id long, links long, root long")
-    joined = written(joined, "joined")
-    found = components(joined.where("doc_id <> root"), "doc_id", "root").withColumnRenamed("id", "rep")
-    found = found.join(joined.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
-    classes = classes.select("key", "rep", "copies").join(found, "rep", "left")
-    out = seen.drop("half").join(classes, "key", "left")
-    return out.select(
-        "doc_id", "n_shingles",
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
-    )
+    lists = lists.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    if links:
+        tasks = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tasks = tasks.select("component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "name", "n", "copies", "part", "shingles")
+        joined = tasks.groupBy("component", "a", "b").applyInArrow(lambda t: _joined(t, percent, 100), "name long, links long, root long")
+        joined = written(joined, "joined")
+        edges = joined.where("name <> root").select("name", "root")
+    else:
+        edges = _edges(written(lists.select("component", "part", "parts", "name", "n", "shingles"), "parts"), percent)
+    found = components(edges, "name", "root").withColumnRenamed("id", "half")
+    found = classes.select("key", "half", "rep", "copies").join(found, "half", "left")
+    low = found.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
+    found = found.join(low, "component", "left")
+    if links:
+        found = found.join(joined.groupBy(F.col("name").alias("half")).agg(F.sum("links").alias("links")), "half", "left")
+    out = seen.drop("half").join(found.drop("half", "component"), "key", "left")
+    counted = [(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links")] if links else []
+    return out.select("doc_id", "n_shingles", *counted, F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("low", "rep")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -309,10 +411,9 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Rows without doc_id stay, as nothing tells them apart. Of repeated rows of a doc_id one stays.
     """
-    classes = written(jaccard_join(docs, n, percent), "near")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    gone = written(gone, "gone")
-    kept = docs.join(small(gone), docs["doc_id"] == gone["_id"], "left_anti")
+    classes = written(jaccard_join(docs, n, percent, links=False), "near")
+    gone = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id")).distinct(), "gone")
+    kept = docs.join(small(gone), docs["doc_id"] == gone["_near_id"], "left_anti")
     if classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -100,6 +100,26 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM b
     """,
+    # all pairs of documents that share a shingle
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+            FROM d),
+        e AS (SELECT r, len(g) AS n, unnest(g) AS x FROM s),
+        link AS (
+            SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r
+            GROUP BY a.r, b.r HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT r, r AS o FROM s UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a),
+        least AS (SELECT reach.r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.o GROUP BY reach.r),
+        degree AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(n_links, 0)::BIGINT AS n_links, component_id
+        FROM s JOIN least USING (r) LEFT JOIN degree USING (r)
+    """,
     # all alignments in which a token agrees; seeds play no part
     "op6_decontaminate": r"""
         WITH d AS (

@@ -43,6 +43,9 @@ def corpus():
             n += 1
     rows += [(n, None, "x"), (n + 1, "", "x"), (n + 2, " \t\n", "x"), (n + 3, "ONE two", "x"), (n + 4, "one TWO", "x"), (n + 5, "Éé one", "x"), (n + 6, "éé one", "x")]
     rows += [rows[0], rows[0], (None, rows[1][1], "x"), (None, "nobody else has this text at all", "x"), (None, None, None)]
+    long = " ".join(r.choice(words) for _ in range(60))
+    # classes without any doc_id, linked with each other and with one that has one
+    rows += [(None, long + " a", "x"), (None, long + " b", "x"), (n + 50, long + " c", "x"), (None, long[::-1] + " a", "x"), (None, long[::-1] + " b", "x")]
     return rows
 
 
@@ -60,6 +63,37 @@ def test_parts_and_ranges(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_without_counts(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    want = sorted(((i, n, c) for i, n, _, c in brute(rows)), key=str)
+    for part in (200_000, 150, 60):
+        monkeypatch.setattr(jaccard, "PART", part)
+        monkeypatch.setattr(jaccard, "HUBS", 2 if part == 60 else 8)
+        assert sorted((tuple(r) for r in jaccard.jaccard_join(df, links=False).collect()), key=str) == want
+
+
+def test_large_groups_take_linear_time():
+    """Near copies of one text: the time for four times as many grows about as much, and all become one component."""
+    import time
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    base = np.arange(100)
+
+    def took(m):
+        sets = [np.unique(np.r_[np.delete(base, r.integers(0, 100, 5)), r.integers(1000, 10**9, 4)]) for _ in range(m)]
+        table = pa.table({"name": np.arange(m), "n": [len(s) for s in sets], "shingles": pa.array(sets, pa.list_(pa.int64())), "probe": np.ones(m, bool)})
+        began = time.perf_counter()
+        got = jaccard._connected(table, 80, 100)
+        assert len(set(got["root"].to_pylist())) == 1
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(20_000) < 8 * took(5_000) + 1
+
+
 def test_empty_and_representatives(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
