@@ -247,19 +247,13 @@ def _(s, d):
     return each.groupBy("token").agg(F.count("*").alias("df"))
 
 
-@query("u3_token_overlap", f"SELECT b.item_id, d.doc_id, len(list_intersect({TOKENS.replace('text', 'b.text')}, {TOKENS.replace('text', 'd.text')}))::BIGINT AS shared FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id")
-def _(s, d):
-    b = T.table(s, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("b"))
-    x = T.table(s, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
-    return x.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("item_id", "doc_id", big(F.size(F.array_intersect("b", "t")), "shared"))
-
-
-@query("u3_token_overlap_all")
+@query("u3_token_overlap", f"""WITH b AS (SELECT DISTINCT item_id, unnest({TOKENS}) AS token FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS token FROM documents)
+    SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (token) GROUP BY ALL""")
 def _(s, d):
     """All pairs of a benchmark text and a document that share tokens; pairs without a row share none."""
     b = T.table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
     x = T.table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    return x.join(b, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    return x.join(lexical.bounded(b, 500_000), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 @query("u4_distinct_terms", f"SELECT item_id, len(list_distinct({TOKENS}))::BIGINT AS terms FROM benchmark")

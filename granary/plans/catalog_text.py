@@ -208,21 +208,12 @@ def _(s, d):
 
 
 @query("f22_windows", """SELECT doc_id AS chunk_id, k * 90 AS start, least((k + 1) * 90, length(text)) AS "end", least(90, length(text) - k * 90) + 10 AS tokens, substr(text, k * 90 + 1, 90) AS text
-    FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 90.0::DOUBLE)::BIGINT)) AS k FROM documents WHERE doc_id % 5 = 0)""")
+    FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 90.0::DOUBLE)::BIGINT)) AS k FROM documents)""")
 def _(s, d):
-    return windowed(T.table(s, d, "documents").where("doc_id % 5 = 0"))
-
-
-def windowed(docs: DataFrame) -> DataFrame:
-    c = docs.select(F.col("doc_id").alias("chunk_id"), F.lit("12345678").alias("context"), "text")
+    c = T.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("12345678").alias("context"), "text")
     return windows.fixed_windows(c, 100).select("chunk_id", big("start", "start"), big("end", "end"), big("tokens", "tokens"), "text")
 
 
-@query("f22_windows_all")
-def _(s, d):
-    return windowed(T.table(s, d, "documents"))
-
-
 @query("f20_template", "SELECT item_id, 'query: ' || text AS q, 'passage: ' || text AS p, text AS plain FROM benchmark")
 def _(s, d):
     t = F.col("text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.identity import sha256
-from granary.operators.lexical import metadata_values
+from granary.operators.lexical import bounded, metadata_values
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,19 +38,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query from every fourth benchmark text's beginning; every third of them in two knowledge bases, every fifth in one language."""
-    b = table(spark, sf_dir, "benchmark").where("item_id % 4 = 0")
+    """Every 20th benchmark text, whole, as a query; every third of them in two knowledge bases, every fifth in one language."""
+    b = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    n = (F.col("item_id") / 20).cast("long")
     return b.select(
-        F.concat(F.lit("q"), "item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"),
-        F.when(F.col("item_id") % 3 == 0, F.array(F.lit("src0"), F.lit("src3"))).alias("kb_ids"),
-        F.when(F.col("item_id") % 5 == 0, F.create_map(F.lit("lang"), F.lit('"en'))).alias("filters"),
+        F.concat(F.lit("q"), "item_id").alias("query_id"), "text",
+        F.when(n % 3 == 0, F.array(F.lit("src0"), F.lit("src3"))).alias("kb_ids"),
+        F.when(n % 5 == 0, F.create_map(F.lit("lang"), F.lit('"en'))).alias("filters"),
         F.lit(5).alias("top_k"), F.lit(4000).alias("max_chars"),
     )
 
 
 #: Queries, members of their scopes, and their terms.
 QUERIES = """q AS (
-    SELECT 'q' || item_id AS query_id, substr(text, 1, 60) AS text, item_id % 3 = 0 AS two, item_id % 5 = 0 AS en FROM benchmark WHERE item_id % 4 = 0),
+    SELECT 'q' || item_id AS query_id, text, (item_id // 20) % 3 = 0 AS two, (item_id // 20) % 5 = 0 AS en FROM benchmark WHERE item_id % 20 = 0),
 member AS (SELECT q.query_id, d.path AS chunk_id FROM q JOIN docs d ON (NOT q.two OR d.kb_id IN ('src0', 'src3')) AND (NOT q.en OR d.lang = 'en')),
 bag AS (SELECT path AS chunk_id, regexp_extract_all(lower(title || chr(10) || chr(10) || content), '[a-z0-9_]+') AS tokens FROM docs),
 term AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM q),
@@ -69,9 +70,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th embedding as a query; every third of them in one knowledge base, every fourth among even points."""
-    p = points(spark, sf_dir).where("point_id % 50 = 0")
-    n = (F.col("point_id") / 50).cast("long")
+    """Every 20th embedding as a query; every third of them in one knowledge base, every fourth among even points."""
+    p = points(spark, sf_dir).where("point_id % 20 = 0")
+    n = (F.col("point_id") / 20).cast("long")
     return p.select(
         F.col("point_id").alias("query_id"), "vector", F.when(n % 3 == 0, F.array("kb_id")).alias("kb_ids"),
         F.when(n % 4 == 0, F.create_map(F.lit("even"), F.lit("1.0"))).alias("filters"), F.lit(5).alias("top_k"), F.lit(4000).alias("max_chars"),
@@ -81,35 +82,61 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Points in the queries' scopes with their cosine.
 POINTS = """p AS (SELECT vec_id AS point_id, 'c' || vec_id // 2 AS chunk_id, 'd' || vec_id // 4 AS doc_id, 'kb' || label AS kb_id, embedding::DOUBLE[] AS v, vec_id % 2 = 0 AS even FROM embeddings),
 s AS (SELECT q.point_id AS query_id, p.*, list_dot_product(q.v, p.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(p.v, p.v))) AS score
-    FROM p q JOIN p ON q.point_id % 50 = 0 AND ((q.point_id // 50) % 3 <> 0 OR p.kb_id = q.kb_id) AND ((q.point_id // 50) % 4 <> 0 OR p.even))"""
+    FROM p q JOIN p ON q.point_id % 20 = 0 AND ((q.point_id // 20) % 3 <> 0 OR p.kb_id = q.kb_id) AND ((q.point_id // 20) % 4 <> 0 OR p.even))"""
+
+
+#: Words of a benchmark text that name the documents which may hold it.
+NAMED = 5
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs' columns and item_id, contains: the documents whose content holds an item's text (item_id, contains) verbatim.
+
+    Documents are looked up by runs of NAMED words: of an item's words all but the first and the last surely stand in a holder
+    as words, so a run of them does. Only the documents that have it are searched. Items of fewer words meet all documents.
+    """
+    words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    listed = items.select("item_id", "contains", words(F.col("contains")).alias("w"))
+    inner = listed.where(F.size("w") >= NAMED + 2).withColumn("run", F.xxhash64(F.slice("w", 2, NAMED)))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (NAMED - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(NAMED))))
+    each = docs.withColumn("w", words(F.col("content"))).where(F.size("w") >= NAMED).select("id", F.explode(F.array_distinct(runs)).alias("run"))
+    near = each.join(bounded(inner.select("run", "item_id", "contains"), 100_000), "run").select("id", "item_id", "contains").distinct()
+    found = docs.join(near, "id")
+    short = docs.join(bounded(listed.where(F.size("w") < NAMED + 2).select("item_id", "contains"), 10_000), F.contains("content", "contains"))
+    return found.where(F.contains("content", "contains")).unionByName(short)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases, labels, hits): benchmark texts as cases, documents that hold them as labels, and hits drawn by a hash.
+    """(cases, labels, hits): all benchmark texts as cases, documents that hold them as labels, and hits drawn by id.
 
-    A case's category is its item modulo 4; those of 3 have a knowledge base. Hits of case i are the documents whose id is
-    i modulo 40 and the labelled ones, ranked by id; a hit's text is the first 3000 characters.
+    A case's category is its item modulo 4; those of 3 have a knowledge base. Hits of case i are the documents whose id is i
+    modulo the number of items (none for every seventh case) and the labelled ones, ranked by id; a hit's text is the whole
+    document.
     """
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("contains"))
     d = documents(spark, sf_dir)
-    of = b.select(F.concat(F.lit("q"), "item_id").alias("case_id"), F.concat(F.lit("cat"), F.col("item_id") % 4).alias("category"), F.when(F.col("item_id") % 4 == 3, F.array(F.lit("src1"), F.lit("src2"), F.lit("src5"))).alias("kb_ids"))
-    held = d.join(F.broadcast(b.select("item_id", F.col("text").alias("contains"))), F.contains("content", "contains"))
-    labels = held.select(F.concat(F.lit("q"), "item_id").alias("case_id"), F.col("id").alias("doc_id"), "contains")
-    drawn = d.join(F.broadcast(b.select("item_id")), (F.col("doc_id") % 40 == F.col("item_id")) & (F.col("item_id") % 7 != 0)).select("item_id", d["doc_id"].alias("n"), "id", "kb_id", "content")
-    both = drawn.union(held.select("item_id", F.col("doc_id").alias("n"), "id", "kb_id", "content")).distinct()
+    name = F.concat(F.lit("q"), "item_id").alias("case_id")
+    of = b.select(name, F.concat(F.lit("cat"), F.col("item_id") % 4).alias("category"), F.when(F.col("item_id") % 4 == 3, F.array(F.lit("src1"), F.lit("src2"), F.lit("src5"))).alias("kb_ids"))
+    held = holding(d, b)
+    labels = held.select(name, F.col("id").alias("doc_id"), "contains")
+    turn = F.col("doc_id") % F.lit(max(1, b.count()))
+    drawn = d.join(bounded(b.where("item_id % 7 <> 0").select("item_id"), 100_000), turn == F.col("item_id"))
+    hit = lambda rows: rows.select("item_id", d["doc_id"].alias("n"), "id")
+    both = hit(drawn).union(held.select("item_id", F.col("doc_id").alias("n"), "id")).distinct()
     from granary.operators.packing import ranked
 
-    hits = ranked(both.select(F.concat(F.lit("q"), "item_id").alias("case_id"), F.col("n").cast("double").alias("score"), F.col("id").alias("doc_id"), "kb_id", F.substring("content", 1, 3000).alias("text")), "case_id", ascending=True, tie="doc_id")
-    return of, labels, hits.where("rank <= 5")
+    # ranked by ids alone; only the documents of hits are joined with their texts
+    hits = ranked(both.select(name, F.col("n").cast("double").alias("score"), F.col("id").alias("doc_id")), "case_id", ascending=True, tie="doc_id").where("rank <= 5")
+    return of, labels, hits.join(d.select(F.col("id").alias("doc_id"), "kb_id", F.col("content").alias("text")), "doc_id")
 
 
-CASES = """b AS (SELECT item_id, text AS contains FROM benchmark WHERE item_id < 40),
+CASES = """b AS (SELECT item_id, text AS contains FROM benchmark),
 of AS (SELECT item_id, 'q' || item_id AS case_id, 'cat' || item_id % 4 AS category, CASE WHEN item_id % 4 = 3 THEN ['src1', 'src2', 'src5'] END AS kb_ids FROM b),
 held AS (SELECT item_id, doc_id AS n, id, kb_id, content, contains FROM docs JOIN b ON contains(content, contains)),
 labelled AS (SELECT 'q' || item_id AS case_id, id AS doc_id, contains FROM held),
 hit AS (
-    SELECT 'q' || item_id AS case_id, id AS doc_id, kb_id, substr(content, 1, 3000) AS text, row_number() OVER (PARTITION BY item_id ORDER BY n, id) AS rank
-    FROM (SELECT item_id, doc_id AS n, id, kb_id, content FROM docs JOIN b ON doc_id % 40 = item_id AND item_id % 7 <> 0 UNION SELECT item_id, n, id, kb_id, content FROM held)
+    SELECT 'q' || item_id AS case_id, id AS doc_id, kb_id, content AS text, row_number() OVER (PARTITION BY item_id ORDER BY n, id) AS rank
+    FROM (SELECT item_id, doc_id AS n, id, kb_id, content FROM docs JOIN b ON doc_id % (SELECT count(*) FROM b) = item_id AND item_id % 7 <> 0 UNION SELECT item_id, n, id, kb_id, content FROM held)
     QUALIFY rank <= 5),
 earned AS (
     SELECT case_id, doc_id, min(rank) AS rank FROM hit JOIN labelled USING (case_id, doc_id) WHERE contains(text, contains) GROUP BY ALL),

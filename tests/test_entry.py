@@ -20,7 +20,7 @@ def test_flagship(spark):
 def test_windows_of_all_documents(spark):
     d = "/root/testdata/sf0.001"
     got = {}
-    for r in entry.queries()["f22_windows_all"](spark, d).collect():
+    for r in entry.queries()["f22_windows"](spark, d).collect():
         got.setdefault(r.chunk_id, []).append((r.start, r.end, r.tokens, r.text))
     want = {}
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
@@ -36,5 +36,5 @@ def test_overlap_of_all_pairs(spark):
     items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     docs = [(r.doc_id, words(r.text or "")) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     want = {(i, k): len(a & b) for i, a in items for k, b in docs if a & b}
-    got = {(r.item_id, r.doc_id): r.shared for r in entry.queries()["u3_token_overlap_all"](spark, d).collect()}
+    got = {(r.item_id, r.doc_id): r.shared for r in entry.queries()["u3_token_overlap"](spark, d).collect()}
     assert got == want and len({i for i, _ in got}) == len(items)
