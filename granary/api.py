@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 import time
 import uuid
 from collections.abc import Iterable
@@ -11,6 +13,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ from granary.functions.embeddings import Hashed, Provider, encoded, unit_windows
 from granary.operators import dense, evaluate, lexical, sync, windows
 from granary.operators.chunking import PARSER_VERSION
 from granary.sources.config import Config, Source, dump_config
-from granary.sources.files import read_cases, read_files, source_files, stat_files
-from granary.sources.store import Store, Trace, write_whole
+from granary.provenance import MACHINE, peak_memory, provenance
+from granary.sources.files import hash_files, read_cases, read_files, read_traces, stat_files
+from granary.sources.store import Store, Trace, storage_bytes, write_whole
 
 # Fixed value: the rules by which hits are credited.
 BENCHMARK_VERSION = "evidence-visible-v1"
@@ -30,6 +34,23 @@ EMPTY_CHUNKS = "chunk_id string, doc_id string, heading string, start_line int,
 COMPARABLE = ("schema_version", "benchmark_version", "dataset_hash", "corpus_hash", "top_k", "max_chars", "repeats", "warmup")
 
 
+def _described(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks with their documents' columns."""
+    d = documents.select(F.col("id").alias("doc_id"), "kb_id", "path", "title", "metadata", "source_hash")
+    return chunks.join(d, "doc_id").withColumn("values", lexical.metadata_values(F.col("metadata")))
+
+
+def percentile(values: list[float], share: float) -> float:
+    """Between neighbours; 0 of none."""
+    return float(np.quantile(values, share)) if values else 0.0
+
+
+def _alike(a: list[tuple], b: list[tuple]) -> bool:
+    """Whether two runs' hits (case_id, rank, chunk_id, doc_id, kb_id, score, text) are the same, scores up to rounding."""
+    same = [x[:5] + x[6:] for x in a] == [x[:5] + x[6:] for x in b]
+    return same and all(math.isclose(x[5], y[5], rel_tol=1e-6, abs_tol=1e-7) for x, y in zip(a, b))
+
+
 class Engine:
     """Retrieval over the knowledge bases of a configuration, on a Spark session."""
 
@@ -54,33 +75,61 @@ class Engine:
         return self.spark.createDataFrame([], EMPTY_DOCUMENTS), self.spark.createDataFrame([], EMPTY_CHUNKS)
 
     def index(self) -> dict[str, Any]:
-        """Brings the snapshot up to date with the files; all or nothing. Sources that are no longer configured go."""
+        """Brings the snapshot and its search index up to date with the files; all or nothing. Sources that are no longer
+        configured go. Files are read and parsed once; counts and hashes come from the tables as written."""
+        counts: dict[str, Any] = {}
+        held: list[DataFrame] = []
+        keep = lambda df: held.append(df.cache()) or held[-1]
         with Trace(self.config.traces, "ingest") as trace:
             with trace.stage("scan"):
-                files = read_files(self.spark, self.config.sources, self.config.max_file_bytes).cache()
+                files = keep(read_files(self.spark, self.config.sources, self.config.max_file_bytes))
             try:
                 with self.store.lock():
-                    old_documents, old_chunks = self._tables(self.store)
                     with trace.stage("parse_chunk"):
-                        documents, chunks, statuses = sync.synchronised(files, old_documents, old_chunks, self.config.chunk_chars)
-                        counts = sync.counters(statuses, files, chunks).first().asDict()
+                        documents, chunks, statuses = sync.synchronised(files, *self._tables(self.store), self.config.chunk_chars, keep)
+
+                    def manifest(there: dict[str, DataFrame]) -> dict[str, Any]:
+                        counts.update(sync.counters(statuses, files, there["chunks"]).first().asDict())
+                        return {"corpus_hash": self.corpus_hash(there["documents"])}
+
                     with trace.stage("persist"):
-                        self.store.publish({"documents": documents, "chunks": chunks}, {"corpus_hash": self.corpus_hash(documents)}, "text")
+                        self.store.publish({"documents": documents, "chunks": chunks, **self._index_tables()}, manifest, "text", {"postings": "bucket"})
             finally:
-                files.unpersist()
-            trace.record["counts"] = counts
-        return counts | {"trace_id": trace.record["trace_id"], "operation_ms": trace.record["operation_ms"]}
+                for df in held:
+                    df.unpersist()
+            trace.facts["counts"] = counts
+        return counts | {"trace_id": trace.id, "operation_ms": trace.ms}
+
+    @staticmethod
+    def _index_tables() -> dict:
+        """The search index as tables made of those written before."""
+        described = lambda there: _described(there["documents"], there["chunks"])
+        return {
+            "postings": lambda there: lexical.indexed(described(there)).postings.repartition("bucket").sortWithinPartitions("bucket", "token"),
+            "sizes": lambda there: lexical.indexed(described(there)).sizes,
+        }
 
     @staticmethod
     def corpus_hash(documents: DataFrame) -> str:
-        return documents.agg(identity.corpus_hash_of(F.collect_list(F.struct("id", "source_hash"))).alias("h")).first().h
+        row = identity.corpus_hash(documents).first()
+        return row.corpus_hash if row else identity.digest("[]")
+
+    def _snapshot(self) -> tuple[Store, str | None]:
+        """Where searches read: the vector generation's snapshot, if it is active, else the text's."""
+        return (self.dense_store, self.scope_hash()) if self.dense_store.active(self.scope_hash()) else (self.store, None)
 
     def chunks(self) -> DataFrame:
-        """Chunks with their documents' columns, of configured sources only; the vector generation's, if it is active."""
-        store, scope = (self.dense_store, self.scope_hash()) if self.dense_store.active(self.scope_hash()) else (self.store, None)
-        documents, chunks = self._tables(store, scope)
-        d = documents.where(F.col("kb_id").isin(self.kb_ids)).select(F.col("id").alias("doc_id"), "kb_id", "path", "title", "metadata", "source_hash")
-        return chunks.join(d, "doc_id").withColumn("values", lexical.metadata_values(F.col("metadata")))
+        """Chunks with their documents' columns, of configured sources only."""
+        documents, chunks = self._tables(*self._snapshot())
+        return _described(documents.where(F.col("kb_id").isin(self.kb_ids)), chunks)
+
+    def search_index(self) -> lexical.Index:
+        """The stored index of the same chunks."""
+        store, scope = self._snapshot()
+        active = store.active(scope)
+        if not active:
+            return lexical.indexed(self.chunks())
+        return lexical.Index(store.read(active, "postings"), store.read(active, "sizes")).of(self.kb_ids)
 
     def list_knowledge_bases(self) -> DataFrame:
         documents = self._tables(self.store)[0]
@@ -105,7 +154,7 @@ class Engine:
     def search_many(self, queries: DataFrame, strategy: str = "bm25") -> DataFrame:
         """Hits of many queries (query_id, text, kb_ids, filters, top_k, max_chars) in one job."""
         if strategy != "dense":
-            return lexical.search(self.chunks(), queries, strategy)
+            return lexical.search(self.chunks(), queries, strategy, self.search_index())
         active = self.dense_store.active(self.scope_hash())
         if not active:
             raise RuntimeError("no vector generation for this scope: build one first")
@@ -127,7 +176,7 @@ class Engine:
             rows = self.search_many(self._queries([("q", query, kb_ids, filters)], top_k, max_chars), strategy).orderBy("rank").collect()
         keys = ("chunk_id", "doc_id", "kb_id", "path", "title", "heading", "source_hash", "start_line", "end_line", "score", "text", "truncated")
         hits = [{k: r[k] for k in keys} | {"metadata": json.loads(r["metadata"])} for r in rows]
-        return {"trace_id": trace.record["trace_id"], "status": "candidates_found" if hits else "no_evidence", "content_chars": sum(len(h["text"]) for h in hits), "hits": hits}
+        return {"trace_id": trace.id, "status": "candidates_found" if hits else "no_evidence", "content_chars": sum(len(h["text"]) for h in hits), "hits": hits}
 
     def read_document(self, doc_id: str, start_line: int = 1, max_chars: int = 4000, source_hash: str | None = None) -> dict[str, Any]:
         """Part of a document from a line on; an error if it is unknown, hidden, or of another version than asked for."""
@@ -164,38 +213,48 @@ class Engine:
                     prefix = F.lit(windows.PREFIXES[self.provider.spec.template_version]["passage"])
                     units = unit_windows(chunks.join(source, "doc_id").select("chunk_id", F.concat(prefix, context).alias("context"), "text"), self.provider)
                     units = units.withColumn("key", windows.cache_key(F.lit(self.provider.spec.fingerprint), "passage", F.col("text"))).cache()
+                    tables = units.count()
                 with trace.stage("encode"):
                     cache_path = self.config.storage / "embedding-cache"
                     cache = self.spark.read.parquet(str(cache_path)) if cache_path.exists() else self.spark.createDataFrame([], "key string, vector array<double>")
-                    lacking = windows.missing(units.select("key", "text"), cache)
-                    misses = lacking.count()
+                    lacking = windows.missing(units.select("key", "text", "tokens"), cache)
+                    misses, encoded_tokens = lacking.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+                    encoding = {"hits": tables - units.join(lacking.select("key"), "key", "left_semi").count(), "misses": misses, "encoded_tokens": encoded_tokens, "encode_calls": int(misses > 0), "encode_ms": 0.0}
                     if misses:
+                        began = time.perf_counter()
                         encoded(lacking, self.provider).write.mode("append").parquet(str(cache_path))
+                        encoding["encode_ms"] = 1000 * (time.perf_counter() - began)
                         cache = self.spark.read.parquet(str(cache_path)).dropDuplicates(["key"])
                 found = windows.remembered(units.select("chunk_id", "start", "end", "tokens", "key"), cache, self.spark.createDataFrame([], "key string, vector array<double>"))
                 point = identity.unit_id(F.col("chunk_id"), F.col("start"), F.col("end"), F.lit(self.provider.spec.fingerprint))
                 points = found.join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(source.drop("title"), "doc_id").select(point.alias("point_id"), "chunk_id", "doc_id", "kb_id", "source_hash", "start", "end", "vector")
-                with trace.stage("verify"):
-                    spec = self.provider.spec
-                    if bad := points.where(vectors.fault(F.col("vector"), spec.dimension, spec.distance, spec.normalize).isNotNull()).limit(1).count():
-                        raise ValueError(f"{bad} faulty vectors")
-                    if points.select("point_id").distinct().count() != units.count() or self._versions() != before:
-                        raise RuntimeError("sources changed during the build")
                 counts = units.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("split_chunks"), F.coalesce(F.sum("t"), F.lit(0)).alias("input_tokens")).first().asDict()
+
+                def manifest(there: dict[str, DataFrame]) -> dict[str, Any]:
+                    """Checks the points as written; the pointer moves only if they hold."""
+                    with trace.stage("verify"):
+                        spec, made = self.provider.spec, there["points"]
+                        if bad := made.where(vectors.fault(F.col("vector"), spec.dimension, spec.distance, spec.normalize).isNotNull()).limit(1).count():
+                            raise ValueError(f"{bad} faulty vectors")
+                        if made.select("point_id").distinct().count() != tables or self._versions() != before:
+                            raise RuntimeError("sources changed during the build")
+                    report.update(documents=there["documents"].count(), chunks=there["chunks"].count())
+                    return {"spec": asdict(self.provider.spec), "corpus_hash": self.corpus_hash(there["documents"]), "sources": before, "documents": report["documents"], **counts}
+
                 with trace.stage("publish"):
-                    manifest = {"spec": asdict(spec), "corpus_hash": self.corpus_hash(documents), "sources": before, **counts}
-                    generation = self.dense_store.publish({"documents": documents, "chunks": chunks, "points": points}, manifest, self.scope_hash())
+                    generation = self.dense_store.publish({"documents": documents, "chunks": chunks, **self._index_tables(), "points": points}, manifest, self.scope_hash(), {"postings": "bucket"})
                 units.unpersist()
-                report |= {"status": "ready", "generation": generation, "documents": documents.count(), "chunks": chunks.count(), "cache_misses": misses, **counts}
+                report |= {"status": "ready", "generation": generation, "cache_misses": misses, "encoding": encoding, "embedding_spec": asdict(self.provider.spec), "storage_bytes": storage_bytes(self.dense_store.folder(generation)), "process_memory": peak_memory(), **counts}
             except Exception as error:
                 report["error_type"] = type(error).__name__
                 raise
             finally:
                 write_whole(self.dense_store.root / "last-build.json", json.dumps(report))
-        return report
+        return report | {"operation_ms": trace.ms, "stages_ms": dict(trace.line()["stages_ms"])}
 
-    def _versions(self) -> list[list[str]]:
-        return [[f"{s.id}:{p}", identity.digest((Path(s.root) / p).read_bytes())] for s in self.config.sources for p in source_files(s)]
+    def _versions(self) -> str:
+        """A hash of all sources' files as they are now."""
+        return self.corpus_hash(hash_files(self.spark, self.config.sources))
 
     def vector_status(self) -> dict[str, Any]:
         """not_built, ready, stale (sources or model changed) or failed (the last build did, whatever is active)."""
@@ -203,58 +262,89 @@ class Engine:
         status: dict[str, Any] = {"status": "not_built", "has_ready_generation": bool(active)}
         if active:
             fresh = active["sources"] == self._versions() and active["spec"] == asdict(self.provider.spec)
-            status |= {"status": "ready" if fresh else "stale", "generation": active["generation"], "contract_id": active["contract_id"], "points": active["points"], "documents": len(active["sources"])}
+            status |= {"status": "ready" if fresh else "stale", "generation": active["generation"], "contract_id": active["contract_id"], "points": active["points"], "documents": active["documents"]}
         if last.exists() and (attempt := json.loads(last.read_text("utf-8")))["status"] == "failed":
             status |= {"status": "failed", "last_build_status": attempt["status"]}
         return status
 
     # --- evaluation ----------------------------------------------------------------------------------------------------
 
-    def run_benchmark(self, cases_path: str | Path, output: str | Path, strategy: str = "bm25", top_k: int = 5, max_chars: int = 4000, repeats: int = 1, warmup: int = 0) -> dict[str, Any]:
+    def run_benchmark(self, cases_path: str | Path, output: str | Path, strategy: str = "bm25", top_k: int = 5, max_chars: int = 4000, repeats: int = 1, warmup: int = 0, seed: int = 42) -> dict[str, Any]:
         """Scores labelled cases over an index of its own, so that the live one stays; writes report, cases and summary to a
-        new folder. All cases are one job; a run is its repeat, and repeats must agree."""
-        folder = Path(output) / f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+        new folder. A category's cases are one job; categories take turns in a seeded order, and a case's latency is its
+        share of its job. Repeats must agree."""
+        if repeats < 1 or warmup < 0:
+            raise ValueError("repeats begin at 1, warmup at 0")
+        self._checked("x", None, top_k, max_chars)
+        run_id = f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+        folder = Path(output) / run_id
         folder.mkdir(parents=True)
         own = Engine(self.spark, replace(self.config, storage=folder / "index"), self.provider)
         cases = read_cases(self.spark, str(cases_path)).withColumnRenamed("id", "case_id")
         labels = cases.select("case_id", F.explode("relevant").alias("r")).select("case_id", "r.doc_id", "r.contains")
-        own.build_vector() if strategy == "dense" else own.index()
+        built = own.build_vector() if strategy == "dense" else own.index()
         documents = own._tables(own.store)[0]
-        faults = evaluate.label_faults(cases, labels, documents.select(F.col("id").alias("doc_id"), "kb_id", "content")).collect()
+        faults = evaluate.label_faults(cases, labels, documents.select(F.col("id").alias("doc_id"), "kb_id", "content", lexical.metadata_values(F.col("metadata")).alias("values"))).collect()
         if faults:
             raise ValueError(f"labels can't be earned: {[tuple(f) for f in faults[:5]]}")
-        queries = cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("text"), "kb_ids", "filters", F.lit(top_k).alias("top_k"), F.lit(max_chars).alias("max_chars"))
-        seen, latencies = None, []
+        asked = cases.select(F.col("case_id").alias("query_id"), "category", F.col("query").alias("text"), "kb_ids", "filters", F.lit(top_k).alias("top_k"), F.lit(max_chars).alias("max_chars"))
+        sizes = {r.category: r["count"] for r in cases.groupBy("category").count().collect()}
+        order = sorted(sizes)
+        random.Random(seed).shuffle(order)
+        seen: dict[str, list] = {}
+        latencies: dict[str, list[float]] = {c: [] for c in order}
+        measured = set()
+        columns = ("case_id", "rank", "chunk_id", "doc_id", "kb_id", "score", "text")
         for k in range(warmup + repeats):
-            began = time.perf_counter()
-            hits = own.search_many(queries, strategy).withColumnRenamed("query_id", "case_id").cache()
-            now = sorted((r.case_id, r.rank, r.chunk_id, r.text) for r in hits.select("case_id", "rank", "chunk_id", "text").collect())
-            if k >= warmup:
-                latencies.append((time.perf_counter() - began) * 1000)
-            if seen is not None and now != seen:
-                raise RuntimeError("repeats don't agree")
-            seen = now
-            if k + 1 < warmup + repeats:
-                hits.unpersist()
-        results = evaluate.evaluated(cases, labels, hits.select("case_id", "rank", "doc_id", "kb_id", "text"), top_k).cache()
+            for category in order:
+                with Trace(own.config.traces, "search_many", strategy=strategy, top_k=top_k, max_chars=max_chars) as trace, trace.stage("rank"):
+                    hits = own.search_many(asked.where(F.col("category") == category).drop("category"), strategy).withColumnRenamed("query_id", "case_id")
+                    now = sorted(tuple(r) for r in hits.select(*columns).collect())
+                if k >= warmup:
+                    latencies[category].append(trace.ms / sizes[category])
+                    measured.add(trace.id)
+                if category in seen and not _alike(seen[category], now):
+                    raise RuntimeError("repeats don't agree")
+                seen[category] = now
+        rows = [r for now in seen.values() for r in now]
+        hits = self.spark.createDataFrame([(r[0], r[1], r[3], r[4], r[6]) for r in rows], "case_id string, rank int, doc_id string, kb_id string, text string")
+        results = evaluate.evaluated(cases, labels, hits, top_k).cache()
         raw = Path(cases_path).read_text("utf-8-sig")
+        spread = lambda values: {f"latency_p{p}_ms": percentile(values, p / 100) for p in (50, 95)}
+        metrics = []
+        for r in evaluate.rolled_up(results).orderBy(F.desc("overall"), "category").collect():
+            mine = [x for c in order if r.overall or c == r.category for x in latencies[c] for _ in range(sizes[c])]
+            chars = [len(x[6]) for c in order if r.overall or c == r.category for x in seen[c]]
+            metrics.append(r.asDict() | spread(mine) | {"mean_content_chars": sum(chars) / max(1, r.queries)})
         report = {
-            "schema_version": 1, "benchmark_version": BENCHMARK_VERSION, "strategy": strategy, "top_k": top_k, "max_chars": max_chars, "repeats": repeats, "warmup": warmup,
-            "dataset_hash": identity.digest([json.loads(x) for x in raw.splitlines() if x.strip()]), "corpus_hash": self.corpus_hash(documents), "batch_ms": latencies,
-            "mean_content_chars": sum(len(t) for *_, t in seen) / max(1, cases.count()),
-            "metrics": [r.asDict() for r in evaluate.rolled_up(results).orderBy(F.desc("overall"), "category").collect()],
-            "queries": [r.asDict() for r in results.orderBy("case_id").collect()],
+            "schema_version": 1, "benchmark_version": BENCHMARK_VERSION, "run_id": run_id, "strategy": strategy, "top_k": top_k, "max_chars": max_chars, "repeats": repeats, "warmup": warmup,
+            "dataset_hash": identity.digest([json.loads(x) for x in raw.splitlines() if x.strip()]), "corpus_hash": self.corpus_hash(documents), "config_hash": identity.digest(dump_config(self.config)),
+            "settings": {"chunk_chars": self.config.chunk_chars, "tokenizer": text.TOKENIZER_VERSION, "bm25_k1": lexical.K1, "bm25_b": lexical.B, "timing_scope": "a category's cases in one job, by case"},
+            "environment": provenance(), "indexing" if strategy != "dense" else "vector_build": built, "process_memory": peak_memory(),
+            "mean_content_chars": metrics[0]["mean_content_chars"], "metrics": metrics, "stages_ms": self._stages(own.config.traces, measured),
+            "queries": [r.asDict() | {"latencies_ms": latencies[r.category]} for r in results.orderBy("case_id").collect()],
         }
         write_whole(folder / "report.json", json.dumps(report, ensure_ascii=False, indent=1), fresh=True)
         write_whole(folder / "dataset.jsonl", raw, fresh=True)
         first = report["metrics"][0]
-        write_whole(folder / "summary.md", "\n".join(f"- {k}: {first[k]}" for k in evaluate.METRICS) + "\n", fresh=True)
+        write_whole(folder / "summary.md", "\n".join(f"- {k}: {v}" for k, v in first.items() if k not in ("category", "overall")) + "\n", fresh=True)
         results.unpersist()
-        hits.unpersist()
         return report | {"folder": str(folder)}
 
-    def compare(self, baseline: dict[str, Any], candidate: dict[str, Any]) -> dict[str, Any]:
-        """Differences by case and metric, and the bootstrap interval of recall; runs must be comparable."""
+    def _stages(self, traces: Path, ids: set[str]) -> dict[str, dict[str, float]]:
+        """p50 and p95 of each stage over the traces of these ids; one that lacks a stage counts 0."""
+        rows = read_traces(self.spark, str(traces)).where(F.col("trace_id").isin(sorted(ids)))
+        names = sorted(r.k for r in rows.select(F.explode(F.map_keys("stages_ms")).alias("k")).distinct().collect())
+        if not names:
+            return {}
+        each = [F.percentile(F.coalesce(F.col("stages_ms")[n], F.lit(0.0)), F.lit(s)).alias(f"{n}:{s}") for n in names for s in (0.5, 0.95)]
+        row = rows.agg(*each).first()
+        return {n: {"p50": row[f"{n}:0.5"], "p95": row[f"{n}:0.95"]} for n in names}
+
+    def compare(self, baseline: dict[str, Any], candidate: dict[str, Any], output: str | Path | None = None) -> dict[str, Any]:
+        """Differences of metrics, by case and overall, the bootstrap interval of recall, and warnings; runs must be comparable.
+
+        output: a file to write it to, which must not be there yet."""
         if unlike := [k for k in COMPARABLE if baseline.get(k) != candidate.get(k)]:
             raise ValueError(f"reports can't be compared: {', '.join(unlike)}")
         schema = "case_id string, category string, " + ", ".join(f"{m} double" for m in evaluate.METRICS)
@@ -264,7 +354,17 @@ class Engine:
             raise ValueError("reports have other cases")
         pairs = a.select("case_id", F.col("recall_at_k").alias("baseline")).join(b.select("case_id", F.col("recall_at_k").alias("candidate")), "case_id")
         interval = evaluate.bootstrap(pairs).first()
-        return {"deltas": [r.asDict() for r in evaluate.deltas(a, b).orderBy("case_id", "metric").collect()], "recall_delta_95": [interval.low, interval.high]}
+        warnings = ["differences on a small development set describe it; they don't prove a general gain"]
+        warnings += [f"{k} differs: latencies aren't comparable" for k in MACHINE if baseline.get("environment", {}).get(k) != candidate.get("environment", {}).get(k)]
+        before, after = (r["metrics"][0] for r in (baseline, candidate))
+        both = [k for k, v in before.items() if all(isinstance(x, int | float) and not isinstance(x, bool) for x in (v, after.get(k)))]
+        result = {
+            "baseline": baseline.get("run_id"), "candidate": candidate.get("run_id"), "metric_deltas": {k: after[k] - before[k] for k in both},
+            "deltas": [r.asDict() for r in evaluate.deltas(a, b).orderBy("case_id", "metric").collect()], "recall_delta_95": [interval.low, interval.high], "warnings": warnings,
+        }
+        if output:
+            write_whole(Path(output), json.dumps(result, ensure_ascii=False, indent=1), fresh=True)
+        return result
 
     # --- onboarding ----------------------------------------------------------------------------------------------------
 
@@ -272,9 +372,11 @@ class Engine:
         """What connecting a source would read: counts, sizes and a fingerprint of the files as they are; no contents."""
         files = stat_files(self.spark, [source]).cache()
         total = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum((F.col("size") > self.config.max_file_bytes).cast("long")), F.lit(0)).alias("oversize")).first().asDict()
-        rows = [list(r) for r in files.orderBy("path").collect()]
+        samples = [r.path for r in files.orderBy("path").limit(10).collect()]
+        state = files.select(F.col("path").alias("id"), F.concat_ws(":", "size", "mtime_ns", "ctime_ns").alias("source_hash"))
+        scope = [dump_config(self.config), source.id, str(source.root), list(source.include), list(source.exclude), self.corpus_hash(state)]
         files.unpersist()
-        return total | {"samples": [r[1] for r in rows[:10]], "preview_id": identity.digest([dump_config(self.config), source.id, str(source.root), list(source.include), list(source.exclude), rows])}
+        return total | {"samples": samples, "preview_id": identity.digest(scope)}
 
     def connect(self, source: Source, preview_id: str, config_path: str | Path) -> Engine:
         """Adds or replaces a source after its preview was confirmed; the configuration is written only when its index stands."""

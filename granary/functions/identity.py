@@ -6,7 +6,8 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The URL namespace of name-based UUIDs.
@@ -58,7 +59,22 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def corpus_hash_of(pairs: Column) -> Column:
-    """The hash of a corpus from an array of (id, source_hash) structs; a snapshot's manifest, so a row for each document."""
-    each = F.transform(F.array_sort(pairs), lambda p: F.concat(F.lit('{"id":'), json_text(p["id"]), F.lit(',"source_hash":'), json_text(p["source_hash"]), F.lit("}")))
-    return sha256(F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+def corpus_hash(documents: DataFrame) -> DataFrame:
+    """One row, corpus_hash: the hash of the canonical list of (id, source_hash), in the order of id.
+
+    The pairs are sorted outside memory and run through the hash one by one, so a corpus of any size needs no more.
+    """
+    pair = F.concat(F.lit('{"id":'), json_text(F.col("id")), F.lit(',"source_hash":'), json_text(F.col("source_hash")), F.lit("}"))
+
+    def run(batches):
+        total, first = hashlib.sha256(b"["), True
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                total.update(("" if first else ",").encode() + ",".join(rows).encode())
+                first = False
+        total.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()])], ["corpus_hash"])
+
+    ordered = documents.select("id", "source_hash").repartition(1).sortWithinPartitions("id", "source_hash")
+    return ordered.select(pair.alias("pair")).mapInArrow(run, "corpus_hash string")

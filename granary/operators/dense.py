@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.vectors import fault, similarity
-from granary.operators.lexical import bounded, in_scope, matches
+from granary.operators.lexical import bounded, in_scope, matches, scope_sums, with_scopes
 from granary.operators.packing import MOST, packed, ranked
 
 #: Queries that one pass over the points answers at most.
-QUERIES = 2_000
+QUERIES = 1_000
 
 
 def upserted(points: DataFrame, batch: DataFrame, dimension: int, distance: str = "cosine", normalized: bool = True) -> DataFrame:
@@ -40,37 +40,61 @@ def scored(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> D
     """(query_id, points' columns, score) of every point in a query's scope: kb_ids, filters (null: none), vector as vector.
 
     The queries are the side that is broadcast; filters are applied before anything is scored. The native form, one row for
-    each pair: for few queries, and to check nearest with.
+    each pair: to check nearest and parents with.
     """
     q = bounded(queries.select("query_id", F.col("vector").alias("_q"), "kb_ids", "filters"), QUERIES)
     return points.join(q, in_scope(F.col("kb_id"), F.col("kb_ids")) & matches(F.col("values"), F.col("filters"))).withColumn("score", similarity(F.col("vector"), F.col("_q"), distance)).drop("_q", "kb_ids", "filters")
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str = "cosine") -> DataFrame:
-    """(query_id, point_id, score): the k best points of each query (query_id, vector), ties by point_id.
+    """(query_id, point_id, score, rank): the k best points of each query (query_id, vector; kb_ids, filters if it has them) within
+    its scope, ties by point_id. Scores that agree in 12 decimals tie."""
+    found = _met(points, queries, "point_id", k, distance)
+    return ranked(found, "query_id", ascending=distance == "euclid", tie="point_id").where(F.col("rank") <= k)
+
+
+def parents(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str = "cosine") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks of each query by their best point, ties by chunk_id.
+
+    A chunk among the k best of all has its best point in some batch, and is among the k best of that one.
+    """
+    found = pooled(_met(points, queries, "chunk_id", k, distance), distance)
+    return ranked(found, "query_id", ascending=distance == "euclid").where(F.col("rank") <= k)
+
+
+def _met(points: DataFrame, queries: DataFrame, key: str, k: int, distance: str) -> DataFrame:
+    """(query_id, key, score): the k best keys of each query in each batch of points, and those that tie with the last.
 
     Blocks of QUERIES queries meet all points, in a pass for each block: a batch of points is one matrix product, of which each
     query's k best go on. Queries by points are never rows; a task sends k rows for each query and batch. The
     queries come to the driver a block at a time.
     """
-    rows = queries.select("query_id", "vector").toLocalIterator()
-    blocks = [_block(points, queries, list(islice(rows, QUERIES)), k, distance)]
+    scope = [c for c in ("kb_ids", "filters") if c in queries.columns]
+    rows = queries.select("query_id", "vector", *scope).toLocalIterator()
+    blocks = [_block(points, queries, list(islice(rows, QUERIES)), key, k, distance)]
     while block := list(islice(rows, QUERIES)):
-        blocks.append(_block(points, queries, block, k, distance))
+        blocks.append(_block(points, queries, block, key, k, distance))
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _block(points: DataFrame, queries: DataFrame, rows: list, k: int, distance: str) -> DataFrame:
-    """nearest for the collected queries in rows."""
+def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int, distance: str) -> DataFrame:
+    """_met for the collected queries in rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     names = [r.query_id for r in rows]
     wanted = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     sign = -1.0 if distance == "euclid" else 1.0
+    # distinct scopes with the queries in them: what a point must be, and the metadata that has to be looked at
+    scopes: dict[tuple, list[int]] = {}
+    for n, r in enumerate(rows):
+        kbs, filters = (r[c] if c in r else None for c in ("kb_ids", "filters"))
+        scopes.setdefault((None if kbs is None else tuple(sorted(set(kbs))), tuple(sorted((filters or {}).items()))), []).append(n)
+    keys = sorted({f for _, filters in scopes for f, _ in filters})
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows or not len(wanted):
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             s = wanted @ own.T
             if distance == "cosine":
@@ -78,19 +102,36 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, k: int, distance:
                     s = s / (np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None])
             elif distance == "euclid":
                 s = np.sqrt(np.maximum((wanted**2).sum(1)[:, None] + (own**2).sum(1)[None] - 2 * s, 0))
-            s = np.where(np.isnan(s), -np.inf, sign * s)
-            m = min(k, batch.num_rows)
+            s = np.where(np.isnan(s), -np.inf, sign * np.round(s, 12))
+            metadata = {f: np.array(batch.column(3 + j).to_pylist(), object) for j, f in enumerate(keys)}
+            kb = np.array(batch.column(2).to_pylist(), object)
+            for (kbs, filters), own_queries in scopes.items():
+                inside = np.ones(len(kb), bool) if kbs is None else np.isin(kb.astype(str), kbs) & (kb != None)  # noqa: E711
+                for f, value in filters:
+                    inside &= metadata[f] == value
+                if not inside.all():
+                    s[np.ix_(own_queries, ~inside)] = -np.inf
+            codes = batch.column(0).dictionary_encode()
+            which = codes.indices.to_numpy()
+            order = np.argsort(which, kind="stable")
+            s = np.maximum.reduceat(s[:, order], np.flatnonzero(np.r_[True, np.diff(which[order]) > 0]), axis=1)
+            m = min(k, s.shape[1])
             # all that ties with the k-th, so that ids decide
-            floor = np.partition(s, batch.num_rows - m, axis=1)[:, batch.num_rows - m]
+            floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
             q, p = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], kind), pa.array(ids[p], key), pa.array(sign * s[q, p])], ["query_id", "point_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], kind), codes.dictionary.take(pa.array(p)), pa.array(sign * s[q, p])], ["query_id", key, "score"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    kinds = queries.schema["query_id"].dataType, points.schema[key].dataType
+    kind = to_arrow_type(kinds[0])
+    kb = F.col("kb_id").cast("string") if "kb_id" in points.columns else F.lit(None).cast("string")
+    slim = points.select(key, "vector", kb.alias("kb_id"), *[F.col("values")[f].alias(f"_f{j}") for j, f in enumerate(keys)])
+    return slim.mapInArrow(run, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
 
-    kinds = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
-    kind, key = map(to_arrow_type, kinds)
-    found = points.select("point_id", "vector").mapInArrow(run, f"query_id {kinds[0].simpleString()}, point_id {kinds[1].simpleString()}, score double")
-    return ranked(found, "query_id", ascending=distance == "euclid", tie="point_id").where(F.col("rank") <= k)
+
+def candidates(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, candidates): how many points lie in each query's scope, by counts of knowledge bases and filters."""
+    scoped = with_scopes(queries)
+    return scoped.select("query_id", "scope").join(scope_sums(points.withColumn("length", F.lit(0)), scoped), "scope").select("query_id", F.col("n").alias("candidates"))
 
 
 def pooled(hits: DataFrame, distance: str = "cosine") -> DataFrame:
@@ -107,6 +148,5 @@ def resolved(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def search(points: DataFrame, chunks: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
     """Ranked and packed hits of queries (query_id, vector, kb_ids, filters, top_k, max_chars), chunks by their best point."""
-    best = pooled(scored(points, queries, distance), distance)
-    hits = ranked(best, "query_id", ascending=distance == "euclid").join(queries.select("query_id", "top_k", "max_chars"), "query_id").where(F.col("rank") <= F.col("top_k"))
+    hits = parents(points, queries, distance=distance).join(queries.select("query_id", "top_k", "max_chars"), "query_id").where(F.col("rank") <= F.col("top_k"))
     return packed(hits.join(chunks.drop("values"), "chunk_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.lexical import bounded, matches
+
 METRICS = ["recall_at_k", "hit_at_k", "mrr_at_k", "ndcg_at_k", "precision_at_k", "empty_on_unanswerable", "empty_on_answerable", "kb_leakage"]
 
 
@@ -47,12 +49,15 @@ def evaluated(cases: DataFrame, labels: DataFrame, hits: DataFrame, k: int) -> D
 
 
 def label_faults(cases: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
-    """(case_id, doc_id, fault) of labels that can't be earned: missing document, missing evidence or out of scope.
+    """(case_id, doc_id, fault) of labels that can't be earned: missing document, missing evidence, out of scope or filtered out.
 
-    documents: doc_id, kb_id, content.
+    documents: doc_id, kb_id, content, and values (metadata) if cases have filters.
     """
-    rows = labels.join(cases.select("case_id", "kb_ids"), "case_id").join(documents, "doc_id", "left")
+    filtered = "filters" in cases.columns and "values" in documents.columns
+    rows = labels.join(cases.select("case_id", "kb_ids", *["filters"] * filtered), "case_id").join(documents, "doc_id", "left")
     fault = F.when(F.col("content").isNull(), "missing document").when(~F.contains("content", "contains"), "missing evidence").when(F.col("kb_ids").isNotNull() & ~F.array_contains("kb_ids", F.col("kb_id")), "out of scope")
+    if filtered:
+        fault = fault.when(~matches(F.col("values"), F.col("filters")), "filtered out")
     return rows.select("case_id", "doc_id", fault.alias("fault")).where("fault is not null")
 
 
@@ -91,5 +96,5 @@ def bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFr
     n = F.lit(diffs.count())
     draws = pairs.sparkSession.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0)))).alias("j"))
     draw = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "r", "j"), 256), 1, 8), 16, 10).cast("long"), n)
-    means = draws.withColumn("i", draw).join(F.broadcast(diffs), "i").groupBy("r").agg(F.avg("d").alias("mean"))
+    means = draws.withColumn("i", draw).join(bounded(diffs, 100_000), "i").groupBy("r").agg(F.avg("d").alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))

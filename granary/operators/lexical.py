@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from granary.functions.text import tokens
 from granary.operators.packing import packed, ranked
 
 K1, B = 1.5, 0.75
-#: Queries up to which their terms and scopes are broadcast.
+#: Queries up to which their terms and scopes are broadcast, and terms up to which they go into the scan.
 QUERIES = 10_000
+WORDS = 1_000
+#: Parts of a stored index, by token.
+BUCKETS = 64
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -43,47 +48,109 @@ def bags(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("tokens", bag).withColumn("length", F.size("tokens").cast("long"))
 
 
-def postings(bagged: DataFrame) -> DataFrame:
-    """(chunk_id, token, tf): can be written once and used for any scope."""
-    return bagged.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """What searches read: postings (token, chunk_id, kb_id, tf, length, bucket of the token) and sizes (chunk_id, kb_id, length, values)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+    def of(self, kb_ids: list[str]) -> Index:
+        """The part that lies in some knowledge bases."""
+        return Index(*(x.where(F.col("kb_id").isin(kb_ids)) for x in (self.postings, self.sizes)))
+
+
+def bucket(token: Column) -> Column:
+    """Where a token's postings lie in a stored index."""
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def indexed(chunks: DataFrame) -> Index:
+    """The index of chunks: chunk_id, kb_id, title, heading, text, values. Written once, it serves any scope and query."""
+    bagged = bags(chunks)
+    each = bagged.select("chunk_id", "kb_id", "length", F.explode("tokens").alias("token"))
+    counted = each.groupBy("token", "chunk_id", "kb_id", "length").agg(F.count("*").alias("tf"))
+    return Index(counted.select("token", "chunk_id", "kb_id", "tf", "length", bucket(F.col("token")).alias("bucket")), bagged.select("chunk_id", "kb_id", "length", "values"))
 
 
-def scores(chunks: DataFrame, queries: DataFrame, strategy: str = "bm25") -> DataFrame:
-    """(query_id, chunk_id, score > 0). chunks: chunk_id, kb_id, title, heading, text, values (see metadata_values).
+def with_scopes(queries: DataFrame) -> DataFrame:
+    """queries (kb_ids, filters) with scope and filter_id: equal for equal scopes and filters; filter_id 0: no filter."""
+    entries = F.array_sort(F.map_entries("filters"))
+    scope = F.xxhash64(F.to_json(F.struct(F.array_sort("kb_ids").alias("k"), entries.alias("f")), {"ignoreNullFields": "false"}))
+    named = F.xxhash64(F.to_json(F.struct(entries.alias("f")), {"ignoreNullFields": "false"}))
+    return queries.withColumn("scope", scope).withColumn("filter_id", F.when(F.coalesce(F.size("filters"), F.lit(0)) > 0, named).otherwise(F.lit(0)))
+
+
+def scope_sums(rows: DataFrame, scoped: DataFrame) -> DataFrame:
+    """(scope, n, total) of rows (kb_id, values, length) within the distinct scopes of scoped (see with_scopes).
+
+    Rows are counted by knowledge base and by distinct filter, then scopes gather those counts by equality: no row meets a scope.
+    A filter finds its rows by one of its entries; filters that only ask for missing keys meet all rows, behind a count.
+    """
+    one = lambda df, *by: df.groupBy(*by, "kb_id").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    counts = one(rows.withColumn("filter_id", F.lit(0).cast("long")), "filter_id")
+    filters = scoped.where("filter_id <> 0").groupBy("filter_id").agg(F.first("filters").alias("filters"))
+    if filters.limit(1).count():
+        anchor = F.filter(F.map_entries("filters"), lambda e: e["value"].isNotNull())
+        filters = filters.withColumn("anchor", F.get(F.array_sort(anchor), F.lit(0)))
+        keyed = rows.select("kb_id", "length", "values", F.explode(F.map_entries("values")).alias("e")).select("kb_id", "length", "values", F.col("e.key").alias("k"), F.col("e.value").alias("v"))
+        own = filters.where("anchor is not null").select("filter_id", "filters", F.col("anchor.key").alias("k"), F.col("anchor.value").alias("v"))
+        lacking = rows.join(bounded(filters.where("anchor is null").select("filter_id", "filters"), QUERIES), matches(F.col("values"), F.col("filters")))
+        found = keyed.join(bounded(own, QUERIES), ["k", "v"]).where(matches(F.col("values"), F.col("filters")))
+        counts = counts.unionByName(one(found, "filter_id")).unionByName(one(lacking, "filter_id"))
+    every = counts.groupBy("filter_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("filter_id", F.lit(True).alias("all"), F.lit(None).cast("string").alias("kb_id"), "n", "total")
+    sums = every.unionByName(counts.withColumn("all", F.lit(False)))
+    asked = scoped.groupBy("scope", "filter_id").agg(F.first("kb_ids").alias("kb_ids"))
+    asked = asked.select("scope", "filter_id", F.col("kb_ids").isNull().alias("all"), F.explode_outer(F.array_distinct("kb_ids")).alias("_kb"))
+    met = asked.join(sums, ["filter_id", "all"]).where(F.col("_kb").eqNullSafe(F.col("kb_id")))
+    return met.groupBy("scope").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def scoped_postings(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scope, token, chunk_id, tf, length), the postings of the queries' terms within their scopes, and (query_id, scope, token).
+
+    Few terms (WORDS) go into the scan as a filter on token and its bucket, so that a stored index reads only their places;
+    more are joined, as a broadcast behind a count. Metadata is looked up only if a query filters.
+    """
+    scoped = with_scopes(queries)
+    terms = scoped.select("query_id", "scope", "kb_ids", "filters", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    distinct = [r.token for r in terms.select("token").distinct().limit(WORDS + 1).collect()]
+    postings = index.postings
+    if len(distinct) <= WORDS:
+        postings = postings.where(F.col("token").isin(distinct)) if distinct else postings.where("false")
+        places = sorted({r.b for r in terms.select(bucket(F.col("token")).alias("b")).distinct().collect()})
+        postings = postings.where(F.col("bucket").isin(places)) if places else postings
+    by_scope = terms.groupBy("scope", "token").agg(F.first("kb_ids").alias("kb_ids"), F.first("filters").alias("filters"))
+    met = postings.join(bounded(by_scope, 50 * QUERIES), "token").where(in_scope(F.col("kb_id"), F.col("kb_ids")))
+    if scoped.where("filter_id <> 0").limit(1).count():
+        met = met.join(index.sizes.select("chunk_id", "values"), "chunk_id").where(matches(F.col("values"), F.col("filters")))
+    return met.select("scope", "token", "chunk_id", "tf", "length"), terms.select("query_id", "scope", "token")
+
+
+def scores(index: Index | DataFrame, queries: DataFrame, strategy: str = "bm25") -> DataFrame:
+    """(query_id, chunk_id, score > 0) by an index, or by chunks (see indexed).
 
     queries: query_id, text, and kb_ids array<string> and filters map<string,string>, null for none. Statistics of BM25 (number,
-    mean length, document frequency) are those of the chunks in the query's scope. They are computed once for every distinct
-    scope: each chunk is compared with the scopes, not with the queries, and sums are combined before the shuffle. Only
-    postings of the queries' terms are kept; terms and scopes are broadcast when there are few.
+    mean length, document frequency) are those of the chunks in the query's scope, computed once for every distinct scope.
     """
     if strategy not in ("bm25", "overlap"):
         raise ValueError("strategy must be bm25 or overlap")
-    bagged = bags(chunks).select("chunk_id", "kb_id", "values", "tokens", "length")
-    scoped = queries.withColumn("scope", F.xxhash64(F.to_json(F.struct(F.array_sort("kb_ids").alias("k"), F.array_sort(F.map_entries("filters")).alias("f")), {"ignoreNullFields": "false"})))
-    scopes = bounded(scoped.groupBy("scope").agg(F.first("kb_ids").alias("kb_ids"), F.first("filters").alias("filters")), QUERIES)
-    terms = scoped.select("query_id", "scope", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    inside = in_scope(F.col("kb_id"), F.col("kb_ids")) & matches(F.col("values"), F.col("filters"))
-
-    wanted = bounded(terms.select("token").distinct(), 50 * QUERIES)
-    found = bagged.select("chunk_id", "kb_id", "values", "length", F.explode("tokens").alias("token")).join(wanted, "token")
-    found = found.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("kb_id").alias("kb_id"), F.first("values").alias("values"), F.first("length").alias("length"))
-    by_scope = terms.select("scope", "token").distinct().join(scopes, "scope")
-    found = found.join(bounded(by_scope, 50 * QUERIES), "token").where(inside).select("scope", "token", "chunk_id", "tf", "length")
+    index = index if isinstance(index, Index) else indexed(index)
+    found, terms = scoped_postings(index, queries)
     if strategy == "overlap":
-        hits = found.join(terms, ["scope", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-        return hits.where("score > 0")
-    stats = bagged.join(scopes, inside).groupBy("scope").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+        return found.join(terms, ["scope", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
+    stats = scope_sums(index.sizes, with_scopes(queries)).select("scope", "n", (F.col("total") / F.col("n")).alias("mean"))
     stats = stats.withColumn("mean", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
     df = found.groupBy("scope", "token").agg(F.count("*").alias("df"))
     weights = df.join(stats, "scope").withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    own = terms.join(weights, ["scope", "token"]).select("query_id", "scope", "token", "idf", "mean")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    own = terms.join(weights, ["scope", "token"]).select("query_id", "scope", "token", "idf", "mean")
     hits = found.join(own, ["scope", "token"]).groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("token", part.alias("part")))).alias("parts"))
     # a query has few tokens; summed in their order, so that scores don't depend on how rows were dealt out
     return hits.select("query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score")).where("score > 0")
 
 
-def search(chunks: DataFrame, queries: DataFrame, strategy: str = "bm25") -> DataFrame:
-    """Ranked and packed hits of queries (as scores takes them, with top_k and max_chars)."""
-    hits = ranked(scores(chunks, queries, strategy), "query_id").join(queries.select("query_id", "top_k", "max_chars"), "query_id").where(F.col("rank") <= F.col("top_k"))
+def search(chunks: DataFrame, queries: DataFrame, strategy: str = "bm25", index: Index | None = None) -> DataFrame:
+    """Ranked and packed hits of queries (as scores takes them, with top_k and max_chars); index: that of the chunks, if stored."""
+    hits = ranked(scores(index or chunks, queries, strategy), "query_id").join(queries.select("query_id", "top_k", "max_chars"), "query_id").where(F.col("rank") <= F.col("top_k"))
     return packed(hits.join(chunks.drop("values"), "chunk_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,14 @@ def chunk_rows(documents: DataFrame) -> DataFrame:
     return each.select(name.alias("chunk_id"), F.col("id").alias("doc_id"), "c.heading", "c.start_line", "c.end_line", "c.text")
 
 
-def synchronised(files: DataFrame, documents: DataFrame, chunks: DataFrame, chunk_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def synchronised(files: DataFrame, documents: DataFrame, chunks: DataFrame, chunk_chars: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, chunks, statuses) of the next snapshot. files: id, kb_id, path, source_hash, content.
 
-    Only files that are new or have other hashes are parsed; the others' rows are taken over.
+    Only files that are new or have other hashes are parsed; the others' rows are taken over. keep may store the parsed files,
+    as both documents and chunks come from them.
     """
     statuses = changes(files.select("id", "source_hash", F.lit(pipeline_hash(chunk_chars)).alias("pipeline_hash")), documents)
-    fresh = chunked(files.join(statuses.where("status in ('added', 'updated')"), "id", "left_semi"), chunk_chars)
+    fresh = keep(chunked(files.join(statuses.where("status in ('added', 'updated')"), "id", "left_semi"), chunk_chars))
     same = statuses.where("status = 'unchanged'")
     all_documents = fresh.select(*DOCUMENT).unionByName(documents.join(same, "id", "left_semi").select(*DOCUMENT))
     all_chunks = chunk_rows(fresh).unionByName(chunks.join(same.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*CHUNK))

@@ -200,7 +200,7 @@ def _(s, d):
 
 @query("a26_corpus_hash", D + """SELECT sha256('[' || string_agg('{"id":"' || id || '","source_hash":"' || source_hash || '"}', ',' ORDER BY id) || ']') AS corpus_hash FROM docs""")
 def _(s, d):
-    return T.documents(s, d).agg(identity.corpus_hash_of(F.collect_list(F.struct("id", "source_hash"))).alias("corpus_hash"))
+    return identity.corpus_hash(T.documents(s, d))
 
 
 @query("j1_chunk_document", D + "SELECT d.path AS chunk_id, d.title, d.source_hash FROM docs d JOIN docs e ON d.id = e.id WHERE e.kb_id <> 'src9'")
@@ -272,7 +272,7 @@ TOP = """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s
 pack AS (
     SELECT query_id, chunk_id, rank, round(score, 6) AS score, content, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
     FROM top JOIN docs ON docs.path = chunk_id)
-SELECT query_id, chunk_id, rank::BIGINT AS rank, score, sha256(substr(content, 1, (4000 - used)::BIGINT)) AS excerpt, length(content) > 4000 - used AS truncated FROM pack WHERE used < 4000"""
+SELECT query_id, chunk_id, rank::BIGINT AS rank, score, sha256(substr(content, 1, (20000 - used)::BIGINT)) AS excerpt, length(content) > 20000 - used AS truncated FROM pack WHERE used < 20000"""
 
 
 @query("a7_overlap_score", OVERLAP + "SELECT query_id, chunk_id, score FROM score")
@@ -301,10 +301,8 @@ def _(s, d):
 
 @query("j4_postings", LEX + "x AS (SELECT 1) SELECT query_id, chunk_id, token, tf FROM found")
 def _(s, d):
-    c, q = T.chunks(s, d), T.queries(s, d)
-    terms = q.select("query_id", "kb_ids", "filters", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    hits = lexical.postings(lexical.bags(c)).join(lexical.bounded(terms, 100_000), "token").join(c.select("chunk_id", "kb_id", "values"), "chunk_id")
-    return hits.where(lexical.in_scope(F.col("kb_id"), F.col("kb_ids")) & lexical.matches(F.col("values"), F.col("filters"))).select("query_id", "chunk_id", "token", "tf")
+    found, terms = lexical.scoped_postings(lexical.indexed(T.chunks(s, d)), T.queries(s, d))
+    return found.join(terms, ["scope", "token"]).select("query_id", "chunk_id", "token", "tf")
 
 
 @query("p4_positive_scores", OVERLAP + "SELECT query_id, count(*) AS hits FROM score WHERE score > 0 GROUP BY 1")

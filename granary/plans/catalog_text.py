@@ -273,9 +273,14 @@ def _(s, d):
     return pairs.select("vec_id", *[six(vectors.similarity(F.col("a"), F.col("b"), x), x) for x in ("cosine", "dot", "euclid")])
 
 
-@query("j5_exact_scores", POINTS + "SELECT query_id, point_id, round(score, 6) AS score FROM s")
+#: The best points and the best parents of each query, as many as a search may return.
+BEST = POINTS + ", best AS (SELECT query_id, point_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, point_id) <= 50) "
+POOLED = POINTS + ", m AS (SELECT query_id, chunk_id, max(score) AS score FROM s GROUP BY ALL), c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) <= 50) "
+
+
+@query("j5_exact_scores", BEST + "SELECT query_id, point_id, round(score, 6) AS score FROM best")
 def _(s, d):
-    return dense.scored(T.points(s, d), T.vector_queries(s, d)).select("query_id", "point_id", six(F.col("score"), "score"))
+    return dense.nearest(T.points(s, d), T.vector_queries(s, d)).select("query_id", "point_id", six(F.col("score"), "score"))
 
 
 @query("l2_nearest", """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
@@ -290,21 +295,20 @@ def _(s, d):
 
 @query("p6_filter_before_rank", POINTS + "SELECT query_id, count(*) AS candidates FROM s GROUP BY 1")
 def _(s, d):
-    return dense.scored(T.points(s, d), T.vector_queries(s, d)).groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return dense.candidates(T.points(s, d), T.vector_queries(s, d))
 
 
-@query("a8_pooled", POINTS + "SELECT query_id, chunk_id, round(max(score), 6) AS score FROM s GROUP BY ALL")
+@query("a8_pooled", POOLED + "SELECT query_id, chunk_id, round(score, 6) AS score FROM c")
 def _(s, d):
-    return dense.pooled(dense.scored(T.points(s, d), T.vector_queries(s, d))).select("query_id", "chunk_id", six(F.col("score"), "score"))
+    return dense.parents(T.points(s, d), T.vector_queries(s, d)).select("query_id", "chunk_id", six(F.col("score"), "score"))
 
 
-@query("w9_top_parents", POINTS + ", c AS (SELECT query_id, chunk_id, round(max(score), 9) AS score FROM s GROUP BY ALL) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c QUALIFY rank <= 5")
+@query("w9_top_parents", POOLED + "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM c QUALIFY rank <= 5")
 def _(s, d):
-    best = dense.pooled(dense.scored(T.points(s, d), T.vector_queries(s, d))).withColumn("score", F.round("score", 9))
-    return packing.ranked(best, "query_id").where("rank <= 5").select("query_id", "chunk_id", big("rank", "rank"))
+    return dense.parents(T.points(s, d), T.vector_queries(s, d), 5).select("query_id", "chunk_id", big("rank", "rank"))
 
 
-@query("c3_search_dense", POINTS + """, c AS (SELECT query_id, chunk_id, max(score) AS score FROM s GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c QUALIFY rank <= 5)
+@query("c3_search_dense", POOLED + """, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM c QUALIFY rank <= 5)
 SELECT query_id, chunk_id, rank::BIGINT AS rank, round(score, 6) AS score, 'text of ' || chunk_id AS text FROM t""")
 def _(s, d):
     p = T.points(s, d)
@@ -320,9 +324,9 @@ def _(s, d):
     return dense.resolved(bent.drop("kb_id").join(parents.select("chunk_id", "kb_id"), "chunk_id"), parents).select("chunk_id").distinct()
 
 
-@query("p7_result_checks", POINTS + "SELECT count(*) FILTER (NOT isfinite(score)) AS bad FROM s")
+@query("p7_result_checks", BEST + "SELECT count(*) FILTER (NOT isfinite(score)) AS bad FROM best")
 def _(s, d):
-    hits = dense.scored(T.points(s, d), T.vector_queries(s, d))
+    hits = dense.nearest(T.points(s, d), T.vector_queries(s, d))
     return hits.agg(big(F.sum((F.isnan("score") | F.col("score").isNull()).cast("int")), "bad"))
 
 

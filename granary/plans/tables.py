@@ -45,7 +45,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("q"), "item_id").alias("query_id"), "text",
         F.when(n % 3 == 0, F.array(F.lit("src0"), F.lit("src3"))).alias("kb_ids"),
         F.when(n % 5 == 0, F.create_map(F.lit("lang"), F.lit('"en'))).alias("filters"),
-        F.lit(5).alias("top_k"), F.lit(4000).alias("max_chars"),
+        F.lit(5).alias("top_k"), F.lit(20_000).alias("max_chars"),
     )
 
 
@@ -75,7 +75,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("point_id") / 20).cast("long")
     return p.select(
         F.col("point_id").alias("query_id"), "vector", F.when(n % 3 == 0, F.array("kb_id")).alias("kb_ids"),
-        F.when(n % 4 == 0, F.create_map(F.lit("even"), F.lit("1.0"))).alias("filters"), F.lit(5).alias("top_k"), F.lit(4000).alias("max_chars"),
+        F.when(n % 4 == 0, F.create_map(F.lit("even"), F.lit("1.0"))).alias("filters"), F.lit(5).alias("top_k"), F.lit(20_000).alias("max_chars"),
     )
 
 

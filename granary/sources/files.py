@@ -20,6 +20,22 @@ from pyspark.sql import functions as F
 from granary.functions.text import glob_regex
 from granary.sources.config import Source
 
+def hash_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
+    """(id, source_hash) of all files as they are now; their bytes are read and hashed in tasks."""
+    rows = [(f"{s.id}:{path}", str(Path(s.root) / path)) for s in sources for path in source_files(s)]
+    names = spark.createDataFrame(rows, "id string, place string").repartition(max(1, min(len(rows) // 64 + 1, 10_000)), "id")
+
+    def run(batches):
+        for batch in batches:
+            hashes = []
+            for place in batch.column(1).to_pylist():
+                with open(place, "rb") as f:
+                    hashes.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string())], ["id", "source_hash"])
+
+    return names.mapInArrow(run, "id string, source_hash string")
+
+
 FILES = "id string, kb_id string, path string, size long, source_hash string, content string"
 
 
