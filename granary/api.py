@@ -21,7 +21,7 @@ from granary.functions import identity, text, vectors
 from granary.functions.embeddings import Hashed, Provider, encoded, unit_windows
 from granary.operators import dense, evaluate, lexical, sync, windows
 from granary.operators.chunking import PARSER_VERSION
-from granary.sources.config import Config, Source, dump_config
+from granary.sources.config import EXCLUDE, INCLUDE, Config, Source, dump_config
 from granary.provenance import MACHINE, peak_memory, provenance
 from granary.sources.files import hash_files, read_cases, read_files, read_traces, stat_files
 from granary.sources.store import Store, Trace, storage_bytes, write_whole
@@ -368,6 +368,22 @@ class Engine:
 
     # --- onboarding ----------------------------------------------------------------------------------------------------
 
+    def source(self, kb_id: str, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> Source:
+        """A source as a user names it, checked: an absolute folder, patterns, and no clash with a configured one."""
+        path = Path(root).expanduser()
+        if not path.is_absolute():
+            raise ValueError("the folder's path must be absolute")
+        include, exclude = list(INCLUDE if include is None else include), list(EXCLUDE if exclude is None else exclude)
+        if not include or len(include) + len(exclude) > 100 or any(not isinstance(p, str) or not 0 < len(p) <= 512 for p in include + exclude):
+            raise ValueError("1 to 100 patterns of 1 to 512 characters, one of them to include")
+        wanted = Source(kb_id, path.resolve(), tuple(include), tuple(exclude))
+        for s in self.config.sources:
+            if s.id == kb_id and (s.root.resolve(), s.include, s.exclude) != (wanted.root, wanted.include, wanted.exclude):
+                raise ValueError("the knowledge base's id is taken by another scope")
+            if s.id != kb_id and s.root.resolve() == wanted.root:
+                raise ValueError("the folder is connected under another id")
+        return wanted
+
     def preview(self, source: Source) -> dict[str, Any]:
         """What connecting a source would read: counts, sizes and a fingerprint of the files as they are; no contents."""
         files = stat_files(self.spark, [source]).cache()
@@ -376,12 +392,14 @@ class Engine:
         state = files.select(F.col("path").alias("id"), F.concat_ws(":", "size", "mtime_ns", "ctime_ns").alias("source_hash"))
         scope = [dump_config(self.config), source.id, str(source.root), list(source.include), list(source.exclude), self.corpus_hash(state)]
         files.unpersist()
-        return total | {"samples": samples, "preview_id": identity.digest(scope)}
+        return total | {"samples": samples, "can_connect": total["files"] > 0 and not total["oversize"], "preview_id": identity.digest(scope)}
 
     def connect(self, source: Source, preview_id: str, config_path: str | Path) -> Engine:
         """Adds or replaces a source after its preview was confirmed; the configuration is written only when its index stands."""
         if self.preview(source)["preview_id"] != preview_id:
             raise ValueError("the source or the configuration changed since the preview")
+        if not self.preview(source)["can_connect"]:
+            raise ValueError("the source has no files, or some that are too large")
         sources = tuple(s for s in self.config.sources if s.id != source.id) + (source,)
         engine = Engine(self.spark, replace(self.config, sources=sources), self.provider)
         engine.index()
@@ -395,4 +413,5 @@ class Engine:
         """Documents by configured source (0 for those without any), and the vectors' status."""
         configured = self.spark.createDataFrame([(s.id,) for s in self.config.sources], "kb_id string")
         rows = configured.join(self.list_knowledge_bases(), "kb_id", "left").select("kb_id", F.coalesce("documents", F.lit(0)).alias("documents")).orderBy("kb_id").collect()
-        return {"knowledge_bases": [r.asDict() for r in rows], "vectors": self.vector_status()["status"]}
+        state = "ready" if rows and all(r.documents for r in rows) else "needs_index"
+        return {"status": state, "knowledge_bases": [r.asDict() for r in rows], "vectors": self.vector_status()["status"]}

@@ -80,8 +80,9 @@ def globs(path: Column, include: list[str], exclude: list[str]) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Slashes forward and single, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/"))
+    """Slashes forward and single, case folded (ß as ss, ς as σ, ſ as s)."""
+    low = F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/"))
+    return F.replace(F.translate(low, "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def url_parts(url: Column) -> dict[str, Column]:

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 KB_ID = re.compile(r"[a-z0-9_-]+")
+# What a source includes and excludes unless told otherwise.
+INCLUDE = ("*.md", "**/*.md")
+EXCLUDE = (".*/**", "**/.*/**")
 
 
 @dataclass(frozen=True)
@@ -16,8 +19,8 @@ class Source:
 
     id: str
     root: Path
-    include: tuple[str, ...] = ("*.md", "**/*.md")
-    exclude: tuple[str, ...] = (".*/**", "**/.*/**")
+    include: tuple[str, ...] = INCLUDE
+    exclude: tuple[str, ...] = EXCLUDE
 
     def __post_init__(self):
         if not KB_ID.fullmatch(self.id):
@@ -42,6 +45,14 @@ class Config:
     def traces(self) -> Path:
         return self.storage / "traces.jsonl"
 
+    @property
+    def connected(self) -> Path:
+        """Where the configuration with the sources that a user connected is kept."""
+        return self.storage / "connected.toml"
+
+    def active(self) -> Config:
+        return load_config(self.connected) if self.connected.exists() else self
+
 
 def _known(cls, values: dict, where: str) -> dict:
     if odd := set(values) - {f.name for f in fields(cls)}:
