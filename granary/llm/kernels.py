@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,15 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BASE_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-#: Odd multipliers of the places in a window of words.
-_PLACES = np.random.default_rng(977).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
+@cache
+def _places(n: int) -> np.ndarray:
+    """Odd multipliers of the places in a window of n words."""
+    return np.random.default_rng(977).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
 def lean(run: Callable) -> Callable:
     """run, a function over Arrow batches, which gives back the memory that it freed when it ends.
 
@@ -127,9 +132,10 @@ def windows(word: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(word), np.uint64)
     m = len(word) - n + 1
     if m > 0:
-        total = word[:m] * _PLACES[0]
+        places = _places(n)
+        total = word[:m] * places[0]
         for j in range(1, n):
-            total += word[j : j + m] * _PLACES[j]
+            total += word[j : j + m] * places[j]
         out[:m] = mixed(total)
     return out
 
@@ -144,7 +150,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.n
         if b - a >= n:
             out.append(np.unique(window[a : b - n + 1]))
         elif b > a:
-            out.append(mixed(np.cumsum(word[a:b] * _PLACES[: b - a])[-1:] + np.uint64(b - a)))
+            out.append(mixed(np.cumsum(word[a:b] * _places(n)[: b - a])[-1:] + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -48,9 +48,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     get no fractional repetition.
 
     A hot source is summed in BUCKETS ranges of that hash, partly before the shuffle, and only the bucket in which the edge
-    falls is sorted; no task holds a source. Null text: size 0, repeats as the source's whole repetition. Null doc_id hashes
-    like the empty text. Null source is a source of its own. Empty table: empty result. Other columns are kept; columns
-    named size, source_size, target or repeats are replaced.
+    falls is sorted; no task holds a source. Null text: size 0, repeats as the source's whole repetition. Words are counted in
+    whole texts, however long. Null doc_id hashes like the empty text. Null source is a source of its own; sources whose cap is
+    as far above their weight tie and fill up together. Empty table: empty result. Other columns are kept; columns named size,
+    source_size, target or repeats are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "repeats")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

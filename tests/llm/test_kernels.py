@@ -44,3 +44,10 @@ def test_codepoints_and_sums():
     data = np.frombuffer("aé😀".encode(), np.uint8)
     assert kernels.codepoints(data).sum() == 3
     assert kernels.per_text(np.array([1, 2, 3]), np.array([0, 0, 2, 3])).tolist() == [0, 3, 3]
+
+
+def test_windows_of_any_length():
+    words = [f"w{i}" for i in range(200)]
+    data = " ".join(words + words).encode()
+    (few,) = kernels.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 100)
+    assert len(few) == 200
