@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import decontaminate, jaccard, mixing, quality_model, tokens
-from granary.llm.common import written
+from granary.llm.common import discard, written
 from granary.llm.queries import END_ID, table, tokenizer_path
 
 
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order, each written and read again; a stage's table goes when the next one stands."""
+    docs, made = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if made is not None:
+            discard(made)
+        made = docs
     return docs
