@@ -143,7 +143,8 @@ class Inflated:
             upto = min(len(self.held), self.end[0] - self.offset) if self.end else len(self.held)
             part = memoryview(self.held)[self.use : upto]
             out = self.stream.decompress(part, n)
-            self.use += len(part) - len(self.stream.unconsumed_tail) - len(self.stream.unused_data)
+            # at the end both may hold the bytes behind it
+            self.use += len(part) - len(self.stream.unused_data if self.stream.eof else self.stream.unconsumed_tail)
             if self.stream.eof:
                 self.stream = None
             if out:
