@@ -1,6 +1,6 @@
 """Array kernels on the UTF-8 bytes of many texts at once: words, lines, their hashes and shingles.
 
-Texts come as Arrow columns and are worked through in chunks of a MB (or one text, if it is longer), so memory is bounded
+Texts come as Arrow columns and are worked through in chunks of 256 KB (or one text, if it is longer), so memory is bounded
 by the longest text, whatever a batch holds. Hashes have 64 bits. A word's hash is a polynomial over random numbers drawn for
 each byte value, finished by an avalanche; equal words have equal hashes, and among 10^8 distinct ones a collision is expected
 about 0.0003 times.
@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACES = (32, 9, 10, 11, 12, 13)
 
 _IS_SPACE = np.zeros(256, bool)

@@ -169,7 +169,7 @@ def apply_rules(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.
     common words at most max_words. References come from all documents. A distance is null, and forbids nothing, in texts of
     fewer than min_chars code points or min_words words, whose histograms are chance.
 
-    Null text counts as empty: no words, base_failed. Null lang is a language of its own. Texts are counted whole, a MB of
+    Null text counts as empty: no words, base_failed. Null lang is a language of its own. Texts are counted whole, 256 KB of
     them or one at a time. Repeated rows and null doc_ids are rows like others, and count in the references as often as they
     occur; a distance that equals its limit is kept. Other columns are ignored, whatever their names. Empty table: empty
     result.

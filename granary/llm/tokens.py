@@ -46,7 +46,7 @@ NULL_ID = -(1 << 63)
 #: Distinct pieces of text whose ids a worker remembers (about 30 bytes each); with more it forgets all and begins anew.
 PIECES = 1_000_000
 #: Bytes of text that are cut into pieces together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 #: Bytes of text in a shard, about, where there are more than the session's shuffle partitions would hold.
 SHARD_BYTES = 1 << 28
 
@@ -117,7 +117,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = Tokenizer.from_file(path) if self.added else None
         self.tokenizer.encode_special_tokens = True  # their strings in a piece are ordinary text
         self.end = np.array([end_id], "<u4").tobytes()
         self.known = Pieces()
@@ -136,9 +135,17 @@ class Encoder:
             holds |= pa.compute.match_substring(texts, t).fill_null(False).to_numpy(zero_copy_only=False)
         for k, content in enumerate(self._encode(texts)):
             if holds[k]:
-                content = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() + self.end
+                content = self._whole(texts[k].as_py())
             yield content
 
+    def _whole(self, text: str) -> bytes:
+        """A text by itself, with the library's defaults."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _encode(self, texts: pa.Array) -> Iterator[bytes]:
         for _, data, offsets in kernels.chunks(texts, TOGETHER):
             if len(self.known.keys) > PIECES:
