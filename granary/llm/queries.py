@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, html, jaccard, langid, mixing, quality_model, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, html, jaccard, langid, merkle, mixing, quality_model, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against the root, for a copy of which a half is tampered with."""
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -170,4 +176,53 @@ ORACLE_SQL: dict[str, str] = {
             (size * (whole + CASE WHEN size > 0 AND middle < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM rows_
     """,
+    # nodes level by level, each with its siblings, then every leaf's way up
+    "op11_merkle": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                text, replace(text, chr(10), '') AS bare,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                    lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: i::BIGINT)),
+                        lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) AS crc
+            FROM documents),
+        hashed AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(bare) || ':' || bare, '-')) END AS forged
+            FROM d),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY source) AS size, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+            FROM hashed),
+        up AS (
+            SELECT tree, 0 AS level, pos, size, leaf AS h FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, pos // 3, any_value((size + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM up
+            WHERE size > 1 GROUP BY tree, level, pos // 3),
+        subroots AS (SELECT tree, h AS subroot FROM up WHERE size = 1),
+        over_ AS (
+            SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS size, subroot AS h FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 3, any_value((size + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM over_
+            WHERE size > 1 GROUP BY level, pos // 3),
+        nodes AS (SELECT tree, level, pos, size, h FROM up UNION ALL SELECT -1, level, pos, size, h FROM over_),
+        beside AS (
+            SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+                coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+            FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3
+            WHERE a.size > 1 GROUP BY a.tree, a.level, a.pos),
+        way AS (
+            SELECT doc_id, tree, pos AS leaf_pos, leaf, pos, 0 AS level, tree AS at, '' AS proof, coalesce(forged, leaf) AS f FROM leaves
+            UNION ALL
+            SELECT w.doc_id, w.tree, w.leaf_pos, w.leaf,
+                CASE WHEN b.pos IS NULL THEN w.tree ELSE w.pos // 3 END, CASE WHEN b.pos IS NULL THEN 0 ELSE w.level + 1 END,
+                CASE WHEN b.pos IS NULL THEN -1 ELSE w.at END, w.proof || coalesce(b.l || b.r, ''),
+                CASE WHEN b.pos IS NULL THEN w.f ELSE sha256(b.l || w.f || b.r) END
+            FROM way w LEFT JOIN beside b ON b.tree = w.at AND b.level = w.level AND b.pos = w.pos
+            WHERE b.pos IS NOT NULL OR w.at >= 0),
+        last AS (SELECT w.* FROM way w WHERE w.at = -1 AND w.level = (SELECT max(level) FROM over_))
+        SELECT doc_id, leaf, subroot, (SELECT h FROM over_ WHERE size = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+            f = (SELECT h FROM over_ WHERE size = 1) AS verified
+        FROM last JOIN subroots USING (tree)
+    """,
 }
