@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, html, jaccard, langid, merkle, mixing, quality_model, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, html, jaccard, langid, merkle, mixing, near_vectors, quality_model, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of the embeddings within their labels."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
     "op11_merkle": op11_merkle,
+    "op12_near_vectors": op12_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -225,4 +231,20 @@ ORACLE_SQL: dict[str, str] = {
             f = (SELECT h FROM over_ WHERE size = 1) AS verified
         FROM last JOIN subroots USING (tree)
     """,
+    # all pairs of a label
+    "op12_near_vectors": r"""
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e,
+                label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)
+                    AND coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS able
+            FROM embeddings),
+        link AS (
+            SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+            WHERE a.able AND b.able AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT r, r AS o FROM v UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a),
+        least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.o GROUP BY reach.r),
+        degree AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+        FROM v JOIN least USING (r) LEFT JOIN degree USING (r)
+    """,
 }
