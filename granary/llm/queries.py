@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, html, jaccard, langid, merkle, mixing, near_vectors, quality_model, quality_rules, secrets, tokens, warc
+from granary.llm import decontaminate, html, jaccard, langid, merkle, mixing, near_vectors, negatives, quality_model, quality_rules, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,13 @@ def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every anchor and positive among the embeddings."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_jaccard_join": op2_jaccard_join,
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_merkle": op11_merkle,
     "op12_near_vectors": op12_near_vectors,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -247,4 +255,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
         FROM v JOIN least USING (r) LEFT JOIN degree USING (r)
     """,
+    # all rows against every anchor
+    "op13_negatives": r"""
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)),
+        pairs AS (
+            SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS k
+            FROM pairs WHERE same),
+        found AS (
+            SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+                row_number() OVER (PARTITION BY p.r, p.k ORDER BY n.score DESC, n.vec_id NULLS LAST)::INT AS rank
+            FROM positives p JOIN pairs n ON p.r = n.r AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+            WHERE p.k <= 5)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+    """,
 }
