@@ -35,17 +35,27 @@ ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td"
 CELLS = ("td", "th", "table")
 BEYOND_CELLS = frozenset(("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"))
 
-#: Words in an element's class, id, role or name that say what it is for.
+#: Words of a class, id, role or name that say what an element is for. A name is a word or words joined by hyphens, underscores
+#: or capitals; each is matched as a whole.
 ROLES = (
-    ("menu", re.compile(r"nav|menu|breadcrumb|crumb|toc|pager|paginat|tabs?\b|skip")),
-    ("edge", re.compile(r"header|masthead|banner|footer|copyright|colophon|bottom|top-?bar")),
-    ("side", re.compile(r"side|aside|related|recommend|widget|teaser|popular|trending|archive|tags?\b|share|social|follow|author|byline|meta\b")),
-    ("ad", re.compile(r"\bads?\b|\bad[-_]|[-_]ads?\b|advert|sponsor|promo|banner|dfp|taboola|outbrain|affiliate")),
-    ("notice", re.compile(r"cookie|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|sign-?up|paywall|toast|disclaimer|privacy")),
-    ("talk", re.compile(r"comment|disqus|repl(?:y|ies)|discussion|respond|review|feedback|guestbook")),
-    ("form", re.compile(r"form|search|login|contact|input|field")),
-    ("main", re.compile(r"article|content|main|post|entry|story|body|text|page")),
+    ("menu", re.compile(r"nav\w*|(sub)?menus?|breadcrumb\w*|crumbs?|toc|pager|paginat\w*|paging|tabs?|tablist|skip")),
+    ("edge", re.compile(r"header\w*|masthead|banner|footer\w*|copyright|colophon|bottom|topbar|bar")),
+    ("side", re.compile(r"side|sidebar\w*|aside|complementary|related|recommend\w*|widgets?|teasers?|popular|trending|archives?|tags?|shar(e|ing)|social|follow|authors?|byline|meta")),
+    ("ad", re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|dfp|taboola|outbrain|affiliate")),
+    ("notice", re.compile(r"cookie\w*|consent|gdpr|notices?|alerts?|alertdialog|popup|modal|overlay|newsletter\w*|subscri\w*|sign|signup|paywall|toast|disclaimer|privacy")),
+    ("talk", re.compile(r"comment(s|list|er|body|text|form)?|disqus\w*|repl(y|ies)|discussion|responses?|respond|reviews?|feedback|guestbook")),
+    ("form", re.compile(r"\w*form|search\w*|login|signin|contact\w*|inputs?|fields?")),
+    ("main", re.compile(r"article\w*|content|main|posts?|h?entry|story|body|text|page|prose")),
 )
+#: First and last words of a name that tells a state, a theme's layout or what a page is filed under, not what the element is for.
+STATE = frozenset("has no not with without is are was js tag tagged category cat topic term format status type template theme layout single show hide hides can will logged postid".split())
+STATED = frozenset("open opened closed enabled disabled on off active visible present left right fixed sticky loaded ready true false".split())
+#: Last words of a name for something that holds other things, of which a word for content is the rest.
+AROUND = frozenset("wrap wrapper container layout inner outer grid row col columns area".split())
+#: Elements whose names are those of a theme or of the page's subject: their words aren't passed on to what is within.
+THEMED = frozenset(("html", "body", "main", "article"))
+A_COMMENT = re.compile(r"(?<![\w-])(comment|reply)(?!-?\w*(open|closed|enabled|disabled))", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\0]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|name|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 SPACE = re.compile(r"\s+")
@@ -93,12 +103,20 @@ class Block:
 
 
 @lru_cache(4096)
-def _short_roles(said: str) -> tuple[str, ...]:
-    return tuple(name for name, pattern in ROLES if pattern.search(said))
+def _roles_of(name: str) -> tuple[str, ...]:
+    """What one name says, in the order of ROLES."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not words or len(words) > 1 and (words[0] in STATE or words[-1] in STATED):
+        return ()
+    found = tuple(role for role, pattern in ROLES if any(pattern.fullmatch(w) for w in words))
+    return ("main",) if words[-1] in AROUND and "main" in found else found
 
 
-def _roles(said: str) -> tuple[str, ...]:
-    return _short_roles(said) if len(said) < 200 else _short_roles.__wrapped__(said)  # long ones aren't worth remembering
+def _roles(said: str) -> list[str]:
+    """What a value says: the roles of its names, each once. Names of over 60 letters are no words."""
+    names = {name: None for name in said.split() if len(name) <= 60}
+    every = {role for name in names for role in _roles_of(name)}
+    return [role for role, _ in ROLES if role in every]
 
 
 def _flags(attributes: str) -> list[str]:
@@ -106,12 +124,12 @@ def _flags(attributes: str) -> list[str]:
     flags: list[str] = []
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), a or b or c
             if name in ("hidden", "aria-hidden"):
-                if value != "false" and not (name == "aria-hidden" and value != "true"):
+                if value.lower() != "false" and not (name == "aria-hidden" and value.lower() != "true"):
                     flags.append("hidden")
             elif name == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     flags.append("hidden")
             else:
                 flags += _roles(value)
@@ -120,11 +138,16 @@ def _flags(attributes: str) -> list[str]:
 
 def _element(tag: str, attributes: str, parent: Element) -> Element:
     flags, block = _flags(attributes), tag in BLOCK
-    said = parent.said
+    said, nearest = parent.said, parent.nearest
+    if tag in THEMED:  # an article among comments is one of them, whatever surrounds both
+        talk = tag == "article" and "main" not in flags and A_COMMENT.search(attributes)
+        flags = [flag for flag in flags if flag == "hidden" and tag == "article" or flag == "talk" and talk]
+        if tag == "main":
+            said, nearest = said & _SAYS_BIT["hidden"], None
     for flag in flags:
         said |= _SAYS_BIT[flag]
     outer = tag if parent.outer == "-" and tag not in PLAIN else parent.outer
-    return Element(tag, block, parent.inside | _STRUCTURE_BIT.get(tag, 0), said, flags[0] if flags else parent.nearest, tag if block else parent.inner, outer)
+    return Element(tag, block, parent.inside | _STRUCTURE_BIT.get(tag, 0), said, flags[0] if flags else nearest, tag if block else parent.inner, outer)
 
 
 class _Open:

@@ -54,7 +54,8 @@ class _Writer:
             lambda: f"<div{self.name('sidebar', 'related-posts', 'widget', 'share')}><h4>{self.words(1, 3)}</h4>{r.choice([self.links(), '<p>' + self.prose(1, 3) + '</p>'])}</div>",
             lambda: f"<div{self.name('cookie-banner', 'consent', 'notice', 'newsletter', 'popup')}><p>{self.prose(1, 3)}</p><button>{self.words(1, 2)}</button></div>",
             lambda: f"<form{r.choice(['', self.name('search', 'login', 'contact-form')])}><label>{self.words(1, 3)}</label><input name='q'><button>{self.words(1, 2)}</button></form>",
-            lambda: f"<section{self.name('comments', 'discussion', 'replies')}><h3>{self.words(1, 2)}</h3>" + "".join(f"<{k}{self.name('comment', 'reply')}><p>{self.prose(1, 4)}</p></{k}>" for k in [r.choice(["div", "li", "article"])] * r.randint(1, 4)) + "</section>",
+            lambda: f"<section{self.name('comments', 'discussion', 'replies', 'comments-area')}><h3>{self.words(1, 2)}</h3>" + "".join(f"<{k}{self.name('comment', 'reply')}><p>{self.prose(1, 4)}</p></{k}>" for k in [r.choice(["div", "li", "article"])] * r.randint(1, 4)) + "</section>",
+            lambda: f"<section{self.name('related-posts', 'recommended', 'more-stories related')}><h3>{self.words(1, 3)}</h3>" + "".join(f"<article{self.theme('article')}><h4><a href='/x'>{self.words(2, 6)}</a></h4><p>{self.prose(1, 2)}</p></article>" for _ in range(r.randint(1, 3))) + "</section>",
             lambda: f"<dialog open><p>{self.prose(1, 2)}</p></dialog>",
             lambda: f"<div style='display:none'>{self.prose(1, 2)}</div>",
         ])()
@@ -63,6 +64,17 @@ class _Writer:
         inner = self.r.choice([f"&copy; {self.word()}.example.com &middot; {self.prose(1, 3)}", f"<p>Copyright {self.words(1, 3)}</p>{self.links('a')}", self.prose(1, 3)])
         return self.r.choice([f"<footer>{inner}</footer>", f"<div{self.name('footer', 'site-footer', 'copyright')}>{inner}</div>"])
 
+    def theme(self, kind: str) -> str:
+        """Names such as themes give to html, body, wrappers and articles; they say nothing of the text within."""
+        r = self.r
+        states = ["has-sidebar", "no-sidebar", "has-header-image", "comments-open", "has-post-thumbnail", f"category-{self.word()}", f"tag-{self.word()}", "page-template-default", "logged-in", "nav-closed", "with-menu", "sidebar-right", "js-nav-ready", f"postid-{r.randint(1, 99)}", "cookie-bar-visible", "search-enabled", "is-sponsored"]
+        own = {"body": ["page", "single", "home", "blog", self.word()], "article": ["post", f"post-{r.randint(1, 99)}", "hentry", "entry", "review", "story", self.word()], "div": ["site", "wrapper", "content-sidebar-wrap", "site-container", "content-area", "layout", self.word()]}[kind]
+        if r.random() < 0.35:
+            return ""
+        names = r.sample(own, r.randint(0, 2)) + r.sample(states, r.randint(0, 4))
+        r.shuffle(names)
+        return f' class="{" ".join(names)}"' if names else ""
+
     def main(self) -> str:
         """The article's inside; MARK begins each block of it."""
         r, out = self.r, []
@@ -90,12 +102,17 @@ class _Writer:
         r = self.r
         shell = r.choices(["<article{}>", "<main{}>", "<div{}>", "<main><article{}>", "<section{}>"], [6, 2, 3, 2, 1])[0]
         name = r.choice(["", "", self.name("content", "post", "entry-content", "article-body", "story", "main")]) if "div" not in shell and "section" not in shell else self.name("content", "post", "entry-content", "article-body", "story", "main-text")
+        if "article" in shell or "main" in shell:
+            name = r.choice([name, self.theme("article"), self.theme("article")])
         ends = "".join(f"</{t}>" for t in (("article", "main") if "><" in shell else (shell[1:].split("{")[0],)))
         before = "".join(self.junk() for _ in range(r.choice([0, 1, 1, 2, 3])))
         after = "".join(self.junk() for _ in range(r.choice([0, 0, 1, 2, 3])))
         foot = self.foot() if r.random() < 0.8 else ""
         head = f"<head><title>{self.words(1, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        return f"<!DOCTYPE html><html lang='en'>{head}<body>{before}{shell.format(name)}{self.main()}{ends}{after}{foot}</body></html>"
+        if r.random() < 0.3:
+            shell, ends = f"<div{self.theme('div')}>{shell}", f"{ends}</div>"
+        body, site = self.theme("body"), (f"<div{self.theme('div')}>", "</div>") if r.random() < 0.4 else ("", "")
+        return f"<!DOCTYPE html><html lang='en'>{head}<body{body}>{site[0]}{before}{shell.format(name)}{self.main()}{ends}{after}{foot}{site[1]}</body></html>"
 
 
 def labelled(n: int, seed: int = 1) -> list[tuple[list, list[int]]]:

@@ -172,6 +172,42 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == 6
 
 
+BODY = "<h1>The headline</h1><p>First paragraph of the article, long enough to be read.</p><p>Second paragraph with more of it.</p>"
+JUNK = ("<nav class='main-nav'><ul><li><a href='/'>Home</a><li><a href='/b'>Blog</a></ul></nav>", "<aside class='sidebar'><h3>Related</h3><ul><li><a href='/r'>Another one</a></ul></aside><footer>&copy; 2024 Someone</footer>")
+
+
+@pytest.mark.parametrize(
+    "shell",
+    [
+        "<body><main><article class='post comments-open'>{}</article></main>",
+        "<body><main><article class='post-12 has-post-thumbnail category-news tag-budget'>{}</article></main>",
+        "<body class='has-sidebar page'><main>{}</main>",
+        "<body class='single single-post postid-7 logged-in no-sidebar'><div id='page' class='site'><div id='content' class='site-content'><article id='post-7' class='post-7 post type-post status-publish format-standard hentry category-food tag-soup'>{}</article></div></div>",
+        "<body class='has-header has-sidebar'><div class='content-sidebar-wrap'><main class='content'><article class='entry'>{}</article></main></div>",
+        "<body class='sidebar-right nav-closed'><div class='site-container'><article class='review h-entry'>{}</article></div>",
+        "<body class='cookie-bar-visible js-menu-ready'><main id='main' role='main'>{}</main>",
+        "<html class='no-js has-ads'><body class='page-template-with-menu'><main><article class='story is-sponsored'>{}</article></main>",
+        "<body><div class='wrapper has-footer'><main class='archive'><article class='post format-aside tag-privacy'>{}</article></main></div>",
+        "<body><main class='with-sidebar'><div class='entry-content'>{}</div></main>",
+        "<body class='search-enabled comments-closed'><article class='tag-forms category-reviews'><div class='postBody'>{}</div></article>",
+        "<body><div class='layout hasSidebar'><article class='article article--sharing-enabled'>{}</article></div>",
+        "<body class='home blog'><div class='primary content-area'><main class='site-main'><article class='post sticky'>{}</article></main></div>",
+    ],
+)
+def test_articles_under_theme_classes(shell):
+    before, after = shell.split("{}")
+    cut = max(before.find("<main"), 0) or before.find("<article")
+    page = before[:cut] + JUNK[0] + before[cut:] + BODY + after + JUNK[1]
+    want = "The headline First paragraph of the article, long enough to be read. Second paragraph with more of it."
+    assert html.main_text(before + BODY + after, html.default_chain()) == want
+    assert html.main_text(page, html.default_chain()) == want
+
+
+def test_comments_and_cards_are_left_out():
+    page = f"<body class='comments-open'><main><article class='post'>{BODY}</article><section class='comments-area'><article class='comment'><p>Nice one, I agree.</p></article></section><section class='related-posts'><article class='post'><h4><a href='/x'>Other story</a></h4><p>A card of it.</p></article></section></main>{JUNK[1]}"
+    assert html.main_text(page, html.default_chain()) == "The headline First paragraph of the article, long enough to be read. Second paragraph with more of it."
+
+
 def test_blocks_of_odd_markup():
     said = lambda page: [(b.text, b.element.inner) for b in html.blocks(page)]
     assert said("<article><noscript><p>Kept.</p></noscript><xmp>a <b> c</xmp><template><p>t</p></template><iframe><p>no</p></iframe><textarea>no</textarea>end") == [("Kept.", "p"), ("a <b> c", "xmp"), ("t", "p"), ("end", "article")]
