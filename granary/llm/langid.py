@@ -20,6 +20,8 @@ SLOTS = 1 << 20
 HASHES = 3
 #: Documents of each language, as expected, that the filters are fitted on unless told otherwise.
 FIT = 2000
+#: Bytes of a text among which a letter is looked for at a time.
+LOOK = 400
 #: An n-gram belongs to a language's filter from this share of its n-grams on.
 SHARE = 2e-5
 
@@ -174,8 +176,7 @@ def identify(docs: DataFrame, documents: int = FIT) -> DataFrame:
                 best, score = filters.decide(text, gram, texts) if filters.languages else (np.full(texts, -1), np.zeros(texts))
                 lettered = kernels.per_text(_LETTER[data], offsets) > 0
                 for k in np.flatnonzero(lettered):
-                    if not any(c.isalpha() for c in raw[offsets[k] : offsets[k] + 400].decode("utf-8", "ignore")):
-                        lettered[k] = any(c.isalpha() for c in raw[offsets[k] : offsets[k + 1]].decode("utf-8", "ignore"))
+                    lettered[k] = any(c.isalpha() for at in range(offsets[k], offsets[k + 1], LOOK) for c in raw[at : min(at + LOOK + 3, offsets[k + 1])].decode("utf-8", "ignore"))
                 best = np.where(lettered & (best < 0) & bool(filters.languages), 0, np.where(lettered, best, -1))
                 score = np.where(best < 0, 0.0, score)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, texts), batch.column(1).slice(i, texts), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])

@@ -278,6 +278,13 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.identify(df.withColumn("lang", df["text"].substr(1, 0)).replace("", None, "lang")).collect()} == {"und"}
 
 
+def test_langid_looks_no_further_than_the_text(spark):
+    """Texts without letters next to texts with letters, in one task and one batch."""
+    rows = [(i, "plain letters follow here " * 3, "en") for i in range(40)] + [(100 + i, t, None) for i, t in enumerate(["— 12 · 34 …", "plain letters follow here", "… — " * 300, "x" * 5, "— 9", "…" * 500 + "é", "é"])]
+    got = {x.doc_id: (x.lang_pred, x.score > 0) for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect()}
+    assert [got[100 + i] for i in range(7)] == [("und", False), ("en", True), ("und", False), ("en", True), ("und", False), ("en", True), ("en", True)]
+
+
 def test_langid_of_many_languages(spark):
     rows = [(8 * k + i, f"{chr(97 + k // 26)}{chr(97 + k % 26)}qx" * 10, f"l{k:03}") for k in range(300) for i in range(8)]
     got = {x.doc_id: x.lang_pred for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
