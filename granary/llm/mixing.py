@@ -48,13 +48,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     get no fractional repetition.
 
     A hot source is summed in BUCKETS ranges of that hash, partly before the shuffle, and only the bucket in which the edge
-    falls is sorted; no task holds a source. Null text: size 0, repeats as the source's whole repetition. Words are counted in
-    whole texts, however long. Null doc_id hashes like the empty text. Null source is a source of its own; sources whose cap is
+    falls is sorted, equal rows as one with their count; no task holds a source, nor all rows of a doc_id. Null text: size 0, repeats as the source's whole repetition. Words are counted in
+    whole texts, however long. Null doc_id hashes like an empty one. Null source is a source of its own; sources whose cap is
     as far above their weight tie and fill up together. Empty table: empty result. Other columns are kept; columns named size,
     source_size, target or repeats are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "repeats")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
     sized = sized.withColumn("_mix_key", key).withColumn("_mix_bucket", F.conv(F.substring("_mix_key", 1, 3), 16, 10).cast("int"))
     slim = written(sized.select("source", "size", "_mix_key", "_mix_bucket"), "mix")
@@ -69,14 +69,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     plan = plan.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
     plan = written(plan.select(F.col("p.source").alias("_mix_source"), "source_size", "target", F.col("whole").alias("_mix_whole"), F.coalesce("edge._mix_bucket", F.lit(BUCKETS)).alias("_mix_edge"), F.coalesce("edge.left", F.lit(0.0)).alias("_mix_left")), "mix-plan")
     of_source = lambda df: df.join(small(plan), F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
-    order = Window.partitionBy("source").orderBy("_mix_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # in the edge's bucket a document is taken while its middle lies before the end: the sum that is nearest
-    middle = F.sum("size").over(order) - F.col("size") / F.lit(2.0)
-    last = of_source(slim).where("_mix_bucket = _mix_edge").withColumn("_mix_taken", middle < F.col("_mix_left")).where("_mix_taken and size > 0")
-    last = written(last.groupBy(F.col("source").alias("_mix_source"), F.col("_mix_key").alias("_mix_taken")).agg(F.lit(1).alias("_mix_more")), "mix-edge")
-    out = of_source(sized).join(small(last), F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_key") == F.col("_mix_taken")), "left")
-    more = F.when((F.col("_mix_bucket") < F.col("_mix_edge")) & (F.col("size") > 0), 1).otherwise(F.coalesce("_mix_more", F.lit(0)))
-    return out.select(*docs.columns, "size", "source_size", "target", (F.col("_mix_whole") + more).cast("int").alias("repeats"))
+    # in the edge's bucket a row is taken while its middle lies before the end: the sum that is nearest
+    rows = of_source(slim).where("_mix_bucket = _mix_edge and size > 0").groupBy("source", "_mix_key", "size", "_mix_left").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("_mix_key").rowsBetween(Window.unboundedPreceding, -1)
+    room = (F.col("_mix_left") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0))) / F.col("size")
+    more = rows.withColumn("_mix_more", F.least("n", F.greatest(F.ceil(room - F.lit(0.5)), F.lit(0)))).where("_mix_more > 0")
+    more = written(more.select(F.col("source").alias("_mix_source"), F.col("_mix_key").alias("_mix_taken"), "_mix_more", "n"), "mix-edge")
+    of_edge = F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_key") == F.col("_mix_taken"))
+    whole = more.where("_mix_more = n").select("_mix_source", "_mix_taken", F.lit(1).alias("_mix_more"))
+    out = of_source(sized).join(small(whole), of_edge, "left").drop("_mix_source", "_mix_taken")
+    parts = more.where("_mix_more < n").drop("n")
+    if parts.limit(1).count():  # of equal rows some are taken: at most one such group in a source
+        out = out.join(small(parts.drop("_mix_more")), of_edge, "left_anti").unionByName(_numbered(of_source(sized).join(small(parts), of_edge)).drop("_mix_source", "_mix_taken"))
+    taken = F.when((F.col("_mix_bucket") < F.col("_mix_edge")) & (F.col("size") > 0), 1).otherwise(F.coalesce("_mix_more", F.lit(0)))
+    return out.select(*docs.columns, "size", "source_size", "target", (F.col("_mix_whole") + taken).cast("int").alias("repeats"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with _mix_more 1 for so many of each (_mix_source, _mix_taken) as it said, else 0: the first by task and place in it."""
+    table = written(rows.withColumn("_mix_at", F.monotonically_increasing_id()), "mix-equal").withColumn("_mix_part", F.shiftright("_mix_at", 33))
+    group = ["_mix_source", "_mix_taken"]
+    sums = table.groupBy(*group, "_mix_part").agg(F.count("*").alias("_n"))
+    run = Window.partitionBy(*group).orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"_of{c}") for c in (*group, "_mix_part")], F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
+    met = table.join(small(written(sums, "mix-equal-parts")), F.col("_mix_source").eqNullSafe(F.col("_of_mix_source")) & (F.col("_mix_taken") == F.col("_of_mix_taken")) & (F.col("_mix_part") == F.col("_of_mix_part")))
+    place = F.row_number().over(Window.partitionBy(*group, "_mix_part").orderBy("_mix_at"))
+    return met.withColumn("_mix_more", (F.col("_before") + place <= F.col("_mix_more")).cast("int")).select(*rows.columns)
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

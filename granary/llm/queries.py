@@ -164,7 +164,7 @@ ORACLE_SQL: dict[str, str] = {
     "op10_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
+                md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
             FROM documents),
         sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
         turned AS (
@@ -184,7 +184,7 @@ ORACLE_SQL: dict[str, str] = {
         rows_ AS (
             SELECT d.doc_id, d.size, p.source_size, p.target,
                 CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 1 END AS whole,
-                sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
+                sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
             FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
         SELECT doc_id, size, source_size, target,
             (size * (whole + CASE WHEN size > 0 AND middle < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -55,10 +55,43 @@ def test_targets_and_rows(spark):
 def test_order_is_that_of_the_hash(spark):
     rows = [(i, "a b c d", "one", 0) for i in range(50)] + [(100, "a " * 100, "two", 0)]
     got = {r.doc_id: r.repeats for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect() if r.source == "one"}
-    order = sorted(got, key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+    text = hashlib.md5(b"a b c d").hexdigest()
+    order = sorted(got, key=lambda i: hashlib.md5(f"mix:{i}:{text}".encode()).hexdigest())
     assert [got[i] for i in order] == sorted(got.values(), reverse=True)
 
 
+def taken_by_sql(rows):
+    """The query's SQL over rows."""
+    import duckdb
+    import pandas as pd
+
+    from granary.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["doc_id", "text", "source", "size"]))
+    con.execute("CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text, source::VARCHAR AS source FROM given")
+    return sorted(con.execute(ORACLE_SQL["op10_mixing"]).fetchall(), key=str)
+
+
+def test_equal_and_missing_ids(spark):
+    """Targets are met where all rows of a source share one doc_id or have none, with unlike texts or the same one."""
+    kinds = [(None, "many"), (7, "many"), (None, "same"), (9, "same")]
+    rows = [(i, f"w{k if kind == 'many' else 0} " * (k % 9 + 10 if kind == "many" else 14), f"s{n}", 0) for n, (i, kind) in enumerate(kinds) for k in range(200)]
+    rows += [(10_000 + k, "big " * 30, "large", 0) for k in range(900)] + [(k % 3, "t " * 5, None, 0) for k in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df.repartition(5)).collect()
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.repeats * r.size
+    target = {r.source: r.target for r in got}
+    assert any(t % w for t, w in zip(target.values(), taken.values())) and all(abs(taken[s] - target[s]) <= 15 for s in target)
+    want = [(r[0], r[1], r[2], float(r[3]), r[4]) for r in taken_by_sql([(i if i is not None else None, t, s, z) for i, t, s, z in rows])]
+    assert sorted(((r.doc_id, r.size, r.source_size, r.target, r.repeats * r.size) for r in got), key=str) == sorted(want, key=str)
+    again = mixing.mix(df).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert mixing.repeated(df).count() == sum(r.repeats for r in got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df).count() == 0 and mixing.repeated(df).count() == 0
