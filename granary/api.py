@@ -7,7 +7,7 @@ import math
 import random
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, replace
 from datetime import UTC, datetime
 from pathlib import Path
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import identity, text, vectors
 from granary.functions.embeddings import Hashed, Provider, encoded, unit_windows
-from granary.operators import dense, evaluate, lexical, sync, windows
-from granary.operators.chunking import PARSER_VERSION
+from granary.operators import dense, evaluate, lexical, segments, snapshot, sync, windows
+from granary.operators.chunking import PARSER_VERSION, pipeline_hash
 from granary.sources.config import EXCLUDE, INCLUDE, Config, Source, dump_config
 from granary.provenance import MACHINE, peak_memory, provenance
 from granary.sources.files import hash_files, read_cases, read_files, read_traces, stat_files
@@ -28,18 +28,10 @@ from granary.sources.store import Store, Trace, storage_bytes, write_whole
 
 # Fixed value: the rules by which hits are credited.
 BENCHMARK_VERSION = "evidence-visible-v1"
-EMPTY_DOCUMENTS = "id string, kb_id string, path string, source_hash string, pipeline_hash string, title string, metadata string, content string"
-EMPTY_CHUNKS = "chunk_id string, doc_id string, heading string, start_line int, end_line int, text string"
 #: What two reports must have in common to be compared.
 COMPARABLE = ("schema_version", "benchmark_version", "dataset_hash", "corpus_hash", "top_k", "max_chars", "repeats", "warmup")
 
 
-def _described(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunks with their documents' columns."""
-    d = documents.select(F.col("id").alias("doc_id"), "kb_id", "path", "title", "metadata", "source_hash")
-    return chunks.join(d, "doc_id").withColumn("values", lexical.metadata_values(F.col("metadata")))
-
-
 def percentile(values: list[float], share: float) -> float:
     """Between neighbours; 0 of none."""
     return float(np.quantile(values, share)) if values else 0.0
@@ -70,45 +62,32 @@ class Engine:
         return identity.digest([self.config.chunk_chars, self.config.max_file_bytes, [[s.id, str(s.root), list(s.include), list(s.exclude)] for s in self.config.sources], PARSER_VERSION])
 
     def _tables(self, store: Store, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
-        if active := store.active(scope):
-            return store.read(active, "documents"), store.read(active, "chunks")
-        return self.spark.createDataFrame([], EMPTY_DOCUMENTS), self.spark.createDataFrame([], EMPTY_CHUNKS)
+        active = store.active(scope)
+        return snapshot.table(store, active, "documents"), snapshot.table(store, active, "chunks")
 
     def index(self) -> dict[str, Any]:
         """Brings the snapshot and its search index up to date with the files; all or nothing. Sources that are no longer
-        configured go. Files are read and parsed once; counts and hashes come from the tables as written."""
-        counts: dict[str, Any] = {}
-        held: list[DataFrame] = []
-        keep = lambda df: held.append(df.cache()) or held[-1]
+        configured go. All files are hashed; those that changed are read again and parsed, and only their buckets and an index
+        segment of theirs are written. A file that changes in between is an error."""
         with Trace(self.config.traces, "ingest") as trace:
-            with trace.stage("scan"):
-                files = keep(read_files(self.spark, self.config.sources, self.config.max_file_bytes))
-            try:
-                with self.store.lock():
-                    with trace.stage("parse_chunk"):
-                        documents, chunks, statuses = sync.synchronised(files, *self._tables(self.store), self.config.chunk_chars, keep)
-
-                    def manifest(there: dict[str, DataFrame]) -> dict[str, Any]:
-                        counts.update(sync.counters(statuses, files, there["chunks"]).first().asDict())
-                        return {"corpus_hash": self.corpus_hash(there["documents"])}
-
-                    with trace.stage("persist"):
-                        self.store.publish({"documents": documents, "chunks": chunks, **self._index_tables()}, manifest, "text", {"postings": "bucket"})
-            finally:
-                for df in held:
-                    df.unpersist()
+            with self.store.lock(), self.store.staging() as keep:
+                with trace.stage("scan"):
+                    hashed = keep(hash_files(self.spark, self.config.sources, self.config.max_file_bytes), "hashed")
+                    version = F.lit(pipeline_hash(self.config.chunk_chars)).alias("pipeline_hash")
+                    statuses = keep(sync.changes(hashed.select("id", "source_hash", version), snapshot.table(self.store, self.store.active(), "documents")), "statuses")
+
+                def files(ids: DataFrame) -> DataFrame:
+                    read = read_files(self.spark, self.config.sources, self.config.max_file_bytes, ids)
+                    seen = hashed.select("id", F.col("source_hash").alias("_seen"))
+                    same = F.when(F.col("source_hash") == F.col("_seen"), F.col("source_hash")).otherwise(F.raise_error(F.concat("id", F.lit(" changed during the build"))))
+                    return read.join(seen, "id").withColumn("source_hash", same).drop("_seen")
+
+                with trace.stage("parse_chunk"):
+                    written = snapshot.advance(self.store, statuses, files, self.config.chunk_chars, lambda there: {"corpus_hash": self.corpus_hash(there["documents"])}, keep)
+                counts = sync.counters(statuses, hashed).first().asDict() | {"chunks_written": written}
             trace.facts["counts"] = counts
         return counts | {"trace_id": trace.id, "operation_ms": trace.ms}
 
-    @staticmethod
-    def _index_tables() -> dict:
-        """The search index as tables made of those written before."""
-        described = lambda there: _described(there["documents"], there["chunks"])
-        return {
-            "postings": lambda there: lexical.indexed(described(there)).postings.repartition("bucket").sortWithinPartitions("bucket", "token"),
-            "sizes": lambda there: lexical.indexed(described(there)).sizes,
-        }
-
     @staticmethod
     def corpus_hash(documents: DataFrame) -> str:
         row = identity.corpus_hash(documents).first()
@@ -121,7 +100,7 @@ class Engine:
     def chunks(self) -> DataFrame:
         """Chunks with their documents' columns, of configured sources only."""
         documents, chunks = self._tables(*self._snapshot())
-        return _described(documents.where(F.col("kb_id").isin(self.kb_ids)), chunks)
+        return snapshot.described(documents.where(F.col("kb_id").isin(self.kb_ids)), chunks)
 
     def search_index(self) -> lexical.Index:
         """The stored index of the same chunks."""
@@ -129,7 +108,7 @@ class Engine:
         active = store.active(scope)
         if not active:
             return lexical.indexed(self.chunks())
-        return lexical.Index(store.read(active, "postings"), store.read(active, "sizes")).of(self.kb_ids)
+        return segments.stored(store, active).of(self.kb_ids)
 
     def list_knowledge_bases(self) -> DataFrame:
         documents = self._tables(self.store)[0]
@@ -151,10 +130,11 @@ class Engine:
         df = self.spark.createDataFrame(raw, "query_id string, text string, kb_ids array<string>, _f string, top_k int, max_chars int")
         return df.withColumn("filters", F.when(F.col("_f").isNotNull(), lexical.metadata_values(F.col("_f")))).drop("_f")
 
-    def search_many(self, queries: DataFrame, strategy: str = "bm25") -> DataFrame:
-        """Hits of many queries (query_id, text, kb_ids, filters, top_k, max_chars) in one job."""
+    def search_many(self, queries: DataFrame, strategy: str = "bm25", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+        """Hits of many queries (query_id, text, kb_ids, filters, top_k, max_chars). keep stores a table for the time of the
+        search, as a cache does; with it BM25 without filters reads only the postings that can matter."""
         if strategy != "dense":
-            return lexical.search(self.chunks(), queries, strategy, self.search_index())
+            return lexical.search(self.chunks(), queries, strategy, self.search_index(), keep)
         active = self.dense_store.active(self.scope_hash())
         if not active:
             raise RuntimeError("no vector generation for this scope: build one first")
@@ -173,7 +153,10 @@ class Engine:
         if strategy == "dense" and any(not isinstance(v, str | bool | int | float) for v in (filters or {}).values()):
             raise ValueError("dense filters must be texts, numbers or truth values")
         with Trace(self.config.traces, "search", query_hash=identity.digest(query), strategy=strategy, tokenizer=text.TOKENIZER_VERSION, kb_ids=kb_ids, top_k=top_k, max_chars=max_chars, filter_keys=sorted(filters or {})) as trace, trace.stage("rank"):
-            rows = self.search_many(self._queries([("q", query, kb_ids, filters)], top_k, max_chars), strategy).orderBy("rank").collect()
+            held: list[DataFrame] = []
+            rows = self.search_many(self._queries([("q", query, kb_ids, filters)], top_k, max_chars), strategy, lambda df, _: held.append(df.cache()) or held[-1]).orderBy("rank").collect()
+            for df in held:
+                df.unpersist()
         keys = ("chunk_id", "doc_id", "kb_id", "path", "title", "heading", "source_hash", "start_line", "end_line", "score", "text", "truncated")
         hits = [{k: r[k] for k in keys} | {"metadata": json.loads(r["metadata"])} for r in rows]
         return {"trace_id": trace.id, "status": "candidates_found" if hits else "no_evidence", "content_chars": sum(len(h["text"]) for h in hits), "hits": hits}
@@ -207,6 +190,7 @@ class Engine:
                 with trace.stage("snapshot"):
                     self.index()
                     documents, chunks = self._tables(self.store)
+                    text_generation = self.store.active()
                     source = documents.select(F.col("id").alias("doc_id"), "kb_id", "source_hash", "title")
                 with trace.stage("token_windows"):
                     context = F.concat_ws("\n", "title", "heading", F.lit(""))
@@ -238,11 +222,12 @@ class Engine:
                             raise ValueError(f"{bad} faulty vectors")
                         if made.select("point_id").distinct().count() != tables or self._versions() != before:
                             raise RuntimeError("sources changed during the build")
-                    report.update(documents=there["documents"].count(), chunks=there["chunks"].count())
-                    return {"spec": asdict(self.provider.spec), "corpus_hash": self.corpus_hash(there["documents"]), "sources": before, "documents": report["documents"], **counts}
+                    report.update(documents=documents.count(), chunks=chunks.count())
+                    return {"spec": asdict(self.provider.spec), "corpus_hash": text_generation["corpus_hash"], "segments": text_generation["segments"], "sources": before, "documents": report["documents"], **counts}
 
                 with trace.stage("publish"):
-                    generation = self.dense_store.publish({"documents": documents, "chunks": chunks, **self._index_tables(), "points": points}, manifest, self.scope_hash(), {"postings": "bucket"})
+                    # documents, chunks and index are the text generation's own folders
+                    generation = self.dense_store.publish({"points": points}, manifest, self.scope_hash(), text_generation)
                 units.unpersist()
                 report |= {"status": "ready", "generation": generation, "cache_misses": misses, "encoding": encoding, "embedding_spec": asdict(self.provider.spec), "storage_bytes": storage_bytes(self.dense_store.folder(generation)), "process_memory": peak_memory(), **counts}
             except Exception as error:

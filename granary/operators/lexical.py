@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
 from granary.operators.packing import packed, ranked
+from granary.sources.store import bucket_of
 
 K1, B = 1.5, 0.75
 #: Queries up to which their terms and scopes are broadcast, and terms up to which they go into the scan.
 QUERIES = 10_000
 WORDS = 1_000
-#: Parts of a stored index, by token.
-BUCKETS = 64
+#: Spans of chunks that a bounded search reads first for each query, those of the highest bounds.
+FIRST_SPANS = 8
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -50,19 +52,45 @@ def bags(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What searches read: postings (token, chunk_id, kb_id, tf, length, bucket of the token) and sizes (chunk_id, kb_id, length, values)."""
+    """What searches read: postings (token, chunk_id, kb_id, tf, length) and sizes (chunk_id, kb_id, length, values).
 
-    postings: DataFrame
+    A stored index (operators/segments.py) has more: blocks and terms, functions of the buckets of tokens that are wanted (None:
+    all), give blocks of postings with their bounds, (segment, token, kb_id, span, most_tf, least_length, postings), and counts
+    (kb_id, token, df); sums are (kb_id, n, total); gone are chunks that left, (chunk_id, segment).
+    """
+
+    postings: DataFrame | None
     sizes: DataFrame
+    blocks: Callable[[set[int] | None], DataFrame] | None = None
+    terms: Callable[[set[int] | None], DataFrame] | None = None
+    sums: DataFrame | None = None
+    gone: DataFrame | None = None
+    buckets: int = 0
 
     def of(self, kb_ids: list[str]) -> Index:
         """The part that lies in some knowledge bases."""
-        return Index(*(x.where(F.col("kb_id").isin(kb_ids)) for x in (self.postings, self.sizes)))
+        own = lambda x: x.where(F.col("kb_id").isin(kb_ids))
+        if not self.blocks:
+            return Index(own(self.postings), own(self.sizes))
+        return replace(self, sizes=own(self.sizes), sums=own(self.sums), blocks=lambda b: own(self.blocks(b)), terms=lambda b: own(self.terms(b)))
+
+    def read(self, tokens: DataFrame | None = None) -> DataFrame:
+        """The postings, of a stored index those of the tokens' buckets."""
+        if not self.blocks:
+            return self.postings
+        return flattened(self, self.blocks(None if tokens is None else self.buckets_of(tokens)))
+
+    def buckets_of(self, tokens: DataFrame) -> set[int]:
+        """Of a table of queries' tokens."""
+        return {r.b for r in tokens.select(bucket_of(F.col("token"), self.buckets).alias("b")).distinct().collect()}
 
 
-def bucket(token: Column) -> Column:
-    """Where a token's postings lie in a stored index."""
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def flattened(index: Index, blocks: DataFrame) -> DataFrame:
+    """The postings of blocks that are still there."""
+    flat = blocks.select("segment", "token", "kb_id", F.inline("postings"))
+    later = F.col("gone") > F.col("segment")
+    gone = bounded(index.gone.groupBy(F.col("chunk_id").alias("_gone")).agg(F.max("segment").alias("gone")), 1_000_000)
+    return flat.join(gone, (F.col("chunk_id") == F.col("_gone")) & later, "left_anti").drop("segment")
 
 
 def indexed(chunks: DataFrame) -> Index:
@@ -70,7 +98,7 @@ def indexed(chunks: DataFrame) -> Index:
     bagged = bags(chunks)
     each = bagged.select("chunk_id", "kb_id", "length", F.explode("tokens").alias("token"))
     counted = each.groupBy("token", "chunk_id", "kb_id", "length").agg(F.count("*").alias("tf"))
-    return Index(counted.select("token", "chunk_id", "kb_id", "tf", "length", bucket(F.col("token")).alias("bucket")), bagged.select("chunk_id", "kb_id", "length", "values"))
+    return Index(counted.select("token", "chunk_id", "kb_id", "tf", "length"), bagged.select("chunk_id", "kb_id", "length", "values"))
 
 
 def with_scopes(queries: DataFrame) -> DataFrame:
@@ -109,17 +137,15 @@ def scope_sums(rows: DataFrame, scoped: DataFrame) -> DataFrame:
 def scoped_postings(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scope, token, chunk_id, tf, length), the postings of the queries' terms within their scopes, and (query_id, scope, token).
 
-    Few terms (WORDS) go into the scan as a filter on token and its bucket, so that a stored index reads only their places;
-    more are joined, as a broadcast behind a count. Metadata is looked up only if a query filters.
+    Few terms (WORDS) go into the scan as a filter on token; more are joined, as a broadcast behind a count. A stored index
+    reads the terms' buckets only. Metadata is looked up only if a query filters.
     """
     scoped = with_scopes(queries)
     terms = scoped.select("query_id", "scope", "kb_ids", "filters", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     distinct = [r.token for r in terms.select("token").distinct().limit(WORDS + 1).collect()]
-    postings = index.postings
+    postings = index.read(terms)
     if len(distinct) <= WORDS:
         postings = postings.where(F.col("token").isin(distinct)) if distinct else postings.where("false")
-        places = sorted({r.b for r in terms.select(bucket(F.col("token")).alias("b")).distinct().collect()})
-        postings = postings.where(F.col("bucket").isin(places)) if places else postings
     by_scope = terms.groupBy("scope", "token").agg(F.first("kb_ids").alias("kb_ids"), F.first("filters").alias("filters"))
     met = postings.join(bounded(by_scope, 50 * QUERIES), "token").where(in_scope(F.col("kb_id"), F.col("kb_ids")))
     if scoped.where("filter_id <> 0").limit(1).count():
@@ -150,7 +176,72 @@ def scores(index: Index | DataFrame, queries: DataFrame, strategy: str = "bm25")
     return hits.select("query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score")).where("score > 0")
 
 
-def search(chunks: DataFrame, queries: DataFrame, strategy: str = "bm25", index: Index | None = None) -> DataFrame:
-    """Ranked and packed hits of queries (as scores takes them, with top_k and max_chars); index: that of the chunks, if stored."""
-    hits = ranked(scores(index or chunks, queries, strategy), "query_id").join(queries.select("query_id", "top_k", "max_chars"), "query_id").where(F.col("rank") <= F.col("top_k"))
+def _part(tf: Column, length: Column) -> Column:
+    """A token's part of a chunk's score; it grows with tf and falls with length."""
+    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean")))
+
+
+def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, kb_ids, token, idf, mean) of queries without filters, from the stored counts; no posting is read."""
+    terms = queries.select("query_id", F.array_sort(F.array_distinct("kb_ids")).alias("kb_ids"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    scopes = bounded(terms.groupBy("kb_ids").agg(F.count("*").alias("_n")).drop("_n"), QUERIES)
+    inside = lambda x: x.join(scopes, in_scope(F.col("kb_id"), F.col("kb_ids")))
+    stats = inside(index.sums).groupBy("kb_ids").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    stats = stats.withColumn("mean", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
+    wanted = bounded(terms.select("token").distinct(), 50 * QUERIES)
+    counts = inside(index.terms(index.buckets_of(terms)).join(wanted, "token")).groupBy("kb_ids", "token").agg(F.sum("df").alias("df"))
+    same = lambda a, b: F.col(f"{a}.kb_ids").eqNullSafe(F.col(f"{b}.kb_ids"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    counts = counts.where("df > 0").alias("c").join(stats.alias("s"), same("c", "s")).select("c.kb_ids", "token", idf.alias("idf"), "mean")
+    return terms.alias("t").join(counts.alias("c"), same("t", "c") & (F.col("t.token") == F.col("c.token"))).select("query_id", "t.kb_ids", "t.token", "idf", "mean")
+
+
+def spans(index: Index, weighted: DataFrame) -> DataFrame:
+    """(query_id, segment, kb_id, span, bound): the spans of chunks that hold a query's token in its scope, and what no chunk in
+    them can exceed: for every token its part for the greatest tf and the least length there. Bounds are read, not postings."""
+    head = index.blocks(index.buckets_of(weighted)).select("segment", "token", "kb_id", "span", "most_tf", "least_length")
+    met = head.join(bounded(weighted, 50 * QUERIES), "token").where(in_scope(F.col("kb_id"), F.col("kb_ids")))
+    bound = F.sum(_part(F.col("most_tf"), F.col("least_length")))
+    return met.groupBy("query_id", "segment", "kb_id", "span").agg((bound * (1 + 1e-9) + 1e-9).alias("bound"))
+
+
+def span_scores(index: Index, weighted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks in spans (query_id, segment, kb_id, span)."""
+    asked = wanted.join(weighted, "query_id").select("query_id", "segment", "kb_id", "span", "token", "idf", "mean")
+    blocks = index.blocks(index.buckets_of(weighted)).join(bounded(asked, 50 * QUERIES), ["segment", "token", "kb_id", "span"])
+    flat = blocks.select("query_id", "segment", "token", "idf", "mean", F.inline("postings"))
+    gone = bounded(index.gone.groupBy(F.col("chunk_id").alias("_gone")).agg(F.max("segment").alias("gone")), 1_000_000)
+    flat = flat.join(gone, (F.col("chunk_id") == F.col("_gone")) & (F.col("gone") > F.col("segment")), "left_anti")
+    parts = flat.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("token", _part(F.col("tf"), F.col("length")).alias("part")))).alias("parts"))
+    return parts.select("query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score")).where("score > 0")
+
+
+def top(index: Index, queries: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the best top_k chunks of each query (no filters), as by scores and ranked.
+
+    All postings of a chunk lie in one span of one segment. The spans with the highest bounds are read first; their top_k-th
+    score is one that the answer reaches at least, so of the rest only spans whose bound isn't below it are read. keep(df, name)
+    stores a table for the time of the search.
+    """
+    weighted = keep(weighted_terms(index, queries), "terms")
+    every = keep(spans(index, weighted), "spans")
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "kb_id", "span")
+    first = every.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= FIRST_SPANS).drop("_place")
+    found = keep(span_scores(index, weighted, first.drop("bound")), "first")
+    asked = queries.select("query_id", "top_k")
+    best = ranked(found, "query_id").join(asked, "query_id").where(F.col("rank") == F.col("top_k")).select("query_id", F.col("score").alias("reached"))
+    rest = every.join(first.drop("bound"), ["query_id", "segment", "kb_id", "span"], "left_anti").join(best, "query_id", "left")
+    rest = rest.where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - 1e-9)).select("query_id", "segment", "kb_id", "span")
+    hits = ranked(found.unionByName(span_scores(index, weighted, keep(rest, "rest"))), "query_id")
+    return hits.join(asked, "query_id").where(F.col("rank") <= F.col("top_k")).drop("top_k")
+
+
+def search(chunks: DataFrame, queries: DataFrame, strategy: str = "bm25", index: Index | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Ranked and packed hits of queries (as scores takes them, with top_k and max_chars); index: that of the chunks, if stored.
+    keep: see top, which answers queries without filters by a stored index; without it all postings of their terms are read."""
+    asked = queries.select("query_id", "top_k", "max_chars")
+    if index and index.blocks and keep and strategy == "bm25" and not queries.where(F.size("filters") > 0).limit(1).count():
+        hits = top(index, queries, keep).join(asked, "query_id")
+    else:
+        hits = ranked(scores(index or chunks, queries, strategy), "query_id").join(asked, "query_id").where(F.col("rank") <= F.col("top_k"))
     return packed(hits.join(chunks.drop("values"), "chunk_id"))

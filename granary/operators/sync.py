@@ -43,11 +43,9 @@ def synchronised(files: DataFrame, documents: DataFrame, chunks: DataFrame, chun
     return all_documents, all_chunks, statuses
 
 
-def counters(statuses: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: files, bytes_read, added, updated, unchanged, deleted, chunks_written."""
+def counters(statuses: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: files, bytes_read, added, updated, unchanged, deleted."""
     one = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0)).alias(s)
     by_status = statuses.agg(*[one(s) for s in ("added", "updated", "unchanged", "deleted")])
     read = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_read"))
-    fresh = statuses.where("status in ('added', 'updated')").select(F.col("id").alias("doc_id"))
-    written = chunks.join(fresh, "doc_id", "left_semi").agg(F.count("*").alias("chunks_written"))
-    return read.crossJoin(by_status).crossJoin(written)
+    return read.crossJoin(by_status)

@@ -20,20 +20,27 @@ from pyspark.sql import functions as F
 from granary.functions.text import glob_regex
 from granary.sources.config import Source
 
-def hash_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
-    """(id, source_hash) of all files as they are now; their bytes are read and hashed in tasks."""
-    rows = [(f"{s.id}:{path}", str(Path(s.root) / path)) for s in sources for path in source_files(s)]
-    names = spark.createDataFrame(rows, "id string, place string").repartition(max(1, min(len(rows) // 64 + 1, 10_000)), "id")
+HASHED = "id string, kb_id string, path string, size long, source_hash string"
+
+
+def hash_files(spark: SparkSession, sources: Iterable[Source], max_bytes: int | None = None) -> DataFrame:
+    """HASHED of all files as they are now; their bytes are read and hashed in tasks. A file of more than max_bytes is an error."""
+    rows = [(s.id, path, str(Path(s.root) / path)) for s in sources for path in source_files(s)]
+    names = spark.createDataFrame(rows, "kb_id string, path string, place string").repartition(max(1, min(len(rows) // 64 + 1, 10_000)), "kb_id", "path")
 
     def run(batches):
         for batch in batches:
-            hashes = []
-            for place in batch.column(1).to_pylist():
+            sizes, hashes = [], []
+            for kb, path, place in zip(*[c.to_pylist() for c in batch.columns]):
                 with open(place, "rb") as f:
                     hashes.append(hashlib.file_digest(f, "sha256").hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string())], ["id", "source_hash"])
+                    sizes.append(f.tell())
+                if max_bytes is not None and sizes[-1] > max_bytes:
+                    raise ValueError(f"{kb}:{path} is larger than {max_bytes} bytes")
+            ids = [f"{kb}:{path}" for kb, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], ["id", "kb_id", "path", "size", "source_hash"])
 
-    return names.mapInArrow(run, "id string, source_hash string")
+    return names.mapInArrow(run, HASHED)
 
 
 FILES = "id string, kb_id string, path string, size long, source_hash string, content string"
@@ -68,13 +75,15 @@ def stat_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
     return spark.createDataFrame(rows, "kb_id string, path string, size long, mtime_ns long, ctime_ns long")
 
 
-def read_files(spark: SparkSession, sources: Iterable[Source], max_bytes: int) -> DataFrame:
-    """FILES of all sources. All roots are listed before anything is read; a file that is too large or no UTF-8 fails the job.
+def read_files(spark: SparkSession, sources: Iterable[Source], max_bytes: int, only: DataFrame | None = None) -> DataFrame:
+    """FILES of all sources; only: of these ids. All roots are listed before anything is read; a file that is too large or no UTF-8 fails the job.
 
     source_hash is of the bytes, a byte order mark included; content is without it.
     """
     rows = [(s.id, path, str(Path(s.root) / path)) for s in sources for path in source_files(s)]
     names = spark.createDataFrame(rows, "kb_id string, path string, place string")
+    if only is not None:
+        names = names.withColumn("id", F.concat_ws(":", "kb_id", "path")).join(only.select("id"), "id", "left_semi").drop("id")
     names = names.repartition(max(1, min(len(rows) // 64 + 1, 10_000)), "kb_id", "path")
 
     def run(batches):
