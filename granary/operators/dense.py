@@ -46,10 +46,22 @@ def scored(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> D
     return points.join(q, in_scope(F.col("kb_id"), F.col("kb_ids")) & matches(F.col("values"), F.col("filters"))).withColumn("score", similarity(F.col("vector"), F.col("_q"), distance)).drop("_q", "kb_ids", "filters")
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str = "cosine") -> DataFrame:
+def exact(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
+    """(query_id, point_id, score) of every query with every point in its scope, by blocked products; rounded to 12 decimals."""
+    return _met(points, queries, "point_id", None, distance)
+
+
+def maxima(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
+    """(query_id, chunk_id, score) of every query with every chunk that has a point in its scope: the chunk's best point. Batches
+    of points give their maxima, which are combined before they are shuffled."""
+    return pooled(_met(points, queries, "chunk_id", None, distance), distance)
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str = "cosine", strict: bool = False) -> DataFrame:
     """(query_id, point_id, score, rank): the k best points of each query (query_id, vector; kb_ids, filters if it has them) within
-    its scope, ties by point_id. Scores that agree in 12 decimals tie."""
-    found = _met(points, queries, "point_id", k, distance)
+    its scope, ties by point_id. Scores that agree in 12 decimals tie. A point whose score is no finite number is left out, or, if
+    strict, an error."""
+    found = _met(points, queries, "point_id", k, distance, strict)
     return ranked(found, "query_id", ascending=distance == "euclid", tie="point_id").where(F.col("rank") <= k)
 
 
@@ -62,8 +74,8 @@ def parents(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str
     return ranked(found, "query_id", ascending=distance == "euclid").where(F.col("rank") <= k)
 
 
-def _met(points: DataFrame, queries: DataFrame, key: str, k: int, distance: str) -> DataFrame:
-    """(query_id, key, score): the k best keys of each query in each batch of points, and those that tie with the last.
+def _met(points: DataFrame, queries: DataFrame, key: str, k: int | None, distance: str, strict: bool = False) -> DataFrame:
+    """(query_id, key, score): the k best keys (None: all) of each query in each batch of points, and those that tie with the last.
 
     Blocks of QUERIES queries meet all points, in a pass for each block: a batch of points is one matrix product, of which each
     query's k best go on. Queries by points are never rows; a task sends k rows for each query and batch. The
@@ -71,13 +83,13 @@ def _met(points: DataFrame, queries: DataFrame, key: str, k: int, distance: str)
     """
     scope = [c for c in ("kb_ids", "filters") if c in queries.columns]
     rows = queries.select("query_id", "vector", *scope).toLocalIterator()
-    blocks = [_block(points, queries, list(islice(rows, QUERIES)), key, k, distance)]
+    blocks = [_block(points, queries, list(islice(rows, QUERIES)), key, k, distance, strict)]
     while block := list(islice(rows, QUERIES)):
-        blocks.append(_block(points, queries, block, key, k, distance))
+        blocks.append(_block(points, queries, block, key, k, distance, strict))
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int, distance: str) -> DataFrame:
+def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool) -> DataFrame:
     """_met for the collected queries in rows."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -102,20 +114,24 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int,
                     s = s / (np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None])
             elif distance == "euclid":
                 s = np.sqrt(np.maximum((wanted**2).sum(1)[:, None] + (own**2).sum(1)[None] - 2 * s, 0))
-            s = np.where(np.isnan(s), -np.inf, sign * np.round(s, 12))
+            odd = ~np.isfinite(s)
+            s = np.where(odd, -np.inf, sign * np.round(s, 12))
             metadata = {f: np.array(batch.column(3 + j).to_pylist(), object) for j, f in enumerate(keys)}
             kb = np.array(batch.column(2).to_pylist(), object)
             for (kbs, filters), own_queries in scopes.items():
                 inside = np.ones(len(kb), bool) if kbs is None else np.isin(kb.astype(str), kbs) & (kb != None)  # noqa: E711
                 for f, value in filters:
                     inside &= metadata[f] == value
+                if strict and odd[np.ix_(own_queries, inside)].any():
+                    bad = batch.column(0).take(pa.array(np.flatnonzero(inside & odd[own_queries].any(0))[:5])).to_pylist()
+                    raise ValueError(f"points without a finite score: {bad}")
                 if not inside.all():
                     s[np.ix_(own_queries, ~inside)] = -np.inf
             codes = batch.column(0).dictionary_encode()
             which = codes.indices.to_numpy()
             order = np.argsort(which, kind="stable")
             s = np.maximum.reduceat(s[:, order], np.flatnonzero(np.r_[True, np.diff(which[order]) > 0]), axis=1)
-            m = min(k, s.shape[1])
+            m = min(k or s.shape[1], s.shape[1])
             # all that ties with the k-th, so that ids decide
             floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
             q, p = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
@@ -134,6 +150,26 @@ def candidates(points: DataFrame, queries: DataFrame) -> DataFrame:
     return scoped.select("query_id", "scope").join(scope_sums(points.withColumn("length", F.lit(0)), scoped), "scope").select("query_id", F.col("n").alias("candidates"))
 
 
+def point_faults(points: DataFrame, contract: str, kb_ids: DataFrame, dimension: int, distance: str = "cosine", normalized: bool = True) -> DataFrame:
+    """(point_id, fault) of points (point_id, vector, contract_id, kb_id, doc_id) that no search may return: those of another
+    contract, of a knowledge base that isn't among kb_ids, named unlike their knowledge base, or whose vector is faulty."""
+    known = bounded(kb_ids.select(F.col("kb_id").alias("_kb")).distinct(), QUERIES)
+    alien = F.when(~F.col("contract_id").eqNullSafe(F.lit(contract)), "foreign contract").when(F.col("_kb").isNull(), "unknown knowledge base")
+    alien = alien.when(~F.coalesce(F.col("doc_id").startswith(F.concat("kb_id", F.lit(":"))), F.lit(False)), "document of another knowledge base")
+    said = F.coalesce(alien, fault(F.col("vector"), dimension, distance, normalized))
+    return points.join(known, F.col("kb_id") == F.col("_kb"), "left").select("point_id", said.alias("fault")).where("fault is not null")
+
+
+def hit_faults(hits: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, point_id, fault) of hits (query_id, point_id, score) that a right search can't have returned: no such point, a
+    score that is no finite number, or a point outside the query's knowledge bases or filters. One row a hit, the first fault."""
+    own = points.select("point_id", F.col("kb_id").alias("_kb"), F.col("values").alias("_values"), F.lit(True).alias("_there"))
+    met = hits.join(own, "point_id", "left").join(queries.select("query_id", "kb_ids", "filters"), "query_id", "left")
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
+    said = F.when(F.col("_there").isNull(), "unknown point").when(~finite, "score isn't finite").when(~in_scope(F.col("_kb"), F.col("kb_ids")), "outside the knowledge bases").when(~matches(F.col("_values"), F.col("filters")), "outside the filters")
+    return met.select("query_id", "point_id", said.alias("fault")).where("fault is not null")
+
+
 def pooled(hits: DataFrame, distance: str = "cosine") -> DataFrame:
     """(query_id, chunk_id, score): a chunk's best point; for euclid the least is the best."""
     best: Column = F.min("score") if distance == "euclid" else F.max("score")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.operators.lexical import bounded, matches
+from granary.operators.lexical import matches
 
 METRICS = ["recall_at_k", "hit_at_k", "mrr_at_k", "ndcg_at_k", "precision_at_k", "empty_on_unanswerable", "empty_on_answerable", "kb_leakage"]
 
@@ -86,15 +90,35 @@ def unpaired(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(b, "case_id", "full").where("a is null or b is null").select("case_id")
 
 
+#: Paired differences up to which a bootstrap sends them to its tasks, 8 bytes each.
+CASES = 1_000_000
+
+
 def bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """(low, high): the 95 % interval of the mean paired difference. pairs: case_id, baseline, candidate of a metric.
 
-    Draws are taken from SHA-256 of seed, resample and draw, so that anyone can repeat them. Differences are numbered in
-    the order of case_id; a benchmark's cases are few, their product with the resamples is spread over the cluster.
+    Draws are taken from SHA-256 of seed, resample and draw, so that anyone can repeat them. Differences are numbered in the
+    order of case_id. A benchmark's cases were judged by hand, so they are few; more than CASES are an error. Resamples are spread
+    over the cluster, a row each.
     """
-    diffs = pairs.where("baseline is not null and candidate is not null").select((F.col("candidate") - F.col("baseline")).alias("d"), (F.row_number().over(Window.orderBy("case_id")) - 1).alias("i"))
-    n = F.lit(diffs.count())
-    draws = pairs.sparkSession.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0)))).alias("j"))
-    draw = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "r", "j"), 256), 1, 8), 16, 10).cast("long"), n)
-    means = draws.withColumn("i", draw).join(bounded(diffs, 100_000), "i").groupBy("r").agg(F.avg("d").alias("mean"))
+    spark = pairs.sparkSession
+    rows = pairs.where("baseline is not null and candidate is not null").select("case_id", (F.col("candidate") - F.col("baseline")).alias("d")).limit(CASES + 1).toPandas()
+    if len(rows) > CASES:
+        raise ValueError(f"a bootstrap takes at most {CASES} cases")
+    d = rows.sort_values("case_id", kind="stable")["d"].to_numpy(np.float64)
+
+    def run(batches):
+        for batch in batches:
+            means = []
+            for r in batch.column(0).to_pylist():
+                start = hashlib.sha256(f"{seed}:{r}:".encode())
+                draws = np.empty(len(d), np.int64)
+                for j in range(len(d)):
+                    one = start.copy()
+                    one.update(b"%d" % j)
+                    draws[j] = int.from_bytes(one.digest()[:4], "big") % len(d)
+                means.append(float(d[draws].mean()))
+            yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], ["mean"])
+
+    means = spark.range(resamples if len(d) else 0).mapInArrow(run, "mean double")
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))

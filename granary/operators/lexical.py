@@ -101,6 +101,18 @@ def indexed(chunks: DataFrame) -> Index:
     return Index(counted.select("token", "chunk_id", "kb_id", "tf", "length"), bagged.select("chunk_id", "kb_id", "length", "values"))
 
 
+def indexed_for(chunks: DataFrame, queries: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Index:
+    """The index of chunks as far as these queries need it, from one pass over the texts: of a chunk's tokens only those that a
+    query has stay (all of them, if queries have more than WORDS), with its length. keep stores that table."""
+    words = [r.token for r in queries.select(F.explode(tokens(F.col("text"))).alias("token")).distinct().limit(WORDS + 1).collect()]
+    bagged = bags(chunks).select("chunk_id", "kb_id", "length", "values", "tokens")
+    if len(words) <= WORDS:
+        bagged = bagged.withColumn("tokens", F.filter("tokens", lambda t: t.isin(words)))
+    slim = keep(bagged, "bags")
+    each = slim.select("chunk_id", "kb_id", "length", F.explode("tokens").alias("token"))
+    return Index(each.groupBy("token", "chunk_id", "kb_id", "length").agg(F.count("*").alias("tf")), slim.drop("tokens"))
+
+
 def with_scopes(queries: DataFrame) -> DataFrame:
     """queries (kb_ids, filters) with scope and filter_id: equal for equal scopes and filters; filter_id 0: no filter."""
     entries = F.array_sort(F.map_entries("filters"))
@@ -153,15 +165,16 @@ def scoped_postings(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFr
     return met.select("scope", "token", "chunk_id", "tf", "length"), terms.select("query_id", "scope", "token")
 
 
-def scores(index: Index | DataFrame, queries: DataFrame, strategy: str = "bm25") -> DataFrame:
-    """(query_id, chunk_id, score > 0) by an index, or by chunks (see indexed).
+def scores(index: Index | DataFrame, queries: DataFrame, strategy: str = "bm25", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score > 0) by an index, or by chunks (see indexed; with keep, see indexed_for).
 
     queries: query_id, text, and kb_ids array<string> and filters map<string,string>, null for none. Statistics of BM25 (number,
     mean length, document frequency) are those of the chunks in the query's scope, computed once for every distinct scope.
     """
     if strategy not in ("bm25", "overlap"):
         raise ValueError("strategy must be bm25 or overlap")
-    index = index if isinstance(index, Index) else indexed(index)
+    if not isinstance(index, Index):
+        index = indexed_for(index, queries, keep) if keep else indexed(index)
     found, terms = scoped_postings(index, queries)
     if strategy == "overlap":
         return found.join(terms, ["scope", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
@@ -238,10 +251,11 @@ def top(index: Index, queries: DataFrame, keep: Callable[[DataFrame, str], DataF
 
 def search(chunks: DataFrame, queries: DataFrame, strategy: str = "bm25", index: Index | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Ranked and packed hits of queries (as scores takes them, with top_k and max_chars); index: that of the chunks, if stored.
-    keep: see top, which answers queries without filters by a stored index; without it all postings of their terms are read."""
+    keep: see top, which answers queries without filters by a stored index, and indexed_for; without it all postings of the
+    queries' terms are read, and chunks without an index are tokenized for each use."""
     asked = queries.select("query_id", "top_k", "max_chars")
     if index and index.blocks and keep and strategy == "bm25" and not queries.where(F.size("filters") > 0).limit(1).count():
         hits = top(index, queries, keep).join(asked, "query_id")
     else:
-        hits = ranked(scores(index or chunks, queries, strategy), "query_id").join(asked, "query_id").where(F.col("rank") <= F.col("top_k"))
+        hits = ranked(scores(index or chunks, queries, strategy, keep), "query_id").join(asked, "query_id").where(F.col("rank") <= F.col("top_k"))
     return packed(hits.join(chunks.drop("values"), "chunk_id"))

@@ -281,7 +281,7 @@ def _(s, d):
 
 @query("a6_bm25_score", BM25 + "SELECT query_id, chunk_id, round(score, 6) AS score FROM score")
 def _(s, d):
-    return lexical.scores(T.chunks(s, d), T.queries(s, d)).select("query_id", "chunk_id", six(F.col("score"), "score"))
+    return lexical.scores(T.chunks(s, d), T.queries(s, d), keep=T.kept).select("query_id", "chunk_id", six(F.col("score"), "score"))
 
 
 def excerpts(hits: DataFrame) -> DataFrame:
@@ -290,12 +290,12 @@ def excerpts(hits: DataFrame) -> DataFrame:
 
 @query("c2_search_bm25", BM25 + TOP)
 def _(s, d):
-    return excerpts(lexical.search(T.chunks(s, d), T.queries(s, d)))
+    return excerpts(lexical.search(T.chunks(s, d), T.queries(s, d), keep=T.kept))
 
 
 @query("c2_search_overlap", OVERLAP + TOP)
 def _(s, d):
-    return excerpts(lexical.search(T.chunks(s, d), T.queries(s, d), "overlap"))
+    return excerpts(lexical.search(T.chunks(s, d), T.queries(s, d), "overlap", keep=T.kept))
 
 
 @query("j4_postings", LEX + "x AS (SELECT 1) SELECT query_id, chunk_id, token, tf FROM found")
@@ -452,7 +452,7 @@ def _(s, d):
     stages = e.groupBy("user_id", "event_type").agg(F.sum("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("stages_ms"))
     # a trace that lacks a stage counts 0 for it; stage names are few, traces are many
     named = e.select("event_type").distinct()
-    every = stages.join(F.broadcast(named), F.lit(True)).select("event_type", F.coalesce(F.col("stages_ms")[F.col("event_type")], F.lit(0.0)).alias("v"))
+    every = stages.join(lexical.bounded(named, 10_000), F.lit(True)).select("event_type", F.coalesce(F.col("stages_ms")[F.col("event_type")], F.lit(0.0)).alias("v"))
     r = every.groupBy("event_type").agg(*evaluate.interpolated("v", 0.5, 0.95))
     return r.select("event_type", six(F.col("p50"), "p50"), six(F.col("p95"), "p95"))
 

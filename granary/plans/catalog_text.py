@@ -273,14 +273,13 @@ def _(s, d):
     return pairs.select("vec_id", *[six(vectors.similarity(F.col("a"), F.col("b"), x), x) for x in ("cosine", "dot", "euclid")])
 
 
-#: The best points and the best parents of each query, as many as a search may return.
-BEST = POINTS + ", best AS (SELECT query_id, point_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, point_id) <= 50) "
+#: The best parents of each query, as many as a search may return.
 POOLED = POINTS + ", m AS (SELECT query_id, chunk_id, max(score) AS score FROM s GROUP BY ALL), c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) <= 50) "
 
 
-@query("j5_exact_scores", BEST + "SELECT query_id, point_id, round(score, 6) AS score FROM best")
+@query("j5_exact_scores", POINTS + "SELECT query_id, point_id, round(score, 6) AS score FROM s")
 def _(s, d):
-    return dense.nearest(T.points(s, d), T.vector_queries(s, d)).select("query_id", "point_id", six(F.col("score"), "score"))
+    return dense.exact(T.points(s, d), T.vector_queries(s, d)).select("query_id", "point_id", six(F.col("score"), "score"))
 
 
 @query("l2_nearest", """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
@@ -298,9 +297,9 @@ def _(s, d):
     return dense.candidates(T.points(s, d), T.vector_queries(s, d))
 
 
-@query("a8_pooled", POOLED + "SELECT query_id, chunk_id, round(score, 6) AS score FROM c")
+@query("a8_pooled", POINTS + "SELECT query_id, chunk_id, round(max(score), 6) AS score FROM s GROUP BY ALL")
 def _(s, d):
-    return dense.parents(T.points(s, d), T.vector_queries(s, d)).select("query_id", "chunk_id", six(F.col("score"), "score"))
+    return dense.maxima(T.points(s, d), T.vector_queries(s, d)).select("query_id", "chunk_id", six(F.col("score"), "score"))
 
 
 @query("w9_top_parents", POOLED + "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM c QUALIFY rank <= 5")
@@ -324,10 +323,23 @@ def _(s, d):
     return dense.resolved(bent.drop("kb_id").join(parents.select("chunk_id", "kb_id"), "chunk_id"), parents).select("chunk_id").distinct()
 
 
-@query("p7_result_checks", BEST + "SELECT count(*) FILTER (NOT isfinite(score)) AS bad FROM best")
-def _(s, d):
-    hits = dense.nearest(T.points(s, d), T.vector_queries(s, d))
-    return hits.agg(big(F.sum((F.isnan("score") | F.col("score").isNull()).cast("int")), "bad"))
+@query("p7_result_checks", POINTS + """, bent AS (
+    SELECT CASE WHEN point_id % 50 = 7 THEN 'foreign contract' WHEN kb_id = 'kb9' THEN 'unknown knowledge base' WHEN point_id % 50 = 11 THEN 'document of another knowledge base' WHEN point_id % 50 = 3 THEN 'finite' END AS fault FROM p),
+far AS (
+    SELECT q.point_id, (q.point_id // 20) % 3 = 0 AND p.kb_id <> q.kb_id AS kb, (q.point_id // 20) % 4 = 0 AND NOT p.even AS filters,
+        row_number() OVER (PARTITION BY q.point_id ORDER BY round(list_dot_product(q.v, p.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(p.v, p.v))), 12) DESC, p.point_id) AS rank
+    FROM p q JOIN p ON q.point_id % 20 = 0 QUALIFY rank <= 5)
+SELECT fault, count(*) AS n FROM (SELECT fault FROM bent UNION ALL SELECT CASE WHEN kb THEN 'outside the knowledge bases' WHEN filters THEN 'outside the filters' END FROM far) WHERE fault IS NOT NULL GROUP BY 1""")
+def _(s, d):
+    """Points bent in four ways, and the hits of searches that ignore their scope: every one of them is found."""
+    p, q = T.points(s, d), T.vector_queries(s, d)
+    n = F.col("point_id") % 50
+    bent = p.withColumn("contract_id", F.when(n == 7, "other").otherwise("ours"))
+    bent = bent.withColumn("doc_id", F.concat(F.when(n == 11, F.lit("elsewhere")).otherwise(F.col("kb_id")), F.lit(":"), "doc_id"))
+    bent = bent.withColumn("vector", F.when(n == 3, F.transform("vector", lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x))).otherwise(F.col("vector")))
+    points = dense.point_faults(bent, "ours", p.select("kb_id").where("kb_id <> 'kb9'"), 64, normalized=False)
+    hits = dense.hit_faults(dense.nearest(p, q.select("query_id", "vector"), 5), p, q)
+    return points.select("fault").unionByName(hits.select("fault")).groupBy("fault").agg(F.count("*").alias("n"))
 
 
 @query("k2_upsert", "SELECT vec_id AS point_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,11 @@ s AS (SELECT q.point_id AS query_id, p.*, list_dot_product(q.v, p.v) / (sqrt(lis
     FROM p q JOIN p ON q.point_id % 20 = 0 AND ((q.point_id // 20) % 3 <> 0 OR p.kb_id = q.kb_id) AND ((q.point_id // 20) % 4 <> 0 OR p.even))"""
 
 
+def kept(df: DataFrame, _: str = "") -> DataFrame:
+    """df computed once for all its users in a query: a few rows, on the executors' disks; lost ones are computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 #: Words of a benchmark text that name the documents which may hold it.
 NAMED = 5
 
@@ -117,12 +123,11 @@ def cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     d = documents(spark, sf_dir)
     name = F.concat(F.lit("q"), "item_id").alias("case_id")
     of = b.select(name, F.concat(F.lit("cat"), F.col("item_id") % 4).alias("category"), F.when(F.col("item_id") % 4 == 3, F.array(F.lit("src1"), F.lit("src2"), F.lit("src5"))).alias("kb_ids"))
-    held = holding(d, b)
+    held = kept(holding(d, b).select("item_id", "contains", "id", "kb_id", "doc_id"))
     labels = held.select(name, F.col("id").alias("doc_id"), "contains")
     turn = F.col("doc_id") % F.lit(max(1, b.count()))
     drawn = d.join(bounded(b.where("item_id % 7 <> 0").select("item_id"), 100_000), turn == F.col("item_id"))
-    hit = lambda rows: rows.select("item_id", d["doc_id"].alias("n"), "id")
-    both = hit(drawn).union(held.select("item_id", F.col("doc_id").alias("n"), "id")).distinct()
+    both = drawn.select("item_id", F.col("doc_id").alias("n"), "id").union(held.select("item_id", F.col("doc_id").alias("n"), "id")).distinct()
     from granary.operators.packing import ranked
 
     # ranked by ids alone; only the documents of hits are joined with their texts
