@@ -61,10 +61,10 @@ def test_commands(spark, config, tmp_path, capsys):
     assert run("vector-status")["status"] == "not_built"
     approved = report["corpus_hash"]
     data = [json.loads(x) for x in cases.read_text().splitlines()]
-    summary = json.loads(publication.public_summary(report, data, approved, tmp_path / "public").read_text())
+    summary = json.loads(publication.public_summary(spark, report, data, approved, tmp_path / "public").read_text())
     assert "queries" not in summary and summary["metrics"] == report["metrics"]
     with pytest.raises(ValueError, match="approved"):
-        publication.public_summary(report, data[:1], approved, tmp_path / "other")
+        publication.public_summary(spark, report, data[:1], approved, tmp_path / "other")
 
 
 def test_server(spark, config):
@@ -219,10 +219,20 @@ def test_publication(spark, tmp_path):
     assert sorted(p.name for p in copy.iterdir()) == [".env.example", "ok.md"]
 
 
+def test_reports_may_hold_figures_only(spark):
+    fine = {"schema_version": 1, "kind": "synthetic-benchmark-summary", "provenance": {"code_hash": "a" * 64, "python": "3.13"}, "strategy": "bm25", "top_k": 5, "settings": {"chunk_chars": 1200, "timing_scope": "each case"}, "metrics": [{"category": None, "overall": True, "queries": 3, "recall_at_k": 0.5, "mrr_at_k": None}], "stages_ms": {"rank": {"p50": 1.5}}}
+    odd = {"n": fine | {"queries": [{"query": "private words"}]}, "k": fine | {"kind": "run"}, "m": fine | {"metrics": [{"recall_at_k": "high"}]}, "s": fine | {"settings": {"chunk_chars": -1}}, "i": fine | {"top_k": float("inf")}, "h": fine | {"provenance": {"code_hash": "/home/someone"}}, "e": {}}
+    rows = [(None, k, json.dumps(v)) for k, v in (odd | {"fine": fine}).items()] + [(None, "broken", "{"), (None, "list", "[1]"), ("c", "fine", json.dumps(fine))]
+    found = {(r.file, r.fault) for r in audit.report_faults(spark.createDataFrame(rows, "commit string, file string, text string")).collect()}
+    figures, part = "report holds something else than figures", "report has an unreviewed part"
+    assert found == {("n", part), ("k", figures), ("m", figures), ("s", figures), ("i", figures), ("h", figures), ("e", part), ("broken", "report can't be read"), ("list", "report can't be read")}
+
+
 def test_small_parts(spark, tmp_path):
-    assert audit.numeric_object({"a": 1, "b": 0.5}, ("a", "b", "c"))
-    for bad in ({"a": -1}, {"x": 1}, {"a": True}, {"a": float("nan")}, {"a": float("inf")}, [], {"a": "1"}):
-        assert not audit.numeric_object(bad, ("a", "b"))
+    bad = {"a": "-1", "x": "1", "c": "true", "d": "NaN", "e": "[]", "f": '"1"', "g": None, "h": "1e999"}
+    figures = spark.createDataFrame([("s", k, v) for k, v in bad.items()] + [("s", "b", "0.5"), ("s", "i", "3"), ("t", "b", "1")], "section string, key string, value string")
+    allowed = spark.createDataFrame([("s", k) for k in "abcdefghi"], "section string, key string")
+    assert {(r.section, r.key) for r in audit.figure_faults(figures, allowed).collect()} == {("s", k) for k in bad} | {("t", "b")}
     assert provenance.provenance()["python"] and provenance.peak_memory() > 1 << 20
     with pytest.raises(KeyError), Trace(tmp_path / "t.jsonl", "x", k=1) as trace:
         for _ in range(2):
