@@ -89,8 +89,9 @@ def _met(points: DataFrame, queries: DataFrame, key: str, k: int | None, distanc
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool) -> DataFrame:
-    """_met for the collected queries in rows."""
+def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool, visits: np.ndarray | None = None) -> DataFrame:
+    """_met for the collected queries in rows. visits: for each query and value of the points' column cluster whether they meet;
+    of other points no product is taken."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     names = [r.query_id for r in rows]
@@ -108,14 +109,18 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
             if not batch.num_rows or not len(wanted):
                 continue
             own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            s = wanted @ own.T
-            if distance == "cosine":
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = s / (np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None])
-            elif distance == "euclid":
-                s = np.sqrt(np.maximum((wanted**2).sum(1)[:, None] + (own**2).sum(1)[None] - 2 * s, 0))
-            odd = ~np.isfinite(s)
-            s = np.where(odd, -np.inf, sign * np.round(s, 12))
+            if visits is None:
+                s = products(wanted, own, distance)
+                odd = ~np.isfinite(s)
+                s = np.where(odd, -np.inf, sign * np.round(s, 12))
+            else:
+                s, odd = np.full((len(wanted), len(own)), -np.inf), np.zeros((len(wanted), len(own)), bool)
+                cluster = batch.column(batch.num_columns - 1).to_numpy()
+                for c in np.unique(cluster):
+                    place = np.ix_(np.flatnonzero(visits[:, c]), np.flatnonzero(cluster == c))
+                    part = products(wanted[place[0].ravel()], own[place[1].ravel()], distance)
+                    odd[place] = ~np.isfinite(part)
+                    s[place] = np.where(odd[place], -np.inf, sign * np.round(part, 12))
             metadata = {f: np.array(batch.column(3 + j).to_pylist(), object) for j, f in enumerate(keys)}
             kb = np.array(batch.column(2).to_pylist(), object)
             for (kbs, filters), own_queries in scopes.items():
@@ -140,10 +145,25 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
     kinds = queries.schema["query_id"].dataType, points.schema[key].dataType
     kind = to_arrow_type(kinds[0])
     kb = F.col("kb_id").cast("string") if "kb_id" in points.columns else F.lit(None).cast("string")
-    slim = points.select(key, "vector", kb.alias("kb_id"), *[F.col("values")[f].alias(f"_f{j}") for j, f in enumerate(keys)])
+    slim = points.select(key, "vector", kb.alias("kb_id"), *[F.col("values")[f].alias(f"_f{j}") for j, f in enumerate(keys)], *["cluster"] * (visits is not None))
     return slim.mapInArrow(run, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
 
 
+def products(a: np.ndarray, b: np.ndarray, distance: str) -> np.ndarray:
+    """Scores of the rows of a with those of b; a cosine with a zero vector is no number."""
+    s = a @ b.T
+    if distance == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return s / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None])
+    if distance == "euclid":
+        squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None]
+        s = squares - 2 * s
+        one, two = np.nonzero(s < 1e-4 * squares)  # where the difference of large numbers has lost its digits
+        s[one, two] = ((a[one] - b[two]) ** 2).sum(1)
+        return np.sqrt(s)
+    return s
+
+
 def candidates(points: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, candidates): how many points lie in each query's scope, by counts of knowledge bases and filters."""
     scoped = with_scopes(queries)

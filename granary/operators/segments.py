@@ -10,6 +10,7 @@ Tables of segment k: blocks.k and terms.k in buckets by token, gone.k, sums.k.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -100,6 +101,16 @@ def added(store: Store, active: dict[str, Any] | None, fresh: DataFrame, gone: D
     return tables, segments, [f"{t}.{s['number']}" for s in merged for t in TABLES]
 
 
+def made(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame], buckets: int = 64) -> lexical.Index:
+    """The index of chunks as one segment that no store has; keep stores its tables for as long as it is used."""
+    bags = keep(lexical.bags(chunks).select("chunk_id", "kb_id", "length", "values", "tokens"), "bags")
+    terms, sums = deltas(bags, bags.where("false"))
+    rows = {"blocks": keep(blocks(counted(bags), bags.count(), buckets).withColumn("segment", F.lit(0)), "blocks"), "terms": keep(terms.withColumn("bucket", bucket_of(F.col("token"), buckets)), "terms")}
+    part = lambda name, b: (rows[name] if b is None else rows[name].where(F.col("bucket").isin(sorted(b)))).drop("bucket")
+    gone = bags.sparkSession.createDataFrame([], "chunk_id string, segment int")
+    return lexical.Index(None, bags.drop("tokens"), lambda b: part("blocks", b), lambda b: part("terms", b), sums, gone, buckets)
+
+
 def stored(store: Store, active: dict[str, Any], segments: list[dict[str, Any]] | None = None, gone: DataFrame | None = None) -> lexical.Index:
     """The index of a generation, or of some of its segments; gone: further chunks that left since."""
     numbers = [s["number"] for s in (active["segments"] if segments is None else segments)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import identity, text
-from granary.operators import audit, evaluate, lexical, packing, sync
+from granary.operators import audit, evaluate, lexical, packing, segments, sync
 from granary.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,6 +298,28 @@ def _(s, d):
     return excerpts(lexical.search(T.chunks(s, d), T.queries(s, d), "overlap", keep=T.kept))
 
 
+@query("l1_bounded_top", BM25 + """, t AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM score JOIN q USING (query_id) WHERE NOT en QUALIFY rank <= 5)
+SELECT query_id, chunk_id, score, rank::BIGINT AS rank FROM t""")
+def _(s, d):
+    """The best chunks by a segment of the index: only spans whose bound reaches the best so far are read."""
+    asked = T.queries(s, d).where("filters is null")
+    hits = lexical.top(segments.made(T.chunks(s, d), T.kept), asked, T.kept)
+    return hits.select("query_id", "chunk_id", six(F.col("score"), "score"), big("rank", "rank"))
+
+
+@query("a5_index_counts", f"""WITH {T.DOCUMENTS}, bag AS (SELECT kb_id, unnest(list_distinct(regexp_extract_all(lower(title || chr(10) || chr(10) || content), '[a-z0-9_]+'))) AS token FROM docs)
+SELECT kb_id, token, count(*) AS df FROM bag GROUP BY ALL""")
+def _(s, d):
+    """The counts that an index keeps for each knowledge base: documents come in two parts, and a third of the first goes again."""
+    bags = lexical.bags(T.chunks(s, d)).select("chunk_id", "kb_id", "length", "tokens")
+    n = F.substring("chunk_id", 2, 19).cast("long")
+    first, last, back = bags.where(n % 2 == 0), bags.where(n % 2 == 1), bags.where(n % 6 == 0)
+    none = bags.where("false")
+    steps = [segments.deltas(first, none)[0], segments.deltas(last, back)[0], segments.deltas(back, none)[0]]
+    every = steps[0].unionByName(steps[1]).unionByName(steps[2])
+    return every.groupBy("kb_id", "token").agg(F.sum("df").alias("df"))
+
+
 @query("j4_postings", LEX + "x AS (SELECT 1) SELECT query_id, chunk_id, token, tf FROM found")
 def _(s, d):
     found, terms = lexical.scoped_postings(lexical.indexed(T.chunks(s, d)), T.queries(s, d))

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from granary.functions import identity, text, vectors
-from granary.operators import audit, chunking, dense, packing, sync, windows
+from granary.operators import audit, chunking, clusters, dense, packing, sync, windows
 from granary.plans import tables as T
 from granary.plans.catalog import D, ORACLE_SQL, QUERIES, big, query, six
 
@@ -282,16 +282,28 @@ def _(s, d):
     return dense.exact(T.points(s, d), T.vector_queries(s, d)).select("query_id", "point_id", six(F.col("score"), "score"))
 
 
-@query("l2_nearest", """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+NEAREST = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_dot_product(q.e, p.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(p.e, p.e)), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, p.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(p.e, p.e)), 9) DESC, p.vec_id) AS rank
-FROM p q JOIN p ON q.vec_id % 20 = 0 QUALIFY rank <= 5""")
+FROM p q JOIN p ON q.vec_id % 20 = 0 QUALIFY rank <= 5"""
+
+
+@query("l2_nearest", NEAREST)
 def _(s, d):
     p = T.points(s, d).select("point_id", "vector")
     near = dense.nearest(p, p.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "vector"), 5)
     return near.select("query_id", "point_id", six(F.col("score"), "score"), big("rank", "rank"))
 
 
+@query("l2_clustered", NEAREST)
+def _(s, d):
+    """The same by clusters of points, leaving out those whose bound is below the best so far."""
+    p = T.points(s, d).select("point_id", "vector")
+    index = clusters.clustered(p, "cosine", T.kept)
+    near, _ = clusters.nearest(index, p.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "vector"), 5)
+    return near.select("query_id", "point_id", six(F.col("score"), "score"), big("rank", "rank"))
+
+
 @query("p6_filter_before_rank", POINTS + "SELECT query_id, count(*) AS candidates FROM s GROUP BY 1")
 def _(s, d):
     return dense.candidates(T.points(s, d), T.vector_queries(s, d))
