@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side may be broadcast; every such side here has rows of at most a few hundred bytes.
 BROADCAST_ROWS = 200_000
+#: Edges in a file of a step of components, about.
+EDGES = 100_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -58,10 +60,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 500 rows, since rows hold whole texts; a smaller setting stays."""
+    """Arrow batches of at most 500 rows and about 16 MB, since rows hold whole texts; a smaller number of rows stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 500:
         spark.conf.set(key, "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
@@ -79,6 +82,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    files = -(-max(1, pairs.count()) // EDGES)  # edges never grow in number, so no step needs more
     seen = None
     while True:
         both = pairs.union(pairs.select("v", "u"))
@@ -88,7 +92,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
         star = star.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        last, pairs = pairs, written(star.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        last, pairs = pairs, written(star.select("e.u", "e.v").where("u <> v").distinct().coalesce(files), "cc")
         discard(last)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
