@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import random
 import time
 import uuid
@@ -13,7 +12,6 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +30,11 @@ BENCHMARK_VERSION = "evidence-visible-v1"
 COMPARABLE = ("schema_version", "benchmark_version", "dataset_hash", "corpus_hash", "top_k", "max_chars", "repeats", "warmup")
 
 
-def percentile(values: list[float], share: float) -> float:
-    """Between neighbours; 0 of none."""
-    return float(np.quantile(values, share)) if values else 0.0
-
-
-def _alike(a: list[tuple], b: list[tuple]) -> bool:
-    """Whether two runs' hits (case_id, rank, chunk_id, doc_id, kb_id, score, text) are the same, scores up to rounding."""
-    same = [x[:5] + x[6:] for x in a] == [x[:5] + x[6:] for x in b]
-    return same and all(math.isclose(x[5], y[5], rel_tol=1e-6, abs_tol=1e-7) for x, y in zip(a, b))
+def _unlike(runs: DataFrame, n: int) -> DataFrame:
+    """Hits (run, case_id, rank, ...) that some run of n doesn't have; scores agree up to rounding."""
+    same = runs.groupBy("case_id", "rank").agg(F.countDistinct("run").alias("runs"), F.countDistinct("chunk_id", "doc_id", "kb_id", "text").alias("kinds"), F.min("score").alias("low"), F.max("score").alias("high"))
+    near = F.col("high") - F.col("low") <= F.greatest(F.lit(1e-7), F.lit(1e-6) * F.greatest(F.abs("low"), F.abs("high")))
+    return same.where((F.col("runs") < n) | (F.col("kinds") > 1) | ~near)
 
 
 class Engine:
@@ -256,8 +250,8 @@ class Engine:
 
     def run_benchmark(self, cases_path: str | Path, output: str | Path, strategy: str = "bm25", top_k: int = 5, max_chars: int = 4000, repeats: int = 1, warmup: int = 0, seed: int = 42) -> dict[str, Any]:
         """Scores labelled cases over an index of its own, so that the live one stays; writes report, cases and summary to a
-        new folder. A category's cases are one job; categories take turns in a seeded order, and a case's latency is its
-        share of its job. Repeats must agree."""
+        new folder. Every case is a search of its own, timed by itself, in a seeded order that each repeat shuffles anew. Hits are
+        a table of the run; repeats must agree."""
         if repeats < 1 or warmup < 0:
             raise ValueError("repeats begin at 1, warmup at 0")
         self._checked("x", None, top_k, max_chars)
@@ -273,41 +267,43 @@ class Engine:
         if faults:
             raise ValueError(f"labels can't be earned: {[tuple(f) for f in faults[:5]]}")
         asked = cases.select(F.col("case_id").alias("query_id"), "category", F.col("query").alias("text"), "kb_ids", "filters", F.lit(top_k).alias("top_k"), F.lit(max_chars).alias("max_chars"))
-        sizes = {r.category: r["count"] for r in cases.groupBy("category").count().collect()}
-        order = sorted(sizes)
-        random.Random(seed).shuffle(order)
-        seen: dict[str, list] = {}
-        latencies: dict[str, list[float]] = {c: [] for c in order}
-        measured = set()
+        order = sorted((r.query_id, r.category) for r in asked.select("query_id", "category").collect())
+        latencies: dict[str, list[float]] = {case: [] for case, _ in order}
+        measured, draw = set(), random.Random(seed)
         columns = ("case_id", "rank", "chunk_id", "doc_id", "kb_id", "score", "text")
         for k in range(warmup + repeats):
-            for category in order:
+            draw.shuffle(order)
+            for case, _ in order:
+                held: list[DataFrame] = []
                 with Trace(own.config.traces, "search_many", strategy=strategy, top_k=top_k, max_chars=max_chars) as trace, trace.stage("rank"):
-                    hits = own.search_many(asked.where(F.col("category") == category).drop("category"), strategy).withColumnRenamed("query_id", "case_id")
-                    now = sorted(tuple(r) for r in hits.select(*columns).collect())
+                    hits = own.search_many(asked.where(F.col("query_id") == case).drop("category"), strategy, lambda df, _: held.append(df.cache()) or held[-1]).withColumnRenamed("query_id", "case_id")
+                    hits.select(*columns).coalesce(1).write.mode("append").parquet(str(folder / "hits" / f"run={k}"))
+                for df in held:
+                    df.unpersist()
                 if k >= warmup:
-                    latencies[category].append(trace.ms / sizes[category])
+                    latencies[case].append(trace.ms)
                     measured.add(trace.id)
-                if category in seen and not _alike(seen[category], now):
-                    raise RuntimeError("repeats don't agree")
-                seen[category] = now
-        rows = [r for now in seen.values() for r in now]
-        hits = self.spark.createDataFrame([(r[0], r[1], r[3], r[4], r[6]) for r in rows], "case_id string, rank int, doc_id string, kb_id string, text string")
+        runs = self.spark.read.parquet(str(folder / "hits"))
+        if _unlike(runs, warmup + repeats).limit(1).count():
+            raise RuntimeError("repeats don't agree")
+        hits = runs.where(F.col("run") == warmup + repeats - 1).drop("run")
         results = evaluate.evaluated(cases, labels, hits, top_k).cache()
         raw = Path(cases_path).read_text("utf-8-sig")
-        spread = lambda values: {f"latency_p{p}_ms": percentile(values, p / 100) for p in (50, 95)}
+        timed = self.spark.createDataFrame([(category, ms) for case, category in order for ms in latencies[case]], "category string, ms double")
+        spread = {r.category: r for r in evaluate.percentiles(timed, "ms", (0.5, 0.95), ["category"]).unionByName(evaluate.percentiles(timed, "ms", (0.5, 0.95)).withColumn("category", F.lit(None).cast("string"))).collect()}
+        shown = cases.select("case_id", "category").join(hits.groupBy("case_id").agg(F.sum(F.length("text")).alias("n")), "case_id", "left")
+        chars = {r.category: r.chars for r in shown.rollup("category").agg(F.avg(F.coalesce("n", F.lit(0))).alias("chars")).collect()}
         metrics = []
         for r in evaluate.rolled_up(results).orderBy(F.desc("overall"), "category").collect():
-            mine = [x for c in order if r.overall or c == r.category for x in latencies[c] for _ in range(sizes[c])]
-            chars = [len(x[6]) for c in order if r.overall or c == r.category for x in seen[c]]
-            metrics.append(r.asDict() | spread(mine) | {"mean_content_chars": sum(chars) / max(1, r.queries)})
+            ms = spread[None if r.overall else r.category]
+            metrics.append(r.asDict() | {"latency_p50_ms": ms.p50, "latency_p95_ms": ms.p95, "mean_content_chars": chars[None if r.overall else r.category]})
         report = {
             "schema_version": 1, "benchmark_version": BENCHMARK_VERSION, "run_id": run_id, "strategy": strategy, "top_k": top_k, "max_chars": max_chars, "repeats": repeats, "warmup": warmup,
             "dataset_hash": identity.digest([json.loads(x) for x in raw.splitlines() if x.strip()]), "corpus_hash": self.corpus_hash(documents), "config_hash": identity.digest(dump_config(self.config)),
-            "settings": {"chunk_chars": self.config.chunk_chars, "tokenizer": text.TOKENIZER_VERSION, "bm25_k1": lexical.K1, "bm25_b": lexical.B, "timing_scope": "a category's cases in one job, by case"},
+            "settings": {"chunk_chars": self.config.chunk_chars, "tokenizer": text.TOKENIZER_VERSION, "bm25_k1": lexical.K1, "bm25_b": lexical.B, "timing_scope": "each case by itself"},
             "environment": provenance(), "indexing" if strategy != "dense" else "vector_build": built, "process_memory": peak_memory(),
             "mean_content_chars": metrics[0]["mean_content_chars"], "metrics": metrics, "stages_ms": self._stages(own.config.traces, measured),
-            "queries": [r.asDict() | {"latencies_ms": latencies[r.category]} for r in results.orderBy("case_id").collect()],
+            "queries": [r.asDict() | {"latencies_ms": latencies[r.case_id]} for r in results.orderBy("case_id").collect()],
         }
         write_whole(folder / "report.json", json.dumps(report, ensure_ascii=False, indent=1), fresh=True)
         write_whole(folder / "dataset.jsonl", raw, fresh=True)
@@ -322,9 +318,8 @@ class Engine:
         names = sorted(r.k for r in rows.select(F.explode(F.map_keys("stages_ms")).alias("k")).distinct().collect())
         if not names:
             return {}
-        each = [F.percentile(F.coalesce(F.col("stages_ms")[n], F.lit(0.0)), F.lit(s)).alias(f"{n}:{s}") for n in names for s in (0.5, 0.95)]
-        row = rows.agg(*each).first()
-        return {n: {"p50": row[f"{n}:0.5"], "p95": row[f"{n}:0.95"]} for n in names}
+        each = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.coalesce(F.col("stages_ms")[n], F.lit(0.0)).alias("ms")) for n in names])).alias("s")).select("s.*")
+        return {r.stage: {"p50": r.p50, "p95": r.p95} for r in evaluate.percentiles(each, "ms", (0.5, 0.95), ["stage"]).collect()}
 
     def compare(self, baseline: dict[str, Any], candidate: dict[str, Any], output: str | Path | None = None) -> dict[str, Any]:
         """Differences of metrics, by case and overall, the bootstrap interval of recall, and warnings; runs must be comparable.

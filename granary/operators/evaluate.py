@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from granary.operators.lexical import matches
+from granary.operators.lexical import bounded, matches
 
 METRICS = ["recall_at_k", "hit_at_k", "mrr_at_k", "ndcg_at_k", "precision_at_k", "empty_on_unanswerable", "empty_on_answerable", "kb_leakage"]
 
@@ -72,9 +76,68 @@ def rolled_up(results: DataFrame) -> DataFrame:
     return rows.withColumn("overall", F.col("overall") == 1)
 
 
-def interpolated(values: str, *shares: float) -> list:
-    """Percentiles between neighbours, 0 where there is no value."""
-    return [F.coalesce(F.percentile(values, F.lit(s)), F.lit(0.0)).alias(f"p{round(s * 100)}") for s in shares]
+#: Values of a group up to which one task sorts them, and cells that a larger one's range is counted in.
+LARGE, CELLS = 1_000_000, 4096
+
+
+def percentiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), large: int = LARGE) -> DataFrame:
+    """by and p50, p95 and so on for each share: exact percentiles between neighbours, as Spark's percentile gives them.
+
+    Nulls don't count; a group without values gets 0, values must be finite. A group of more than large values is never in one
+    task: the ranges that hold its percentiles' neighbours are counted in CELLS, partly before the shuffle, and narrowed to the
+    cell of each rank, until a cell has one value. There is at most one such group for each so many rows; their ranges are in the
+    driver's memory, a few numbers each.
+    """
+    by, names = list(by), [f"p{round(s * 100)}" for s in shares]
+    plain = [F.coalesce(F.percentile("_v", F.lit(float(s))), F.lit(0.0)).alias(n) for s, n in zip(shares, names)]
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    groups = [tuple(r) for r in rows.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v"), F.max("_v")).where(F.col("n") > large).collect()]
+    if not groups:
+        return rows.groupBy(*by).agg(*plain)
+    kinds = [rows.schema[c] for c in by]
+    hot = StructType([*kinds, *(StructField(n, DoubleType()) for n in names)])
+    found = [(*g, *values) for g, values in _selected(rows, by, kinds, shares, groups)]
+    out = rows.sparkSession.createDataFrame(found, hot)
+    if not by:
+        return out
+    of = bounded(out.select(*[F.col(c).alias(f"_{c}") for c in by]), 100_000)
+    rest = rows.join(of, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left_anti")
+    return rest.groupBy(*by).agg(*plain).unionByName(out)
+
+
+def _selected(rows: DataFrame, by: list[str], kinds: list[StructField], shares: Sequence[float], groups: list[tuple]) -> Iterator[tuple[tuple, list[float]]]:
+    """The percentiles of groups (by, n, least, greatest). A search is (group, rank) and its range (low, high, values below)."""
+    ranks = {g: sorted({int(f(s * (g[-3] - 1))) for s in shares for f in (math.floor, math.ceil)}) for g in groups}
+    open_ = {(g[:-3], r): (g[-2], g[-1], 0) for g in groups for r in ranks[g]}
+    known: dict[tuple, float] = {}
+    schema = StructType([*(StructField(f"_{k.name}", k.dataType) for k in kinds), StructField("low", DoubleType()), StructField("high", DoubleType())])
+    while open_:
+        known |= {key: low for key, (low, high, _) in open_.items() if low == high}
+        open_ = {key: v for key, v in open_.items() if key not in known}
+        if not open_:
+            break
+        ranges = rows.sparkSession.createDataFrame(sorted({(*g, low, high) for (g, _), (low, high, _) in open_.items()}, key=str), schema)
+        mine = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], (F.col("_v") >= F.col("low")) & (F.col("_v") <= F.col("high")))
+        cell = F.least(F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))
+        counted = rows.join(F.broadcast(ranges), mine).groupBy(*[f"_{c}" for c in by], "low", "high", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        cells: dict[tuple, list] = {}
+        for r in counted.orderBy("cell").toLocalIterator():
+            cells.setdefault((tuple(r[f"_{c}"] for c in by), r.low, r.high), []).append((r.n, r.least, r.most))
+        narrowed = {}
+        for (g, rank), (low, high, below) in open_.items():
+            for n, least, most in cells[g, low, high]:
+                if rank < below + n:
+                    narrowed[g, rank] = (least, most, below)
+                    break
+                below += n
+        open_ = narrowed
+    for g in groups:
+        out = []
+        for s in shares:
+            at = s * (g[-3] - 1)
+            low, high = known[g[:-3], math.floor(at)], known[g[:-3], math.ceil(at)]
+            out.append(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+        yield g[:-3], out
 
 
 def deltas(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

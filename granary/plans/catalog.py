@@ -456,14 +456,14 @@ def _(s, d):
 
 @query("a12_percentiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
 def _(s, d):
-    r = T.table(s, d, "events").agg(*evaluate.interpolated("value", 0.5, 0.95))
+    r = evaluate.percentiles(T.table(s, d, "events"), "value", (0.5, 0.95))
     return r.select(six(F.col("p50"), "p50"), six(F.col("p95"), "p95"))
 
 
 @query("a13_latencies", "SELECT event_type, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95 FROM (SELECT event_type, unnest([value, value * 2]) AS v FROM events) GROUP BY 1")
 def _(s, d):
     e = T.table(s, d, "events").select("event_type", F.explode(F.array("value", F.col("value") * 2)).alias("v"))
-    r = e.groupBy("event_type").agg(*evaluate.interpolated("v", 0.5, 0.95))
+    r = evaluate.percentiles(e, "v", (0.5, 0.95), ["event_type"])
     return r.select("event_type", six(F.col("p50"), "p50"), six(F.col("p95"), "p95"))
 
 
@@ -475,7 +475,7 @@ def _(s, d):
     # a trace that lacks a stage counts 0 for it; stage names are few, traces are many
     named = e.select("event_type").distinct()
     every = stages.join(lexical.bounded(named, 10_000), F.lit(True)).select("event_type", F.coalesce(F.col("stages_ms")[F.col("event_type")], F.lit(0.0)).alias("v"))
-    r = every.groupBy("event_type").agg(*evaluate.interpolated("v", 0.5, 0.95))
+    r = evaluate.percentiles(every, "v", (0.5, 0.95), ["event_type"])
     return r.select("event_type", six(F.col("p50"), "p50"), six(F.col("p95"), "p95"))
 
 

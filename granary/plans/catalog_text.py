@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from granary.functions import identity, text, vectors
-from granary.operators import audit, chunking, clusters, dense, packing, sync, windows
+from granary.operators import audit, chunking, clusters, dense, sync, windows
 from granary.plans import tables as T
 from granary.plans.catalog import D, ORACLE_SQL, QUERIES, big, query, six
 

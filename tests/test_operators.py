@@ -100,8 +100,8 @@ def test_evaluation_rules(spark):
     assert abs(a.ndcg_at_k - (1 / math.log2(3)) / (1 + 1 / math.log2(3))) < 1e-12
     assert got["b"].kb_leakage == 1 and got["b"].empty_on_unanswerable == 0.0 and got["b"].recall_at_k is None
     assert got["c"].empty_on_unanswerable == 1.0
-    assert spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double").agg(*evaluate.interpolated("v", 0.95)).first()[0] == pytest.approx(2.9)
-    assert spark.createDataFrame([], "v double").agg(*evaluate.interpolated("v", 0.5)).first()[0] == 0.0
+    assert evaluate.percentiles(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double"), "v", (0.95,)).first()[0] == pytest.approx(2.9)
+    assert evaluate.percentiles(spark.createDataFrame([], "v double"), "v", (0.5,)).first()[0] == 0.0
 
 
 def test_vector_contract(spark):
