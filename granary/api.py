@@ -22,7 +22,7 @@ from granary.operators.chunking import PARSER_VERSION, pipeline_hash
 from granary.sources.config import EXCLUDE, INCLUDE, Config, Source, dump_config
 from granary.provenance import MACHINE, peak_memory, provenance
 from granary.sources.files import hash_files, read_cases, read_files, read_traces, stat_files
-from granary.sources.store import Store, Trace, storage_bytes, write_whole
+from granary.sources.store import Store, Trace, bucket_of, storage_bytes, write_whole
 
 # Fixed value: the rules by which hits are credited.
 BENCHMARK_VERSION = "evidence-visible-v1"
@@ -77,7 +77,7 @@ class Engine:
                     return read.join(seen, "id").withColumn("source_hash", same).drop("_seen")
 
                 with trace.stage("parse_chunk"):
-                    written = snapshot.advance(self.store, statuses, files, self.config.chunk_chars, lambda there: {"corpus_hash": self.corpus_hash(there["documents"])}, keep)
+                    written = snapshot.advance(self.store, statuses, files, self.config.chunk_chars, lambda _: {}, keep)
                 counts = sync.counters(statuses, hashed).first().asDict() | {"chunks_written": written}
             trace.facts["counts"] = counts
         return counts | {"trace_id": trace.id, "operation_ms": trace.ms}
@@ -217,7 +217,7 @@ class Engine:
                         if made.select("point_id").distinct().count() != tables or self._versions() != before:
                             raise RuntimeError("sources changed during the build")
                     report.update(documents=documents.count(), chunks=chunks.count())
-                    return {"spec": asdict(self.provider.spec), "corpus_hash": text_generation["corpus_hash"], "segments": text_generation["segments"], "sources": before, "documents": report["documents"], **counts}
+                    return {"spec": asdict(self.provider.spec), "corpus_hash": self.corpus_hash(documents), "segments": text_generation["segments"], "sources": before, "documents": report["documents"], **counts}
 
                 with trace.stage("publish"):
                     # documents, chunks and index are the text generation's own folders
@@ -231,21 +231,31 @@ class Engine:
                 write_whole(self.dense_store.root / "last-build.json", json.dumps(report))
         return report | {"operation_ms": trace.ms, "stages_ms": dict(trace.line()["stages_ms"])}
 
-    def _versions(self) -> str:
-        """A hash of all sources' files as they are now."""
-        return self.corpus_hash(hash_files(self.spark, self.config.sources))
+    def _versions(self) -> dict[str, str]:
+        """Digests by bucket of all sources' files as they are now."""
+        return sync.leaves(sync.version_tree(hash_files(self.spark, self.config.sources), self.store.buckets(self.store.active())))
 
     def vector_status(self) -> dict[str, Any]:
-        """not_built, ready, stale (sources or model changed) or failed (the last build did, whatever is active)."""
+        """not_built, ready, stale (sources or model changed) or failed (the last build did, whatever is active); of a stale one
+        how many documents changed. Versions are compared by their buckets' digests, and only buckets that differ are read."""
         active, last = self.dense_store.active(self.scope_hash()), self.dense_store.root / "last-build.json"
         status: dict[str, Any] = {"status": "not_built", "has_ready_generation": bool(active)}
         if active:
-            fresh = active["sources"] == self._versions() and active["spec"] == asdict(self.provider.spec)
+            differ = sync.unlike(active["sources"], self._versions())
+            fresh = not differ and active["spec"] == asdict(self.provider.spec)
+            status |= {"changed_documents": self._changed(active, differ) if differ else 0}
             status |= {"status": "ready" if fresh else "stale", "generation": active["generation"], "contract_id": active["contract_id"], "points": active["points"], "documents": active["documents"]}
         if last.exists() and (attempt := json.loads(last.read_text("utf-8")))["status"] == "failed":
             status |= {"status": "failed", "last_build_status": attempt["status"]}
         return status
 
+    def _changed(self, active: dict[str, Any], buckets: frozenset[int]) -> int:
+        """Documents of some buckets whose files differ from a generation's."""
+        n = self.dense_store.buckets(active)
+        now = hash_files(self.spark, self.config.sources).where(bucket_of(F.col("id"), n).isin(sorted(buckets)))
+        then = self.dense_store.read(active, "documents", buckets)
+        return sync.changed_versions(now, then, n).count()
+
     # --- evaluation ----------------------------------------------------------------------------------------------------
 
     def run_benchmark(self, cases_path: str | Path, output: str | Path, strategy: str = "bm25", top_k: int = 5, max_chars: int = 4000, repeats: int = 1, warmup: int = 0, seed: int = 42) -> dict[str, Any]:

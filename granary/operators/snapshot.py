@@ -35,7 +35,7 @@ def advance(store: Store, statuses: DataFrame, files: Callable[[DataFrame], Data
     statuses: (id, status), a stored table. files(ids) gives (id, kb_id, path, source_hash, content) of those that were added or
     updated. Only these are parsed and tokenized, and only the buckets of what was added, updated or deleted are written; the
     rest, and the index of the rest, are the files that they were. Nothing changed: no new generation. keep stores a table for the
-    time of the build; facts are for the manifest, from the tables as written.
+    time of the build; facts are for the manifest, from the tables as written; it also has the digests of the version's buckets.
     """
     active = store.active()
     n = store.buckets(active)
@@ -62,5 +62,11 @@ def advance(store: Store, statuses: DataFrame, files: Callable[[DataFrame], Data
         "bags": patch("bags", "doc_id", fresh.select(*segments.BAG)),
         **index,
     }
-    store.publish(tables, lambda there: facts(there) | {"segments": held}, "text", active, without)
+
+    def manifest(there: dict[str, DataFrame]) -> dict[str, Any]:
+        mine = there["documents"].where(bucket_of(F.col("id"), n).isin(sorted(touched)))
+        digests = {k: v for k, v in (active or {}).get("digests", {}).items() if int(k) not in touched} | sync.leaves(sync.version_tree(mine, n))
+        return facts(there) | {"segments": held, "digests": digests}
+
+    store.publish(tables, manifest, "text", active, without)
     return fresh.count()

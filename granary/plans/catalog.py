@@ -132,6 +132,13 @@ def _(s, d):
     return off.agg((F.count("*") == 0).alias("fresh"))
 
 
+@query("j12_changed_versions", TWO + "SELECT id FROM change WHERE status <> 'unchanged'")
+def _(s, d):
+    """What differs between two versions, by their hash trees."""
+    before, now = two(s, d)
+    return sync.changed_versions(before, now)
+
+
 @query("u1_union_sources", D + "SELECT id FROM docs WHERE kb_id = 'src1' UNION ALL SELECT id FROM docs WHERE kb_id = 'src2'")
 def _(s, d):
     docs = T.documents(s, d)

@@ -105,8 +105,10 @@ def test_vectors(engine, tmp_path):
     assert engine.vector_status()["status"] == "failed" and engine.search("roses", strategy="dense")["hits"]
     os.remove(tmp_path / "alpha/first.md")
     engine.build_vector()
+    assert engine.vector_status()["changed_documents"] == 0
     (tmp_path / "alpha/first.md").write_text("late")
-    assert engine.vector_status()["status"] == "stale"
+    status = engine.vector_status()
+    assert status["status"] == "stale" and status["changed_documents"] == 1
 
 
 def test_benchmark_and_compare(engine, tmp_path):

@@ -65,6 +65,7 @@ def test_changes_step_by_step(spark, tmp_path):
     for name in ("documents", "chunks", "bags"):
         columns = {"documents": sync.DOCUMENT, "chunks": sync.CHUNK, "bags": segments.BAG}[name]
         assert whole(store.read(store.active(), name).select(columns)) == whole(anew.read(anew.active(), name).select(columns))
+    assert store.active()["digests"] == anew.active()["digests"]
     one, two = segments.stored(store, store.active()), segments.stored(anew, anew.active())
     assert 1 < len(store.active()["segments"]) <= 7
     columns = ["token", "chunk_id", "kb_id", "tf", "length"]
