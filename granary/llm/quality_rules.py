@@ -16,7 +16,9 @@ SLOTS = 1 << 14
 COMMON = 64
 #: Languages of which a task holds sums at once (130 KB each) before it sends them off.
 HELD = 200
-CLASSES = ("space", "lower", "upper", "digit", "stop", "mark", "symbol", "control", "latin", "other")
+CLASSES = ("space", "lower", "upper", "digit", "stop", "mark", "symbol", "control", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "sign", "kana", "han", "hangul", "other")
+#: Classes of code points beyond ASCII, by the first byte of their UTF-8: blocks of scripts, as far as that byte tells them apart.
+SCRIPTS = (("latin", 0xC2, 0xCC), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD6, 0xD7), ("arabic", 0xD8, 0xDB), ("indic", 0xE0, 0xE0), ("sign", 0xE2, 0xE2), ("kana", 0xE3, 0xE3), ("han", 0xE4, 0xE9), ("hangul", 0xEA, 0xED), ("sign", 0xF0, 0xF4))
 
 _CLASS = np.full(256, CLASSES.index("control"), np.uint8)
 _CLASS[list(b" \t\n\v\f\r")] = CLASSES.index("space")
@@ -26,8 +28,9 @@ _CLASS[list(b"0123456789")] = CLASSES.index("digit")
 _CLASS[list(b".,;:!?'\"-()")] = CLASSES.index("stop")
 _CLASS[list(b"+/=@[\\]^_`{}~")] = CLASSES.index("mark")
 _CLASS[list(SYMBOLS)] = CLASSES.index("symbol")
-_CLASS[0xC2:0xCA] = CLASSES.index("latin")
-_CLASS[0xCA:] = CLASSES.index("other")
+_CLASS[0xC2:] = CLASSES.index("other")
+for _name, _first, _last in SCRIPTS:
+    _CLASS[_first : _last + 1] = CLASSES.index(_name)
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 
 

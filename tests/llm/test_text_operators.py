@@ -151,6 +151,17 @@ def count_folded(h, common):
     return out | {"rest": sum(h.values()) - sum(out.values())}
 
 
+def test_quality_rules_tell_scripts_apart(spark):
+    """A text in another script than its language's is rejected, whatever the scripts; its neighbours stay."""
+    r = random.Random(6)
+    letters = {"ru": "абвгдежзиклмн", "el": "αβγδεζηθικλμν", "he": "אבגדהוזחטיכלמ", "ar": "ابتثجحخدذرزسش", "ja": "あいうえおかきくけこ", "ko": "가나다라마바사아자차", "zh": "的一是不了人我在有他"}
+    say = lambda script: " ".join("".join(r.choice(letters[script]) for _ in range(5)) for _ in range(60))
+    scripts = list(letters)
+    rows = [(100 * k + i, say(lang), lang) for k, lang in enumerate(scripts) for i in range(20)] + [(9000 + k, say(scripts[k - 1]), lang) for k, lang in enumerate(scripts)]
+    got = {x.doc_id: x for x in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=1.0).collect()}
+    assert all(x.kept == (i < 9000) for i, x in got.items())
+
+
 def test_quality_rules_of_many_languages(spark):
     """Each of 300 languages is compared with its own reference: all its documents are alike."""
     rows = [(1000 * k + i, " ".join(f"w{k}x{j % 30}" for j in range(60)), f"l{k}") for k in range(300) for i in range(2)]
