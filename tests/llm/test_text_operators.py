@@ -404,3 +404,67 @@ def test_co_training_gains_from_the_pool():
     right = ((model.score(a[1500:], b[1500:]) > 0.5) == y[1500:]).mean()
     alone = [((quality_model.Logistic.fit(v[few][~aside], y[few][~aside].astype(float)).logit(v[1500:]) > 0) == y[1500:]).mean() for v in (a, b)]
     assert right > max(alone)
+
+
+def test_exchange_against_a_plain_version():
+    """One round and the calibrated scores by loops over rows: who gives what to whom, and what comes of it."""
+    import math
+
+    r = np.random.default_rng(15)
+    y = (r.random(400) < 0.4).astype(float)
+    views = [np.c_[y + r.normal(0, 0.5, 400), r.normal(0, 1, (400, 4))] for _ in range(2)]
+    known, pool, aside = np.arange(120), np.arange(120, 330), np.arange(120) % 4 == 0
+    said = quality_model.ROUNDS
+    quality_model.ROUNDS = 1
+    try:
+        got = quality_model.co_train(tuple(v[known] for v in views), y[known], tuple(v[pool] for v in views), aside)
+    finally:
+        quality_model.ROUNDS = said
+
+    def probability(model, row):
+        z = sum(max(-8.0, min(8.0, x / s)) * w for x, s, w in zip(row, model.scale, model.weights)) + model.bias
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+    mine = [k for k in known if not aside[k]]
+    first = [quality_model.Logistic.fit(v[mine], y[mine]) for v in views]
+    share = sum(y[k] for k in mine) / len(mine)
+    second = []
+    for view in (0, 1):
+        sure = {k: probability(first[1 - view], views[1 - view][k]) for k in pool}
+        good = [k for k in sorted(pool, key=lambda k: -sure[k])[: int(quality_model.GIVEN * len(pool) * share)] if sure[k] >= quality_model.SURE]
+        bad = [k for k in sorted(pool, key=lambda k: sure[k])[: int(quality_model.GIVEN * len(pool) * (1 - share))] if 1 - sure[k] >= quality_model.SURE]
+        assert good and bad
+        second.append(quality_model.Logistic.fit(views[view][mine + good + bad], np.array([y[k] for k in mine] + [1.0] * len(good) + [0.0] * len(bad))))
+    for a, b in zip((got.text, got.meta), second):
+        assert np.allclose(a.weights, b.weights, atol=1e-5) and abs(a.bias - b.bias) < 1e-5
+    logit = lambda model, row: sum(max(-8.0, min(8.0, x / s)) * w for x, s, w in zip(row, model.scale, model.weights)) + model.bias
+    held = [k for k in known if aside[k]]
+    both = quality_model.Logistic.fit(np.array([[logit(m, v[k]) for m, v in zip(second, views)] for k in held]), y[held], penalty=1e-2)
+    rest = np.arange(330, 400)
+    want = [probability(both, [logit(m, v[k]) for m, v in zip(second, views)]) for k in rest]
+    assert np.allclose(got.score(views[0][rest], views[1][rest]), want, atol=1e-4)
+
+
+def test_views_against_plain_counts():
+    """The text view of some texts by dictionaries; slots are those of the operator's hash."""
+    import pyarrow as pa
+
+    from granary.llm import kernels
+
+    texts = ["one two two TWO\nthree, ünï 12", "", "a a a b", "x" * 400 + " end."]
+    _, data, offsets = next(kernels.chunks(pa.array(texts)))
+    got, _ = quality_model.views(data, offsets, [None] * 4, [None] * 4, [None] * 4)
+    for row, t in zip(got, texts):
+        want = np.zeros(quality_model.TEXT)
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        fold = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+        for w, low in zip(words, fold):
+            h = int(kernels.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), lower=True)[0])
+            for place in (h % quality_model.WORDS, quality_model.WORDS + w[0], quality_model.WORDS + quality_model.EDGES + w[-1]):
+                want[place] += 1 / len(words)
+        n, size, lines = max(1, len(words)), len(t.encode()), t.count("\n") + 1
+        taken = (want[: quality_model.WORDS] > 0).sum() / max(quality_model.WORDS * (1 - np.exp(-len(words) / quality_model.WORDS)), 1)
+        raw = t.encode()
+        kinds = [sum(65 <= c <= 90 for c in raw), sum(48 <= c <= 57 for c in raw), sum(c >= 0xC2 for c in raw), sum(c in b".,;:!?" for c in raw), sum(c in b"#*$%&|<>@=+/\\^~_{}[]" for c in raw), sum(c in b" \t\n\v\f\r" for c in raw)]
+        want[-11:] = [sum(a == b for a, b in zip(fold, fold[1:])) / n, taken, np.log1p(lines), np.log1p(size / lines), sum(map(len, words)) / n / 10, *(k / max(1, size) for k in kinds)]
+        assert np.allclose(row, want)
