@@ -136,7 +136,7 @@ class Engine:
             raise RuntimeError("the vector generation was made with another model")
         asked = queries.select(F.col("query_id").alias("key"), windows.prepared(F.col("text"), "query", self.provider.spec.template_version).alias("text"))
         q = queries.drop("text").join(encoded(asked, self.provider).withColumnRenamed("key", "query_id"), "query_id")
-        points = self.dense_store.read(active, "points").join(self.chunks().select("chunk_id", "values"), "chunk_id")
+        points = self.dense_store.read(active, "points").join(self.search_index().sizes.select("chunk_id", "values"), "chunk_id")
         if dense.resolved(points, self.chunks()).limit(1).count():
             raise RuntimeError("vectors and texts of the generation don't agree")
         return dense.search(points, self.chunks(), q, self.provider.spec.distance)
