@@ -79,8 +79,8 @@ def _spread(docs: DataFrame, n: int, num: int, den: int, ranges: int) -> DataFra
     """The first shingles by hash of each set, packed by hash range: (range, shingles, keys, count).
 
     One row holds what a task's run of documents has in a range. count is 1 where the class is to be told whether the
-    shingle is elsewhere; shingles that several classes of the run share count at once (range -1), and only two classes
-    announce them.
+    shingle is elsewhere; shingles that several classes of the run share count at once (ranges below 0 have those counts, any
+    classes' in any of them), and only two classes announce them.
     """
     shift = np.uint64(64 - ranges.bit_length() + 1)
 
@@ -101,8 +101,8 @@ def _spread(docs: DataFrame, n: int, num: int, den: int, ranges: int) -> DataFra
         part = (token >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(token), np.int64)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
         rows = [(int(part[a]), token[a:b].tobytes(), names[owner[a:b]].tobytes(), told[a:b].astype(np.uint8).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        hit = np.flatnonzero(met)
-        rows.append((-1, b"", names[hit].tobytes(), met[hit].astype(np.uint32).tobytes()))
+        if len(hit := np.flatnonzero(met)):
+            rows.append((-1 - int(names[hit[0]] % np.uint64(RANGES)), b"", names[hit].tobytes(), met[hit].astype(np.uint32).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["range", "shingles", "keys", "told"])
 
     def run(batches):
@@ -129,8 +129,12 @@ def _met(spread: DataFrame) -> DataFrame:
     """(half, met): how many shingles of a class's list another class's list has."""
 
     def count(table: pa.Table) -> pa.Table:
-        token = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint64)
         owner = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+        if table["range"][0].as_py() < 0:
+            counts = np.frombuffer(b"".join(table["told"].to_pylist()), np.uint32)
+            names, which = np.unique(owner, return_inverse=True)
+            return pa.table({"half": names.view(np.int64), "met": np.bincount(which, weights=counts).astype(np.int64)})
+        token = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint64)
         told = np.frombuffer(b"".join(table["told"].to_pylist()), np.uint8).astype(bool)
         order = np.argsort(token, kind="stable")
         token, owner, told = token[order], owner[order], told[order]
@@ -139,18 +143,10 @@ def _met(spread: DataFrame) -> DataFrame:
         run = np.cumsum(fresh) - 1
         # a shingle is shared if its run has an owner other than the first one's
         differs = np.add.reduceat((owner != owner[at][run]).astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
-        hit = told & differs[run]
-        names, counts = np.unique(owner[hit], return_counts=True)
+        names, counts = np.unique(owner[told & differs[run]], return_counts=True)
         return pa.table({"half": names.view(np.int64), "met": counts.astype(np.int64)})
 
-    def unpack(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column(0), batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.uint32).astype(np.int64))], ["half", "met"])
-
-    ranged = spread.where("range >= 0").groupBy("range").applyInArrow(count, "half long, met long")
-    local = spread.where("range < 0").select("keys", "told").mapInArrow(kernels.lean(unpack), "half long, met long")
-    return ranged.union(local).groupBy("half").agg(F.sum("met").alias("met"))
+    return spread.groupBy("range").applyInArrow(kernels.trimmed(count), "half long, met long").groupBy("half").agg(F.sum("met").alias("met"))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -309,7 +305,7 @@ def _edges(lists: DataFrame, percent: int) -> DataFrame:
     """(name, root): edges that connect what links connect, of sets (component, part, parts, name, n, shingles)."""
     task = lambda t: _connected(t, percent, 100)
     columns = ("component", "part", "parts", "name", "n", "shingles", "probe")
-    own = written(lists.withColumn("probe", F.lit(True)).select(*columns).groupBy("component", "part").applyInArrow(task, "name long, root long"), "within")
+    own = written(lists.withColumn("probe", F.lit(True)).select(*columns).groupBy("component", "part").applyInArrow(kernels.trimmed(task), "name long, root long"), "within")
     several = lists.where("parts > 1")
     if not several.limit(1).count():
         return own.where("name <> root")
@@ -320,7 +316,7 @@ def _edges(lists: DataFrame, percent: int) -> DataFrame:
     hubs = written(several.join(small(written(hubs, "hub-names")), ["component", "name"], "left_semi"), "hubs")
     sent = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
     met = several.join(small(hubs.select("name")), "name", "left_anti").withColumn("probe", F.lit(False)).select(*columns).union(sent.select(*columns))
-    near = written(met.groupBy("component", "part").applyInArrow(task, "name long, root long"), "hub-links")
+    near = written(met.groupBy("component", "part").applyInArrow(kernels.trimmed(task), "name long, root long"), "hub-links")
     # what isn't in its block's largest component yet meets all parts
     edges = own.union(near).where("name <> root")
     found = components(edges, "name", "root").withColumnRenamed("id", "name").withColumnRenamed("component", "label")
@@ -339,7 +335,7 @@ def _edges(lists: DataFrame, percent: int) -> DataFrame:
     walk_all = walk.select(*columns, "turn").union(still.select(*columns, "turn"))
     across = outside.join(turns, "component").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     across = across.where(F.col("turn") != F.pmod(F.xxhash64(F.lit(1), "name"), F.col("turns"))).withColumn("probe", F.lit(False))
-    last = walk_all.union(across.select(*columns, "turn")).groupBy("component", "part", "turn").applyInArrow(task, "name long, root long")
+    last = walk_all.union(across.select(*columns, "turn")).groupBy("component", "part", "turn").applyInArrow(kernels.trimmed(task), "name long, root long")
     return edges.union(written(last, "outside-links").where("name <> root"))
 
 
@@ -390,7 +386,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = T
     if links:
         tasks = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         tasks = tasks.select("component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "name", "n", "copies", "part", "shingles")
-        joined = tasks.groupBy("component", "a", "b").applyInArrow(lambda t: _joined(t, percent, 100), "name long, links long, root long")
+        joined = tasks.groupBy("component", "a", "b").applyInArrow(kernels.trimmed(lambda t: _joined(t, percent, 100)), "name long, links long, root long")
         joined = written(joined, "joined")
         edges = joined.where("name <> root").select("name", "root")
     else:

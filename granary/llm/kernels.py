@@ -34,6 +34,15 @@ def _places(n: int) -> np.ndarray:
     return np.random.default_rng(977).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
 
+def give_back() -> None:
+    """Returns to the system what allocators keep of memory that was freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def lean(run: Callable) -> Callable:
     """run, a function over Arrow batches, which gives back the memory that it freed when it ends.
 
@@ -41,13 +50,6 @@ def lean(run: Callable) -> Callable:
     stage's.
     """
 
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
-
     def over_batches(batches):
         try:
             yield from run(batches)
@@ -57,6 +59,19 @@ def lean(run: Callable) -> Callable:
     return over_batches
 
 
+def trimmed(run: Callable[[pa.Table], pa.Table], least: int = 1 << 20) -> Callable[[pa.Table], pa.Table]:
+    """run, a function of a group's table, which gives back memory after groups of least bytes or more."""
+
+    def over_group(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            if table.nbytes >= least:
+                give_back()
+
+    return over_group
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """An avalanche over 64-bit numbers: a bijection after which every bit depends on every other."""
     x = x ^ (x >> np.uint64(31))
