@@ -9,7 +9,7 @@ def test_names():
     names, sql = set(entry.queries()), set(entry.oracle_sql())
     assert sql <= names and len(names) > 100
     if entry.llm:
-        assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+        assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
 
 
 def test_flagship(spark):

@@ -88,8 +88,9 @@ def test_vector_check(spark, tmp_path):
 
 
 def test_vector_check_finds_a_fault(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(Collection, "delete_documents", lambda self, doc_ids: len(doc_ids))
-    with pytest.raises(ValueError, match="deleted"):
+    real = Collection.count
+    monkeypatch.setattr(Collection, "count", lambda self, kb_ids=None: real(self, kb_ids) + 1)
+    with pytest.raises(ValueError, match="all points"):
         checks.run_vector_check(spark, tmp_path / "checks")
     assert json.loads(next((tmp_path / "checks").rglob("report.json")).read_text())["status"] == "failed"
 
