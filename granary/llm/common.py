@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side may be broadcast; every such side here has rows of at most a few hundred bytes.
 BROADCAST_ROWS = 200_000
-#: Edges in a file of a step of components, about.
-EDGES = 100_000
+#: Edges in a file of a step of components, about; rows in a file of a table whose size is known.
+EDGES, FILE_ROWS = 100_000, 2_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -34,10 +34,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    rows: what df has at most, if that is known; then it takes no more tasks and files than FILE_ROWS rows each need.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if rows is not None:
+        df = df.coalesce(-(-max(1, rows) // FILE_ROWS))
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written = path
@@ -72,16 +77,16 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", vertices: int | None = None) -> DataFrame:
     """Connected components of an undirected edge list: rows (id, component), component being the smallest id reachable.
 
     Alternating large-star and small-star steps: each is an aggregate by vertex (combined on the map side, so a vertex of
     very many edges costs one row per task) and one join, whose hot keys adaptive execution may split. Edges never grow in
     number; the loop ends when a step changes nothing. Every step is a written table. Ids that are in no edge, or only in
-    a loop, are absent; null ends are dropped.
+    a loop, are absent; null ends are dropped. vertices: how many there are at most, if known (see written).
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", vertices)
     files = -(-max(1, pairs.count()) // EDGES)  # edges never grow in number, so no step needs more
     seen = None
     while True:

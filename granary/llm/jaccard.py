@@ -301,11 +301,11 @@ def _connected(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"name": names, "root": names[forest.root]})
 
 
-def _edges(lists: DataFrame, percent: int) -> DataFrame:
-    """(name, root): edges that connect what links connect, of sets (component, part, parts, name, n, shingles)."""
+def _edges(lists: DataFrame, percent: int, left: int) -> DataFrame:
+    """(name, root): edges that connect what links connect, of left sets (component, part, parts, name, n, shingles)."""
     task = lambda t: _connected(t, percent, 100)
     columns = ("component", "part", "parts", "name", "n", "shingles", "probe")
-    own = written(lists.withColumn("probe", F.lit(True)).select(*columns).groupBy("component", "part").applyInArrow(kernels.trimmed(task), "name long, root long"), "within")
+    own = written(lists.withColumn("probe", F.lit(True)).select(*columns).groupBy("component", "part").applyInArrow(kernels.trimmed(task), "name long, root long"), "within", left)
     several = lists.where("parts > 1")
     if not several.limit(1).count():
         return own.where("name <> root")
@@ -313,17 +313,17 @@ def _edges(lists: DataFrame, percent: int) -> DataFrame:
     sizes = several.select("component", "part", "name").join(own, "name").groupBy("component", "part", "root").agg(F.count("*").alias("size"))
     largest = Window.partitionBy("component").orderBy(F.desc("size"), "root")
     hubs = sizes.withColumn("k", F.row_number().over(largest)).where(F.col("k") <= HUBS).select("component", F.col("root").alias("name"))
-    hubs = written(several.join(small(written(hubs, "hub-names")), ["component", "name"], "left_semi"), "hubs")
+    hubs = written(several.join(small(written(hubs, "hub-names", left)), ["component", "name"], "left_semi"), "hubs", left)
     sent = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
     met = several.join(small(hubs.select("name")), "name", "left_anti").withColumn("probe", F.lit(False)).select(*columns).union(sent.select(*columns))
-    near = written(met.groupBy("component", "part").applyInArrow(kernels.trimmed(task), "name long, root long"), "hub-links")
+    near = written(met.groupBy("component", "part").applyInArrow(kernels.trimmed(task), "name long, root long"), "hub-links", left)
     # what isn't in its block's largest component yet meets all parts
     edges = own.union(near).where("name <> root")
-    found = components(edges, "name", "root").withColumnRenamed("id", "name").withColumnRenamed("component", "label")
+    found = components(edges, "name", "root", left).withColumnRenamed("id", "name").withColumnRenamed("component", "label")
     labelled = several.join(found, "name", "left").withColumn("label", F.coalesce("label", "name"))
     sums = labelled.groupBy("component", "label").agg(F.count("*").alias("size"))
     main = sums.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    outside = written(labelled.join(main, "component").where("label <> main").drop("label", "main"), "outside")
+    outside = written(labelled.join(main, "component").where("label <> main").drop("label", "main"), "outside", left)
     if not outside.limit(1).count():
         return edges
     turns = outside.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(PART)).cast("int").alias("turns"))
@@ -359,10 +359,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = T
     total = seen.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(RANGES, 1 << min(20, (total * 3 // 10 // RANGE).bit_length()))
     classes = seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("half").alias("half"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", seen.count())
     least = F.expr(f"1 + cast(ceil(n * {percent} / 100D) as long) div 10")
     alive = classes.join(_met(_spread(docs, n, percent, 100, ranges)), "half").where(F.col("met") >= least)
-    alive = written(alive.select(F.col("half").alias("name"), "rep", "key", "n", "copies"), "alive")
+    alive = written(alive.select(F.col("half").alias("name"), "rep", "key", "n", "copies"), "alive", classes.count())
+    left = alive.count()
     of_ids = docs.join(small(alive.where("rep is not null").select("rep", "key")), F.col("doc_id") == F.col("rep")).select("text", "key")
     sets = _sets(of_ids, n)
     again = seen.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
@@ -376,10 +377,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = T
     lists = shared.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("shingles"))
     lists = lists.join(alive.select("name", "n", "copies"), "name")
     lists = lists.withColumn("first", F.expr(f"n - cast(ceil(n * {percent} / 100D) as long) + 1 - (n - size(shingles))")).where("first > 0")
-    lists = written(lists, "lists")
+    lists = written(lists, "lists", left)
     discard(sets)
     heads = lists.select("name", F.explode(F.slice("shingles", 1, F.col("first").cast("int"))).alias("s"))
-    blocks = components(heads.join(heads.groupBy("s").agg(F.min("name").alias("low")), "s").select("name", "low"), "name", "low")
+    blocks = components(heads.join(heads.groupBy("s").agg(F.min("name").alias("low")), "s").select("name", "low"), "name", "low", left)
     lists = lists.join(blocks.withColumnRenamed("id", "name"), "name")
     parts = lists.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(PART)).cast("int").alias("parts"))
     lists = lists.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
@@ -390,8 +391,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = T
         joined = written(joined, "joined")
         edges = joined.where("name <> root").select("name", "root")
     else:
-        edges = _edges(written(lists.select("component", "part", "parts", "name", "n", "shingles"), "parts"), percent)
-    found = components(edges, "name", "root").withColumnRenamed("id", "half")
+        edges = _edges(written(lists.select("component", "part", "parts", "name", "n", "shingles"), "parts", left), percent, left)
+    found = components(edges, "name", "root", left).withColumnRenamed("id", "half")
     found = classes.select("key", "half", "rep", "copies").join(found, "half", "left")
     low = found.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
     found = found.join(low, "component", "left")
@@ -408,7 +409,7 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Rows without doc_id stay, as nothing tells them apart. Of repeated rows of a doc_id one stays.
     """
     classes = written(jaccard_join(docs, n, percent, links=False), "near")
-    gone = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id")).distinct(), "gone")
+    gone = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id")).distinct(), "gone", classes.count())
     kept = docs.join(small(gone), docs["doc_id"] == gone["_near_id"], "left_anti")
     if classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
