@@ -16,6 +16,9 @@ from granary.operators.packing import MOST, packed, ranked
 
 #: Queries that one pass over the points answers at most.
 QUERIES = 1_000
+#: Products of a query and a point that a task holds at once, in matrices of doubles; points that a partition by chunk has about.
+PRODUCTS = 1_000_000
+POINTS = 1_000
 
 
 def upserted(points: DataFrame, batch: DataFrame, dimension: int, distance: str = "cosine", normalized: bool = True) -> DataFrame:
@@ -52,9 +55,10 @@ def exact(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> Da
 
 
 def maxima(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
-    """(query_id, chunk_id, score) of every query with every chunk that has a point in its scope: the chunk's best point. Batches
-    of points give their maxima, which are combined before they are shuffled."""
-    return pooled(_met(points, queries, "chunk_id", None, distance), distance)
+    """(query_id, chunk_id, score) of every query with every chunk that has a point in its scope: the chunk's best point. Points
+    are brought together by chunk, so that what is shuffled are points, and no row of the answer is."""
+    n = min(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(1, points.count()) // POINTS))
+    return _met(points.repartition(n, "chunk_id").sortWithinPartitions("chunk_id"), queries, "chunk_id", None, distance, together=True)
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str = "cosine", strict: bool = False) -> DataFrame:
@@ -74,22 +78,23 @@ def parents(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str
     return ranked(found, "query_id", ascending=distance == "euclid").where(F.col("rank") <= k)
 
 
-def _met(points: DataFrame, queries: DataFrame, key: str, k: int | None, distance: str, strict: bool = False) -> DataFrame:
+def _met(points: DataFrame, queries: DataFrame, key: str, k: int | None, distance: str, strict: bool = False, together: bool = False) -> DataFrame:
     """(query_id, key, score): the k best keys (None: all) of each query in each batch of points, and those that tie with the last.
 
-    Blocks of QUERIES queries meet all points, in a pass for each block: a batch of points is one matrix product, of which each
-    query's k best go on. Queries by points are never rows; a task sends k rows for each query and batch. The
-    queries come to the driver a block at a time.
+    Blocks of QUERIES queries meet all points, in a pass for each block: a batch of points is matrix products of at most PRODUCTS
+    scores, of which each query's k best go on. Queries by points are never rows; a task sends k rows for each query and batch.
+    The queries come to the driver a block at a time. together (for k None): points of a key are in one partition and follow each
+    other, and the key's best score is given once.
     """
     scope = [c for c in ("kb_ids", "filters") if c in queries.columns]
     rows = queries.select("query_id", "vector", *scope).toLocalIterator()
-    blocks = [_block(points, queries, list(islice(rows, QUERIES)), key, k, distance, strict)]
+    blocks = [_block(points, queries, list(islice(rows, QUERIES)), key, k, distance, strict, together=together)]
     while block := list(islice(rows, QUERIES)):
-        blocks.append(_block(points, queries, block, key, k, distance, strict))
+        blocks.append(_block(points, queries, block, key, k, distance, strict, together=together))
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool, visits: np.ndarray | None = None) -> DataFrame:
+def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool, visits: np.ndarray | None = None, together: bool = False) -> DataFrame:
     """_met for the collected queries in rows. visits: for each query and value of the points' column cluster whether they meet;
     of other points no product is taken."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -104,43 +109,80 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
         scopes.setdefault((None if kbs is None else tuple(sorted(set(kbs))), tuple(sorted((filters or {}).items()))), []).append(n)
     keys = sorted({f for _, filters in scopes for f, _ in filters})
 
+    def scores(part: slice, own, cluster, insides, ids) -> np.ndarray:
+        """Of the queries in part with the points of a batch, signed so that the largest is the best; -inf: not met."""
+        asked = wanted[part]
+        if visits is None:
+            s = products(asked, own, distance)
+            odd = ~np.isfinite(s)
+            s = np.where(odd, -np.inf, sign * np.round(s, 12))
+        else:
+            s, odd = np.full((len(asked), len(own)), -np.inf), np.zeros((len(asked), len(own)), bool)
+            for c in np.unique(cluster):
+                place = np.ix_(np.flatnonzero(visits[part, c]), np.flatnonzero(cluster == c))
+                some = products(asked[place[0].ravel()], own[place[1].ravel()], distance)
+                odd[place] = ~np.isfinite(some)
+                s[place] = np.where(odd[place], -np.inf, sign * np.round(some, 12))
+        for inside, members in insides:
+            here = members[(members >= part.start) & (members < part.stop)] - part.start
+            if strict and odd[np.ix_(here, inside)].any():
+                bad = ids.take(pa.array(np.flatnonzero(inside & odd[here].any(0))[:5])).to_pylist()
+                raise ValueError(f"points without a finite score: {bad}")
+            if not inside.all():
+                s[np.ix_(here, ~inside)] = -np.inf
+        return s
+
     def run(batches):
+        held, last = np.full(len(wanted), -np.inf), None  # together: the scores of the key that the next batch may go on with
+        named = pa.array(names, kind)
+
+        def rows_of(s, start, found_keys, q, p):
+            return pa.RecordBatch.from_arrays([named.take(pa.array(q + start)), found_keys.take(pa.array(p)), pa.array(sign * s[q, p])], ["query_id", key, "score"])
+
         for batch in batches:
             if not batch.num_rows or not len(wanted):
                 continue
             own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            if visits is None:
-                s = products(wanted, own, distance)
-                odd = ~np.isfinite(s)
-                s = np.where(odd, -np.inf, sign * np.round(s, 12))
-            else:
-                s, odd = np.full((len(wanted), len(own)), -np.inf), np.zeros((len(wanted), len(own)), bool)
-                cluster = batch.column(batch.num_columns - 1).to_numpy()
-                for c in np.unique(cluster):
-                    place = np.ix_(np.flatnonzero(visits[:, c]), np.flatnonzero(cluster == c))
-                    part = products(wanted[place[0].ravel()], own[place[1].ravel()], distance)
-                    odd[place] = ~np.isfinite(part)
-                    s[place] = np.where(odd[place], -np.inf, sign * np.round(part, 12))
+            cluster = None if visits is None else batch.column(batch.num_columns - 1).to_numpy()
             metadata = {f: np.array(batch.column(3 + j).to_pylist(), object) for j, f in enumerate(keys)}
             kb = np.array(batch.column(2).to_pylist(), object)
-            for (kbs, filters), own_queries in scopes.items():
-                inside = np.ones(len(kb), bool) if kbs is None else np.isin(kb.astype(str), kbs) & (kb != None)  # noqa: E711
+            text, there = kb.astype(str), kb != None  # noqa: E711
+            insides = []
+            for (kbs, filters), members in scopes.items():
+                inside = np.ones(len(kb), bool) if kbs is None else np.isin(text, kbs) & there
                 for f, value in filters:
                     inside &= metadata[f] == value
-                if strict and odd[np.ix_(own_queries, inside)].any():
-                    bad = batch.column(0).take(pa.array(np.flatnonzero(inside & odd[own_queries].any(0))[:5])).to_pylist()
-                    raise ValueError(f"points without a finite score: {bad}")
-                if not inside.all():
-                    s[np.ix_(own_queries, ~inside)] = -np.inf
+                insides.append((inside, np.array(members)))
             codes = batch.column(0).dictionary_encode()
             which = codes.indices.to_numpy()
             order = np.argsort(which, kind="stable")
-            s = np.maximum.reduceat(s[:, order], np.flatnonzero(np.r_[True, np.diff(which[order]) > 0]), axis=1)
-            m = min(k or s.shape[1], s.shape[1])
-            # all that ties with the k-th, so that ids decide
-            floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-            q, p = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], kind), codes.dictionary.take(pa.array(p)), pa.array(sign * s[q, p])], ["query_id", key, "score"])
+            begins = np.flatnonzero(np.r_[True, np.diff(which[order]) > 0])
+            own_keys = codes.dictionary
+            before = last
+            if together:
+                last = own_keys.slice(len(own_keys) - 1)
+            step = max(1, PRODUCTS // batch.num_rows)
+            for start in range(0, len(wanted), step):
+                part = slice(start, min(start + step, len(wanted)))
+                s = np.maximum.reduceat(scores(part, own, cluster, insides, batch.column(0))[:, order], begins, axis=1)
+                if together:
+                    if before is not None and before.equals(own_keys.slice(0, 1)):
+                        s[:, 0] = np.maximum(s[:, 0], held[part])
+                    elif before is not None:
+                        q = np.flatnonzero(held[part] > -np.inf)
+                        yield rows_of(held[part, None], start, before, q, np.zeros_like(q))
+                    held[part] = s[:, -1]
+                    s = s[:, :-1]
+                    if not s.shape[1]:
+                        continue
+                m = min(k or s.shape[1], s.shape[1])
+                # all that ties with the k-th, so that ids decide
+                floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m, None] if m < s.shape[1] else -np.inf
+                q, p = np.nonzero((s >= floor) & (s > -np.inf))
+                yield rows_of(s, start, own_keys, q, p)
+        if last is not None:
+            q = np.flatnonzero(held > -np.inf)
+            yield rows_of(held[:, None], 0, last, q, np.zeros_like(q))
 
     kinds = queries.schema["query_id"].dataType, points.schema[key].dataType
     kind = to_arrow_type(kinds[0])
