@@ -40,3 +40,20 @@ def test_maxima_without_shuffled_pairs(spark, monkeypatch, small_batches):
         assert len(rows) == len(want) and all(abs(r.score - want[r.query_id, r.chunk_id]) < 1e-9 for r in rows)
         above = explained(found).split("MapInArrow")[0]
         assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_products_in_pieces(spark, monkeypatch):
+    points, queries = vectors(spark)
+    queries = queries.select("query_id", "vector")
+    want = {(r.query_id, r.point_id, r.rank): r.score for r in dense.nearest(points, queries, 5).collect()}
+    whole = dense.products
+
+    def checked(a, b, distance):
+        if len(a) * len(b) > 160:
+            raise MemoryError("a task holds more products than PRODUCTS")
+        return whole(a, b, distance)
+
+    monkeypatch.setattr(dense, "PRODUCTS", 160, raising=False)
+    monkeypatch.setattr(dense, "products", checked)
+    assert {(r.query_id, r.point_id, r.rank): r.score for r in dense.nearest(points, queries, 5).collect()} == want
+    assert dense.exact(points, queries).count() == dense.scored(points, queries.withColumn("kb_ids", F.lit(None).cast("array<string>")).withColumn("filters", F.lit(None).cast("map<string,string>"))).where("score is not null and not isnan(score)").count()
