@@ -1,10 +1,11 @@
 """What tasks hold and shuffle at once: steps in small pieces against plain forms."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import dense
+from granary.operators import chunking, dense
 
 
 def explained(df) -> str:
@@ -57,3 +58,14 @@ def test_products_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(dense, "products", checked)
     assert {(r.query_id, r.point_id, r.rank): r.score for r in dense.nearest(points, queries, 5).collect()} == want
     assert dense.exact(points, queries).count() == dense.scored(points, queries.withColumn("kb_ids", F.lit(None).cast("array<string>")).withColumn("filters", F.lit(None).cast("map<string,string>"))).where("score is not null and not isnan(score)").count()
+
+
+def test_texts_parsed_in_slices(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"content": ["a" * 5, None, "", "b" * 30, "c" * 4, "d" * 6, "é" * 3]})
+    parts = list(chunking.slices([batch, batch.slice(0, 0)], "content", 10))
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    rows = [(f"k:d{i}", "k", f"d{i}", "h", "# a\n" + "x y\n" * i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "id string, kb_id string, path string, source_hash string, content string")
+    want = sorted(map(str, chunking.chunked(docs, 20).collect()))
+    monkeypatch.setattr(chunking, "PARSED", 50)
+    assert sorted(map(str, chunking.chunked(docs, 20).collect())) == want
