@@ -18,7 +18,8 @@ def tokens(text: Column) -> Column:
     """Search tokens: lower-cased runs of a-z, 0-9 and _, and overlapping pairs of CJK characters (a single one by itself)."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"[a-z0-9_]+|[{CJK}]+"), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^[{CJK}]") & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    paired = F.flatten(F.transform(runs, lambda w: F.when(w.rlike(f"^[{CJK}]") & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    return F.when(text.rlike(f"[{CJK}]"), paired).otherwise(runs)
 
 
 def lines(text: Column) -> Column:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +40,45 @@ def weight(bags: DataFrame) -> int:
     return bags.agg(F.coalesce(F.sum(F.size(F.array_distinct("tokens"))), F.lit(0))).first()[0]
 
 
-def counted(bags: DataFrame) -> DataFrame:
-    """(token, chunk_id, kb_id, tf, length) of bags."""
-    each = bags.select("chunk_id", "kb_id", "length", F.explode("tokens").alias("token"))
-    return each.groupBy("token", "chunk_id", "kb_id", "length").agg(F.count("*").alias("tf"))
-
-
 def blocks(postings: DataFrame, chunks: int, buckets: int) -> DataFrame:
     """Postings as blocks: those of a token in a span of chunks of one knowledge base, with the greatest tf and the least length.
 
     A span is a range of chunks' hashes. A block's size doesn't grow with a token's frequency, and no token is in one task.
+    Postings are shuffled once and sorted; a block is a run of them.
     """
     span = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, chunks // SPAN))).cast("int")
-    rows = postings.withColumn("span", span).groupBy("token", "kb_id", "span")
-    rows = rows.agg(F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "length"))).alias("postings"))
-    return rows.withColumn("bucket", bucket_of(F.col("token"), buckets))
+    names = ["token", "kb_id", "span", "chunk_id", "tf", "length"]
+    rows = postings.withColumn("span", span).select(names).repartition("token", "kb_id", "span").sortWithinPartitions(names)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def made_of(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        column = lambda c: t.column(c).combine_chunks()
+        firsts = pa.array(begins[:-1])
+        every = pa.StructArray.from_arrays([column(c) for c in names[3:]], names[3:])
+        lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), every)
+        least = lambda f, c: pa.array(f.reduceat(column(c).to_numpy(), begins[:-1]))
+        return pa.RecordBatch.from_arrays([*[column(c).take(firsts) for c in names[:3]], least(np.maximum, "tf"), least(np.minimum, "length"), lists], [*names[:3], "most_tf", "least_length", "postings"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            differ = np.zeros(len(t), bool)
+            for c in names[:3]:
+                code = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                differ[1:] |= code[1:] != code[:-1]
+            begins = np.r_[0, np.flatnonzero(differ)]
+            if len(begins) > 1:  # the last run may go on
+                yield made_of(t.slice(0, begins[-1]), begins)
+            rest = t.slice(begins[-1])
+        if rest is not None:
+            yield made_of(rest, np.array([0, len(rest)]))
+
+    out = f"token string, kb_id {kinds['kb_id']}, span int, most_tf {kinds['tf']}, least_length {kinds['length']}, postings array<struct<{','.join(f'{c}:{kinds[c]}' for c in names[3:])}>>"
+    return rows.mapInArrow(run, out).withColumn("bucket", bucket_of(F.col("token"), buckets))
 
 
 def deltas(fresh: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +106,7 @@ def added(store: Store, active: dict[str, Any] | None, fresh: DataFrame, gone: D
     while first and old[first - 1]["postings"] < RATIO * total:
         first -= 1
         total += old[first]["postings"]
-    postings, (terms, sums) = counted(fresh), deltas(fresh, gone)
+    postings, (terms, sums) = lexical.counted(fresh), deltas(fresh, gone)
     left = gone.select("chunk_id")
     if merged := old[first:]:
         mine = stored(store, active, merged, left)
@@ -104,8 +130,10 @@ def added(store: Store, active: dict[str, Any] | None, fresh: DataFrame, gone: D
 def made(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame], buckets: int = 64) -> lexical.Index:
     """The index of chunks as one segment that no store has; keep stores its tables for as long as it is used."""
     bags = keep(lexical.bags(chunks).select("chunk_id", "kb_id", "length", "values", "tokens"), "bags")
-    terms, sums = deltas(bags, bags.where("false"))
-    rows = {"blocks": keep(blocks(counted(bags), bags.count(), buckets).withColumn("segment", F.lit(0)), "blocks"), "terms": keep(terms.withColumn("bucket", bucket_of(F.col("token"), buckets)), "terms")}
+    sums = bags.groupBy("kb_id").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    own = keep(blocks(lexical.counted(bags), bags.count(), buckets).withColumn("segment", F.lit(0)), "blocks")
+    terms = own.groupBy("kb_id", "token").agg(F.sum(F.size("postings")).alias("df"))
+    rows = {"blocks": own, "terms": keep(terms.withColumn("bucket", bucket_of(F.col("token"), buckets)), "terms")}
     part = lambda name, b: (rows[name] if b is None else rows[name].where(F.col("bucket").isin(sorted(b)))).drop("bucket")
     gone = bags.sparkSession.createDataFrame([], "chunk_id string, segment int")
     return lexical.Index(None, bags.drop("tokens"), lambda b: part("blocks", b), lambda b: part("terms", b), sums, gone, buckets)

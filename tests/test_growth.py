@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import chunking, dense, lexical
+from granary.operators import chunking, dense, lexical, segments
 
 
 def explained(df) -> str:
@@ -85,3 +85,19 @@ def test_scores_by_one_shuffle(spark, small_batches):
         # the postings' way to the answer: one exchange, by query and chunk
         plan = explained(got)
         assert "hashpartitioning(scope" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+
+
+def test_index_by_one_shuffle(spark, monkeypatch, small_batches):
+    r = np.random.default_rng(9)
+    rows = [(f"c{k}", ["a", "b", None][k % 3], [str(x) for x in r.choice(["the", "rose", "frost", "ß", "x1"], r.integers(0, 12))]) for k in range(400)]
+    bags = spark.createDataFrame(rows, "chunk_id string, kb_id string, tokens array<string>").withColumn("length", F.size("tokens").cast("long"))
+    each = bags.select("chunk_id", "kb_id", "length", F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "kb_id", "length").agg(F.count("*").alias("tf"))
+    monkeypatch.setattr(lexical, "TOKENS", 20, raising=False)
+    postings = lexical.counted(bags)
+    columns = ["token", "chunk_id", "kb_id", "tf", "length"]
+    assert sorted(map(str, postings.select(columns).collect())) == sorted(map(str, each.select(columns).collect()))
+    span = F.pmod(F.xxhash64("chunk_id"), F.lit(3)).cast("int")
+    plain = each.withColumn("span", span).groupBy("token", "kb_id", "span").agg(F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "length"))).alias("postings"))
+    made = segments.blocks(postings, 3 * segments.SPAN, 8)
+    assert sorted(map(str, made.drop("bucket").collect())) == sorted(map(str, plain.collect()))
+    assert explained(made).count("Exchange") == 1
