@@ -257,9 +257,8 @@ def _(s, d):
     SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (token) GROUP BY ALL""")
 def _(s, d):
     """All pairs of a benchmark text and a document that share tokens; pairs without a row share none."""
-    b = T.table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    x = T.table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    return x.join(lexical.bounded(b, 500_000), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    own = lambda name, key: T.table(s, d, name).select(key, F.array_distinct(text.tokens(F.col("text"))).alias("tokens"))
+    return lexical.shared(own("documents", "doc_id"), own("benchmark", "item_id"))
 
 
 @query("u4_distinct_terms", f"SELECT item_id, len(list_distinct({TOKENS}))::BIGINT AS terms FROM benchmark")

@@ -71,20 +71,21 @@ def test_texts_parsed_in_slices(spark, monkeypatch):
     assert sorted(map(str, chunking.chunked(docs, 20).collect())) == want
 
 
-def test_scores_by_one_shuffle(spark, small_batches):
-    r = np.random.default_rng(11)
-    words = ["the", "rose", "frost", "loam", "x1"]
-    rows = [(f"c{k}", "ab"[k % 2], f"t{k}", "", " ".join(str(x) for x in r.choice(words, r.integers(0, 12))), {"lang": "xy"[k % 3 > 0]}) for k in range(120)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, kb_id string, title string, heading string, text string, values map<string,string>")
-    asked = [(f"q{k}", " ".join(words[: k + 1]), [None, ["a"], ["b", "a"]][k % 3], {"lang": "x"} if k == 2 else None) for k in range(5)]
-    queries = spark.createDataFrame(asked, "query_id string, text string, kb_ids array<string>, filters map<string,string>")
-    for strategy in ("bm25", "overlap"):
-        want = {(x.query_id, x.chunk_id): x.score for x in lexical.scores(chunks, queries, strategy).collect()}
-        got = lexical.scores(chunks, queries, strategy, lambda df, _: df.persist())
-        assert {(x.query_id, x.chunk_id): x.score for x in got.collect()} == want and want
-        # the postings' way to the answer: one exchange, by query and chunk
-        plan = explained(got)
-        assert "hashpartitioning(scope" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+def test_overlap_without_shuffled_pairs(spark, monkeypatch, small_batches):
+    r = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(k, [str(x) for x in r.choice(words, r.integers(0, 30), False)]) for k in range(50)] + [(3, ["w1", "w2", "w3"]), (None, ["w1"]), (None, ["w1", "w5"]), (60, None), (61, ["other"])]
+    docs = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    items = spark.createDataFrame([(f"i{k}", [str(x) for x in r.choice(words, r.integers(0, 9))]) for k in range(12)] + [("none", None)], "item_id string, tokens array<string>")
+    each = lambda df, key: df.select(key, F.explode("tokens").alias("token")).distinct()
+    want = sorted(map(str, each(docs, "doc_id").join(each(items, "item_id"), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).collect()))
+    found = lexical.shared(docs.where("doc_id < 3 or doc_id > 3"), items)
+    assert "Aggregate" not in explained(found) and "Exchange" not in explained(found)
+    monkeypatch.setattr(lexical, "HELD", 100)
+    assert sorted(map(str, lexical.shared(docs, items).collect())) == want
+    monkeypatch.setattr(lexical, "CELLS", 0)
+    assert sorted(map(str, lexical.shared(docs, items).collect())) == want
+    assert lexical.shared(docs, items.where("false")).count() == 0
 
 
 def test_index_by_one_shuffle(spark, monkeypatch, small_batches):
@@ -101,3 +102,19 @@ def test_index_by_one_shuffle(spark, monkeypatch, small_batches):
     made = segments.blocks(postings, 3 * segments.SPAN, 8)
     assert sorted(map(str, made.drop("bucket").collect())) == sorted(map(str, plain.collect()))
     assert explained(made).count("Exchange") == 1
+
+
+def test_scores_by_one_shuffle(spark, small_batches):
+    r = np.random.default_rng(11)
+    words = ["the", "rose", "frost", "loam", "x1"]
+    rows = [(f"c{k}", "ab"[k % 2], f"t{k}", "", " ".join(str(x) for x in r.choice(words, r.integers(0, 12))), {"lang": "xy"[k % 3 > 0]}) for k in range(120)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, kb_id string, title string, heading string, text string, values map<string,string>")
+    asked = [(f"q{k}", " ".join(words[: k + 1]), [None, ["a"], ["b", "a"]][k % 3], {"lang": "x"} if k == 2 else None) for k in range(5)]
+    queries = spark.createDataFrame(asked, "query_id string, text string, kb_ids array<string>, filters map<string,string>")
+    for strategy in ("bm25", "overlap"):
+        want = {(x.query_id, x.chunk_id): x.score for x in lexical.scores(chunks, queries, strategy).collect()}
+        got = lexical.scores(chunks, queries, strategy, lambda df, _: df.persist())
+        assert {(x.query_id, x.chunk_id): x.score for x in got.collect()} == want and want
+        # the postings' way to the answer: one exchange, by query and chunk
+        plan = explained(got)
+        assert "hashpartitioning(scope" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
