@@ -60,6 +60,23 @@ def test_products_in_pieces(spark, monkeypatch):
     assert dense.exact(points, queries).count() == dense.scored(points, queries.withColumn("kb_ids", F.lit(None).cast("array<string>")).withColumn("filters", F.lit(None).cast("map<string,string>"))).where("score is not null and not isnan(score)").count()
 
 
+def test_equal_scores_follow_each_other(spark, monkeypatch, small_batches):
+    points, queries = vectors(spark)
+    points = points.coalesce(1)
+    for distance in ("cosine", "dot", "euclid"):
+        every = dense.scored(points, queries, distance).where("score is not null and not isnan(score)").select("query_id", "point_id", "score").collect()
+        want = {(r.query_id, r.point_id): r.score for r in every}
+        with monkeypatch.context() as small:
+            for most in (dense.ALIKE, 160) if hasattr(dense, "ALIKE") else (0,):
+                small.setattr(dense, "ALIKE", most, raising=False)
+                small.setattr(dense, "PRODUCTS", 60)
+                rows = dense.exact(points, queries, distance).collect()
+                assert len(rows) == len(want) == len({(r.query_id, r.point_id) for r in rows}) and all(abs(r.score - want[r.query_id, r.point_id]) < 1e-9 for r in rows)
+                if most != 160:
+                    runs = 1 + sum(round(a.score, 6) != round(b.score, 6) for a, b in zip(rows, rows[1:]))
+                    assert runs == len({round(r.score, 6) for r in rows}) < len(rows)
+
+
 def test_texts_parsed_in_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"content": ["a" * 5, None, "", "b" * 30, "c" * 4, "d" * 6, "é" * 3]})
     parts = list(chunking.slices([batch, batch.slice(0, 0)], "content", 10))
