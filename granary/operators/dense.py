@@ -179,8 +179,8 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
                     for at in range(0, len(s), step):
                         s[at : at + step] = best(slice(start + at, start + min(at + step, len(s))))
                     cells = by_score(s.ravel())
-                    for at in range(0, len(cells), PRODUCTS):
-                        q, p = np.divmod(cells[at : at + PRODUCTS], s.shape[1])
+                    for at in range(0, len(cells), sent := max(1, PRODUCTS // 4)):
+                        q, p = np.divmod(cells[at : at + sent], s.shape[1])
                         yield rows_of(s, start, own_keys, q, p)
                 continue
             for start in range(0, len(wanted), step):
@@ -226,12 +226,14 @@ def gathered(batches, rows: int):
 
 def by_score(s: np.ndarray) -> np.ndarray:
     """Places of the finite scores in s, those of equal scores next to each other: sorted as single-precision bits and place in
-    one integer, in a quarter of the time that sorting places by doubles takes."""
-    place = np.flatnonzero(s > -np.inf)
-    bits = len(s).bit_length()
-    with np.errstate(over="ignore"):
-        keys = s[place].astype(np.float32).view(np.int32).astype(np.int64) << bits
-    keys |= place
+    one integer, in less time and memory than sorting places by doubles takes."""
+    keys, n, bits = np.empty(len(s), np.int64), 0, len(s).bit_length()
+    for at in range(0, len(s), PRODUCTS):
+        place = np.flatnonzero(s[at : at + PRODUCTS] > -np.inf) + at
+        with np.errstate(over="ignore"):
+            keys[n : n + len(place)] = s[place].astype(np.float32).view(np.int32).astype(np.int64) << bits | place
+        n += len(place)
+    keys = keys[:n]
     keys.sort()
     keys &= (1 << bits) - 1
     return keys
