@@ -49,6 +49,7 @@ def clustered(points: DataFrame, distance: str, keep: Callable[[DataFrame, str],
     own = np.array([r.vector for r in chosen], np.float64).reshape(len(chosen), -1 if chosen else 0)
     own = own / lengths(own, axis=1, keepdims=True) if distance == "cosine" else own
     names = usable.columns
+    step = max(1, dense.PRODUCTS // max(1, len(own)))  # points that meet the centres at once
 
     def run(batches):
         for batch in batches:
@@ -56,9 +57,11 @@ def clustered(points: DataFrame, distance: str, keep: Callable[[DataFrame, str],
                 continue
             v = batch.column(names.index("vector")).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             v = v / lengths(v, axis=1, keepdims=True) if distance == "cosine" else v
-            far = dense.products(v, own, "euclid")
-            near = far.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(far[np.arange(len(v)), near])], [*names, "cluster", "distance"])
+            near, far = np.empty(len(v), np.int32), np.empty(len(v))
+            for at in range(0, len(v), step):
+                some = dense.products(v[at : at + step], own, "euclid")
+                near[at : at + step], far[at : at + step] = some.argmin(1), some.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(far)], [*names, "cluster", "distance"])
 
     schema = StructType([*usable.schema.fields, StructField("cluster", IntegerType()), StructField("distance", DoubleType())])
     placed = usable.mapInArrow(run, schema)

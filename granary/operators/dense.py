@@ -114,20 +114,27 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
         scopes.setdefault((None if kbs is None else tuple(sorted(set(kbs))), tuple(sorted((filters or {}).items()))), []).append(n)
     keys = sorted({f for _, filters in scopes for f, _ in filters})
 
+    def signed(s: np.ndarray) -> np.ndarray:
+        """Rounds and signs s in place; -inf for, and the places of, what is no finite number."""
+        odd = ~np.isfinite(s)
+        np.round(s, 12, out=s)
+        s *= sign
+        s[odd] = -np.inf
+        return odd
+
     def scores(part: slice, own, cluster, insides, ids) -> np.ndarray:
         """Of the queries in part with the points of a batch, signed so that the largest is the best; -inf: not met."""
         asked = wanted[part]
         if visits is None:
             s = products(asked, own, distance)
-            odd = ~np.isfinite(s)
-            s = np.where(odd, -np.inf, sign * np.round(s, 12))
+            odd = signed(s)
         else:
             s, odd = np.full((len(asked), len(own)), -np.inf), np.zeros((len(asked), len(own)), bool)
             for c in np.unique(cluster):
                 place = np.ix_(np.flatnonzero(visits[part, c]), np.flatnonzero(cluster == c))
                 some = products(asked[place[0].ravel()], own[place[1].ravel()], distance)
-                odd[place] = ~np.isfinite(some)
-                s[place] = np.where(odd[place], -np.inf, sign * np.round(some, 12))
+                odd[place] = signed(some)
+                s[place] = some
         for inside, members in insides:
             here = members[(members >= part.start) & (members < part.stop)] - part.start
             if strict and odd[np.ix_(here, inside)].any():
@@ -240,17 +247,23 @@ def by_score(s: np.ndarray) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray, distance: str) -> np.ndarray:
-    """Scores of the rows of a with those of b; a cosine with a zero vector is no number."""
+    """Scores of the rows of a with those of b; a cosine with a zero vector is no number. Two matrices are held at most."""
     s = a @ b.T
     if distance == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
-            return s / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None])
+            s /= np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
     if distance == "euclid":
         squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None]
-        s = squares - 2 * s
-        one, two = np.nonzero(s < 1e-4 * squares)  # where the difference of large numbers has lost its digits
-        s[one, two] = ((a[one] - b[two]) ** 2).sum(1)
-        return np.sqrt(s)
+        s *= -2
+        s += squares
+        squares *= 1e-4
+        one, two = np.nonzero(s < squares)  # where the difference of large numbers has lost its digits
+        del squares
+        few = max(1, PRODUCTS // max(1, a.shape[1]))  # many copies: pairs of whole vectors
+        for at in range(0, len(one), few):
+            i, j = one[at : at + few], two[at : at + few]
+            s[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+        np.sqrt(s, out=s)
     return s
 
 

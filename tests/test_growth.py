@@ -1,11 +1,14 @@
 """What tasks hold and shuffle at once: steps in small pieces against plain forms."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import chunking, dense, lexical, segments
+from granary.operators import chunking, clusters, dense, lexical, segments
 
 
 def explained(df) -> str:
@@ -60,6 +63,35 @@ def test_products_in_pieces(spark, monkeypatch):
     assert dense.exact(points, queries).count() == dense.scored(points, queries.withColumn("kb_ids", F.lit(None).cast("array<string>")).withColumn("filters", F.lit(None).cast("map<string,string>"))).where("score is not null and not isnan(score)").count()
 
 
+def test_centres_met_in_pieces(spark, monkeypatch):
+    points, _ = vectors(spark)
+    placed = lambda: {r.point_id: round(r.distance, 9) for r in clusters.clustered(points, "cosine", lambda df, _: df).points.collect()}
+    want, whole = placed(), dense.products
+
+    def checked(a, b, distance):
+        if len(a) * len(b) > 160:
+            raise MemoryError("a task holds more products than PRODUCTS")
+        return whole(a, b, distance)
+
+    monkeypatch.setattr(clusters, "dense", SimpleNamespace(PRODUCTS=160, products=checked))
+    assert placed() == want and len(want) > 140
+
+
+def test_matrices_held_for_products(monkeypatch):
+    r = np.random.default_rng(13)
+    a, b = r.normal(size=(300, 16)), r.normal(size=(300, 16))
+    b[100:], a[:200] = a[-1], a[-1]  # copies: their distances are taken from differences
+    straight = {"dot": a @ b.T, "cosine": a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)), "euclid": np.linalg.norm(a[:, None] - b[None], axis=2)}
+    monkeypatch.setattr(dense, "PRODUCTS", 10_000)
+    for distance, most in (("dot", 1.5), ("cosine", 2.5), ("euclid", 5)):
+        tracemalloc.start()
+        s = dense.products(a, b, distance)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(s, straight[distance], rtol=0, atol=1e-12) and peak < most * s.nbytes, (distance, peak / s.nbytes)
+    assert (dense.products(a, b, "euclid")[:200, 100:] == 0).all()
+
+
 def test_equal_scores_follow_each_other(spark, monkeypatch, small_batches):
     points, queries = vectors(spark)
     points = points.coalesce(1)
