@@ -9,8 +9,8 @@ widen; a cell is left out once its bound is beyond the k-th best so far, or outs
 can't hold an answer, so results are exact whatever the bounds achieve.
 
 Cells of many rows, such as thousands of copies at one key, are dealt by hash to blocks of at most BLOCK components. Anchors
-are joined with the blocks they ask for; a task has one block and the anchors of one request at a time and returns at most k
-rows for each search. Pivots (at most PIVOTS), rings (at most RINGS for each) and the directory of cells, with at most
+are joined with the blocks they ask for by a shuffle of both, as requests are many times as large as the anchors; a task has
+one block and the anchors of one request at a time and returns at most k rows for each search. Pivots (at most PIVOTS), rings (at most RINGS for each) and the directory of cells, with at most
 GROUPS * PIVOTS * RINGS rows, are all that the driver sees.
 """
 
@@ -38,6 +38,8 @@ BLOCK = 1 << 19
 STEPS = (1 / 16, 1 / 4, 1.0)
 #: Anchors in a request.
 ANCHORS = 500
+#: Bytes of requests that a task makes at once, about.
+REQUESTED = 8 << 20
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Scores are sums in double precision while they stay below this, else in 64-bit integers.
 DOUBLE = 1 << 52
@@ -154,6 +156,19 @@ def scores(anchors: np.ndarray, vectors: np.ndarray, kind: str) -> np.ndarray:
     return anchors.astype(np.int64) @ vectors.astype(np.int64).T
 
 
+def first(got: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k greatest scores of each row that are able, the earlier columns of a tie."""
+    many = np.flatnonzero(np.count_nonzero(able, axis=1) > k)
+    if len(many):
+        some = np.where(able[many], got[many], LEAST)
+        able[many] &= some >= np.partition(some, -k, axis=1)[:, -k, None]
+    i, j = np.nonzero(able)
+    order = np.lexsort((j, -got[i, j], i))
+    i, j = i[order], j[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep]
+
+
 def _requests(searches: DataFrame, index: Index, same: bool, share: tuple[float, float]) -> DataFrame:
     """Of the searches (q, label, grp, vector, lows, highs, bests) those cells that lie in the step's share of each anchor's
     order and may hold an answer: (grp, pivot, ring, part, anchors), anchors packed as an array."""
@@ -186,18 +201,26 @@ def _requests(searches: DataFrame, index: Index, same: bool, share: tuple[float,
             high = np.array([a[s] if s < len(a) else LEAST for a in highs], float)[:, None]
             wanted |= (above >= low) & (below <= high)
         need &= wanted
-        rows = []
-        entries = list(zip(part["q"].to_pylist(), part["label"].to_pylist(), part["vector"].to_pylist(), lows, highs, bests))
-        for c in np.flatnonzero(need.any(0)):
-            own = [dict(zip(("q", "label", "vector", "lows", "highs", "bests"), entries[i])) for i in np.flatnonzero(need[:, c])]
-            rows += [(*map(int, cells[c, :3]), p, own) for p in range(cells[c, 3])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["grp", "pivot", "ring", "part", "anchors"])
-
-    entry = pa.struct([("q", pa.int64()), ("label", pa.string()), ("vector", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("lows", "highs", "bests"))])
-    types = [pa.int32()] * 4 + [pa.list_(entry)]
+        # of each cell asked for, a row for each of its parts; rows are sent by about REQUESTED bytes
+        entries = pa.StructArray.from_arrays([part[c] for c in fields], fields)
+        found = np.flatnonzero(need.any(0))
+        found = np.repeat(found, cells[found, 3])
+        number = np.arange(len(found)) - np.searchsorted(found, found)
+        ends = np.cumsum(need.sum(0)[found])
+        most = max(1, REQUESTED // (4 * dim + 24 * max(map(len, lows), default=0) + 64))
+        start = 0
+        while start < len(found):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            own = [np.flatnonzero(need[:, c]) for c in found[start:stop]]
+            starts = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            anchors = pa.ListArray.from_arrays(pa.array(starts), entries.take(pa.array(np.concatenate(own))))
+            keys_of = [*cells[found[start:stop], :3].T, number[start:stop]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in keys_of], anchors], ["grp", "pivot", "ring", "part", "anchors"])
+            start = stop
+
+    fields = ["q", "label", "vector", "lows", "highs", "bests"]
     schema = "grp int, pivot int, ring int, part int, anchors array<struct<q long, label string, vector binary, lows array<long>, highs array<long>, bests array<long>>>"
-    return searches.select("q", "label", "grp", "vector", "lows", "highs", "bests").mapInArrow(kernels.lean(run), schema)
+    return searches.select("grp", *fields).mapInArrow(kernels.lean(run), schema)
 
 
 def _scanned(met: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
@@ -207,26 +230,20 @@ def _scanned(met: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             for ids, labels, vectors, anchors in zip(*batch.columns):
-                ids, anchors = ids.as_py(), anchors.as_py()
+                ids, anchors = ids.values, dict(zip(("q", "label", "vector", "lows", "highs", "bests"), anchors.values.flatten()))
                 names, code = np.unique(np.array(labels.as_py()), return_inverse=True)
                 known = {str(name): c for c, name in enumerate(names)}
-                x, q = matrix([vectors.as_py()], dim * len(ids)).reshape(len(ids), dim), matrix([a["vector"] for a in anchors], dim)
+                x, q = matrix([vectors.as_py()], dim * len(ids)).reshape(len(ids), dim), matrix(anchors["vector"].to_pylist(), dim)
                 got = scores(q, x, kind)
-                agree = code[None] == np.array([known.get(a["label"], -1) for a in anchors])[:, None]
+                agree = code[None] == np.array([known.get(a, -1) for a in anchors["label"].to_pylist()])[:, None]
                 fits = agree if same else ~agree
-                out = []
-                for s in range(max(len(a["lows"]) for a in anchors)):
-                    low = np.array([max(a["lows"][s], a["bests"][s]) if s < len(a["lows"]) else MOST for a in anchors])[:, None]
-                    high = np.array([a["highs"][s] if s < len(a["highs"]) else LEAST for a in anchors])[:, None]
-                    able = fits & (got >= low) & (got <= high)
-                    for i in np.flatnonzero(able.any(1)):
-                        own = np.flatnonzero(able[i])
-                        if len(own) > k:  # rows come by vec_id, so a stable sort keeps the smaller ones of a tie
-                            own = own[got[i, own] >= np.partition(got[i, own], -k)[-k]]
-                            own = own[np.argsort(-got[i, own], kind="stable")[:k]]
-                        out += [(anchors[i]["q"], s, int(got[i, j]), ids[j]) for j in own]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["q", "search", "score", "vec_id"])
+                lows, highs, bests = (anchors[c].to_pylist() for c in ("lows", "highs", "bests"))
+                for s in range(max(map(len, lows))):
+                    low = np.array([max(a[s], b[s]) if s < len(a) else MOST for a, b in zip(lows, bests)])[:, None]
+                    high = np.array([a[s] if s < len(a) else LEAST for a in highs])[:, None]
+                    i, j = first(got, fits & (got >= low) & (got <= high), k)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([anchors["q"].take(pa.array(i)), pa.array(np.full(len(i), s, np.int32)), pa.array(got[i, j]), ids.take(pa.array(j))], ["q", "search", "score", "vec_id"])
 
     return met.select("ids", "labels", "vectors", "anchors").mapInArrow(kernels.lean(run), "q long, search int, score long, vec_id long")
 
@@ -250,7 +267,7 @@ def best(searches: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
             at = F.transform("lows", lambda x, i: F.coalesce(F.element_at("full", i.cast("int")), F.lit(LEAST).cast("long")))
             known = base.join(full, "q", "left").withColumn("bests", F.when(F.col("full").isNull(), none).otherwise(at))
         asked = _requests(known, index, same, share)
-        met = _scanned(asked.join(index.blocks, ["grp", "pivot", "ring", "part"]), index, k, same)
+        met = _scanned(asked.join(index.blocks.hint("merge"), ["grp", "pivot", "ring", "part"]), index, k, same)
         every = met if kept is None else met.unionByName(kept.drop("place"))
         kept = written(every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), "best")
     return kept

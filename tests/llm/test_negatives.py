@@ -1,6 +1,7 @@
 """Hard negatives against all rows."""
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -77,3 +78,20 @@ def test_far_cells_are_left_out(spark):
     searches = every.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", negatives.label_group(F.col("label")).alias("grp"), "vector", *wide)
     asked = lambda bests: negatives._requests(searches.withColumn("bests", F.array(F.lit(bests).cast("long"))), index, True, (0.0, 1.0)).agg(F.sum(F.size("anchors"))).first()[0]
     assert asked(60_000) < asked(negatives.LEAST) / 2
+
+
+def test_requests_are_not_broadcast(spark, monkeypatch):
+    """Requests are anchors times cells: no step may bring them, or the blocks, to the driver. They are sent in pieces."""
+    plans, scanned = [], negatives._scanned
+
+    def noted(met, *rest):
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+        return scanned(met, *rest)
+
+    monkeypatch.setattr(negatives, "_scanned", noted)
+    monkeypatch.setattr(negatives, "REQUESTED", 2_000, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(k, x.tolist(), k % 3) for k, x in enumerate(clustered(rng, 700))]
+    assert check(spark, rows, pivots=5, rings=3)
+    joins = [re.search(r"\w+Join\b", p).group() for p in plans]  # the last join of each step
+    assert joins and set(joins) == {"SortMergeJoin"}
