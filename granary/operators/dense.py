@@ -19,8 +19,9 @@ QUERIES = 1_000
 #: Products of a query and a point that a task holds at once, in matrices of doubles; points that a partition by chunk has about.
 PRODUCTS = 1_000_000
 POINTS = 1_000
-#: Products whose rows exact gives in the order of their scores.
-ALIKE = 10_000_000
+#: Products whose rows exact gives in the order of their scores, and queries of a pass of it; a task holds 8 bytes for each product.
+#: With over 32,000 points, Parquet would find too many ids among a page's 20,000 rows and give up their dictionary.
+ALIKE, ALIKE_QUERIES = 60_000_000, 2_000
 
 
 def upserted(points: DataFrame, batch: DataFrame, dimension: int, distance: str = "cosine", normalized: bool = True) -> DataFrame:
@@ -51,12 +52,13 @@ def scored(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> D
     return points.join(q, in_scope(F.col("kb_id"), F.col("kb_ids")) & matches(F.col("values"), F.col("filters"))).withColumn("score", similarity(F.col("vector"), F.col("_q"), distance)).drop("_q", "kb_ids", "filters")
 
 
-def exact(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
-    """(query_id, point_id, score) of every query with every point in its scope, by blocked products; rounded to 12 decimals.
+def exact(points: DataFrame, queries: DataFrame, distance: str = "cosine", digits: int = 12) -> DataFrame:
+    """(query_id, point_id, score) of every query with every point in its scope, by blocked products; rounded to so many decimals,
+    halves away from zero.
 
     The answer is as many rows as pairs. Those of up to ALIKE products come by score, so that equal scores follow each other:
-    written to columnar files, once rounded, they take about half the space that they take by query."""
-    return _met(points, queries, "point_id", None, distance, alike=True)
+    written to columnar files, with few digits, they take less than half the space that they take by query."""
+    return _met(points, queries, "point_id", None, distance, alike=digits)
 
 
 def maxima(points: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
@@ -83,23 +85,24 @@ def parents(points: DataFrame, queries: DataFrame, k: int = MOST, distance: str
     return ranked(found, "query_id", ascending=distance == "euclid").where(F.col("rank") <= k)
 
 
-def _met(points: DataFrame, queries: DataFrame, key: str, k: int | None, distance: str, strict: bool = False, together: bool = False, alike: bool = False) -> DataFrame:
+def _met(points: DataFrame, queries: DataFrame, key: str, k: int | None, distance: str, strict: bool = False, together: bool = False, alike: int | None = None) -> DataFrame:
     """(query_id, key, score): the k best keys (None: all) of each query in each batch of points, and those that tie with the last.
 
-    Blocks of QUERIES queries meet all points, in a pass for each block: a batch of points is matrix products of at most PRODUCTS
+    Blocks of QUERIES queries (alike: ALIKE_QUERIES) meet all points, in a pass for each block: a batch of points is matrix products of at most PRODUCTS
     scores, of which each query's k best go on. Queries by points are never rows; a task sends k rows for each query and batch.
     The queries come to the driver a block at a time. together (for k None): points of a key are in one partition and follow each
-    other, and the key's best score is given once. alike (for k None): rows of ALIKE products come by score.
+    other, and the key's best score is given once. alike (for k None): decimals of the scores; rows of ALIKE products come by
+    score, one for each query and point, whatever their ids.
     """
     scope = [c for c in ("kb_ids", "filters") if c in queries.columns]
-    rows = queries.select("query_id", "vector", *scope).toLocalIterator()
-    blocks = [_block(points, queries, list(islice(rows, QUERIES)), key, k, distance, strict, together=together, alike=alike)]
-    while block := list(islice(rows, QUERIES)):
+    rows, most = queries.select("query_id", "vector", *scope).toLocalIterator(), QUERIES if alike is None else ALIKE_QUERIES
+    blocks = [_block(points, queries, list(islice(rows, most)), key, k, distance, strict, together=together, alike=alike)]
+    while block := list(islice(rows, most)):
         blocks.append(_block(points, queries, block, key, k, distance, strict, together=together, alike=alike))
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool, visits: np.ndarray | None = None, together: bool = False, alike: bool = False) -> DataFrame:
+def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int | None, distance: str, strict: bool, visits: np.ndarray | None = None, together: bool = False, alike: int | None = None) -> DataFrame:
     """_met for the collected queries in rows. visits: for each query and value of the points' column cluster whether they meet;
     of other points no product is taken."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -115,9 +118,14 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
     keys = sorted({f for _, filters in scopes for f, _ in filters})
 
     def signed(s: np.ndarray) -> np.ndarray:
-        """Rounds and signs s in place; -inf for, and the places of, what is no finite number."""
+        """Rounds and signs s in place, alike: as whole numbers; -inf for, and the places of, what is no finite number."""
         odd = ~np.isfinite(s)
-        np.round(s, 12, out=s)
+        if alike is None:
+            np.round(s, 12, out=s)
+        else:
+            s *= 10.0**alike
+            s += np.copysign(0.5, s)
+            np.trunc(s, out=s)
         s *= sign
         s[odd] = -np.inf
         return odd
@@ -151,7 +159,7 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
         def rows_of(s, start, found_keys, q, p):
             return pa.RecordBatch.from_arrays([named.take(pa.array(q + start)), found_keys.take(pa.array(p)), pa.array(sign * s[q, p])], ["query_id", key, "score"])
 
-        for batch in gathered(batches, ALIKE // QUERIES) if alike else batches:
+        for batch in gathered(batches, max(1, ALIKE // ALIKE_QUERIES)) if alike is not None else batches:
             if not batch.num_rows or not len(wanted):
                 continue
             own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
@@ -165,6 +173,18 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
                 for f, value in filters:
                     inside &= metadata[f] == value
                 insides.append((inside, np.array(members)))
+            step = max(1, PRODUCTS // batch.num_rows)
+            if alike is not None:
+                wide = max(1, ALIKE // batch.num_rows)
+                for start in range(0, len(wanted), wide):
+                    stop = min(start + wide, len(wanted))
+                    parts = (slice(at, min(at + step, stop)) for at in range(start, stop, step))
+                    tile = (scores(part, own, cluster, insides, batch.column(0)) for part in parts)
+                    for values, places in by_score(tile, (stop - start) * batch.num_rows):
+                        q, p = np.divmod(places, batch.num_rows)
+                        values = sign * values / 10.0**alike + 0.0  # no negative zero
+                        yield pa.RecordBatch.from_arrays([named.take(pa.array(q + start)), batch.column(0).take(pa.array(p)), pa.array(values)], ["query_id", key, "score"])
+                continue
             codes = batch.column(0).dictionary_encode()
             which = codes.indices.to_numpy()
             order = np.argsort(which, kind="stable")
@@ -173,23 +193,11 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
             before = last
             if together:
                 last = own_keys.slice(len(own_keys) - 1)
-            step = max(1, PRODUCTS // batch.num_rows)
 
             def best(part: slice) -> np.ndarray:
                 s = scores(part, own, cluster, insides, batch.column(0))
                 return s if len(begins) == len(which) else np.maximum.reduceat(s[:, order], begins, axis=1)
 
-            if alike:
-                wide = max(1, ALIKE // batch.num_rows)
-                for start in range(0, len(wanted), wide):
-                    s = np.empty((min(wide, len(wanted) - start), len(own_keys)))
-                    for at in range(0, len(s), step):
-                        s[at : at + step] = best(slice(start + at, start + min(at + step, len(s))))
-                    cells = by_score(s.ravel())
-                    for at in range(0, len(cells), sent := max(1, PRODUCTS // 4)):
-                        q, p = np.divmod(cells[at : at + sent], s.shape[1])
-                        yield rows_of(s, start, own_keys, q, p)
-                continue
             for start in range(0, len(wanted), step):
                 part = slice(start, min(start + step, len(wanted)))
                 s = best(part)
@@ -220,30 +228,46 @@ def _block(points: DataFrame, queries: DataFrame, rows: list, key: str, k: int |
 
 
 def gathered(batches, rows: int):
-    """The batches put together to such of at least rows rows, but for the last."""
+    """The batches dealt anew to such of that many rows, but for the last."""
     held, n = [], 0
     for batch in batches:
         held, n = [*held, batch], n + batch.num_rows
         if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if held:
+            whole, at = pa.concat_batches(held), 0
+            while n - at >= rows:
+                yield whole.slice(at, rows)
+                at += rows
+            held, n = [whole.slice(at)], n - at
+    if n:
         yield pa.concat_batches(held)
 
 
-def by_score(s: np.ndarray) -> np.ndarray:
-    """Places of the finite scores in s, those of equal scores next to each other: sorted as single-precision bits and place in
-    one integer, in less time and memory than sorting places by doubles takes."""
-    keys, n, bits = np.empty(len(s), np.int64), 0, len(s).bit_length()
-    for at in range(0, len(s), PRODUCTS):
-        place = np.flatnonzero(s[at : at + PRODUCTS] > -np.inf) + at
-        with np.errstate(over="ignore"):
-            keys[n : n + len(place)] = s[place].astype(np.float32).view(np.int32).astype(np.int64) << bits | place
+def by_score(pieces, size: int):
+    """(values, places) of the finite numbers among size whole numbers, given in pieces, by value and about PRODUCTS / 4 at a time.
+
+    A value and its place are one integer of 64 bits, so that nothing else is held or sorted. Pieces with values too large for
+    that go out by themselves."""
+    bits = size.bit_length()
+    held, n, at, sent = np.empty(size, np.int64), 0, 0, max(1, PRODUCTS // 4)
+    for piece in pieces:
+        values = piece.ravel()
+        place = np.flatnonzero(values > -np.inf)
+        values = values[place]
+        place += at
+        at += piece.size
+        if len(values) and np.abs(values).max() >= 2.0 ** (63 - bits):
+            order = np.argsort(values)
+            for start in range(0, len(order), sent):
+                own = order[start : start + sent]
+                yield values[own], place[own]
+            continue
+        held[n : n + len(place)] = values.astype(np.int64) << bits | place
         n += len(place)
-    keys = keys[:n]
-    keys.sort()
-    keys &= (1 << bits) - 1
-    return keys
+    held = held[:n]
+    held.sort()
+    for start in range(0, n, sent):
+        own = held[start : start + sent]
+        yield (own >> bits).astype(float), own & ((1 << bits) - 1)
 
 
 def products(a: np.ndarray, b: np.ndarray, distance: str) -> np.ndarray:

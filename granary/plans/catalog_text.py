@@ -279,7 +279,7 @@ POOLED = POINTS + ", m AS (SELECT query_id, chunk_id, max(score) AS score FROM s
 
 @query("j5_exact_scores", POINTS + "SELECT query_id, point_id, round(score, 6) AS score FROM s")
 def _(s, d):
-    return dense.exact(T.points(s, d), T.vector_queries(s, d)).select("query_id", "point_id", six(F.col("score"), "score"))
+    return dense.exact(T.points(s, d), T.vector_queries(s, d), digits=6).select("query_id", "point_id", "score")
 
 
 NEAREST = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)

@@ -109,6 +109,38 @@ def test_equal_scores_follow_each_other(spark, monkeypatch, small_batches):
                     assert runs == len({round(r.score, 6) for r in rows}) < len(rows)
 
 
+def test_scores_of_few_digits(spark, monkeypatch):
+    """Scores are rounded as SQL rounds them, one row a pair though ids repeat, also where a piece's scores are too large to sort."""
+    rows = [(7, [1.0, 127.99609369], 1), (7, [1.0, 0.0], 1), (8, [0.0078125, 0.0], 1), (9, [-0.0078125, 0.0], 1), (10, [-1e-9, 0.0], 1), (None, [3e9, 0.0], 1)]
+    points = spark.createDataFrame([(i, v, "k", {"even": "1"}) for i, v, _ in rows], "point_id long, vector array<double>, kb_id string, values map<string,string>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0])], "query_id long, vector array<double>")
+    want = sorted((str(i), f) for i, f in [(7, 1.0), (7, 2.0), (7, 1.0), (7, 2.0), (8, 0.007813), (8, 0.015625), (9, -0.007813), (9, -0.015625), (10, 0.0), (10, 0.0), (None, 3e9), (None, 6e9)])
+    whole = dense.by_score
+    for least in (0, 1 << 14):  # sorted in one integer; or too large for that
+        with monkeypatch.context() as small:
+            small.setattr(dense, "by_score", lambda pieces, size, least=least: whole(pieces, max(size, least)))
+            got = dense.exact(points, queries, "dot", digits=6).collect()
+            assert sorted((str(r.point_id), r.score) for r in got) == want and not any(str(r.score) == "-0.0" for r in got)
+
+
+def test_scores_sorted_in_one_integer(monkeypatch):
+    r = np.random.default_rng(3)
+    s = np.trunc(r.normal(size=(400, 500)) * 1e6)
+    s[r.random(s.shape) < 0.3] = -np.inf
+    monkeypatch.setattr(dense, "PRODUCTS", 4_000)
+    tracemalloc.start()
+    n, last, seen = 0, -np.inf, np.zeros(s.size, bool)
+    for values, places in dense.by_score((s[k : k + 8] for k in range(0, 400, 8)), s.size):
+        assert (s.ravel()[places] == values).all() and (np.diff(values) >= 0).all() and values[0] >= last
+        n, last, seen[places] = n + len(values), values[-1], True
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == seen.sum() == np.isfinite(s).sum() and peak < 1.6 * s.nbytes
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(k, k + 7))}) for k in range(0, 70, 7)]
+    parts = list(dense.gathered(iter(batches), 20))
+    assert [p.num_rows for p in parts] == [20, 20, 20, 10] and sum((p.to_pydict()["x"] for p in parts), []) == list(range(70))
+
+
 def test_texts_parsed_in_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"content": ["a" * 5, None, "", "b" * 30, "c" * 4, "d" * 6, "é" * 3]})
     parts = list(chunking.slices([batch, batch.slice(0, 0)], "content", 10))
