@@ -123,6 +123,15 @@ def test_scores_of_few_digits(spark, monkeypatch):
             assert sorted((str(r.point_id), r.score) for r in got) == want and not any(str(r.score) == "-0.0" for r in got)
 
 
+def test_equal_scores_of_many_queries(spark):
+    """Scores of more queries than another search's pass takes are sorted together."""
+    r = np.random.default_rng(4)
+    points = spark.createDataFrame([(k, [float(x) for x in r.integers(-2, 3, 3)], "k", {"even": "1"}) for k in range(12)], "point_id long, vector array<double>, kb_id string, values map<string,string>").coalesce(1)
+    queries = spark.createDataFrame([(k, [float(x) for x in r.integers(-2, 3, 3)]) for k in range(1_500)], "query_id long, vector array<double>")
+    rows = dense.exact(points, queries, "dot").collect()
+    assert len(rows) == 18_000 and sum(a.score != b.score for a, b in zip(rows, rows[1:])) + 1 == len({r.score for r in rows})
+
+
 def test_scores_sorted_in_one_integer(monkeypatch):
     r = np.random.default_rng(3)
     s = np.trunc(r.normal(size=(400, 500)) * 1e6)
